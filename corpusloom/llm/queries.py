@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix
+from corpusloom.llm import bpe_prefix, simhash_dedup
 from corpusloom.llm.common import table
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_copies")
+
+
 def op7_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCAB)
 
