@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix, simhash_dedup
+from corpusloom.llm import bpe_prefix, recompression, simhash_dedup
 from corpusloom.llm.common import table
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op7_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCAB)
 
 
+def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
