@@ -16,6 +16,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -214,7 +215,8 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
         bpe = load(vocab_path)
         sha = hashlib.sha256
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+            out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            kept = []
             for text in batch.column("text").to_pylist():
                 raw = bpe.encode_to_bytes(text) if text else b""
                 out["n_tokens"].append(len(raw) // 4)
@@ -222,7 +224,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 if decode:
                     out["decoded_sha256"].append(sha(bpe.decode(ids_of(raw)).encode()).hexdigest())
                 if keep_ids:
-                    out["ids"].append(ids_of(raw).tolist())
+                    kept.append(raw)
+            if keep_ids:
+                ends = np.cumsum([0, *out["n_tokens"]])
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(kept), np.int32)))
             out[id_col] = batch.column("id").cast(kind := batch.schema.field("id").type)
             fields = [(id_col, kind), ("n_tokens", pa.int64()), ("ids_sha256", pa.string())]
             fields += [("decoded_sha256", pa.string())] * decode + [("ids", pa.list_(pa.int32()))] * keep_ids
