@@ -6,9 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix, decontamination, recompression, simhash_dedup, toxicity_ordinal
+from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, toxicity_ordinal, url_markov
 from corpusloom.llm.common import table
 
+#: The rules of the URL query.
+URL_RULES = [
+    url_markov.Rule("net", "/", "block"),
+    url_markov.Rule("example.net", "/en/", "allow"),
+    url_markov.Rule("example.com", "/de/", "block"),
+    url_markov.Rule("org", "/fr/", "allow"),
+]
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -21,10 +28,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_copies")
 
 
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCAB)
 
 
+def op8_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -40,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_perspectives": chat_rotation.SQL}
