@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices, stored
-from corpusloom.llm.recompress_core import segments, span_hashes, word_hashes
+from corpusloom.llm.recompress_core import corpus_words, segments, span_hashes
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -29,86 +29,111 @@ def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+#: Bytes of text that are worked on together.
+TOGETHER = 1 << 20
+
+
+def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 def _anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows, keys, hashes = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if text:
-                    found = segments(*word_hashes(text.encode("utf-8", "surrogatepass")), width)[:2]
-                    pairs = np.unique(np.stack(found), axis=1) if len(found[0]) > 1 else np.stack(found)
-                    rows.append(np.full(pairs.shape[1], i))
-                    keys.append(pairs[0])
-                    hashes.append(pairs[1])
-            if rows:
-                ids = batch.column("id").take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([ids, long_array(np.concatenate(keys)), long_array(np.concatenate(hashes))], names=["doc", "key", "seg"])
+        for batch in slices(batches, "text", TOGETHER):
+            keys, hashes, _, _, texts = segments(*corpus_words(raw_texts(batch)), width)
+            if len(keys):
+                order = np.lexsort((hashes, keys, texts))
+                keys, hashes, texts = keys[order], hashes[order], texts[order]
+                new = np.ones(len(keys), bool)  # a text's repeats of a segment are one row
+                new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+                ids = batch.column("id").take(pa.array(texts[new]))
+                yield pa.RecordBatch.from_arrays([ids, long_array(keys[new]), long_array(hashes[new])], names=["doc", "key", "seg"])
 
     return run
 
 
-def members(values: np.ndarray, among: list[int] | None) -> np.ndarray:
-    if not among:
-        return np.zeros(len(values), bool)
-    return np.isin(values.view(np.int64), np.array(among, np.int64))
+def listed(batch: pa.RecordBatch, column: str, texts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in the list that their own text has in a column."""
+    lists = batch.column(column)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(batch.num_rows), sizes)
+    own = np.uint64(0x9E3779B97F4A7C15)
+    return np.isin(values ^ (texts.astype(np.uint64) * own), flat ^ (of.astype(np.uint64) * own))
 
 
 def covered_words(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n words lie in one of the spans."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
-def _resolve(width: int, keep_text: bool, last: bool):
-    """First pass: rows without pending segments are done; of others the hashes of pending windows go on, with the text.
-    Last pass: all are done. ``hits`` are the windows that an earlier document has."""
-    sha = hashlib.sha256
+def _digest(raws: list[bytes], gone: list[np.ndarray | None], open_: list[bool], keep_text: bool) -> list[pa.Array]:
+    """n_words, n_removed, kept_sha256 and kept of each text that isn't open."""
+    out: list[tuple] = []
+    for raw, lost, wait in zip(raws, gone, open_, strict=True):
+        if wait:
+            out.append((None, None, None, None))
+            continue
+        words = raw.split()  # on bytes this takes the ASCII white space alone
+        left = words if lost is None else list(compress(words, (~lost).tolist()))
+        joined = b" ".join(left)
+        out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if keep_text else None))
+    return [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+
+
+def _judge(width: int, keep_text: bool):
+    """Rows without pending segments are done. Of others go on the text, the words that are gone (as positions), and
+    place and hash of every pending window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TOGETHER):
+            raws, n = raw_texts(batch), batch.num_rows
+            known = np.array([c or p for c, p in zip(pa.compute.list_value_length(batch.column("covered")).to_pylist(), pa.compute.list_value_length(batch.column("pending")).to_pylist(), strict=True)], bool)
+            gone: list[np.ndarray | None] = [None] * n
+            lost: list[list[int] | None] = [None] * n
+            places: list[np.ndarray | None] = [None] * n
+            windows: list[np.ndarray | None] = [None] * n
+            if known.any():
+                words, sizes, offsets = corpus_words([r if k else b"" for r, k in zip(raws, known, strict=True)])
+                _, hashes, starts, ends, texts = segments(words, sizes, offsets, width)
+                whole, pending = listed(batch, "covered", texts, hashes), listed(batch, "pending", texts, hashes)
+                mask = covered_words(starts[whole], ends[whole] + width - 1, len(words))
+                at = np.flatnonzero(covered_words(starts[pending], ends[pending], len(words)))
+                found = span_hashes(words, at, at + width).view(np.int64)
+                first, last = np.searchsorted(at, offsets[:-1]), np.searchsorted(at, offsets[1:])
+                for i in np.flatnonzero(known):
+                    a, b = offsets[i], offsets[i + 1]
+                    if mask[a:b].any():
+                        gone[i] = mask[a:b]
+                    if last[i] > first[i]:
+                        places[i], windows[i] = at[first[i] : last[i]] - a, found[first[i] : last[i]]
+                        lost[i] = np.flatnonzero(mask[a:b])
+            open_ = [w is not None for w in windows]
+            text = pa.compute.if_else(pa.array(open_), batch.column("text"), pa.nulls(n, batch.schema.field("text").type))
+            lists = [pa.array(lost, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), text, *lists, *_digest(raws, gone, open_, keep_text)], names=["row", "text", "lost", "places", "windows", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
+def _finish(width: int, keep_text: bool):
+    """The rest: a pending window that an earlier document has takes its words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            lists = [batch.column(c).to_pylist() for c in ("covered", "pending", "hits")]
-            out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept", "windows")}
-            for text, covered, pending, hits in zip(batch.column("text").to_pylist(), *lists, strict=True):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                words, windows = raw.split(), None
-                gone = None
-                if covered or pending:
-                    values, sizes = word_hashes(raw)
-                    _, segs, starts, ends = segments(values, sizes, width)
-                    whole = members(segs, covered)
-                    open_ = members(segs, pending)
-                    if whole.any():
-                        gone = covered_words(starts[whole], ends[whole] + width - 1, len(words))
-                    if open_.any():
-                        at = np.flatnonzero(covered_words(starts[open_], ends[open_], len(values)))
-                        hashes = span_hashes(values, at, at + width)
-                        if last:
-                            hit = at[members(hashes, hits)]
-                            more = covered_words(hit, hit + width, len(words))
-                            gone = more if gone is None else gone | more
-                        else:
-                            windows = np.unique(hashes).view(np.int64).tolist()
-                if windows is None:
-                    left = words if gone is None else list(compress(words, ~gone))
-                    joined = b" ".join(left)
-                    out["n_words"].append(len(words))
-                    out["n_removed"].append(len(words) - len(left))
-                    out["kept_sha256"].append(sha(joined).hexdigest())
-                    out["kept"].append(joined.decode("utf-8", "surrogatepass") if keep_text else None)
-                else:
-                    for c in ("n_words", "n_removed", "kept_sha256", "kept"):
-                        out[c].append(None)
-                out["windows"].append(windows)
-            done = pa.array([w is None for w in out["windows"]])
-            nothing = {c: pa.nulls(batch.num_rows, batch.schema.field(c).type) for c in ("text", "covered", "pending")}
-            columns = [batch.column("row")]
-            columns += [pa.compute.if_else(done, nothing[c], batch.column(c)) for c in ("text", "covered", "pending")] if not last else []
-            columns += [pa.array(out["windows"], pa.list_(pa.int64()))] if not last else []
-            columns += [pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string())]
-            names = ["row", *([] if last else ["text", "covered", "pending", "windows"]), "n_words", "n_removed", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for batch in slices(batches, "text", TOGETHER):
+            raws, gone = raw_texts(batch), []
+            for raw, lost, places, windows, hits in zip(raws, *(batch.column(c) for c in ("lost", "places", "windows", "hits")), strict=True):
+                change = np.zeros(len(raw) + 2, np.int32)
+                out = np.array(lost.values) if lost.is_valid else np.empty(0, np.int32)
+                np.add.at(change, out, 1)
+                np.add.at(change, out + 1, -1)
+                if hits.is_valid:
+                    at = np.array(places.values)[np.isin(np.array(windows.values), np.array(hits.values))]
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + width, -1)
+                gone.append(np.cumsum(change) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *_digest(raws, gone, [False] * len(raws), keep_text)], names=["row", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -139,15 +164,15 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     lists = covered.unionByName(pending).groupBy("doc").agg(
         F.collect_list(F.when(F.col("whole"), F.col("seg"))).alias("covered"), F.collect_list(F.when(~F.col("whole"), F.col("seg"))).alias("pending")
     )
-    first_out = f"row {row_type}, text string, covered array<bigint>, pending array<bigint>, windows array<bigint>, {OUT}, kept string"
-    joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending", F.lit(None).cast("array<bigint>").alias("hits"))
-    judged = stored(joined.mapInArrow(_resolve(width, keep_text, False), first_out), "judged")
+    first_out = f"row {row_type}, text string, lost array<int>, places array<int>, windows array<bigint>, {OUT}, kept string"
+    joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
+    judged = stored(joined.mapInArrow(_judge(width, keep_text), first_out), "judged")
 
     open_rows = judged.where("windows is not null")
-    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode("windows").alias("window"))
+    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.array_distinct("windows")).alias("window"))
     earliest = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
     hits = windows.join(earliest.hint("merge"), "window").where("doc > first").groupBy("doc").agg(F.collect_list("window").alias("hits"))
-    rest = open_rows.select("row", "text", "covered", "pending").join(hits, F.col(f"row.`{id_col}`") == hits["doc"], "left").drop("doc")
-    rest = rest.mapInArrow(_resolve(width, keep_text, True), f"row {row_type}, {OUT}, kept string")
+    rest = open_rows.select("row", "text", "lost", "places", "windows").join(hits, F.col(f"row.`{id_col}`") == hits["doc"], "left").drop("doc")
+    rest = rest.mapInArrow(_finish(width, keep_text), f"row {row_type}, {OUT}, kept string")
     done = judged.where("windows is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
     return done.select("row.*", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))
