@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, toxicity_ordinal, url_markov
+from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, toxicity_ordinal, url_markov
 from corpusloom.llm.common import table
 
 #: The rules of the URL query.
@@ -23,6 +23,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", simhash_dedup.hex16(F.col("fp")).alias("fingerprint"), "component_id", "n_copies")
