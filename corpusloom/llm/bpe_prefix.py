@@ -31,9 +31,13 @@ PIECES = rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 PLAIN_END = 0x300
 
 
+def plain_classes() -> tuple[str, str]:
+    """The letters and the numbers below PLAIN_END, as the inside of a character class."""
+    return tuple("".join(f"\\x{c:02x}" if c < 256 else f"\\u{c:04x}" for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+
+
 def plain_pieces() -> re.Pattern:
-    kinds = {kind: "".join(f"\\x{c:02x}" if c < 256 else f"\\u{c:04x}" for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
-    letters, digits = kinds["L"], kinds["N"]
+    letters, digits = plain_classes()
     return re.compile(rf" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space: a word is a maximal run of anything else.
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,3 +76,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+
+
+def in_pieces(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, list[int]]:
+    """(id, at, text, piece): rows with the range of ids they belong to, the number of pieces to deal, and the borders.
+
+    ``at`` is the id, or the least integer for null. The borders are quantiles of the ids, so pieces hold about as many
+    rows each; range i holds the ids above border i - 1 up to border i. Rows with equal ids are in one range.
+    """
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("at"), F.col(text_col).alias("text"))
+    pieces = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = base.select(F.col("at").cast("double").alias("at")).stat.approxQuantile("at", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
+    borders = sorted({int(q) for q in found})
+    bounds = F.array(*(F.lit(b) for b in borders)).cast("array<bigint>")
+    return base.withColumn("piece", F.size(F.filter(bounds, lambda b: b < F.col("at")))), pieces, borders

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import in_pieces, slices
 from corpusloom.llm.recompress_core import BYTE_VALUES, mix, span_hashes, word_spans
 
 IDENTITY, SKETCH, RUN = 16, 512, 3
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, n_chars bigint, fingerprint string, vector binary")
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: int | None = None) -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next row is the one with the next smaller id, after the smallest the largest; rows that repeat an id stand in the
@@ -103,13 +103,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
     are quantiles of the ids, so the driver holds a number for each range. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    least = -(1 << 63)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(least)).alias("at"), F.col(text_col).alias("text"))
-    pieces = pieces or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = base.select(F.col("at").cast("double").alias("at")).stat.approxQuantile("at", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    borders = sorted({int(q) for q in quantiles})
-    bounds = F.array(*(F.lit(b) for b in borders)) if borders else F.array().cast("array<bigint>")
-    base = base.withColumn("piece", F.size(F.filter(bounds, lambda b: b < F.col("at"))))
+    base, pieces, borders = in_pieces(docs, id_col, text_col)
     heads = [r["at"] for r in base.groupBy("piece").agg(F.max("at").alias("at")).collect()]
     heads.sort()
     # the first row of a range follows the last of the next higher one, that of the highest the last of the lowest

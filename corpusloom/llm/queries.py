@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, toxicity_ordinal, url_markov
+from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, token_binary, toxicity_ordinal, url_markov
 from corpusloom.llm.common import table
 
 #: The rules of the URL query.
@@ -16,9 +16,14 @@ URL_RULES = [
     url_markov.Rule("example.com", "/de/", "block"),
     url_markov.Rule("org", "/fr/", "allow"),
 ]
+WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), WORD_VOCAB, end_id=2)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
