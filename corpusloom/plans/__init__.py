@@ -1,6 +1,6 @@
 """All registered queries; importing this package registers them."""
 
-from corpusloom.plans import text_queries  # noqa: F401
+from corpusloom.plans import retrieval_queries, text_queries  # noqa: F401
 from corpusloom.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
