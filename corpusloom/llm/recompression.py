@@ -16,6 +16,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _digest(raws: list[bytes], gone: list[np.ndarray | None], open_: list[bool],
 
 
 def _judge(width: int, keep_text: bool):
-    """Rows without pending segments are done. Of others go on the text, the words that are gone (as positions), and
+    """Rows without pending segments are done. Of others go on the text, compressed, the words that are gone (as positions), and
     place and hash of every pending window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,8 @@ def _judge(width: int, keep_text: bool):
                         places[i], windows[i] = at[first[i] : last[i]] - a, found[first[i] : last[i]]
                         lost[i] = np.flatnonzero(mask[a:b])
             open_ = [w is not None for w in windows]
-            text = pa.compute.if_else(pa.array(open_), batch.column("text"), pa.nulls(n, batch.schema.field("text").type))
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            text = pa.array([squeeze(r) if wait else None for r, wait in zip(raws, open_, strict=True)], pa.binary())
             lists = [pa.array(lost, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), text, *lists, *_digest(raws, gone, open_, keep_text)], names=["row", "text", "lost", "places", "windows", "n_words", "n_removed", "kept_sha256", "kept"])
 
@@ -121,8 +123,9 @@ def _finish(width: int, keep_text: bool):
     """The rest: a pending window that an earlier document has takes its words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TOGETHER):
-            raws, gone = raw_texts(batch), []
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "text", TOGETHER >> 1):
+            raws, gone = [expand(t) for t in batch.column("text").to_pylist()], []
             for raw, lost, places, windows, hits in zip(raws, *(batch.column(c) for c in ("lost", "places", "windows", "hits")), strict=True):
                 change = np.zeros(len(raw) + 2, np.int32)
                 out = np.array(lost.values) if lost.is_valid else np.empty(0, np.int32)
@@ -164,7 +167,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     lists = covered.unionByName(pending).groupBy("doc").agg(
         F.collect_list(F.when(F.col("whole"), F.col("seg"))).alias("covered"), F.collect_list(F.when(~F.col("whole"), F.col("seg"))).alias("pending")
     )
-    first_out = f"row {row_type}, text string, lost array<int>, places array<int>, windows array<bigint>, {OUT}, kept string"
+    first_out = f"row {row_type}, text binary, lost array<int>, places array<int>, windows array<bigint>, {OUT}, kept string"
     joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
     judged = stored(joined.mapInArrow(_judge(width, keep_text), first_out), "judged")
 
