@@ -86,27 +86,30 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     by_grid = near_fps.join(ends[0], "a").join(ends[1], "b").select("id", "centre")
     grid = stored(by_fp.unionByName(by_grid).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y")).distinct(), "grid")
 
-    active, links, texts, tested = sets.select("id", "n", "samples"), None, None, None
-    round_ = 0
+    everywhere = sets.select("id", F.posexplode("samples").alias("k", "print")).groupBy("k", "print").agg(F.count("*").alias("size")).where("size > 1").select("k", "print")
+    spread = sets.select("id", "n", F.posexplode("samples").alias("k", "print"))
+    # only prints that several texts have matter from here on
+    shared = stored(spread.join(everywhere.hint("merge"), ["k", "print"]), "shared")
+    used = stored(shared.select("id").union(grid.select(F.col("x"))).union(grid.select("y")).distinct(), "used")
+    few = used.count() <= FEW
+    wanted = base.join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi")
+    texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    sizes = stored(sets.select("id", "n").join(used.hint("merge"), "id"), "sizes")
+
+    gone, links, tested, round_ = None, None, None, 0
     while True:
-        buckets = active.select("id", F.posexplode("samples").alias("k", "print"), F.xxhash64("id", F.lit(round_)).alias("order"))
-        centres = buckets.groupBy("k", "print").agg(F.min_by("id", F.struct("order", "id")).alias("centre"), F.count("*").alias("size")).where("size > 1")
+        # a text that is like one with a smaller id is no group's first: the others go on
+        buckets = shared if gone is None else shared.join(gone, "id", "left_anti")
+        buckets = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)))
+        centres = buckets.groupBy("k", "print").agg(F.min_by("id", F.struct("order", "id")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "print", "centre")
         pairs = buckets.join(centres.hint("merge"), ["k", "print"]).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y"))
         if round_ == 0:
             pairs = pairs.unionByName(grid)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        sizes = sets.select("id", "n")
         pairs = pairs.join(sizes.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(sizes.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
         pairs = stored(pairs.where(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")), "pairs")
-        if texts is None:
-            # of the texts only those that any bucket holds with another are read for their sets
-            used = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-            used = stored(used, "used")
-            few = used.count() <= FEW
-            wanted = base.join(F.broadcast(used) if few else used, "id", "left_semi").dropDuplicates(["id"]) if not few else base.join(F.broadcast(used), "id", "left_semi")
-            texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>"), "shingles")
         a, b = texts.withColumnsRenamed({"id": "x", "shingles": "sx"}), texts.withColumnsRenamed({"id": "y", "shingles": "sy"})
         common = F.size(F.array_intersect("sx", "sy"))
         alike = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(common >= F.lit(similarity) * (F.col("nx") + F.col("ny") - common)).select("x", "y")
@@ -115,14 +118,14 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        roots = stored(components(links, "x", "y"), "roots")
-        active = sets.select("id", "n", "samples").join(roots.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-        active = stored(active.join(used, "id", "left_semi"), "active")
+        larger = found.select(F.col("x").alias("id")).distinct()
+        gone = stored(larger if gone is None else gone.unionByName(larger).distinct(), "gone")
         round_ += 1
     heads = sets.select("same", F.col("id").alias("head"))
     if links is None:
         classes = heads.withColumn("root", F.col("head"))
     else:
+        roots = components(links, "x", "y")
         classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
     return stored(signs.select("id", "same").join(classes.select("same", "root").hint("merge"), "same").where("id <> root").select("id", "root").distinct(), "dropped")
 

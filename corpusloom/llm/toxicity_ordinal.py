@@ -114,18 +114,28 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.004,
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(float(5 + k) for k in range(GRADES)), float(GRADES + 1))
-    counts = [features(t) for t in texts]
-    df = Counter(w for c in counts for w in c)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= least_df))}
-    words = list(vocabulary)
-    in_toxic = Counter(w for c, t in zip(counts, y, strict=True) if t for w in c if w in vocabulary)
-    marked = {w for w, n in in_toxic.items() if n >= 5 and n >= 0.9 * df[w]}
-    hits = np.array([sum(n for w, n in c.items() if w in marked) for c in counts])
+    # one text's words at a time: the sample is held as numbers
+    number: dict[str, int] = {}
+    held = []
+    for t in texts:
+        c = features(t)
+        held.append((np.array([number.setdefault(w, len(number)) for w in c], np.int32), np.array(list(c.values()), np.int32)))
+    names = list(number)
+    del number
+    row_of = np.repeat(np.arange(len(held)), [len(w) for w, _ in held])
+    word = np.concatenate([w for w, _ in held]) if held else np.empty(0, np.int32)
+    n_of = np.concatenate([n for _, n in held]) if held else np.empty(0, np.int32)
+    df = np.bincount(word, minlength=len(names))
+    in_toxic = np.bincount(word[y[row_of] == 1], minlength=len(names))
+    marked = (in_toxic >= 5) & (in_toxic >= 0.9 * df)
+    hits = np.bincount(row_of, n_of * marked[word], len(held))
     steps = np.quantile(hits[y == 1], [0.5, 0.9])
     grade = np.where(y == 1, 1 + (hits > steps[0]) + (hits > steps[1]), 0)
-    rows = np.repeat(np.arange(len(counts)), [sum(w in vocabulary for w in c) for c in counts])
-    cols = np.array([vocabulary[w] for c in counts for w in c if w in vocabulary], int)
-    values = np.array([1.0 + np.log(n) for c in counts for w, n in c.items() if w in vocabulary])
+    frequent = df >= least_df
+    place = np.cumsum(frequent) - 1
+    words = [names[i] for i in np.flatnonzero(frequent)]
+    kept = frequent[word]
+    rows, cols, values = row_of[kept], place[word[kept]], 1.0 + np.log(n_of[kept])
 
     def fitted(keep: np.ndarray) -> Model:
         sel = keep[rows]
@@ -150,7 +160,7 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.004,
     return Model(whole.weights, whole.theta, cut)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample_rows`` labelled documents, those with the smallest hash of their id."""
     some = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
