@@ -1,0 +1,286 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from corpusloom.llm import (
+    bpe_prefix,
+    chat_rotation,
+    components,
+    decontamination,
+    multiset_fingerprint,
+    near_groups,
+    recompression,
+    simhash_dedup,
+    site_style_tree,
+    token_binary,
+    toxicity_ordinal,
+    url_markov,
+)
+
+WORDS = [f"w{i}" for i in range(60)]
+BASE = " ".join(WORDS)
+PASSAGE = " ".join(f"p{i}" for i in range(30))
+ROWS = [
+    (1, BASE, "a"), (2, BASE, "b"), (3, None, "c"), (4, "", "d"), (5, " \n\t", "e"), (6, "one two " + PASSAGE + " three", "f"), (7, "four " + PASSAGE + "\nfive six", "g"),
+    (8, BASE.replace("w30", "x30"), "h"), (9, "é" * 3000 + " end", "i"), (9, "é" * 3000 + " end", "i"), (10, "same same " * 400, "j"), (11, "same same " * 400 + "z", "k"), (None, BASE, "l"),
+    (12, "Short", "m"), (13, "short", "n"), (14, "a <|endoftext|> b　c 中文 ß", "o"),
+]
+SCHEMA = "doc_id bigint, text string, row string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_repeats(rows, width):
+    out = Counter()
+    for doc, text, _ in rows:
+        own, gone = words(text), set()
+        for i in range(len(own) - width + 1):
+            window = own[i : i + width]
+            for other, said, _ in rows:
+                if doc is not None and other is not None and other < doc:
+                    theirs = words(said)
+                    if any(theirs[j : j + width] == window for j in range(len(theirs) - width + 1)):
+                        gone |= set(range(i, i + width))
+                        break
+        kept = " ".join(w for i, w in enumerate(own) if i not in gone)
+        out[doc, len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("width", [5, 13])
+def test_repeats(docs, width):
+    rows = [r for r in ROWS if r[0] not in (10, 11)] + [(10, "same same " * 20, "j"), (11, "same same " * 20 + "z", "k")]
+    found = recompression.remove_repeats(docs.sparkSession.createDataFrame(rows, SCHEMA), width=width, keep_text=True).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == plain_repeats(rows, width)
+    assert {r["row"] for r in found} == {r[2] for r in rows}  # the column named row passes through
+
+
+def test_repeats_of_nothing(empty):
+    assert recompression.remove_repeats(empty).collect() == []
+
+
+def test_simhash_components(docs, empty):
+    out = simhash_dedup.near_duplicates(docs).collect()
+    assert len(out) == len(ROWS)
+    by_id = {r["doc_id"]: r for r in out}
+    assert by_id[1]["component_id"] == by_id[2]["component_id"] == by_id[None]["component_id"] == 1
+    assert {by_id[i]["component_id"] for i in (3, 4, 5)} == {3} and by_id[4]["fp"] == 0
+    assert by_id[12]["fp"] == by_id[13]["fp"] and by_id[9]["n_copies"] == 2
+    fps = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in out}
+    for a in fps:
+        for b in fps:
+            if a is not None and b is not None and bin(fps[a] ^ fps[b]).count("1") <= 4:
+                assert by_id[a]["component_id"] == by_id[b]["component_id"]
+    assert simhash_dedup.near_duplicates(empty).collect() == []
+
+
+def test_close_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    points = {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)}
+    for p in list(points):
+        for n in (1, 3, 4, 5):
+            q = p
+            for k in rng.choice(64, n, replace=False):
+                q ^= 1 << int(k)
+            points.add(q - (1 << 64) if q >= 1 << 63 else q if q >= -(1 << 63) else q + (1 << 64))
+    points = [p for p in points if -(1 << 63) <= p < 1 << 63]
+    want = {(min(a, b), max(a, b)) for a in points for b in points if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    got = [(r["a"], r["b"]) for r in simhash_dedup.close_pairs(spark.createDataFrame([(p,) for p in points], "fp bigint"), 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 102), (5, 5), (None, 3), (7, 6)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(41)} | dict.fromkeys(range(100, 104), 100)
+
+
+def test_near_groups_keep_one(docs, empty):
+    kept = near_groups.keep_one_of_each(docs, width=5, similarity=0.8).collect()
+    ids = Counter(r["doc_id"] for r in kept)
+    assert ids[1] == 1 and ids[2] == 0 and ids[None] == 1 and ids[9] == 1 and ids[3] + ids[4] + ids[5] == 1
+    # one changed word in sixty leaves 51 of 61 shingles: alike, by 0.836
+    # and 6 and 7 share 26 shingles of 32
+    assert ids[8] == 0 and ids[6] == 1 and ids[7] == 0 and ids[12] == ids[14] == 1
+    assert near_groups.keep_one_of_each(empty).collect() == []
+
+
+def test_encoding(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter()
+    for doc, text, _ in ROWS:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    got = bpe_prefix.encode_documents(docs, path, keep_ids=True).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
+    assert all(len(r["ids"]) == r["n_tokens"] for r in got)
+    assert bpe_prefix.encode_documents(empty, path).collect() == []
+
+
+def test_token_files(docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    at, want = 0, []
+    for doc, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = token_binary.round_trip(docs, path, end_id=2).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == want
+    assert token_binary.round_trip(empty, path, end_id=2).collect() == []
+
+
+def test_edited_fingerprints(docs, empty):
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = Counter()
+    for (doc, text, _), (_, following, _) in zip(order, order[1:] + order[:1], strict=True):
+        changed = multiset_fingerprint.edited(text or "", following or "")
+        want[doc, len(text or ""), hashlib.sha256(changed.encode()).hexdigest(), multiset_fingerprint.fingerprint(text).digest()] += 1
+    got = multiset_fingerprint.edits(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in got) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert multiset_fingerprint.edits(empty).collect() == []
+    alone = docs.where("doc_id = 12")
+    assert multiset_fingerprint.edits(alone).first()["n_chars"] == 5
+
+
+def test_contamination(docs, empty, spark):
+    items = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE.replace("p10", "q")), (3, None), (4, ""), (5, "one word more than is there")], "item_id bigint, text string")
+    got = decontamination.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(6, 1), (6, 2), (7, 1), (7, 2)}
+    assert {r["score"] for r in got if r["item_id"] == 1} == {1.0}
+    assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == 6 and r["item_id"] == 1} == {(2, 32)}
+    left = decontamination.without_contaminated(docs, items)
+    assert left.columns == docs.columns and left.count() == len(ROWS) - 2
+    assert decontamination.contaminated(empty, items).collect() == decontamination.contaminated(docs, items.limit(0)).collect() == []
+    assert decontamination.without_contaminated(docs, items.limit(0)).count() == len(ROWS)
+
+
+def test_toxicity_on_texts_held_out(spark):
+    rng = np.random.default_rng(4)
+    bad = ["vile", "awful", "nasty", "rotten"]
+
+    def text(toxic):
+        own = [f"v{int(rng.zipf(1.5)) % 500}" for _ in range(int(rng.integers(5, 80)))]
+        for _ in range(int(rng.integers(1, 8)) if toxic else 0):
+            own.insert(int(rng.integers(0, len(own))), str(rng.choice(bad)))
+        return " ".join(own)
+
+    marks = [int(rng.random() < 0.2) for _ in range(900)]
+    texts = [text(m) for m in marks]
+    model = toxicity_ordinal.fit_texts(texts[:600], marks[:600])
+    scored = [model.severity(t) for t in texts[600:]]
+    hit = [int(s >= model.cut) for s, _ in scored]
+    assert np.mean(np.array(hit) == np.array(marks[600:])) > 0.95
+    assert model.severity("vile awful nasty rotten vile")[0] > model.severity("vile")[0] > model.severity("")[0] == model.severity(None)[0]
+    docs = spark.createDataFrame([(1, "vile awful", 5), (2, None, 6), (3, "", 7)], "doc_id bigint, text string, grade int")
+    rows = {r["doc_id"]: r for r in toxicity_ordinal.score(docs, model).collect()}
+    assert rows[1]["toxic"] == 1 and rows[2]["toxic"] == rows[3]["toxic"] == 0 and list(rows[1].asDict()).count("grade") == 1
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    model = toxicity_ordinal.fit(docs, labels)
+    assert [r["toxic"] for r in toxicity_ordinal.score(docs, model).collect()] == [0, 0]
+
+
+def test_url_rules_and_model(spark):
+    rules = [url_markov.Rule("net", "/", "block"), url_markov.Rule("example.net", "/en/", "allow"), url_markov.Rule("org", "/fr/", "allow")]
+    rows = [(1, "http://A.Example.NET/en/1?x"), (2, "https://example.net/de/"), (3, "x.net"), (4, None), (5, "http://x.net"), (6, "http://u.org/fr/2#a"), (7, "http://com/a?b=://x/y"), (7, "http://com/a?b=://x/y"), (8, "http://notexample.net/en/1")]
+    rows += [(100 + i, f"http://good{i}.example.net/en/page{i}") for i in range(30)] + [(200 + i, f"http://spam{i}.net/win/cash{i}") for i in range(30)] + [(300, "http://good.com/en/page"), (301, "http://spam.com/win/cash")]
+    got = {r["page_id"]: r for r in url_markov.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("a.example.net", "/en/1", "example.net/en/", "allow")
+    assert (got[2]["rule"], got[2]["verdict"]) == ("net/", "block") and got[8]["rule"] == "net/"
+    assert (got[3]["host"], got[3]["path"], got[4]["host"], got[5]["rule"]) == ("", "", "", None)
+    assert got[6]["rule"] == "org/fr/" and (got[7]["host"], got[7]["path"]) == ("com", "/a")
+    assert got[300]["verdict"] == "allow" and got[301]["verdict"] == "block" and got[300]["score"] > got[301]["score"]
+    assert all(r["verdict"] in ("allow", "block") for r in got.values())
+    assert url_markov.judge(spark.createDataFrame([], "page_id bigint, url string"), rules).collect() == []
+
+
+def test_url_model_against_plain_counts(spark):
+    from collections import defaultdict
+    from math import log
+
+    lines = [("abab", 2.0, 0.0), ("abc", 0.0, 1.0), ("ba", 1.0, 3.0)]
+    counts = {0: defaultdict(lambda: defaultdict(float)), 1: defaultdict(lambda: defaultdict(float))}
+    for line, *weights in lines:
+        w = url_markov.START + line + url_markov.END
+        for i in range(1, len(w)):
+            for k in range(min(i, url_markov.ORDER) + 1):
+                for cls in (0, 1):
+                    if weights[cls]:
+                        counts[cls][w[i - k : i]][w[i]] += weights[cls]
+
+    def p(cls, ctx, c):
+        value = 1 / url_markov.ALPHABET
+        for k in range(len(ctx) + 1):
+            seen = counts[cls].get(ctx[len(ctx) - k :])
+            if seen:
+                value = (seen.get(c, 0) + len(seen) * value) / (sum(seen.values()) + len(seen))
+        return value
+
+    train = url_markov.grams(spark.createDataFrame(lines, "line string, a double, b double"), "a", "b")
+    asked = url_markov.grams(spark.createDataFrame([("abz",)], "line string")).distinct()
+    got = {(r["ctx"], r["c"]): r["llr"] for r in url_markov.log_ratios(train, asked).collect()}
+    assert len(got) == 4
+    for (ctx, c), llr in got.items():
+        assert llr == pytest.approx(log(p(0, ctx, c)) - log(p(1, ctx, c)), abs=1e-9)
+
+
+def test_perspectives(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "é"), (2, 0, "system", "x"), (3, 0, None, "who"), (3, 1, "ann", "y"), (3, 1, "ann", "y"), (None, 0, "ann", "z")]
+    got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("conv_id", "perspective", "position").collect()
+    whole = {}
+    for r in got:
+        key = (r["conv_id"], r["perspective"])
+        assert r["start"] == len(whole.get(key, "")) and r["end"] == r["start"] + len(r["rendered"])
+        whole[key] = whole.get(key, "") + r["rendered"]
+    assert set(whole) == {(1, "ann"), (1, "bob"), (3, "ann"), (None, "ann")}
+    assert whole[1, "bob"] == "<|system|>\nS<|end|>\n<|user name=ann|>\nhi<|end|>\n<|assistant|>\n<|end|>\n<|user name=ann|>\né<|end|>\n"
+    assert whole[3, "ann"].startswith("<|user name=unknown|>\nwho")
+    for r in got:
+        if r["chat_role"] == "assistant":
+            said = whole[r["conv_id"], r["perspective"]][r["loss_start"] : r["loss_end"]]
+            assert said.endswith("<|end|>\n") and "<|assistant|>" not in said
+        else:
+            assert r["loss_start"] is None
+
+
+def test_branches_that_repeat_go(spark):
+    page = "<body><div class=x1><p>Same words on every page</p></div><div class=x2><p>Story {} of the day {}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i, "z" * i)) for i in range(12)] + [(50, None, None), (51, "http://h.org/", ""), (52, "http://other.org/", page.format("a", "b"))]
+    got = {r["page_id"]: r for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3]["text"] == "Story 3 of the day zzz" and got[3]["n_chars"] == len(got[3]["text"])
+    assert got[50]["text"] == got[51]["text"] == "" and got[52]["text"].endswith("Story a of the day b")
+
+
+def test_queries_have_their_columns():
+    from corpusloom.llm import queries
+
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
