@@ -78,15 +78,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         yield batch.slice(start)
 
 
-def in_pieces(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, list[int]]:
-    """(id, at, text, piece): rows with the range of ids they belong to, the number of pieces to deal, and the borders.
+def in_pieces(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, at, text, piece): rows with the range of ids they belong to, and the number of pieces to deal.
 
     ``at`` is the id, or the least integer for null. The borders are quantiles of the ids, so pieces hold about as many
-    rows each; range i holds the ids above border i - 1 up to border i. Rows with equal ids are in one range.
+    rows each, and a row finds its piece by binary search. Rows with equal ids are in one piece; higher pieces have higher
+    ids.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("at"), F.col(text_col).alias("text"))
+    from pyspark.ml.feature import Bucketizer
+
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("at"), F.col(text_col).alias("text")).withColumn("place", F.col("at").cast("double"))
     pieces = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = base.select(F.col("at").cast("double").alias("at")).stat.approxQuantile("at", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    borders = sorted({int(q) for q in found})
-    bounds = F.array(*(F.lit(b) for b in borders)).cast("array<bigint>")
-    return base.withColumn("piece", F.size(F.filter(bounds, lambda b: b < F.col("at")))), pieces, borders
+    borders = sorted(set(base.select("place").stat.approxQuantile("place", [i / pieces for i in range(1, pieces)], 0.25 / pieces))) or [0.0]
+    dealt = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="place", outputCol="bucket").transform(base)
+    return dealt.select("id", "at", "text", F.col("bucket").cast("int").alias("piece")), pieces

@@ -10,7 +10,6 @@ lanes also tell how much two documents share, as the cosine of their signed sums
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,12 +102,11 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are quantiles of the ids, so the driver holds a number for each range. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    base, pieces, borders = in_pieces(docs, id_col, text_col)
-    heads = [r["at"] for r in base.groupBy("piece").agg(F.max("at").alias("at")).collect()]
-    heads.sort()
-    # the first row of a range follows the last of the next higher one, that of the highest the last of the lowest
-    pairs = [(h, heads[(i + 1) % len(heads)]) for i, h in enumerate(heads)]
-    to_piece = spark.createDataFrame([(h, bisect_left_count(borders, up)) for h, up in pairs], "head bigint, piece int")
+    base, pieces = in_pieces(docs, id_col, text_col)
+    heads = sorted((r["at"], r["piece"]) for r in base.groupBy("piece").agg(F.max("at").alias("at")).collect())
+    # the first row of a piece follows the last of the next higher one, that of the highest the last of the lowest
+    pairs = [(at, heads[(i + 1) % len(heads)][1]) for i, (at, _) in enumerate(heads)]
+    to_piece = spark.createDataFrame(pairs, "head bigint, piece int")
     extra = base.drop("piece").join(F.broadcast(to_piece), F.col("at") == F.col("head")).select("id", "at", "text", "piece", F.lit(True).alias("extra"))
     rows = base.withColumn("extra", F.lit(False)).select("id", "at", "text", "piece", "extra").unionByName(extra)
     rows = rows.repartition(pieces, "piece").sortWithinPartitions("piece", "extra", F.desc("at"), F.col("text").asc_nulls_first())
@@ -137,11 +135,6 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.select("id", "text", "piece", "extra").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def bisect_left_count(borders: list[int], at: int) -> int:
-    """How many borders are below ``at``: its range."""
-    return bisect_right(borders, at - 1)
-
-
 def _row(held: tuple, following: str, next_vector: Vector) -> tuple:
     _, id_, text, vector = held
     changed = edited(text, following)

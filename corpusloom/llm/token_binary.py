@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None
     A null text counts as empty; a null id comes first; rows that repeat an id stand in the order of their texts. Ids are
     64-bit integers. Rows go to ranges of ids, so texts are shuffled once and the driver holds a number for each range.
     """
-    rows, pieces, _ = in_pieces(docs, id_col, text_col)
+    rows, pieces = in_pieces(docs, id_col, text_col)
     rows = rows.repartition(pieces, "piece").sortWithinPartitions("piece", "at", F.col("text").asc_nulls_first())
     tail = np.array([] if end_id is None else [end_id], np.int32)
 
