@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_out, slices
+from corpusloom.llm.common import batches_out, lean, slices
 
 #: The split of the byte-level vocabulary before merges, with Unicode white space written out. The
 #: alternatives that start with a letter come first, which changes no match: no other can start there.
@@ -43,7 +43,7 @@ def plain_pieces() -> re.Pattern:
 
 NEVER = 1 << 60
 #: Pieces kept in a worker's memo before the older half goes; longer pieces than LONG are not kept. Pairs kept.
-MEMO, LONG, PAIRS = 400_000, 64, 1_000_000
+MEMO, LONG, PAIRS = 200_000, 64, 400_000
 
 
 def byte_names() -> dict[str, int]:
@@ -237,4 +237,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
             fields += [("decoded_sha256", pa.string())] * decode + [("ids", pa.list_(pa.int32()))] * keep_ids
             yield batches_out(out, pa.schema(fields))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -31,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, after a limit on the rows that go to a Python worker at once: texts are long, and a worker's memory is small."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return docs
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -59,7 +67,7 @@ def batches_out(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one piece holds about ``most_bytes`` of a string column, or one row that is longer."""
     for batch in batches:
         n, start = batch.num_rows, 0
@@ -87,7 +95,7 @@ def in_pieces(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     """
     from pyspark.ml.feature import Bucketizer
 
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("at"), F.col(text_col).alias("text")).withColumn("place", F.col("at").cast("double"))
+    base = lean(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("at"), F.col(text_col).alias("text")).withColumn("place", F.col("at").cast("double"))
     pieces = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = sorted(set(base.select("place").stat.approxQuantile("place", [i / pieces for i in range(1, pieces)], 0.25 / pieces))) or [0.0]
     dealt = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="place", outputCol="bucket").transform(base)

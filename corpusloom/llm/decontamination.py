@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import lean, slices
 
 WORD = re.compile(r"\w+").findall
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -190,7 +190,7 @@ def prepared(docs: DataFrame, rows: list[tuple[int, str]], n: int, text_col: str
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = lean(docs).select(F.col(text_col).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     items = plain.value
     items.choose({r["gram"]: r["n"] for r in counted.collect()})  # a row for each n-gram of the block at most
     return spark.sparkContext.broadcast(items)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, stored
+from corpusloom.llm.common import lean, slices, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.fingerprints import shingle_hashes, simhash
 from corpusloom.llm.recompress_core import LEVEL, mix
@@ -74,7 +74,7 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     Groups are chains of verified pairs. Texts with equal shingle sets are one; texts without words have the empty set.
     Rows with a null id are left out. The result is written to the shared folder.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = lean(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>"), "signatures")
     sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples")), "sets")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, stored
+from corpusloom.llm.common import lean, slices, stored
 from corpusloom.llm.recompress_core import corpus_words, segments, span_hashes
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string"
@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     """
     own = {"n_words", "n_removed", "kept_sha256", "kept", text_col}
     others = [c for c in docs.columns if c not in own]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    base = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     kind, row_type = base.schema["id"].dataType.simpleString(), base.schema["row"].dataType.simpleString()
 
     anchors = base.where("id is not null").select("id", "text").mapInArrow(_anchors(width), f"doc {kind}, key bigint, seg bigint")

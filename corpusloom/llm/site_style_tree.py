@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, stored
+from corpusloom.llm.common import lean, slices, stored
 from corpusloom.llm.recompress_core import BYTE_VALUES, span_hashes
 from corpusloom.llm.url_markov import host_of
 
@@ -224,7 +224,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages themselves are shuffled only if hosts have more than FEW rows of low branches together.
     """
     host = host_of(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    base = lean(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     low = low_branches(base)
     few = low.count() <= FEW
     joined = base.join(F.broadcast(low) if few else low.hint("merge"), "host", "left").select("page_id", "url", F.col("html").alias("text"), "low")

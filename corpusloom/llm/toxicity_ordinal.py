@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import lean, slices
 from corpusloom.llm.fingerprints import shingle_hashes
 
 GRADES = 3
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
     """
     spark = docs.sparkSession
     own = {"expected_severity", "grade", "toxic"}
-    base = docs.select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns if c not in own)).alias("row"))
+    base = lean(docs).select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns if c not in own)).alias("row"))
     shared = spark.sparkContext.broadcast(model)  # at most a weight for each word of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
