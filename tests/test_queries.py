@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from corpusloom.plans import REGISTRY
@@ -21,7 +22,7 @@ def duck():
 
 
 def shown(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return ""
     if isinstance(value, float):
         return str(int(value)) if value == int(value) else f"{value:.6g}"
