@@ -157,7 +157,8 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.004,
     best = int(np.argmax(f1))
     cut = float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best])
     whole = fitted(np.ones(len(y), bool))
-    return Model(whole.weights, whole.theta, cut)
+    # a text without any feature is never rejected
+    return Model(whole.weights, whole.theta, max(cut, whole.severity(None)[0] + 1e-6))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with its ``columns`` (all, if not given) and expected_severity, grade and toxic (1 from the model's cut on).
 
-    A null or empty text has no features: its severity is that of the thresholds alone. Columns named like the results
+    A null or empty text has no features: its severity is that of the thresholds alone, and it is not rejected. Columns named like the results
     are replaced. Rows are judged one by one on their whole text; nothing is shuffled.
     """
     spark = docs.sparkSession
