@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Every test item is known by its n-grams of words. A first pass over all documents counts in how many each occurs; the
-rarer half of an item's n-grams, ties included, are its seeds, so an item always has seeds, also one that very many
-documents hold. A second pass joins the seeds to the passages of each document and aligns the item with the words around
-its seeds. An alignment's score is the share of the item's own score; a pair counts from ``least`` on.
+Every test item is known by its n-grams of words. All of them are seeds: a document that holds any n-gram of an item, be it
+rare or common, is aligned with the item, in the words around each place where it holds one. Which n-grams an edited copy
+has kept is not known beforehand, so none is left out by its count. A passage is skipped only if it has too few of the
+item's words to reach the score. An alignment's score is the share of the item's own score; a pair counts from ``least`` on.
 
 Test items go to the executors in blocks of bounded size; every block meets all documents.
 """
@@ -51,7 +51,6 @@ class Items:
                 self.places[gram].append((at, k))
         self.widths = sorted({len(g) for g in self.grams})
         self.tables = {w: self._table(w) for w in self.widths}
-        self.seeds: np.ndarray | None = None
 
     def _code(self, columns: list[np.ndarray]) -> np.ndarray:
         code = np.zeros(len(columns[0]), np.uint64)
@@ -92,46 +91,34 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in WORD(text.lower())], np.int64) if text else np.empty(0, np.int64)
 
-    def choose(self, df: dict[int, int]) -> None:
-        """The seeds: of each item the n-grams that are in no more documents than the median of its n-grams."""
-        rare = np.zeros(len(self.places), bool)
-        of_item: list[list[int]] = [[] for _ in self.words]
-        for gram, places in enumerate(self.places):
-            for at, _ in places:
-                of_item[at].append(gram)
-        self.rare_in: list[set[int]] = []
-        for grams in of_item:
-            counts = sorted(df.get(g, 0) for g in grams)
-            most = counts[(len(counts) - 1) // 2]
-            seeds = {g for g in grams if df.get(g, 0) <= most}
-            self.rare_in.append(seeds)
-            rare[list(seeds)] = True
-        self.seeds = rare
-
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) of the best alignment of each item that reaches ``least``."""
         words = self.of_text(text)
         at, grams = self.hits(words)
         if not len(at):
             return []
-        sel = self.seeds[grams]
         by_item: dict[int, list[tuple[int, int]]] = {}
-        for p, g in zip(at[sel].tolist(), grams[sel].tolist(), strict=True):
+        for p, g in zip(at.tolist(), grams.tolist(), strict=True):
             for item, k in self.places[g]:
-                if g in self.rare_in[item]:
-                    m, slack = len(self.words[item]), 2 + len(self.words[item]) // 4
-                    by_item.setdefault(item, []).append((max(0, p - k - slack), min(len(words), p - k + m + slack)))
+                m, slack = len(self.words[item]), 2 + len(self.words[item]) // 4
+                by_item.setdefault(item, []).append((max(0, p - k - slack), min(len(words), p - k + m + slack)))
+        known = np.concatenate(([0], np.cumsum(words > 0)))
         out = []
         for item, spans in sorted(by_item.items()):
             spans.sort()
+            own = self.words[item]
             merged = [list(spans[0])]
             for a, b in spans[1:]:
                 if a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            best = max(((*align(self.words[item], words[a:b]), a) for a, b in merged), key=lambda x: (x[0], -x[3]))
-            score = best[0] / (MATCH * len(self.words[item]))
+            # an alignment has no more matches than words of the item that the passage has
+            merged = [(a, b) for a, b in merged if (known[b] - known[a]) / len(own) >= least and np.isin(own, words[a:b]).sum() / len(own) >= least]
+            if not merged:
+                continue
+            best = max(((*align(own, words[a:b]), a) for a, b in merged), key=lambda x: (x[0], -x[3]))
+            score = best[0] / (MATCH * len(own))
             if score >= least:
                 out.append((self.ids[item], score, best[3] + best[1], best[3] + best[2]))
         return out
@@ -175,39 +162,18 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
             yield [(r["item"], r["text"]) for r in rows]
 
 
-def prepared(docs: DataFrame, rows: list[tuple[int, str]], n: int, text_col: str):
-    """A block's items with their seeds, as a broadcast variable."""
-    spark = docs.sparkSession
-    plain = spark.sparkContext.broadcast(Items(rows, n))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = plain.value
-        total = np.zeros(len(items.places), np.int64)
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                _, grams = items.hits(items.of_text(text))
-                total[np.unique(grams)] += 1
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
-
-    counted = lean(docs).select(F.col(text_col).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    items = plain.value
-    items.choose({r["gram"]: r["n"] for r in counted.collect()})  # a row for each n-gram of the block at most
-    return spark.sparkContext.broadcast(items)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): every document and test item whose alignment scores ``least`` or more.
 
     Words are ``\\w+`` in lower case. score is 1 for a whole copy; the span counts words of the document. Null and empty
     texts match nothing; items without words are left out; an item shorter than ``n`` words is its own n-gram. Repeated
-    rows and items give a row each. Other columns are left out. Nothing is shuffled but the counts of n-grams.
+    rows and items give a row each. Other columns are left out. Nothing is shuffled.
     """
     out = None
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word bigint, end_word bigint"
     for rows in item_blocks(benchmark, item_col, text_col):
-        shared = prepared(docs, rows, n, text_col)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -218,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
                     ids = batch.column("id").take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array([round(s, 6) for s in score]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema.replace(f"item_id {item_kind}", "item_id bigint"))
+        part = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema.replace(f"item_id {item_kind}", "item_id bigint"))
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out.withColumn("item_id", F.col("item_id").cast(item_kind))
 
@@ -228,7 +194,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, leas
     joined back; a null or empty text stays."""
     kept = docs
     for rows in item_blocks(benchmark, item_col, item_text):
-        shared = prepared(docs, rows, n, text_col)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -236,6 +202,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, leas
                 clean = pa.array([not items.matches(t, least) for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(clean)], names=["row"])
 
-        base = kept.select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"))
+        base = lean(kept).select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"))
         kept = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}").select("row.*")
     return kept

@@ -180,6 +180,24 @@ def test_contamination(docs, empty, spark):
     assert decontamination.without_contaminated(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_contamination_by_edited_and_partial_copies(spark):
+    rng = np.random.default_rng(9)
+    fresh = iter(range(1 << 30))
+
+    def edited(text, at):
+        own = text.split()
+        for i in at:
+            own[i] = f"x{next(fresh)}"
+        return " ".join(own)
+
+    items = {i: " ".join(f"i{i}w{int(x)}" for x in rng.integers(0, 9000, n)) for i, n in enumerate((38, 15, 59, 38))}
+    copies = {10: edited(items[0], (4, 11, 18, 25, 32)), 11: edited(items[1], (4, 10)), 12: edited(items[2], range(5, 59, 7)), 13: " ".join(items[3].split()[:20])}
+    texts = {d: " ".join(f"z{next(fresh)}" for _ in range(50)) + " " + t + " end" for d, t in copies.items()} | {20: " ".join(items[0].split()[:10])}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(rows, spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()}
+    assert set(got) == {(10, 0), (11, 1), (12, 2), (13, 3)} and got[13, 3] == pytest.approx(20 / 38, abs=1e-6)
+
+
 def test_toxicity_on_texts_held_out(spark):
     rng = np.random.default_rng(4)
     bad = ["vile", "awful", "nasty", "rotten"]
