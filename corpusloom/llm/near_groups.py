@@ -4,9 +4,11 @@ Candidates come from two kinds of fingerprints. Those of whole texts meet in the
 reaches texts that differ in very little. Texts with a similarity of 0.8 have fingerprints about ten bits apart, further
 than any grid over 64 bits separates from chance; for them every text also has SimHash fingerprints of SAMPLES consistent
 samples of its shingles, and equal ones meet: similar texts take equal samples more often than not. Every candidate pair is
-verified on the whole shingle sets. In a bucket of any size all texts are compared with one centre, a different one each
-round, and only one text of each group found so far goes on to the next round, until a round finds nothing new; so no
-bucket emits all its pairs.
+verified on the whole shingle sets. First, for ROUNDS rounds at most, all texts of a bucket are compared with one centre, a
+different one each round, which joins most of a large group of copies without its pairs. Then every pair of a bucket whose
+texts are not in one group yet is a candidate, so links through any text are found; pairs within a group would change
+nothing. Sizes and PARITY words of parity bits rule out most candidates without loss: as many bits as differ, so many
+shingles at least are in one of the two texts alone.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from corpusloom.llm.simhash_dedup import close_pairs
 
 #: Samples of shingles for each text, and shingles in a sample.
 SAMPLES, TAKE = 16, 3
+#: Rounds in which a bucket's texts meet one centre, and 64-bit words of parity bits for each text.
+ROUNDS, PARITY = 4, 16
 #: So many ids at most are broadcast.
 FEW = 1_000_000
 
@@ -40,10 +44,16 @@ def sample_prints(unique: np.ndarray) -> list[int]:
     return out
 
 
+def parity_bits(unique: np.ndarray) -> list[int]:
+    """64 * PARITY bits: the parity of the shingles that fall on each."""
+    odd = (np.bincount((mix(unique) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {"same": [], "fp": [], "n": [], "samples": []}
+            out: dict[str, list] = {"same": [], "fp": [], "n": [], "samples": [], "bits": []}
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, width)
                 unique = np.unique(hashes)
@@ -52,8 +62,10 @@ def _signatures(width: int):
                 out["fp"].append(simhash(hashes))
                 out["n"].append(len(unique))
                 out["samples"].append(sample_prints(unique))
+                out["bits"].append(parity_bits(unique))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(out[c], pa.int64()) for c in ("same", "fp", "n")), pa.array(out["samples"], pa.list_(pa.int64()))], names=["id", "same", "fp", "n", "samples"]
+                [batch.column("id"), *(pa.array(out[c], pa.int64()) for c in ("same", "fp", "n")), *(pa.array(out[c], pa.list_(pa.int64())) for c in ("samples", "bits"))],
+                names=["id", "same", "fp", "n", "samples", "bits"],
             )
 
     return run
@@ -76,8 +88,8 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     """
     base = lean(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>"), "signatures")
-    sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples")), "sets")
+    signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>, bits array<bigint>"), "signatures")
+    sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"), F.first("bits").alias("bits")), "sets")
 
     of_fp = sets.groupBy("fp").agg(F.min("id").alias("centre"))
     by_fp = sets.join(of_fp.hint("merge"), "fp").select("id", "centre")
@@ -94,39 +106,46 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     few = used.count() <= FEW
     wanted = base.join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi")
     texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
-    sizes = stored(sets.select("id", "n").join(used.hint("merge"), "id"), "sizes")
+    sizes = stored(sets.select("id", "n", "bits").join(used.hint("merge"), "id"), "sizes")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that are similar."""
+        pairs = pairs.join(sizes.withColumnsRenamed({"id": "x", "n": "nx", "bits": "bx"}), "x").join(sizes.withColumnsRenamed({"id": "y", "n": "ny", "bits": "by"}), "y")
+        apart = sum(F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY))
+        # of nx + ny shingles, 2 * common are in both: a similarity s leaves (1 - s) / (1 + s) of them at most
+        can = (F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")) & (apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("nx") + F.col("ny")))
+        pairs = stored(pairs.where(can).select("x", "y", "nx", "ny"), "pairs")
+        a, b = texts.withColumnsRenamed({"id": "x", "shingles": "sx"}), texts.withColumnsRenamed({"id": "y", "shingles": "sy"})
+        common = F.size(F.array_intersect("sx", "sy"))
+        return stored(pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(common >= F.lit(similarity) * (F.col("nx") + F.col("ny") - common)).select("x", "y").distinct(), "alike")
 
-    gone, links, tested, round_ = None, None, None, 0
-    while True:
-        # a text that is like one with a smaller id is no group's first: the others go on
+    gone, links = None, alike(grid)
+    for round_ in range(ROUNDS):
+        # the large groups first: a text that is like one with a smaller id meets no further centre here
         buckets = shared if gone is None else shared.join(gone, "id", "left_anti")
         buckets = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)))
         centres = buckets.groupBy("k", "print").agg(F.min_by("id", F.struct("order", "id")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "print", "centre")
         pairs = buckets.join(centres.hint("merge"), ["k", "print"]).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y"))
-        if round_ == 0:
-            pairs = pairs.unionByName(grid)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = pairs.join(sizes.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(sizes.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
-        pairs = stored(pairs.where(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")), "pairs")
-        a, b = texts.withColumnsRenamed({"id": "x", "shingles": "sx"}), texts.withColumnsRenamed({"id": "y", "shingles": "sy"})
-        common = F.size(F.array_intersect("sx", "sy"))
-        alike = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(common >= F.lit(similarity) * (F.col("nx") + F.col("ny") - common)).select("x", "y")
-        found = stored(alike.distinct(), "alike")
-        tested = pairs.select("x", "y") if tested is None else tested.unionByName(pairs.select("x", "y"))
+        found = alike(pairs.distinct())
         if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         larger = found.select(F.col("x").alias("id")).distinct()
         gone = stored(larger if gone is None else gone.unionByName(larger).distinct(), "gone")
-        round_ += 1
+    # then all pairs of a bucket's texts that are in different groups so far, by their groups: none within a group is made
+    root = components(links, "x", "y").withColumnRenamed("node", "id")
+    members = stored(shared.join(root.hint("merge"), "id", "left").select("k", "print", "id", "n", F.coalesce("root", "id").alias("root")), "members")
+    groups = members.groupBy("k", "print", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    several = groups.groupBy("k", "print").agg(F.count("*").alias("groups")).where("groups > 1").select("k", "print")
+    groups = stored(groups.join(several.hint("merge"), ["k", "print"]), "groups")
+    a, b = groups.withColumnsRenamed({"root": "ra", "low": "la", "high": "ha"}), groups.withColumnsRenamed({"root": "rb", "low": "lb", "high": "hb"})
+    between = a.join(b.hint("merge"), ["k", "print"]).where(f"ra < rb and ha >= {similarity} * lb and hb >= {similarity} * la").select("k", "print", "ra", "rb")
+    xs, ys = members.select("k", "print", F.col("root").alias("ra"), F.col("id").alias("ia"), F.col("n").alias("na")), members.select("k", "print", F.col("root").alias("rb"), F.col("id").alias("ib"), F.col("n").alias("nb"))
+    met = between.join(xs.hint("merge"), ["k", "print", "ra"]).join(ys.hint("merge"), ["k", "print", "rb"]).where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+    links = links.unionByName(alike(met.select(F.greatest("ia", "ib").alias("x"), F.least("ia", "ib").alias("y")).distinct()))
     heads = sets.select("same", F.col("id").alias("head"))
-    if links is None:
-        classes = heads.withColumn("root", F.col("head"))
-    else:
-        roots = components(links, "x", "y")
-        classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
+    roots = components(links, "x", "y")
+    classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
     return stored(signs.select("id", "same").join(classes.select("same", "root").hint("merge"), "same").where("id <> root").select("id", "root").distinct(), "dropped")
 
 

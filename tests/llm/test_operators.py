@@ -124,6 +124,47 @@ def test_near_groups_keep_one(docs, empty):
     assert near_groups.keep_one_of_each(empty).collect() == []
 
 
+def brute_force_roots(texts, width=5, similarity=0.8):
+    """The smallest id that chains of similar texts reach, for each id."""
+    from corpusloom.llm.fingerprints import shingle_hashes
+
+    sets = {i: set(shingle_hashes(t, width).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_near_groups_of_hubs_and_chains(spark):
+    rng = np.random.default_rng(3)
+
+    def changed(own, at):
+        return [f"c{int(rng.integers(1 << 40))}" if i in at else w for i, w in enumerate(own)]
+
+    hub, texts = [f"h{i}" for i in range(200)], {}
+    for i in range(120):  # each copy is like the hub, by 0.82 or more, and unlike the other copies
+        if i != 60:
+            texts[i] = " ".join(changed(hub, set(rng.choice(200, 4, replace=False).tolist())))
+    texts[60] = " ".join(hub)
+    link = [f"l{i}" for i in range(200)]
+    for i in rng.permutation(40).tolist():  # each is like the next one alone
+        texts[1000 + i] = " ".join(link)
+        link = changed(link, {int(x) for x in rng.choice(200, 4, replace=False)})
+    want = {i: r for i, r in brute_force_roots(texts).items() if r != i}
+    assert len(want) > 150
+    got = near_groups.dropped(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["root"] for r in got} == want
+
+
 def test_encoding(docs, empty):
     from tokenizers import Tokenizer
 
