@@ -80,6 +80,17 @@ def _shingles(width: int):
     return run
 
 
+def fingerprint_buckets(sets: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(k, print, id, n) of whole-text fingerprints: a bucket for each that several texts have, and one for each two that
+    differ in at most ``radius`` bits, with all texts of both. ``sets`` has (id, fp, n)."""
+    sizes = sets.groupBy("fp").agg(F.count("*").alias("size"))
+    several = sizes.where("size > 1").select("fp")
+    equal = sets.join(several.hint("merge"), "fp").select(F.lit(-1).alias("k"), F.col("fp").alias("print"), "id", "n")
+    near = close_pairs(sizes.select("fp"), radius).select("a", "b", F.xxhash64("a", "b").alias("print"))
+    ends = near.select("print", F.explode(F.array("a", "b")).alias("fp"))
+    return equal, ends.join(sets.hint("merge"), "fp").select(F.lit(-2).alias("k"), "print", "id", "n")
+
+
 def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, root): the ids whose text is in a group with a smaller id, and the smallest id of the group.
 
@@ -91,18 +102,13 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>, bits array<bigint>"), "signatures")
     sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"), F.first("bits").alias("bits")), "sets")
 
-    of_fp = sets.groupBy("fp").agg(F.min("id").alias("centre"))
-    by_fp = sets.join(of_fp.hint("merge"), "fp").select("id", "centre")
-    near_fps = close_pairs(of_fp.select("fp"), radius)
-    ends = of_fp.select(F.col("fp").alias("a"), F.col("centre").alias("id")), of_fp.select(F.col("fp").alias("b"), "centre")
-    by_grid = near_fps.join(ends[0], "a").join(ends[1], "b").select("id", "centre")
-    grid = stored(by_fp.unionByName(by_grid).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y")).distinct(), "grid")
-
+    equal, near = fingerprint_buckets(sets, radius)
+    near = stored(near, "near")
     everywhere = sets.select("id", F.posexplode("samples").alias("k", "print")).groupBy("k", "print").agg(F.count("*").alias("size")).where("size > 1").select("k", "print")
     spread = sets.select("id", "n", F.posexplode("samples").alias("k", "print"))
     # only prints that several texts have matter from here on
-    shared = stored(spread.join(everywhere.hint("merge"), ["k", "print"]), "shared")
-    used = stored(shared.select("id").union(grid.select(F.col("x"))).union(grid.select("y")).distinct(), "used")
+    shared = stored(spread.join(everywhere.hint("merge"), ["k", "print"]).select("k", "print", "id", "n").unionByName(equal), "shared")
+    used = stored(shared.select("id").union(near.select("id")).distinct(), "used")
     few = used.count() <= FEW
     wanted = base.join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi")
     texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
@@ -119,7 +125,7 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
         common = F.size(F.array_intersect("sx", "sy"))
         return stored(pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(common >= F.lit(similarity) * (F.col("nx") + F.col("ny") - common)).select("x", "y").distinct(), "alike")
 
-    gone, links = None, alike(grid)
+    gone, links = None, None
     for round_ in range(ROUNDS):
         # the large groups first: a text that is like one with a smaller id meets no further centre here
         buckets = shared if gone is None else shared.join(gone, "id", "left_anti")
@@ -127,14 +133,14 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
         centres = buckets.groupBy("k", "print").agg(F.min_by("id", F.struct("order", "id")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "print", "centre")
         pairs = buckets.join(centres.hint("merge"), ["k", "print"]).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y"))
         found = alike(pairs.distinct())
+        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
         larger = found.select(F.col("x").alias("id")).distinct()
         gone = stored(larger if gone is None else gone.unionByName(larger).distinct(), "gone")
     # then all pairs of a bucket's texts that are in different groups so far, by their groups: none within a group is made
     root = components(links, "x", "y").withColumnRenamed("node", "id")
-    members = stored(shared.join(root.hint("merge"), "id", "left").select("k", "print", "id", "n", F.coalesce("root", "id").alias("root")), "members")
+    members = stored(shared.unionByName(near).join(root.hint("merge"), "id", "left").select("k", "print", "id", "n", F.coalesce("root", "id").alias("root")), "members")
     groups = members.groupBy("k", "print", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     several = groups.groupBy("k", "print").agg(F.count("*").alias("groups")).where("groups > 1").select("k", "print")
     groups = stored(groups.join(several.hint("merge"), ["k", "print"]), "groups")

@@ -165,6 +165,29 @@ def test_near_groups_of_hubs_and_chains(spark):
     assert {r["id"]: r["root"] for r in got} == want
 
 
+def test_all_texts_of_close_fingerprints_meet(spark):
+    rows = [(1, 0b0, 9), (2, 0b0, 9), (3, 0b0, 9), (4, 0b11, 9), (5, 0b11, 9), (6, (1 << 62) - 1, 9)]
+    met = {}
+    for part in near_groups.fingerprint_buckets(spark.createDataFrame(rows, "id bigint, fp bigint, n bigint"), 4):
+        for r in part.collect():
+            met.setdefault((r["k"], r["print"]), set()).add(r["id"])
+    assert sorted(map(sorted, met.values())) == [[1, 2, 3], [1, 2, 3, 4, 5], [4, 5]]
+
+
+def test_near_groups_in_a_shared_passage(spark):
+    # every text has the same 220 words and 40 of its own; similar pairs share 20 of those too
+    passage, texts = " ".join(f"s{i}" for i in range(220)), {}
+    for i in range(160):
+        tail = [f"t{i}n{j}" for j in range(40)]
+        if i >= 150:
+            tail[:20] = texts[i - 150].split()[220:240]
+        texts[i] = passage + " " + " ".join(tail)
+    want = {i: r for i, r in brute_force_roots(texts).items() if r != i}
+    assert set(want) == set(range(150, 160))
+    got = near_groups.dropped(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["root"] for r in got} == want
+
+
 def test_encoding(docs, empty):
     from tokenizers import Tokenizer
 
