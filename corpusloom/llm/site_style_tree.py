@@ -1,7 +1,8 @@
 """HTML extraction by a site style tree.
 
 Every page is read as a tree of elements. Pages of one host are merged: elements with the same path of tags and classes
-are one node of the host's tree. A node's content importance is the entropy of its content over the pages, relative to
+are one node of the host's tree, and pages that say the same count once. A node's content importance is the entropy of its
+content over the pages, relative to
 that of content which never repeats; its presentation importance is that of its style, near nothing for elements that
 say themselves that they are navigation, adverts and the like. Branches of low importance go from every page; of the
 rest, the article is the text. Only counts are merged, so a host with very many pages is nothing special.
@@ -166,9 +167,13 @@ def key_of(path: str) -> int:
 
 
 def main_text(blocks: list[tuple[str, bool, bool, str]], low: set[int]) -> str:
-    """The article's blocks, or without an article all, but for noise and branches of low importance; joined by a blank line."""
-    keep = [b for b in blocks if not b[1] and not (low and any(key_of(p) in low for p in branches(b[0])))]
-    article = [b[3] for b in keep if b[2]]
+    """The article's blocks, or without an article all, but for noise and branches of low importance; joined by a blank line.
+
+    An article of which only branches of low importance are there stays whole.
+    """
+    clean = [b for b in blocks if not b[1]]
+    keep = [b for b in clean if not (low and any(key_of(p) in low for p in branches(b[0])))]
+    article = [b[3] for b in keep if b[2]] or [b[3] for b in clean if b[2]]
     return "\n\n".join(article or [b[3] for b in keep])
 
 
@@ -181,35 +186,40 @@ def branches(path: str) -> list[str]:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, low): for each host the keys of the branches of low importance.
 
-    ``pages`` has (host, html). A branch's content is what its blocks of one page say. With n instances of which the i-th
-    content has n_i, importance is the entropy of n_i / n divided by log n. From ENOUGH instances on a host's own counts
-    tell; else those of all hosts together.
+    ``pages`` has (host, html). A branch's content is what its blocks of one page say; pages with the same contents in the
+    same branches count once a host, and once for all hosts together. With n instances of which the i-th content has n_i,
+    importance is the entropy of n_i / n divided by log n. From ENOUGH instances on a host's own counts tell; else those of
+    all hosts together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows, keys, contents = [], [], []
+            rows, keys, contents, whole = [], [], [], []
             for i, html in enumerate(batch.column("text").to_pylist()):
                 said: dict[str, list[str]] = {}
                 for path, noise, _, text in read(html):
                     if not noise:
                         said.setdefault(path, []).append(text)
+                page = key_of("\n".join(f"{path}\n{len(texts)}\n" + "\n".join(texts) for path, texts in said.items()))
                 for path, texts in said.items():
                     rows.append(i)
                     keys.append(key_of(path))
                     contents.append(key_of("\n".join(texts)))
+                    whole.append(page)
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows)), pa.array(keys, pa.int64()), pa.array(contents, pa.int64())], names=["host", "node", "content"])
+                yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows)), pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.array(whole, pa.int64())], names=["host", "node", "content", "page"])
 
-    found = pages.select("host", F.col("html").alias("text")).mapInArrow(run, "host string, node bigint, content bigint")
-    counts = stored(found.groupBy("host", "node", "content").agg(F.count("*").alias("n")), "nodes")
+    found = pages.select("host", F.col("html").alias("text")).mapInArrow(run, "host string, node bigint, content bigint, page bigint")
+    said = stored(found.distinct(), "nodes")
+    counts = said.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
+    counts_all = said.select("node", "content", "page").distinct().groupBy("node", "content").agg(F.count("*").alias("n"))
 
     def importance(by: list[str], rows: DataFrame) -> DataFrame:
         total = rows.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("s"))
         entropy = F.log("total") - F.col("s") / F.col("total")
         return total.select(*by, "total", F.when(F.col("total") > 1, entropy / F.log("total")).otherwise(1.0).alias("importance"))
 
-    everywhere = importance(["node"], counts.groupBy("node", "content").agg(F.sum("n").alias("n"))).where(f"total >= {ENOUGH} and importance < {LEAST}").select("node", F.lit(True).alias("anywhere"))
+    everywhere = importance(["node"], counts_all).where(f"total >= {ENOUGH} and importance < {LEAST}").select("node", F.lit(True).alias("anywhere"))
     own = importance(["host", "node"], counts)
     low = own.join(everywhere, "node", "left").where(F.when(F.col("total") >= ENOUGH, F.col("importance") < LEAST).otherwise(F.coalesce("anywhere", F.lit(False))))
     return stored(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low")

@@ -362,6 +362,18 @@ def test_branches_that_repeat_go(spark):
     assert got[50]["text"] == got[51]["text"] == "" and got[52]["text"].endswith("Story a of the day b")
 
 
+def test_articles_of_repeated_pages_stay(spark):
+    page = "<body><div class=x1><p>Same words on every page</p></div><article><p>Story {0} of the day {0}</p></article></body>"
+    plain = "<body><div class=y2><p>Report {0}</p></div></body>"
+    rows = [(i, "http://copies.org/a", page.format("one")) for i in range(30)]
+    rows += [(100 + i, "http://hot.org/a", plain.format("one")) for i in range(180)] + [(300 + i, f"http://hot.org/{i}", plain.format(i)) for i in range(20)]
+    rows += [(400 + i, f"http://m{i}.org/a", page.format("shared")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"Story one of the day one"} and {got[400 + i] for i in range(12)} == {"Story shared of the day shared"}
+    assert {got[100 + i] for i in range(180)} == {"Report one"} and [got[300 + i] for i in range(20)] == [f"Report {i}" for i in range(20)]
+    assert len(site_style_tree.main_text(site_style_tree.read(page.format(1)), {site_style_tree.key_of("/body/article")})) > 0
+
+
 def test_queries_have_their_columns():
     from corpusloom.llm import queries
 
