@@ -3,7 +3,7 @@
 The models are Markov chains of variable order over host and path, one for URLs that the rules allow and one for those
 that they block. The probability of a character is Witten-Bell smoothed from no context up to ORDER characters. A URL's
 score is the difference of its log-likelihoods divided by its number of characters (with its end); the cut is calibrated
-on hosts that the models have not seen. Counts come from all rows.
+on hosts that the models have not seen. Counts come from the rows of the other hosts, also for the final scores.
 """
 
 from __future__ import annotations
