@@ -1,11 +1,15 @@
 """Toxicity by a cumulative-link ordinal regression on sparse text features.
 
 P(grade > k | x) = sigmoid(w.x - theta_k): one weight vector for all thresholds theta_1 < theta_2 < theta_3. The weights
-have an L1 penalty, so most words get none. The expected severity is the sum of the probabilities over the thresholds.
+have an L1 penalty, so most features get none. The expected severity is the sum of the probabilities over the thresholds.
 
-The labels are 0 or 1. Grades come from them: 0 is not toxic; a toxic text gets 1, 2 or 3 by how many of its words are
-among those that the labelled sample has almost only in toxic texts (up to the median of the toxic texts, up to the 90th
-percentile, above).
+Features are the words of a text in lower case and the beginnings of its words, START[0] to START[-1] characters long,
+which pool words that share a stem. A feature's value is log(1 + rate), with its rate in a hundred words of the text, so
+that one chance hit in a long text counts for little.
+
+The labels are 0 or 1, and no table holds degrees of severity. Grades are made from the labels by folds: 0 is not toxic;
+a toxic text gets 1, 2 or 3 by the third of the toxic texts into which the log-odds fall that a model of two grades,
+fitted without it, gives it. So a grade says how strongly a text resembles the other toxic ones, and nothing more.
 """
 
 from __future__ import annotations
@@ -13,11 +17,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import lean, slices
@@ -25,39 +29,64 @@ from corpusloom.llm.fingerprints import shingle_hashes
 
 GRADES = 3
 WORD = re.compile(r"\w+").findall
+#: Lengths of the beginnings of words, and what is added to a text's number of words before rates are taken.
+START, PRIOR = range(2, 9), 50.0
+#: Features that a model is fitted on at most: those whose shares in toxic and in clean texts differ most surely.
+FEATURES = 20_000
+#: Words whose features a worker remembers.
+MEMO = 200_000
+
 
+def parts_of(word: str) -> list[str]:
+    """A word's features: ``<start`` for each beginning, ``<word>`` for the whole."""
+    return [f"<{word[:n]}" for n in START if n <= len(word)] + [f"<{word}>"]
 
-def features(text: str | None) -> Counter:
-    """Words of a text in lower case, with their counts; none if it is null."""
-    return Counter(WORD(text.lower())) if text else Counter()
 
+def rate(n: float, words: int) -> float:
+    return float(np.log1p(100.0 * n / (words + PRIOR)))
 
-@dataclass(frozen=True)
+
+@dataclass
 class Model:
-    """Weights by word, thresholds, and the expected severity from which a text is rejected."""
+    """Weights by feature, thresholds, and the expected severity from which a text is rejected."""
 
     weights: dict[str, float]
     theta: tuple[float, ...]
     cut: float
+    #: The weighted features of the words met so far.
+    memo: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
+
+    def score(self, text: str | None) -> float:
+        """The weighted sum of a text's features; 0 without any."""
+        words, weights, memo = WORD(text.lower()) if text else [], self.weights, self.memo
+        found: Counter = Counter()
+        for word, n in Counter(words).items():
+            parts = memo.get(word)
+            if parts is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                parts = memo[word] = tuple(p for p in parts_of(word) if p in weights)
+            for p in parts:
+                found[p] += n
+        return sum(weights[p] * rate(n, len(words)) for p, n in sorted(found.items()))
 
     def severity(self, text: str | None) -> tuple[float, int]:
         """Expected severity and the most probable grade."""
-        z = 0.0
-        if text:
-            weights = self.weights
-            for word, n in Counter([w for w in WORD(text.lower()) if w in weights]).items():
-                z += weights[word] * (1.0 + np.log(n))
+        z = self.score(text)
         above = [1.0, *(1.0 / (1.0 + np.exp(np.clip(t - z, -40, 40))) for t in self.theta), 0.0]
-        return float(sum(above[1:-1])), int(np.argmax([above[k] - above[k + 1] for k in range(GRADES + 1)]))
+        return float(sum(above[1:-1])), int(np.argmax([above[k] - above[k + 1] for k in range(len(above) - 1)]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_weights(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, d: int, grade: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_weights(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int, d: int, grade: np.ndarray, penalty: float, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Accelerated proximal gradient descent on the mean negative log-likelihood plus an L1 penalty on the weights."""
-    k = np.arange(1, GRADES + 1)
+    k = np.arange(1, max(1, int(grade.max(initial=1))) + 1)
     reach = (grade[:, None] >= k).astype(float)
     theta = np.array([np.log((1 - p) / p) for p in np.clip(reach.mean(0), 1e-3, 1 - 1e-3)])
     theta = np.maximum.accumulate(theta + 1e-3 * k)
@@ -84,11 +113,25 @@ def fit_weights(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n: int,
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = w_new + (t - 1) / t_new * (w_new - w)
         w, t = w_new, t_new
-        g_theta = np.array([(low[grade == j].sum() - high[grade == j - 1].sum()) / n for j in k])
-        theta = np.maximum.accumulate(theta - 2.0 * g_theta) + 1e-6 * k
+        theta = np.maximum.accumulate(theta - 2.0 * theta_slope(theta, z, grade)) + 1e-6 * k
+    z = np.bincount(rows, values * w[cols], n)
+    for _ in range(4 * steps):  # the weights stand; the thresholds alone are cheap to bring to their place
+        theta = np.maximum.accumulate(theta - 4.0 * theta_slope(theta, z, grade)) + 1e-6 * k
     return w, theta
 
 
+def theta_slope(theta: np.ndarray, z: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """The mean negative log-likelihood's derivatives by the thresholds."""
+    n, at = len(z), np.arange(len(z))
+    above = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - theta), np.zeros((n, 1))], 1)
+    slope = above * (1 - above)
+    p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-12)
+    # p rises with the threshold above a grade and falls with the one that it has passed
+    down = np.bincount(grade, slope[at, grade] / p, len(theta) + 1)[1:]
+    up = np.bincount(grade, slope[at, grade + 1] / p, len(theta) + 1)[:-1]
+    return (down - up) / n
+
+
 def without_copies(texts: list[str | None]) -> list[int]:
     """The texts that don't share the least shingle hash of an eighth of all hashes with one before: else the words of a
     text with many near copies, all with one label, would pass for words of that label."""
@@ -104,51 +147,69 @@ def without_copies(texts: list[str | None]) -> list[int]:
     return out
 
 
-def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.004, folds: int = 2, least_df: int = 3) -> Model:
+def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.0007, folds: int = 2, least_df: int = 3) -> Model:
     """The model of labelled texts; the cut is the one with the best F1 on texts held out in turn.
 
     Without a toxic and a clean text nothing can be learnt: no weights, and nothing is rejected.
     """
     first = without_copies(texts)
-    texts, toxic = [texts[i] for i in first], [toxic[i] for i in first]
-    y = np.array(toxic, int)
+    texts, y = [texts[i] for i in first], np.array([toxic[i] for i in first], int)
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(float(5 + k) for k in range(GRADES)), float(GRADES + 1))
-    # one text's words at a time: the sample is held as numbers
-    number: dict[str, int] = {}
-    held = []
+    # one text's words at a time: the sample is held as numbers. Counts by hash first, so that rare features need no names
+    seen = np.zeros(1 << 22, np.int32)
     for t in texts:
-        c = features(t)
-        held.append((np.array([number.setdefault(w, len(number)) for w in c], np.int32), np.array(list(c.values()), np.int32)))
+        seen[list({hash(p) & (len(seen) - 1) for w in set(WORD(t.lower()) if t else []) for p in parts_of(w)})] += 1
+    number: dict[str, int] = {}
+    rows_, cols_, values_ = [], [], []
+    for i, t in enumerate(texts):
+        words = WORD(t.lower()) if t else []
+        found: Counter = Counter()
+        for word, n in Counter(words).items():
+            for p in parts_of(word):
+                if seen[hash(p) & (len(seen) - 1)] >= least_df:
+                    found[p] += n
+        cols_.append(np.array([number.setdefault(p, len(number)) for p in found], np.int32))
+        values_.append(np.log1p(100.0 * np.array(list(found.values()), np.float32) / np.float32(len(words) + PRIOR)))
+        rows_.append(np.full(len(found), i, np.int32))
+    rows, cols, values = (np.concatenate(x) if x else np.empty(0) for x in (rows_, cols_, values_))
+    del rows_, cols_, values_
+    df = np.bincount(cols, minlength=len(number))
+    kept = (df >= least_df)[cols]
+    rows, cols, values = rows[kept], cols[kept], values[kept]
     names = list(number)
     del number
-    row_of = np.repeat(np.arange(len(held)), [len(w) for w, _ in held])
-    word = np.concatenate([w for w, _ in held]) if held else np.empty(0, np.int32)
-    n_of = np.concatenate([n for _, n in held]) if held else np.empty(0, np.int32)
-    df = np.bincount(word, minlength=len(names))
-    in_toxic = np.bincount(word[y[row_of] == 1], minlength=len(names))
-    marked = (in_toxic >= 5) & (in_toxic >= 0.9 * df)
-    hits = np.bincount(row_of, n_of * marked[word], len(held))
-    steps = np.quantile(hits[y == 1], [0.5, 0.9])
-    grade = np.where(y == 1, 1 + (hits > steps[0]) + (hits > steps[1]), 0)
-    frequent = df >= least_df
-    place = np.cumsum(frequent) - 1
-    words = [names[i] for i in np.flatnonzero(frequent)]
-    kept = frequent[word]
-    rows, cols, values = row_of[kept], place[word[kept]], 1.0 + np.log(n_of[kept])
-
-    def fitted(keep: np.ndarray) -> Model:
-        sel = keep[rows]
-        number = np.cumsum(keep) - 1
-        w, theta = fit_weights(number[rows[sel]], cols[sel], values[sel], int(keep.sum()), len(words), grade[keep], penalty)
-        return Model({words[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()), 0.0)
+
+    def fitted(keep: np.ndarray, grade: np.ndarray) -> Model:
+        own = keep[rows]
+        r, c, v = (np.cumsum(keep) - 1)[rows[own]], cols[own], values[own]
+        # of what differs between the classes, the surest
+        n1, n0 = max(1, int(y[keep].sum())), max(1, int((1 - y[keep]).sum()))
+        all_, hot = np.bincount(c, minlength=len(names)), np.bincount(c[y[keep][r] == 1], minlength=len(names))
+        share = all_ / (n1 + n0)
+        sure = np.abs(hot / n1 - (all_ - hot) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+        sure[all_ < least_df] = -1
+        best = np.flatnonzero(sure >= max(1.0, np.partition(sure, -FEATURES)[-FEATURES] if len(sure) > FEATURES else 0.0))
+        place = np.full(len(names), -1, np.int64)
+        place[best] = np.arange(len(best))
+        sel = place[c] >= 0
+        w, theta = fit_weights(r[sel], place[c[sel]], v[sel].astype(float), int(keep.sum()), len(best), grade[keep], penalty)
+        return Model({names[best[i]]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()), 0.0)
 
     fold = np.arange(len(y)) % folds
-    held_out = np.zeros(len(y))
-    for f in range(folds):
-        part = fitted(fold != f)
-        for i in np.flatnonzero(fold == f):
-            held_out[i] = part.severity(texts[i])[0]
+
+    def out_of_fold(grade: np.ndarray, of) -> np.ndarray:
+        found = np.zeros(len(y))
+        for f in range(folds):
+            part = fitted(fold != f, grade)
+            for i in np.flatnonzero(fold == f):
+                found[i] = of(part, texts[i])
+        return found
+
+    z = out_of_fold(y, lambda m, t: m.score(t))
+    thirds = np.quantile(z[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (z > thirds[0]) + (z > thirds[1]), 0)
+    held_out = out_of_fold(grade, lambda m, t: m.severity(t)[0])
     order = np.argsort(-held_out, kind="stable")
     s = held_out[order]
     right = np.cumsum(y[order])
@@ -156,18 +217,28 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.004,
     f1[:-1][s[:-1] == s[1:]] = -1  # no cut between equal severities
     best = int(np.argmax(f1))
     cut = float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best])
-    whole = fitted(np.ones(len(y), bool))
+    whole = fitted(np.ones(len(y), bool), grade)
     # a text without any feature is never rejected
     return Model(whole.weights, whole.theta, max(cut, whole.severity(None)[0] + 1e-6))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample_rows`` labelled documents, those with the smallest hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list:
+    """(text, toxic) of labelled documents in the order of a hash of their id: at most ``sample_rows``, and of these as many
+    as ``sample_bytes`` bytes of text hold. The first alone may be longer, cut nowhere."""
     some = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
-    # an id that several rows have must not widen the sample
-    rows = found.orderBy(F.xxhash64(id_col), id_col, "text").limit(sample_rows).collect()
+    found = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
+    # an id that several rows have must not widen the sample; only sizes are ranked, at most sample_rows of them
+    sized = found.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().orderBy("h", "id", "t").limit(sample_rows)
+    held = sized.withColumn("sum", F.sum("size").over(Window.orderBy("h", "id", "t"))).where((F.col("sum") <= sample_bytes) | (F.col("sum") == F.col("size"))).select("id", "t")
+    rows = found.join(F.broadcast(held), (F.col(id_col) == F.col("id")) & (F.xxhash64("text") == F.col("t"))).groupBy("id", "t").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return sorted(rows.collect(), key=lambda r: (r["t"], str(r["id"])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most ``sample_rows`` labelled documents with at most ``sample_bytes`` of text, those with the smallest hash
+    of their id. Null labels and ids are left out; of an id's several labels the highest counts."""
+    rows = sample(docs, labels, sample_rows, sample_bytes, id_col, text_col)
     return fit_texts([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
