@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A session that has neither is refused: a folder of this machine alone would be missing on the executors.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = context._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="corpusloom-")
         if not current.isDefined():
-            context.setCheckpointDir(found)
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = current.get()
     return found.rstrip("/")
 
 
@@ -39,6 +42,10 @@ def lean(docs: DataFrame, rows: int = 1000) -> DataFrame:
     return docs
 
 
+#: Scratch tables of this process that are still there.
+SCRATCH: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -47,7 +54,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    SCRATCH.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in SCRATCH:
+        SCRATCH.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let go of the shuffle files of finished jobs."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+    spark = tables[0].sparkSession
+    gc.collect()
+    spark._jvm.System.gc()  # shuffles that no plan refers to are cleaned on the executors
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables that were written after the first ``since`` of SCRATCH. What was read from them must be written elsewhere by then."""
+    for path in SCRATCH[since:]:
+        _delete(spark, path)
 
 
 def words_of(text: str | None) -> list[str]:

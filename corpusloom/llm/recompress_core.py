@@ -2,13 +2,16 @@
 
 A text is a sequence of 64-bit word hashes. A round first replaces maximal runs of an equal symbol, then, with the
 alphabet split in left and right by a bit of the symbol, every left symbol that a right one follows. A new symbol's name
-is a 64-bit hash of what it stands for, so every task gives equal things equal names without asking anyone. With every
-symbol goes its context: the span of words that settle that the symbol stands there. A window of words that holds a
+is a 64-bit hash of what it stands for, so every task gives equal things equal names without asking anyone. Different
+things may get one name; names only gather candidates, and what they stand for is compared by digests of the words
+themselves (``digests``). With every symbol goes its context: the span of words that settle that the symbol stands there. A window of words that holds a
 symbol's context holds the symbol at the same place wherever else the window occurs.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -73,14 +76,52 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, change[0::2], change[1::2]
 
 
-def corpus_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and sizes in bytes of the words of several texts, and where each text's words begin, with their number.
+#: Bytes of a word that are read eight at a time; longer words are hashed whole.
+LONG_WORD = 512
+#: The low bytes of eight, by number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time, each step a bijection of the one before."""
+    sizes = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * GOLD)
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        left = sizes[live] - at
+        out[live] = mix((out[live] ^ (eight[starts[live] + at] & LOW_BYTES[np.minimum(left, 8)])) * MUL1 + GOLD)
+        at += 8
+        live = live[(left > 8) & (sizes[live] <= LONG_WORD)]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+class Words:
+    """The words of several texts: their bytes with one space between two words and one line break between two texts,
+    where each word starts and ends in them, their names and sizes, and where each text's words begin, with their number.
 
     Work on texts together costs far less than on one at a time. No word reaches over the line break between two.
     """
-    data, starts, ends = word_spans(b"\n".join(raws))
-    begins = np.cumsum([0, *(len(r) + 1 for r in raws)])
-    return span_hashes(BYTE_VALUES[data], starts, ends), ends - starts, np.searchsorted(starts, begins)
+
+    def __init__(self, raws: list[bytes]):
+        self.raw = b"\n".join([b" ".join(r.split()) for r in raws])  # on bytes, split() takes the ASCII white space alone
+        data, self.starts, self.ends = word_spans(self.raw)
+        breaks = np.flatnonzero(data == 10)
+        begins = np.concatenate(([0], breaks + 1)) if len(raws) else np.zeros(1, np.int64)
+        self.offsets = np.append(np.searchsorted(self.starts, begins), len(self.starts))
+        self.names, self.sizes = word_names(data, self.starts, self.ends), self.ends - self.starts
+
+    def digests(self, first: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+        """64 bits of a keyed cryptographic digest of the words [first, end), as they are written, for each pair.
+
+        With a key that is drawn anew for every run nobody can have made words whose digests are equal.
+        """
+        raw = self.raw
+        found = b"".join([blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(self.starts[first].tolist(), self.ends[end - 1].tolist(), strict=True)])
+        return np.frombuffer(found, "<u8")
 
 
 def levels(words: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, ...]]:
@@ -152,23 +193,23 @@ def window_keys(words: np.ndarray, sizes: np.ndarray, width: int, rounds: int =
     return best
 
 
-def segments(words: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(keys, hashes, starts, ends, texts): maximal runs of windows of one text with one key, with the hash of all words
-    they cover; the run's windows start at the words [start, end) of the joined texts.
+def segments(words: Words, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """(keys, starts, ends, texts): maximal runs of windows of one text with one key; the run's windows start at the words
+    [start, end) of the joined texts, so it covers the words [start, end + width - 1).
 
     Windows that reach over the end of a text don't count, and no symbol whose context does stands for one that counts.
     """
-    keys = window_keys(words, sizes, width, rounds)
+    keys = window_keys(words.names, words.sizes, width, rounds)
     n = len(keys)
+    none = np.empty(0, np.int64)
     if not n:
-        none = np.empty(0, np.int64)
-        return keys, keys, none, none, none
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        return keys, none, none, none
+    text = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
     whole = text[:n] == text[width - 1 : width - 1 + n]
     begins = whole.copy()
     begins[1:] &= ~whole[:-1] | (keys[1:] != keys[:-1]) | (text[1:n] != text[: n - 1])
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return keys[:0], keys[:0], starts, starts, starts
+        return keys[:0], none, none, none
     ends = starts + np.add.reduceat(whole.astype(np.int64), starts)  # windows that count are together
-    return keys[starts], span_hashes(words, starts, ends + width - 1), starts, ends, text[starts]
+    return keys[starts], starts, ends, text[starts]

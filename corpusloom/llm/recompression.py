@@ -5,11 +5,16 @@ equal symbols, so only windows under a symbol that several documents share can r
 symbol make a segment. Symbols that one document alone has go first, by an aggregate of two ids for each symbol. Of the
 rest, a segment whose words an earlier document has too is covered as a whole. What is left are segments that share
 their symbol with other segments: there the windows themselves are compared.
+
+Symbols gather candidates and decide nothing. Segments and windows under one symbol are equal if keyed digests of their
+words as written are (64 bits, beside the 64 of the symbol, under a key drawn anew for every call), so neither chance
+nor a text made for it takes different words for equal.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import compress
 
@@ -20,8 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lean, slices, stored
-from corpusloom.llm.recompress_core import corpus_words, segments, span_hashes
+from corpusloom.llm.common import discard, lean, slices, stored
+from corpusloom.llm.recompress_core import GOLD, Words, mix, segments
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -38,11 +43,13 @@ def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _anchors(width: int):
+def _anchors(width: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TOGETHER):
-            keys, hashes, _, _, texts = segments(*corpus_words(raw_texts(batch)), width)
+            words = Words(raw_texts(batch))
+            keys, starts, ends, texts = segments(words, width)
             if len(keys):
+                hashes = words.digests(starts, ends + width - 1, key)
                 order = np.lexsort((hashes, keys, texts))
                 keys, hashes, texts = keys[order], hashes[order], texts[order]
                 new = np.ones(len(keys), bool)  # a text's repeats of a segment are one row
@@ -53,14 +60,23 @@ def _anchors(width: int):
     return run
 
 
-def listed(batch: pa.RecordBatch, column: str, texts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values are in the list that their own text has in a column."""
+def joint(symbols: np.ndarray, digests: np.ndarray, texts: np.ndarray | int = 0) -> np.ndarray:
+    """One number for a symbol, a digest and a text's place in the batch; the digests' key keeps it unforeseeable."""
+    return mix(digests.view(np.uint64) ^ mix(symbols.view(np.uint64) + np.asarray(texts, np.uint64) * GOLD))
+
+
+def pairs_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The two fields of the structs in a column of lists, one list after the other."""
+    flat = lists.flatten()
+    return tuple(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+
+
+def listed(batch: pa.RecordBatch, column: str, texts: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which (key, value) are in the list of such pairs that their own text has in a column."""
     lists = batch.column(column)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     of = np.repeat(np.arange(batch.num_rows), sizes)
-    own = np.uint64(0x9E3779B97F4A7C15)
-    return np.isin(values ^ (texts.astype(np.uint64) * own), flat ^ (of.astype(np.uint64) * own))
+    return np.isin(joint(keys, values, texts), joint(*pairs_of(lists), of))
 
 
 def covered_words(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -83,38 +99,44 @@ def _digest(raws: list[bytes], gone: list[np.ndarray | None], open_: list[bool],
     return [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
 
-def _judge(width: int, keep_text: bool):
-    """Rows without pending segments are done. Of others go on the text, compressed, the words that are gone (as positions), and
-    place and hash of every pending window."""
+def _judge(width: int, keep_text: bool, key: bytes):
+    """Rows without pending segments are done. Of others go on the text, compressed, the words that are gone (as positions),
+    and place, symbol and digest of every pending window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TOGETHER):
             raws, n = raw_texts(batch), batch.num_rows
-            known = np.array([c or p for c, p in zip(pa.compute.list_value_length(batch.column("covered")).to_pylist(), pa.compute.list_value_length(batch.column("pending")).to_pylist(), strict=True)], bool)
+            known = np.array([bool(c or p) for c, p in zip(pa.compute.list_value_length(batch.column("covered")).to_pylist(), pa.compute.list_value_length(batch.column("pending")).to_pylist(), strict=True)], bool)
             gone: list[np.ndarray | None] = [None] * n
-            lost: list[list[int] | None] = [None] * n
+            lost: list[np.ndarray | None] = [None] * n
             places: list[np.ndarray | None] = [None] * n
+            symbols: list[np.ndarray | None] = [None] * n
             windows: list[np.ndarray | None] = [None] * n
             if known.any():
-                words, sizes, offsets = corpus_words([r if k else b"" for r, k in zip(raws, known, strict=True)])
-                _, hashes, starts, ends, texts = segments(words, sizes, offsets, width)
-                whole, pending = listed(batch, "covered", texts, hashes), listed(batch, "pending", texts, hashes)
-                mask = covered_words(starts[whole], ends[whole] + width - 1, len(words))
-                at = np.flatnonzero(covered_words(starts[pending], ends[pending], len(words)))
-                found = span_hashes(words, at, at + width).view(np.int64)
+                words = Words([r if k else b"" for r, k in zip(raws, known, strict=True)])
+                keys, starts, ends, texts = segments(words, width)
+                hashes = words.digests(starts, ends + width - 1, key) if len(keys) else keys
+                whole, pending = listed(batch, "covered", texts, keys, hashes), listed(batch, "pending", texts, keys, hashes)
+                count, offsets = len(words.names), words.offsets
+                mask = covered_words(starts[whole], ends[whole] + width - 1, count)
+                at = np.flatnonzero(covered_words(starts[pending], ends[pending], count))
+                # a window of a segment has the segment's symbol
+                under = keys[np.searchsorted(starts, at, "right") - 1].view(np.int64) if len(at) else at
+                found = words.digests(at, at + width, key).view(np.int64) if len(at) else at
                 first, last = np.searchsorted(at, offsets[:-1]), np.searchsorted(at, offsets[1:])
                 for i in np.flatnonzero(known):
                     a, b = offsets[i], offsets[i + 1]
                     if mask[a:b].any():
                         gone[i] = mask[a:b]
                     if last[i] > first[i]:
-                        places[i], windows[i] = at[first[i] : last[i]] - a, found[first[i] : last[i]]
+                        part = slice(first[i], last[i])
+                        places[i], symbols[i], windows[i] = at[part] - a, under[part], found[part]
                         lost[i] = np.flatnonzero(mask[a:b])
             open_ = [w is not None for w in windows]
             squeeze = zstandard.ZstdCompressor(level=3).compress
             text = pa.array([squeeze(r) if wait else None for r, wait in zip(raws, open_, strict=True)], pa.binary())
-            lists = [pa.array(lost, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), text, *lists, *_digest(raws, gone, open_, keep_text)], names=["row", "text", "lost", "places", "windows", "n_words", "n_removed", "kept_sha256", "kept"])
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((lost, pa.int32()), (places, pa.int32()), (symbols, pa.int64()), (windows, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), text, *lists, *_digest(raws, gone, open_, keep_text)], names=["row", "text", "lost", "places", "symbols", "windows", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -126,13 +148,15 @@ def _finish(width: int, keep_text: bool):
         expand = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "text", TOGETHER >> 1):
             raws, gone = [expand(t) for t in batch.column("text").to_pylist()], []
-            for raw, lost, places, windows, hits in zip(raws, *(batch.column(c) for c in ("lost", "places", "windows", "hits")), strict=True):
+            columns = [batch.column(c) for c in ("lost", "places", "symbols", "windows", "hits")]
+            for i, (raw, lost, places, symbols, windows, hits) in enumerate(zip(raws, *columns, strict=True)):
                 change = np.zeros(len(raw) + 2, np.int32)
                 out = np.array(lost.values) if lost.is_valid else np.empty(0, np.int32)
                 np.add.at(change, out, 1)
                 np.add.at(change, out + 1, -1)
                 if hits.is_valid:
-                    at = np.array(places.values)[np.isin(np.array(windows.values), np.array(hits.values))]
+                    own = joint(np.array(symbols.values, np.int64), np.array(windows.values, np.int64))
+                    at = np.array(places.values)[np.isin(own, joint(*pairs_of(columns[-1].slice(i, 1))))]
                     np.add.at(change, at, 1)
                     np.add.at(change, at + width, -1)
                 gone.append(np.cumsum(change) > 0)
@@ -157,25 +181,27 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     base = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     kind, row_type = base.schema["id"].dataType.simpleString(), base.schema["row"].dataType.simpleString()
 
-    anchors = base.where("id is not null").select("id", "text").mapInArrow(_anchors(width), f"doc {kind}, key bigint, seg bigint")
+    key = os.urandom(16)
+    anchors = base.where("id is not null").select("id", "text").mapInArrow(_anchors(width, key), f"doc {kind}, key bigint, seg bigint")
     ends = anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
     shared = stored(anchors.join(ends.hint("merge"), "key"), "shared")
     firsts = stored(shared.groupBy("key", "seg").agg(F.min("doc").alias("first")), "firsts")
-    covered = shared.join(firsts.hint("merge"), ["key", "seg"]).where("doc > first").select("doc", "seg", F.lit(True).alias("whole"))
+    covered = shared.join(firsts.hint("merge"), ["key", "seg"]).where("doc > first").select("doc", "key", "seg", F.lit(True).alias("whole"))
     several = firsts.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high")).where("n > 1 and low < high").select("key")
-    pending = firsts.join(several.hint("merge"), "key").select(F.col("first").alias("doc"), "seg", F.lit(False).alias("whole"))
-    lists = covered.unionByName(pending).groupBy("doc").agg(
-        F.collect_list(F.when(F.col("whole"), F.col("seg"))).alias("covered"), F.collect_list(F.when(~F.col("whole"), F.col("seg"))).alias("pending")
-    )
-    first_out = f"row {row_type}, text binary, lost array<int>, places array<int>, windows array<bigint>, {OUT}, kept string"
+    pending = firsts.join(several.hint("merge"), "key").select(F.col("first").alias("doc"), "key", "seg", F.lit(False).alias("whole"))
+    of = F.struct("key", "seg")
+    lists = covered.unionByName(pending).groupBy("doc").agg(F.collect_list(F.when(F.col("whole"), of)).alias("covered"), F.collect_list(F.when(~F.col("whole"), of)).alias("pending"))
+    first_out = f"row {row_type}, text binary, lost array<int>, places array<int>, symbols array<bigint>, windows array<bigint>, {OUT}, kept string"
     joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
-    judged = stored(joined.mapInArrow(_judge(width, keep_text), first_out), "judged")
+    judged = stored(joined.mapInArrow(_judge(width, keep_text, key), first_out), "judged")
+    discard(shared, firsts)
 
     open_rows = judged.where("windows is not null")
-    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.array_distinct("windows")).alias("window"))
-    earliest = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    hits = windows.join(earliest.hint("merge"), "window").where("doc > first").groupBy("doc").agg(F.collect_list("window").alias("hits"))
-    rest = open_rows.select("row", "text", "lost", "places", "windows").join(hits, F.col(f"row.`{id_col}`") == hits["doc"], "left").drop("doc")
+    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.array_distinct(F.arrays_zip("symbols", "windows"))).alias("w")).select("doc", "w.symbols", "w.windows")
+    earliest = windows.groupBy("symbols", "windows").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("symbols", "windows", "first")
+    hits = windows.join(earliest.hint("merge"), ["symbols", "windows"]).where("doc > first").groupBy("doc").agg(F.collect_list(F.struct("symbols", "windows")).alias("hits"))
+    hits = stored(hits, "hits")
+    rest = open_rows.select("row", "text", "lost", "places", "symbols", "windows").join(hits, F.col(f"row.`{id_col}`") == hits["doc"], "left").drop("doc")
     rest = rest.mapInArrow(_finish(width, keep_text), f"row {row_type}, {OUT}, kept string")
     done = judged.where("windows is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
     return done.select("row.*", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))

@@ -107,18 +107,33 @@ def test_equal_windows_have_equal_symbols():
     rng = random.Random(5)
     for _ in range(60):
         docs = [b" ".join(rng.choice([b"a", b"a", b"bb", b"cc", b"d%d" % rng.randint(0, 30)]) for _ in range(rng.randint(0, 60))) for _ in range(4)]
-        words, sizes, offsets = recompress_core.corpus_words(docs)
+        words = recompress_core.Words(docs)
         for width in (1, 5, 13):
             seen = {}
-            keys, _, starts, ends, texts = recompress_core.segments(words, sizes, offsets, width)
+            keys, starts, ends, texts = recompress_core.segments(words, width)
             for key, start, end, text in zip(keys.tolist(), starts.tolist(), ends.tolist(), texts.tolist(), strict=True):
                 for at in range(start, end):
-                    assert at + width <= offsets[text + 1]
-                    assert seen.setdefault(tuple(words[at : at + width].tolist()), key) == key
+                    assert at + width <= words.offsets[text + 1]
+                    assert seen.setdefault(tuple(words.names[at : at + width].tolist()), key) == key
             windows = sum(max(0, len(d.split()) - width + 1) for d in docs)
             assert int((ends - starts).sum()) == windows
 
 
+def thue_morse(n, letters):
+    return [letters[bin(i).count("1") & 1] for i in range(n)]
+
+
+def test_names_of_words_that_polynomials_take_for_equal():
+    for n in (8, 64, 512, 1024, 4096):
+        a, b = ("".join(thue_morse(n, x)).encode() for x in ("ab", "ba"))
+        words = recompress_core.Words([a + b" " + b, b"", b + b"  \t" + a])
+        names = words.names.tolist()
+        assert len(set(names)) == 2 and names[2:] == names[1::-1]
+        assert words.offsets.tolist() == [0, 2, 2, 4] and words.sizes.tolist() == [n] * 4
+    pairs = recompress_core.Words([b"a bc", b"a\n bc", b"ab c"]).digests(np.array([0, 2, 4]), np.array([2, 4, 6]), b"k")
+    assert pairs[0] == pairs[1] != pairs[2]
+
+
 def plain_alignment(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -138,7 +153,6 @@ def test_alignment(item, passage):
 def test_edited_copy_is_found_and_others_are_not():
     item = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree"
     items = decontamination.Items([(7, item), (8, "")], 4)
-    items.choose({})
     edited = "intro words here " + item.replace("lazy", "sleepy").replace("seven wise", "many") + " and an end"
     assert [m[0] for m in items.matches(edited, 0.5)] == [7]
     assert items.matches("the quick brown fox went home and nothing else of it is here at all today", 0.5) == []

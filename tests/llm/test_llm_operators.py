@@ -74,6 +74,23 @@ def test_repeats(docs, width):
     assert {r["row"] for r in found} == {r[2] for r in rows}  # the column named row passes through
 
 
+def test_repeats_of_hash_breakers(spark):
+    """Words and long runs of two words that a polynomial hash can't tell apart, periodic texts and binary texts."""
+    rng = np.random.default_rng(11)
+    morse = lambda n, a, b: [(a, b)[bin(i).count("1") & 1] for i in range(n)]
+    common = [f"c{i}" for i in range(12)]
+    texts = [
+        " ".join([*common[:6], "".join(morse(1024, "a", "b")), *common[6:]]), " ".join([*common[:6], "".join(morse(1024, "b", "a")), *common[6:]]),
+        " ".join(morse(2048, "x", "yy")), " ".join(morse(2048, "yy", "x")), " ".join(["p", "q", "r"] * 40), " ".join(["q", "r", "p"] * 30), "z " * 200, "z\t" * 90 + "end",
+        *(" ".join(rng.choice(["0", "1"], 400)) for _ in range(6)),
+    ]
+    rows = [(i, t, str(i)) for i, t in enumerate(texts)]
+    for width in (3, 13):
+        found = recompression.remove_repeats(spark.createDataFrame(rows, SCHEMA), width=width).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == plain_repeats(rows, width)
+    assert {r["doc_id"]: r["n_removed"] for r in found}[1] == 0
+
+
 def test_repeats_of_nothing(empty):
     assert recompression.remove_repeats(empty).collect() == []
 
