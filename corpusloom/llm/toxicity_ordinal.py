@@ -222,24 +222,39 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.0007
     return Model(whole.weights, whole.theta, max(cut, whole.severity(None)[0] + 1e-6))
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """(text, toxic) of labelled documents in the order of a hash of their id: at most ``sample_rows``, and of these as many
-    as ``sample_bytes`` bytes of text hold. The first alone may be longer, cut nowhere."""
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, text, toxic) of labelled documents in the order of a hash of their id: at most ``sample_rows``, and of these as
+    many as ``sample_bytes`` bytes of text hold. The first alone may be longer, cut nowhere."""
     some = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    found = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
+    found = lean(docs).select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
     # an id that several rows have must not widen the sample; only sizes are ranked, at most sample_rows of them
-    sized = found.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().orderBy("h", "id", "t").limit(sample_rows)
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    sized = found.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), t.alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).distinct().orderBy("h", "id", "t").limit(sample_rows)
     held = sized.withColumn("sum", F.sum("size").over(Window.orderBy("h", "id", "t"))).where((F.col("sum") <= sample_bytes) | (F.col("sum") == F.col("size"))).select("id", "t")
-    rows = found.join(F.broadcast(held), (F.col(id_col) == F.col("id")) & (F.xxhash64("text") == F.col("t"))).groupBy("id", "t").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    return sorted(rows.collect(), key=lambda r: (r["t"], str(r["id"])))
+    return found.join(F.broadcast(held), (F.col(id_col) == F.col("id")) & (t == F.col("t"))).groupBy("id", "t").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample_rows`` labelled documents with at most ``sample_bytes`` of text, those with the smallest hash
-    of their id. Null labels and ids are left out; of an id's several labels the highest counts."""
-    rows = sample(docs, labels, sample_rows, sample_bytes, id_col, text_col)
-    return fit_texts([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    of their id. Null labels and ids are left out; of an id's several labels the highest counts.
+
+    The bounded sample meets in one task, which can be run again; the driver gets the weights alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("t", "id", "text", "toxic")), strict=True)]
+        rows.sort(key=lambda r: (r[0], str(r[1])))
+        model = fit_texts([r[2] for r in rows], [int(r[3] > 0) for r in rows])
+        names = list(model.weights)
+        lists = [(names, pa.string()), ([model.weights[n] for n in names], pa.float64()), (list(model.theta), pa.float64())]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(t)) for x, t in lists), pa.array([model.cut])], names=["names", "weights", "theta", "cut"])
+
+    rows = sample(docs, labels, sample_rows, sample_bytes, id_col, text_col).repartition(1)
+    found = rows.mapInArrow(run, "names array<string>, weights array<double>, theta array<double>, cut double").collect()
+    if not found:  # an empty table has no task
+        return fit_texts([], [])
+    return Model(dict(zip(found[0]["names"], found[0]["weights"], strict=True)), tuple(found[0]["theta"]), found[0]["cut"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
