@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +45,8 @@ def lean(docs: DataFrame, rows: int = 1000) -> DataFrame:
 
 #: Scratch tables of this process that are still there.
 SCRATCH: list[str] = []
+#: When shuffles were last released.
+released = 0.0
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -71,9 +74,16 @@ def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let go of the shuffle files of finished jobs."""
     for df in tables:
         _delete(df.sparkSession, df.scratch_path)
-    spark = tables[0].sparkSession
-    gc.collect()
-    spark._jvm.System.gc()  # shuffles that no plan refers to are cleaned on the executors
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession, seconds: float = 5.0) -> None:
+    """Let the executors delete the shuffle files that no plan refers to any more; at most once in so many seconds."""
+    global released
+    if time.monotonic() - released >= seconds:
+        gc.collect()
+        spark._jvm.System.gc()
+        released = time.monotonic()
 
 
 def clear_scratch(spark: SparkSession, since: int = 0) -> None:

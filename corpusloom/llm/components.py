@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -30,15 +30,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node of its component.
 
     Edges may repeat, run either way, and link a node to itself (such a link is ignored); null ends are ignored. Each
-    round is written to the shared folder, so its lineage is one table.
+    round is written to the shared folder, so its lineage is one table, and the table before it is deleted. So is the
+    result; who has read it may ``discard`` it.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    before = None
+    before = held = None
     while True:
         edges = stored(_star(_star(edges, True), False), "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if held is not None:
+            discard(held)
+        if now == before or now[0] == 0:
             break
-        before = now
+        before, held = now, edges
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    discard(edges)
+    return out

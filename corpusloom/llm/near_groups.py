@@ -1,14 +1,17 @@
-"""Groups of near copies by the Jaccard similarity of word shingles, with SimHash fingerprints for candidates.
-
-Candidates come from two kinds of fingerprints. Those of whole texts meet in the grid join of ``simhash_dedup``, which
-reaches texts that differ in very little. Texts with a similarity of 0.8 have fingerprints about ten bits apart, further
-than any grid over 64 bits separates from chance; for them every text also has SimHash fingerprints of SAMPLES consistent
-samples of its shingles, and equal ones meet: similar texts take equal samples more often than not. Every candidate pair is
-verified on the whole shingle sets. First, for ROUNDS rounds at most, all texts of a bucket are compared with one centre, a
-different one each round, which joins most of a large group of copies without its pairs. Then every pair of a bucket whose
-texts are not in one group yet is a candidate, so links through any text are found; pairs within a group would change
-nothing. Sizes and PARITY words of parity bits rule out most candidates without loss: as many bits as differ, so many
-shingles at least are in one of the two texts alone.
+"""Groups of near copies by the Jaccard similarity of word shingles, with SimHash fingerprints and min-wise samples for candidates.
+
+Candidates come from two kinds of prints. Those of whole texts are SimHash fingerprints, which meet in the grid join of
+``simhash_dedup``; it reaches texts that differ in very little. Texts with a similarity of 0.8 have fingerprints about ten
+bits apart, further than any grid over 64 bits separates from chance. For them every text has SAMPLES prints, each of TAKE
+min-wise values of its shingles; a print is equal for two texts of similarity s with probability s ** TAKE, so all of them
+miss a pair at 0.8 once in about two million.
+
+Every candidate is verified on the whole shingle sets. Texts are compared a bucket (the texts with one print) at a time:
+for ROUNDS rounds at most, with one centre of the bucket, a different one each round, which joins a large group of copies
+without its pairs. Only texts that are in different groups by then meet; at last all that are left in different groups.
+So every candidate pair is compared unless links have joined its texts already, and groups are the chains of all links.
+Sizes and PARITY words of parity bits rule out most candidates without loss: as many bits as differ, so many shingles at
+least are in one of the two texts alone.
 """
 
 from __future__ import annotations
@@ -17,56 +20,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lean, slices, stored
+from corpusloom.llm.common import discard, lean, slices, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.fingerprints import shingle_hashes, simhash
-from corpusloom.llm.recompress_core import LEVEL, mix
+from corpusloom.llm.recompress_core import GOLD, mix
 from corpusloom.llm.simhash_dedup import close_pairs
 
-#: Samples of shingles for each text, and shingles in a sample.
-SAMPLES, TAKE = 16, 3
+#: Prints of a text beside its fingerprint, and min-wise values in a print.
+SAMPLES, TAKE = 20, 3
 #: Rounds in which a bucket's texts meet one centre, and 64-bit words of parity bits for each text.
 ROUNDS, PARITY = 4, 16
 #: So many ids at most are broadcast.
 FEW = 1_000_000
-
-
-def sample_prints(unique: np.ndarray) -> list[int]:
-    """SimHash fingerprints of the TAKE shingles that come first in each of SAMPLES orders."""
-    out = []
+#: The orders of the min-wise values: each is a bijection of 64 bits, x -> (x ^ flip) * odd.
+FLIP = mix(np.arange(1, SAMPLES * TAKE + 1, dtype=np.uint64) * GOLD)
+ODD = mix(FLIP + GOLD) | np.uint64(1)
+#: Floating-point products of a similarity and a count are right to far less.
+NEARLY = 1e-9
+
+
+def sample_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of shingle hashes its SAMPLES prints; zeros for an empty set."""
+    out = np.zeros((len(sets), SAMPLES), np.uint64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if not full:
+        return out
+    values = np.concatenate([sets[i] for i in full])
+    starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
     for k in range(SAMPLES):
-        order = mix(unique ^ LEVEL[k + 20])
-        first = np.sort(order)[:TAKE] if len(order) <= TAKE else np.sort(np.partition(order, TAKE - 1)[:TAKE])
-        out.append(simhash(mix(first + LEVEL[:len(first)])) if len(first) else 0)
+        found = np.zeros(len(full), np.uint64)
+        for j in range(k * TAKE, (k + 1) * TAKE):
+            found = mix(found + np.minimum.reduceat((values ^ FLIP[j]) * ODD[j], starts))
+        out[full, k] = found
     return out
 
 
-def parity_bits(unique: np.ndarray) -> list[int]:
-    """64 * PARITY bits: the parity of the shingles that fall on each."""
-    odd = (np.bincount((mix(unique) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set 64 * PARITY bits, as PARITY integers: the parity of the shingles that fall on each."""
+    width = 64 * PARITY
+    at = [np.empty(0, np.int64)] + [(mix(s) & np.uint64(width - 1)).astype(np.int64) + i * width for i, s in enumerate(sets)]
+    odd = (np.bincount(np.concatenate(at), minlength=len(sets) * width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), PARITY)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
 
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {"same": [], "fp": [], "n": [], "samples": [], "bits": []}
+            sets, fps = [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text, width)
-                unique = np.unique(hashes)
-                # a sum of mixed hashes stands for the set
-                out["same"].append(int(np.array([mix(unique).sum(dtype=np.uint64) + np.uint64(len(unique))]).view(np.int64)[0]))
-                out["fp"].append(simhash(hashes))
-                out["n"].append(len(unique))
-                out["samples"].append(sample_prints(unique))
-                out["bits"].append(parity_bits(unique))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(out[c], pa.int64()) for c in ("same", "fp", "n")), *(pa.array(out[c], pa.list_(pa.int64())) for c in ("samples", "bits"))],
-                names=["id", "same", "fp", "n", "samples", "bits"],
-            )
+                fps.append(simhash(hashes))
+                sets.append(np.unique(hashes))
+            # a sum of mixed hashes stands for the set
+            same = np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)
+            own = [mix(same).view(np.int64), np.array(fps, np.int64), np.array([len(s) for s in sets], np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, own), _lists(sample_prints(sets)), _lists(parity_bits(sets))], names=["id", "same", "fp", "n", "samples", "bits"])
 
     return run
 
@@ -75,84 +90,109 @@ def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
     return run
 
 
 def fingerprint_buckets(sets: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(k, print, id, n) of whole-text fingerprints: a bucket for each that several texts have, and one for each two that
-    differ in at most ``radius`` bits, with all texts of both. ``sets`` has (id, fp, n)."""
+    """(k, print, id) of whole-text fingerprints: a bucket for each that several texts have, and one for each two that
+    differ in at most ``radius`` bits, with all texts of both. ``sets`` has (id, fp)."""
     sizes = sets.groupBy("fp").agg(F.count("*").alias("size"))
     several = sizes.where("size > 1").select("fp")
-    equal = sets.join(several.hint("merge"), "fp").select(F.lit(-1).alias("k"), F.col("fp").alias("print"), "id", "n")
+    equal = sets.join(several.hint("merge"), "fp").select(F.lit(-1).alias("k"), F.col("fp").alias("print"), "id")
     near = close_pairs(sizes.select("fp"), radius).select("a", "b", F.xxhash64("a", "b").alias("print"))
     ends = near.select("print", F.explode(F.array("a", "b")).alias("fp"))
-    return equal, ends.join(sets.hint("merge"), "fp").select(F.lit(-2).alias("k"), "print", "id", "n")
+    return equal, ends.join(sets.hint("merge"), "fp").select(F.lit(-2).alias("k"), "print", "id")
+
+
+def possible(x: str, y: str, similarity: float) -> Column:
+    """Whether sizes and parity bits leave it open that two texts, columns n and bits of the structs ``x`` and ``y``, are similar."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(PARITY))
+    # of nx + ny shingles, 2 * common are in both: a similarity s leaves (1 - s) / (1 + s) of them at most
+    return (F.least(nx, ny) + NEARLY >= similarity * F.greatest(nx, ny)) & (apart <= (1 - similarity) / (1 + similarity) * (nx + ny) + NEARLY)
 
 
 def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, root): the ids whose text is in a group with a smaller id, and the smallest id of the group.
 
     Groups are chains of verified pairs. Texts with equal shingle sets are one; texts without words have the empty set.
-    Rows with a null id are left out. The result is written to the shared folder.
+    Rows with a null id are left out. The result is written to the shared folder; all tables on the way to it are deleted.
     """
     base = lean(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>, bits array<bigint>"), "signatures")
-    sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"), F.first("bits").alias("bits")), "sets")
+    heads = signs.groupBy("same").agg(F.min("id").alias("head"))
+    sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"), F.first("bits").alias("bits")).drop("same"), "sets")
 
-    equal, near = fingerprint_buckets(sets, radius)
-    near = stored(near, "near")
-    everywhere = sets.select("id", F.posexplode("samples").alias("k", "print")).groupBy("k", "print").agg(F.count("*").alias("size")).where("size > 1").select("k", "print")
-    spread = sets.select("id", "n", F.posexplode("samples").alias("k", "print"))
     # only prints that several texts have matter from here on
-    shared = stored(spread.join(everywhere.hint("merge"), ["k", "print"]).select("k", "print", "id", "n").unionByName(equal), "shared")
-    used = stored(shared.select("id").union(near.select("id")).distinct(), "used")
+    equal, near = fingerprint_buckets(sets.select("id", "fp"), radius)
+    spread = sets.select(F.posexplode("samples").alias("k", "print"), "id")
+    several = spread.groupBy("k", "print").agg(F.count("*").alias("size")).where("size > 1").select("k", "print")
+    members = stored(spread.join(several.hint("merge"), ["k", "print"]).unionByName(equal).unionByName(near).withColumn("root", F.col("id")), "members")
+    used = stored(members.select("id").distinct(), "used")
     few = used.count() <= FEW
     wanted = base.join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi")
+    shapes = stored(sets.select("id", "n", "bits").join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi"), "shapes")
     texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
-    sizes = stored(sets.select("id", "n", "bits").join(used.hint("merge"), "id"), "sizes")
+    discard(sets, used)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are similar."""
-        pairs = pairs.join(sizes.withColumnsRenamed({"id": "x", "n": "nx", "bits": "bx"}), "x").join(sizes.withColumnsRenamed({"id": "y", "n": "ny", "bits": "by"}), "y")
-        apart = sum(F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY))
-        # of nx + ny shingles, 2 * common are in both: a similarity s leaves (1 - s) / (1 + s) of them at most
-        can = (F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny")) & (apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("nx") + F.col("ny")))
-        pairs = stored(pairs.where(can).select("x", "y", "nx", "ny"), "pairs")
-        a, b = texts.withColumnsRenamed({"id": "x", "shingles": "sx"}), texts.withColumnsRenamed({"id": "y", "shingles": "sy"})
-        common = F.size(F.array_intersect("sx", "sy"))
-        return stored(pairs.join(a.hint("merge"), "x").join(b.hint("merge"), "y").where(common >= F.lit(similarity) * (F.col("nx") + F.col("ny") - common)).select("x", "y").distinct(), "alike")
-
-    gone, links = None, None
-    for round_ in range(ROUNDS):
-        # the large groups first: a text that is like one with a smaller id meets no further centre here
-        buckets = shared if gone is None else shared.join(gone, "id", "left_anti")
-        buckets = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)))
-        centres = buckets.groupBy("k", "print").agg(F.min_by("id", F.struct("order", "id")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("k", "print", "centre")
-        pairs = buckets.join(centres.hint("merge"), ["k", "print"]).where("id <> centre").select(F.greatest("id", "centre").alias("x"), F.least("id", "centre").alias("y"))
-        found = alike(pairs.distinct())
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+        """The pairs (x, y) that are similar; ``pairs`` has no repeats."""
+        of = F.struct("n", "bits")
+        x, y = shapes.select(F.col("id").alias("x"), of.alias("a")), shapes.select(F.col("id").alias("y"), of.alias("b"))
+        open_ = stored(pairs.join(x, "x").join(y, "y").where(possible("a", "b", similarity)).select("x", "y"), "open")
+        left = texts.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
+        right = texts.join(open_.select(F.col("y").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
+        common, both = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
+        found = stored(open_.join(left, "x").join(right, "y").where(common + NEARLY >= similarity * (both - common)).select("x", "y"), "alike")
+        discard(open_)
+        return found
+
+    roots: DataFrame | None = None  # (node, root) of the texts that are not their own group
+    for round_ in range(ROUNDS + 1):
+        last = round_ == ROUNDS
+        order = F.xxhash64("id", F.lit(round_))
+        buckets = members.groupBy("k", "print").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.struct(order, "id")).alias("centre")).where("low < high")
+        if last:  # all that is left in different groups
+            active = members.join(buckets.select("k", "print").hint("merge"), ["k", "print"]).join(shapes, "id").select("k", "print", F.struct("id", "root", "n", "bits").alias("m"))
+            same_bucket = (F.col("a.k") == F.col("b.k")) & (F.col("a.print") == F.col("b.print"))
+            met = active.alias("a").join(active.alias("b").hint("merge"), same_bucket & (F.col("a.m.root") < F.col("b.m.root")) & possible("a.m", "b.m", similarity))
+            pairs = met.select(F.greatest("a.m.id", "b.m.id").alias("x"), F.least("a.m.id", "b.m.id").alias("y"))
+        else:
+            met = members.join(buckets.hint("merge"), ["k", "print"]).where(F.col("root") != F.col("centre.root"))
+            pairs = met.select(F.greatest("id", "centre.id").alias("x"), F.least("id", "centre.id").alias("y"))
+        pairs = stored(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            discard(pairs)
             break
-        larger = found.select(F.col("x").alias("id")).distinct()
-        gone = stored(larger if gone is None else gone.unionByName(larger).distinct(), "gone")
-    # then all pairs of a bucket's texts that are in different groups so far, by their groups: none within a group is made
-    root = components(links, "x", "y").withColumnRenamed("node", "id")
-    members = stored(shared.unionByName(near).join(root.hint("merge"), "id", "left").select("k", "print", "id", "n", F.coalesce("root", "id").alias("root")), "members")
-    groups = members.groupBy("k", "print", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = groups.groupBy("k", "print").agg(F.count("*").alias("groups")).where("groups > 1").select("k", "print")
-    groups = stored(groups.join(several.hint("merge"), ["k", "print"]), "groups")
-    a, b = groups.withColumnsRenamed({"root": "ra", "low": "la", "high": "ha"}), groups.withColumnsRenamed({"root": "rb", "low": "lb", "high": "hb"})
-    between = a.join(b.hint("merge"), ["k", "print"]).where(f"ra < rb and ha >= {similarity} * lb and hb >= {similarity} * la").select("k", "print", "ra", "rb")
-    xs, ys = members.select("k", "print", F.col("root").alias("ra"), F.col("id").alias("ia"), F.col("n").alias("na")), members.select("k", "print", F.col("root").alias("rb"), F.col("id").alias("ib"), F.col("n").alias("nb"))
-    met = between.join(xs.hint("merge"), ["k", "print", "ra"]).join(ys.hint("merge"), ["k", "print", "rb"]).where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    links = links.unionByName(alike(met.select(F.greatest("ia", "ib").alias("x"), F.least("ia", "ib").alias("y")).distinct()))
-    heads = sets.select("same", F.col("id").alias("head"))
-    roots = components(links, "x", "y")
-    classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
-    return stored(signs.select("id", "same").join(classes.select("same", "root").hint("merge"), "same").where("id <> root").select("id", "root").distinct(), "dropped")
+        found = alike(pairs)
+        if not found.isEmpty():
+            # groups that a link joins become one
+            edges = found
+            for end in ("x", "y") if roots is not None else ():
+                edges = edges.join(roots.withColumnsRenamed({"node": end, "root": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            merged = components(edges, "x", "y")
+            moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            now = members.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+            before, members = members, stored(now.select("k", "print", "id", "root"), "members")
+            discard(before)
+            if roots is None:
+                roots = stored(merged, "roots")
+            else:
+                grown = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                before, roots = roots, stored(grown.unionByName(merged.join(grown.select("node"), "node", "left_anti")), "roots")
+                discard(before)
+            discard(merged)
+        discard(pairs, found)
+    classes = heads.select("same", F.col("head").alias("root"))
+    if roots is not None:
+        classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("same", F.coalesce("root", "head").alias("root"))
+    out = stored(signs.select("id", "same").join(classes, "same").where("id <> root").select("id", "root").distinct(), "dropped")
+    discard(signs, members, shapes, texts, *([roots] if roots is not None else []))
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
