@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     discard(shared, firsts)
 
     open_rows = judged.where("windows is not null")
-    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.array_distinct(F.arrays_zip("symbols", "windows"))).alias("w")).select("doc", "w.symbols", "w.windows")
+    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.arrays_zip("symbols", "windows")).alias("w")).select("doc", "w.symbols", "w.windows")
     earliest = windows.groupBy("symbols", "windows").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("symbols", "windows", "first")
     hits = windows.join(earliest.hint("merge"), ["symbols", "windows"]).where("doc > first").groupBy("doc").agg(F.collect_list(F.struct("symbols", "windows")).alias("hits"))
     hits = stored(hits, "hits")

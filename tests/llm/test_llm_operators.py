@@ -388,7 +388,36 @@ def test_articles_of_repeated_pages_stay(spark):
     got = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert {got[i] for i in range(30)} == {"Story one of the day one"} and {got[400 + i] for i in range(12)} == {"Story shared of the day shared"}
     assert {got[100 + i] for i in range(180)} == {"Report one"} and [got[300 + i] for i in range(20)] == [f"Report {i}" for i in range(20)]
-    assert len(site_style_tree.main_text(site_style_tree.read(page.format(1)), {site_style_tree.key_of("/body/article")})) > 0
+    blocks = site_style_tree.read(page.format(1)).blocks
+    assert site_style_tree.main_text(blocks, {b[0] for b in blocks}) == "Story 1 of the day 1"
+
+
+def test_entropies_decide_without_names(spark):
+    """No article element, and a menu and an imprint of neutral names; the menu leaves out the page that is open."""
+    rng = np.random.default_rng(2)
+    menu = [f"Topic {i}" for i in range(9)]
+    rows, want = [], {}
+    for i in range(60):
+        links = "".join(f"<li><a href='/{m}'>{m}</a>" for m in menu if m != menu[i % 9])
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 500, 12)) for _ in range(int(rng.integers(1, 9)))]
+        body = "".join(f"<p>{t}</p>" for t in own)
+        rows.append((i, f"http://plain.org/{i}", f"<body class=k1><div class=k2><ul>{links}</ul></div><div class=k3>{body}<p>Set in Garamond</p></div><div class=k4><p>Printed in Ghent</p><p>All rights</p></div></body>"))
+        want[i] = "\n\n".join([*own, "Set in Garamond"])  # what the article itself repeats is not cut out of it
+    rows += [(100, None, rows[0][2]), (101, "http://once.org/", rows[1][2]), (0, rows[0][1], rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as low", "html as text", "'x' as host", "2 as node")
+    got = site_style_tree.extract(frame).collect()
+    assert len(got) == 63 and all(r["text"] == want[r["page_id"]] for r in got if r["page_id"] < 100)
+    # the counts of all hosts stand in for a host with few pages
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] >= 100} == {100: want[0], 101: want[1]}
+    assert site_style_tree.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_long_and_deep_pages(spark):
+    deep = "<div class=abcdefgh>" * 20000 + "<p>in</p>"
+    long = "<article>" + "<p>word</p>" * 50000
+    rows = [(1, "http://a.org/", deep), (2, "http://a.org/", long), (3, "http://a.org/", "<a " * 40000), (4, "http://a.org/", "&nbsp;<p>\x00\ud7ff&#x110000;&bogus;</p>")]
+    got = {r["page_id"]: r for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1]["text"] == "in" and got[2]["n_chars"] == 50000 * 6 - 2 and len(got) == 4
 
 
 def test_queries_have_their_columns():
