@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batches_out, lean, slices
 
-#: The split of the byte-level vocabulary before merges, with Unicode white space written out. The
-#: alternatives that start with a letter come first, which changes no match: no other can start there.
+#: The published split of the byte-level vocabulary before merges, with Unicode white space written out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Below this code point the standard library's faster matcher does the same with its classes written out.
 PLAIN_END = 0x300
 
@@ -38,7 +37,7 @@ def plain_classes() -> tuple[str, str]:
 
 def plain_pieces() -> re.Pattern:
     letters, digits = plain_classes()
-    return re.compile(rf" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 NEVER = 1 << 60

@@ -19,8 +19,10 @@ U = np.uint64
 BOTTOM, SHIFT, TOP_SHIFT = U(1 << 48), U(16), U(48)
 #: Slots for contexts of two and of one id, and ids in a block.
 SLOTS2, SLOTS1, BLOCK = 4096, 2048, 4096
-#: The total of a table as a power of two, and how slowly it moves. Four steps of 12 bits fit between two writes.
-BITS, RATE = 12, 4
+#: The total of a table as a power of two. Four steps of 12 bits fit between two writes.
+BITS = 12
+#: How slowly a table moves, as a power of two, by how often it has moved: a new one learns fast.
+RATES = np.array([2, 2, 3, 3, 3, 4, 4, 4, 4, 4, *[5] * 22, *[6] * 224], np.int16)
 TOTAL_SHIFT = U(BITS)
 
 
@@ -43,6 +45,7 @@ class Model:
         self.order1 = np.zeros((lanes, SLOTS1), np.int32)
         self.mix = np.tile(uniform(3), (lanes, 32, 1))
         self.digits = np.tile(uniform(r), (lanes, 1 + r + r * r, 1))
+        self.moved, self.mixed = np.zeros((lanes, 1 + r + r * r), np.uint8), np.zeros((lanes, 32), np.uint8)
         self.to_kind, self.to_digit = targets(3), targets(r)
         self.t1 = np.zeros(lanes, np.int64)
         self.t2 = np.zeros(lanes, np.int64)
@@ -57,8 +60,10 @@ class Model:
 
     def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
         w = self.weights
-        w += (self.to_kind[kind] - w) >> RATE
+        n = self.mixed[self.lane, self.state]
+        w += (self.to_kind[kind] - w) >> RATES[n][:, None]
         self.mix[self.lane, self.state] = w
+        self.mixed[self.lane, self.state] = n + (n < 255)
         for table, at, c, k in ((self.order2, self.at2, self.c2, self.k2), (self.order1, self.at1, self.c1, self.k1)):
             hit = c == x
             stay = hit | (k > 1)
@@ -67,13 +72,15 @@ class Model:
         self.t2, self.t1 = self.t1, x.astype(np.int64)
 
     def learn_digit(self, rest: np.ndarray, node: np.ndarray, row: np.ndarray, digit: np.ndarray) -> None:
-        row += (self.to_digit[digit] - row) >> RATE
+        n = self.moved[rest, node]
+        row += (self.to_digit[digit] - row) >> RATES[n][:, None]
         self.digits[rest, node] = row
+        self.moved[rest, node] = n + (n < 255)
 
     def shrink(self, lanes: int) -> None:
         """Go on with the first lanes; the others have ended."""
         self.lane = self.lane[:lanes]
-        for name in ("order2", "order1", "mix", "digits", "t1", "t2"):
+        for name in ("order2", "order1", "mix", "digits", "moved", "mixed", "t1", "t2"):
             setattr(self, name, getattr(self, name)[:lanes])
 
 

@@ -109,7 +109,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     to_piece = spark.createDataFrame(pairs, "head bigint, piece int")
     extra = base.drop("piece").join(F.broadcast(to_piece), F.col("at") == F.col("head")).select("id", "at", "text", "piece", F.lit(True).alias("extra"))
     rows = base.withColumn("extra", F.lit(False)).select("id", "at", "text", "piece", "extra").unionByName(extra)
-    rows = rows.repartition(pieces, "piece").sortWithinPartitions("piece", "extra", F.desc("at"), F.col("text").asc_nulls_first())
+    rows = rows.repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", "extra", F.desc("at"), F.col("text").asc_nulls_first())
     kind = base.schema["id"].dataType.simpleString()
     id_type: list[pa.DataType] = []
 

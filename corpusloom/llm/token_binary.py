@@ -14,6 +14,7 @@ else. Columns ``piece`` and ``nth`` order the frames, ``n_tokens`` counts their
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -46,17 +47,23 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         letters, digits = plain_classes()
-        #: The split of the word vocabulary. Letters come first, which changes no match.
-        self.pieces = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
-        self.odd = re.compile(rf"[^\x00-\u{PLAIN_END - 1:04x}]|İ").search
+        with open(path, encoding="utf-8") as f:
+            split = next(x["pattern"]["Regex"] for x in json.load(f)["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        # the vocabulary's own split, with its classes written out for characters below PLAIN_END
+        for name, inside in (("L", letters), ("N", digits)):
+            split = split.replace(f"\\p{{{name}}}", inside)
+        self.pieces = re.compile(split.replace("\\s", SPACE)).findall
+        self.odd = re.compile(rf"[^\x00-\u{PLAIN_END - 1:04x}]").search
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(lambda raw: self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.odd(text) or any(a in text for a in self.added):
+        lower = text.lower()
+        # some characters have a lower case beyond the classes; "i̇" is one character's, which the library writes as two
+        if self.odd(text) or self.odd(lower) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(text.lower()))), np.int32)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(lower))), np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,7 +131,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None
     64-bit integers. Rows go to ranges of ids, so texts are shuffled once and the driver holds a number for each range.
     """
     rows, pieces = in_pieces(docs, id_col, text_col)
-    rows = rows.repartition(pieces, "piece").sortWithinPartitions("piece", "at", F.col("text").asc_nulls_first())
+    rows = rows.repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", "at", F.col("text").asc_nulls_first())
     tail = np.array([] if end_id is None else [end_id], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
