@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm.common import lean, slices
 
@@ -30,10 +31,10 @@ BLOCK_BYTES = 8 << 20
 class Items:
     """The n-grams of a block of test items: ids of their words, and which n-gram stands where in which item."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[object, str]], n: int):
         self.vocabulary: dict[str, int] = {}
         self.words: list[np.ndarray] = []
-        self.ids: list[int] = []
+        self.ids: list[object] = []
         for item, text in rows:
             words = WORD(text.lower())
             if words:
@@ -91,7 +92,7 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in WORD(text.lower())], np.int64) if text else np.empty(0, np.int64)
 
-    def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
+    def matches(self, text: str | None, least: float) -> list[tuple[object, float, int, int]]:
         """(item, score, first word, end word) of the best alignment of each item that reaches ``least``."""
         words = self.of_text(text)
         at, grams = self.hits(words)
@@ -151,7 +152,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, best_start, best_end
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The test items in blocks of about BLOCK_BYTES; one item alone may be larger."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -171,6 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     """
     out = None
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word bigint, end_word bigint"
     for rows in item_blocks(benchmark, item_col, text_col):
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows, n))
@@ -182,11 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
                 if found:
                     row, item, score, start, end = zip(*found, strict=True)
                     ids = batch.column("id").take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array([round(s, 6) for s in score]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array([round(s, 6) for s in score]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        part = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema.replace(f"item_id {item_kind}", "item_id bigint"))
+        part = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out.withColumn("item_id", F.col("item_id").cast(item_kind))
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, text_col: str = "text", item_text: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -2,8 +2,8 @@
 
 The models are Markov chains of variable order over host and path, one for URLs that the rules allow and one for those
 that they block. The probability of a character is Witten-Bell smoothed from no context up to ORDER characters. A URL's
-score is the difference of its log-likelihoods divided by its number of characters (with its end); the cut is calibrated
-on hosts that the models have not seen. Counts come from the rows of the other hosts, also for the final scores.
+score is the difference of its log-likelihoods divided by its number of characters (with its end). The cut is calibrated
+on a fifth of the hosts, scored by models of the other four fifths; the models that judge are those of all URLs with a rule.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import discard, stored
 
 ORDER = 4
 #: A character that no model has seen is one of so many.
@@ -21,8 +21,8 @@ ALPHABET = 256.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Start and end of a URL, which no URL holds unescaped.
 START, END = "\x02", "\x03"
-#: So many n-grams at most are broadcast.
-FEW = 500_000
+#: So many n-grams at most are broadcast, of at most ORDER + 1 characters each: a few MB.
+FEW = 50_000
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,9 @@ def grams(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def orders(rows: DataFrame, *keep: str) -> DataFrame:
-    """Each row once for every shorter context, the longest first at k = length."""
+    """Each row once for every shorter context but the empty one, the longest first at k = length."""
     n = F.length("ctx")
-    return rows.select(*keep, "ctx", "c", F.explode(F.sequence(F.lit(0), n)).alias("k")).withColumn("sub", F.expr("right(ctx, k)"))
+    return rows.where("ctx <> ''").select(*keep, "ctx", "c", F.explode(F.sequence(F.lit(1), n)).alias("k")).withColumn("sub", F.expr("right(ctx, k)"))
 
 
 def log_ratios(train: DataFrame, asked: DataFrame) -> DataFrame:
@@ -74,13 +74,13 @@ def log_ratios(train: DataFrame, asked: DataFrame) -> DataFrame:
 
     ``train`` has (ctx, c, a, b): the weights with which the n-gram occurs in either class.
     """
-    counted = orders(train, "a", "b").groupBy("sub", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counted = stored(counted, "grams")
-    of_context = counted.groupBy("sub").agg(
-        F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("b") > 0).cast("long")).alias("tb")
-    )
+    train = stored(train, "train")
+    counted = stored(orders(train, "a", "b").groupBy("sub", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "grams")
+    kinds = [F.sum((F.col(x) > 0).cast("long")).alias(f"t{x}") for x in "ab"]
+    of_context = counted.groupBy("sub").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), *kinds)
     parts = orders(asked).join(of_context, "sub", "left").join(counted.select("sub", "c", "a", "b"), ["sub", "c"], "left")
-    level = F.struct("k", *(F.coalesce(x, F.lit(0.0)).cast("double").alias(x) for x in ("a", "na", "ta", "b", "nb", "tb")))
+    names = ("a", "na", "ta", "b", "nb", "tb")
+    level = F.struct("k", *(F.coalesce(x, F.lit(0.0)).cast("double").alias(x) for x in names))
 
     def smoothed(n: str, total: str, kinds: str) -> Column:
         def step(p: Column, x: Column) -> Column:
@@ -88,8 +88,29 @@ def log_ratios(train: DataFrame, asked: DataFrame) -> DataFrame:
 
         return F.aggregate("levels", F.lit(1.0 / ALPHABET), step)
 
-    folded = parts.groupBy("ctx", "c").agg(F.sort_array(F.collect_list(level)).alias("levels"))  # ORDER + 1 at most
-    return folded.select("ctx", "c", (F.log(smoothed("a", "na", "ta")) - F.log(smoothed("b", "nb", "tb"))).alias("llr"))
+    # every n-gram has the empty context, so its counts are no join's key: a row for each character there is
+    letters = stored(train.groupBy("c").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "letters")
+    whole = letters.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), *kinds).first()
+    zero = F.struct(F.lit(0).alias("k"), *(F.coalesce(F.col(x) if x in "ab" else F.lit(whole[x]), F.lit(0.0)).cast("double").alias(x) for x in names))
+    folded = parts.groupBy("ctx", "c").agg(F.sort_array(F.collect_list(level)).alias("longer"))  # ORDER at most
+    both = asked.select("ctx", "c").join(folded, ["ctx", "c"], "left").join(F.broadcast(letters), "c", "left")
+    both = both.withColumn("levels", F.concat(F.array(zero), F.coalesce("longer", F.array().cast(folded.schema["longer"].dataType))))
+    out = stored(both.select("ctx", "c", (F.log(smoothed("a", "na", "ta")) - F.log(smoothed("b", "nb", "tb"))).alias("llr")), "ratios")
+    discard(train, counted, letters)
+    return out
+
+
+def scores(lines: DataFrame, train: DataFrame) -> DataFrame:
+    """``lines`` (host, path, ruled, n, line) with the score that models of the URLs in ``train`` give them."""
+    weight = [F.when(F.col("ruled") == v, F.col("n")).otherwise(0.0).alias(x) for v, x in (("allow", "a"), ("block", "b"))]
+    counts = grams(train.select("line", *weight), "a", "b").groupBy("ctx", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    places = grams(lines, "host", "path", "ruled", "n")
+    table = log_ratios(counts, places.select("ctx", "c").distinct())
+    few = table.count() <= FEW
+    each = places.join(F.broadcast(table) if few else table.hint("merge"), ["ctx", "c"])
+    out = stored(each.groupBy("host", "path", "ruled", "n").agg(F.round(F.sum("llr") / F.count("*"), 6).alias("score")), "scores")
+    discard(table)
+    return out
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -116,25 +137,17 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
 
     verdict is the longest fitting rule's; where none fits, allow if the URL's score reaches the cut, else block. score is
     null where a rule decides. A null URL or one without ``://`` has an empty host and path and is scored as such. If the
-    rules leave one class without URLs, scores are still defined and the cut is 0. Repeated rows give a row each.
+    rules leave one class without URLs, scores are still defined and the cut is 0, as it is if the held fifth has one class. Repeated rows give a row each.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("ruled", verdict)
     lines = base.groupBy("host", "path", "ruled").agg(F.count("*").cast("double").alias("n")).withColumn("line", F.concat("host", "path"))
-    # a fifth of the hosts stays out of the counts, to calibrate on
     lines = stored(lines.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0), "urls")
-    train = lines.where("ruled is not null and not held")
-    weight = [F.when(F.col("ruled") == v, F.col("n")).otherwise(0.0).alias(x) for v, x in (("allow", "a"), ("block", "b"))]
-    counts = grams(train.select("line", *weight), "a", "b").groupBy("ctx", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    asked = lines.where("ruled is null or held")
-    places = grams(asked, "host", "path", "ruled", "n")
-    table = stored(log_ratios(counts, places.select("ctx", "c").distinct()), "ratios")
-    few = table.count() <= FEW
-    each = places.join(F.broadcast(table) if few else table.hint("merge"), ["ctx", "c"])
-    scored = stored(each.groupBy("host", "path", "ruled", "n").agg(F.round(F.sum("llr") / F.count("*"), 6).alias("score")), "scores")
-    cut = calibrate(scored.where("ruled is not null").select("score", "n", F.col("ruled").alias("verdict")))
+    ruled = lines.where("ruled is not null")
+    cut = calibrate(scores(ruled.where("held"), ruled.where("not held")).select("score", "n", F.col("ruled").alias("verdict")))
+    scored = scores(lines.where("ruled is null"), ruled)
     open_ = scored.where("ruled is null").select("host", "path", "score", F.lit(True).alias("open"))
     found = base.withColumn("open", F.when(F.col("ruled").isNull(), F.lit(True))).join(open_.hint("merge"), ["host", "path", "open"], "left")
     by_model = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))

@@ -322,11 +322,10 @@ def test_url_rules_and_model(spark):
     assert url_markov.judge(spark.createDataFrame([], "page_id bigint, url string"), rules).collect() == []
 
 
-def test_url_model_against_plain_counts(spark):
+def plain_url_model(lines):
+    """p(class, context, character) of lines (text, weight in either class), with Witten-Bell smoothing."""
     from collections import defaultdict
-    from math import log
 
-    lines = [("abab", 2.0, 0.0), ("abc", 0.0, 1.0), ("ba", 1.0, 3.0)]
     counts = {0: defaultdict(lambda: defaultdict(float)), 1: defaultdict(lambda: defaultdict(float))}
     for line, *weights in lines:
         w = url_markov.START + line + url_markov.END
@@ -344,6 +343,14 @@ def test_url_model_against_plain_counts(spark):
                 value = (seen.get(c, 0) + len(seen) * value) / (sum(seen.values()) + len(seen))
         return value
 
+    return p
+
+
+def test_url_model_against_plain_counts(spark):
+    from math import log
+
+    lines = [("abab", 2.0, 0.0), ("abc", 0.0, 1.0), ("ba", 1.0, 3.0)]
+    p = plain_url_model(lines)
     train = url_markov.grams(spark.createDataFrame(lines, "line string, a double, b double"), "a", "b")
     asked = url_markov.grams(spark.createDataFrame([("abz",)], "line string")).distinct()
     got = {(r["ctx"], r["c"]): r["llr"] for r in url_markov.log_ratios(train, asked).collect()}
@@ -352,6 +359,45 @@ def test_url_model_against_plain_counts(spark):
         assert llr == pytest.approx(log(p(0, ctx, c)) - log(p(1, ctx, c)), abs=1e-9)
 
 
+def test_whole_url_filter_against_plain_models(spark):
+    from math import floor, log
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rules = [url_markov.Rule("net", "/", "block"), url_markov.Rule("org", "/fr/", "allow")]
+    urls = [f"http://{rng.choice(['news', 'lore', 'book'])}{i % 9}.org/fr/{rng.choice(['page', 'item'])}{i % 13}" for i in range(60)]
+    urls += [f"http://{rng.choice(['win', 'cash', 'spam'])}{i % 7}.net/x{i % 11}" for i in range(60)] + [f"http://{rng.choice(['news', 'cash', 'q'])}{i}.com/fr/{rng.choice(['item', 'x'])}" for i in range(30)] + [None, "", "http://", "http://" + "é/" * 2000]
+    rows = [(i, u, "h", 1.0) for i, u in enumerate(urls)] + [(0, urls[0], "h", 1.0)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, host string, score double")
+    got = url_markov.judge(frame, rules).collect()
+    assert len(got) == len(rows)
+    hosts = {r["host"] for r in got}
+    held = {r["h"] for r in spark.createDataFrame([(h,) for h in hosts], "h string").where(F.pmod(F.xxhash64("h"), F.lit(5)) == 0).collect()}
+    ruled = [(r["host"], r["path"], r["verdict"]) for r in got if r["rule"]]
+    weighted = lambda xs: [(h + p, float(v == "allow"), float(v == "block")) for h, p, v in xs]
+
+    def score(p, line):
+        w = url_markov.START + line + url_markov.END
+        parts = [(w[max(0, i - url_markov.ORDER) : i], w[i]) for i in range(1, len(w))]
+        return round(sum(log(p(0, x, c)) - log(p(1, x, c)) for x, c in parts) / len(parts), 6)
+
+    part = plain_url_model(weighted([x for x in ruled if x[0] not in held]))
+    marks = [(floor(min(max(score(part, h + p), -50), 50) * 100), v) for h, p, v in ruled if h in held]
+    total = Counter(v for _, v in marks)
+    cut = 0.0
+    if len(total) == 2:
+        gain = lambda at: sum(b >= at and v == "allow" for b, v in marks) / total["allow"] + sum(b < at and v == "block" for b, v in marks) / total["block"]
+        cut = max(sorted({b for b, _ in marks}), key=lambda at: (gain(at), -at)) / 100
+    whole = plain_url_model(weighted(ruled))
+    for r in got:
+        if r["rule"] is None:
+            assert r["score"] == pytest.approx(score(whole, r["host"] + r["path"]), abs=2e-6)
+            assert r["verdict"] == ("allow" if r["score"] >= cut else "block")
+        else:
+            assert r["score"] is None
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "é"), (2, 0, "system", "x"), (3, 0, None, "who"), (3, 1, "ann", "y"), (3, 1, "ann", "y"), (None, 0, "ann", "z")]
     got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).orderBy("conv_id", "perspective", "position").collect()
