@@ -4,10 +4,11 @@ A window of ``width`` words is known by a symbol of the recompressed text (recom
 equal symbols, so only windows under a symbol that several documents share can repeat. Neighbouring windows under one
 symbol make a segment. Symbols that one document alone has go first, by an aggregate of two ids for each symbol. Of the
 rest, a segment whose words an earlier document has too is covered as a whole. What is left are segments that share
-their symbol with other segments: there the windows themselves are compared.
+their symbol with other segments. Each of their windows is known by one of its halves, the one whose name is the least;
+most symbols are shared by chance, and then no half is. Where one is, the windows themselves are compared.
 
-Symbols gather candidates and decide nothing. Segments and windows under one symbol are equal if keyed digests of their
-words as written are (64 bits, beside the 64 of the symbol, under a key drawn anew for every call), so neither chance
+Symbols gather candidates and decide nothing. Segments under one symbol and windows under one half are equal if keyed digests of their
+words as written are (64 bits, beside the 64 of the symbol or half, under a key drawn anew for every call), so neither chance
 nor a text made for it takes different words for equal.
 """
 
@@ -85,33 +86,49 @@ def covered_words(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _digest(raws: list[bytes], gone: list[np.ndarray | None], open_: list[bool], keep_text: bool) -> list[pa.Array]:
+def halves_of(words: Words, at: np.ndarray, width: int) -> np.ndarray:
+    """For each window that starts at a word the least name among its runs of half as many words."""
+    half = (width + 1) // 2
+    n = len(words.names) - half + 1
+    runs = np.zeros(max(n, 0), np.uint64)
+    for k in range(half):
+        runs = mix(runs * GOLD + words.names[k : k + len(runs)])
+    least = runs[at]
+    for k in range(1, width - half + 1):
+        np.minimum(least, runs[at + k], out=least)
+    return least
+
+
+def _digest(raws: list[bytes], empty: list[bool], gone: list[np.ndarray | None], open_: list[bool], keep_text: bool) -> list[pa.Array]:
     """n_words, n_removed, kept_sha256 and kept of each text that isn't open."""
     out: list[tuple] = []
-    for raw, lost, wait in zip(raws, gone, open_, strict=True):
+    for raw, null, lost, wait in zip(raws, empty, gone, open_, strict=True):
         if wait:
             out.append((None, None, None, None))
             continue
         words = raw.split()  # on bytes this takes the ASCII white space alone
         left = words if lost is None else list(compress(words, (~lost).tolist()))
         joined = b" ".join(left)
-        out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if keep_text else None))
+        kept = None
+        if keep_text and not null:
+            kept = (raw if len(left) == len(words) else joined).decode("utf-8", "replace")
+        out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), kept))
     return [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
 
 def _judge(width: int, keep_text: bool, key: bytes):
-    """Rows without pending segments are done. Of others go on the text, compressed, the words that are gone (as positions),
-    and place, symbol and digest of every pending window."""
+    """Rows without pending segments are done. Of others go on a digest that tags the text, the text, compressed, the words
+    that are gone (as positions), and place and half of every pending window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text", TOGETHER):
             raws, n = raw_texts(batch), batch.num_rows
             known = np.array([bool(c or p) for c, p in zip(pa.compute.list_value_length(batch.column("covered")).to_pylist(), pa.compute.list_value_length(batch.column("pending")).to_pylist(), strict=True)], bool)
             gone: list[np.ndarray | None] = [None] * n
             lost: list[np.ndarray | None] = [None] * n
             places: list[np.ndarray | None] = [None] * n
-            symbols: list[np.ndarray | None] = [None] * n
-            windows: list[np.ndarray | None] = [None] * n
+            halves: list[np.ndarray | None] = [None] * n
             if known.any():
                 words = Words([r if k else b"" for r, k in zip(raws, known, strict=True)])
                 keys, starts, ends, texts = segments(words, width)
@@ -120,9 +137,7 @@ def _judge(width: int, keep_text: bool, key: bytes):
                 count, offsets = len(words.names), words.offsets
                 mask = covered_words(starts[whole], ends[whole] + width - 1, count)
                 at = np.flatnonzero(covered_words(starts[pending], ends[pending], count))
-                # a window of a segment has the segment's symbol
-                under = keys[np.searchsorted(starts, at, "right") - 1].view(np.int64) if len(at) else at
-                found = words.digests(at, at + width, key).view(np.int64) if len(at) else at
+                found = halves_of(words, at, width).view(np.int64)
                 first, last = np.searchsorted(at, offsets[:-1]), np.searchsorted(at, offsets[1:])
                 for i in np.flatnonzero(known):
                     a, b = offsets[i], offsets[i + 1]
@@ -130,13 +145,35 @@ def _judge(width: int, keep_text: bool, key: bytes):
                         gone[i] = mask[a:b]
                     if last[i] > first[i]:
                         part = slice(first[i], last[i])
-                        places[i], symbols[i], windows[i] = at[part] - a, under[part], found[part]
+                        places[i], halves[i] = at[part] - a, found[part]
                         lost[i] = np.flatnonzero(mask[a:b])
-            open_ = [w is not None for w in windows]
-            squeeze = zstandard.ZstdCompressor(level=3).compress
+            open_ = [p is not None for p in places]
+            tags = [int.from_bytes(hashlib.blake2b(r, digest_size=8, key=key).digest(), "little", signed=True) if wait else None for r, wait in zip(raws, open_, strict=True)]
             text = pa.array([squeeze(r) if wait else None for r, wait in zip(raws, open_, strict=True)], pa.binary())
-            lists = [pa.array(x, pa.list_(t)) for x, t in ((lost, pa.int32()), (places, pa.int32()), (symbols, pa.int64()), (windows, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), text, *lists, *_digest(raws, gone, open_, keep_text)], names=["row", "text", "lost", "places", "symbols", "windows", "n_words", "n_removed", "kept_sha256", "kept"])
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((lost, pa.int32()), (places, pa.int32()), (halves, pa.int64()))]
+            done = _digest(raws, batch.column("text").is_null().to_pylist(), gone, open_, keep_text)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(tags, pa.int64()), text, *lists, *done], names=["row", "tag", "text", "lost", "places", "halves", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
+def _windows(width: int, key: bytes):
+    """A row for each pending window under a half that several documents have: its place, half and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "text", TOGETHER >> 1):
+            words = Words([expand(t) for t in batch.column("text").to_pylist()])
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, (places, halves, shared) in enumerate(zip(*(batch.column(c) for c in ("places", "halves", "shared")), strict=True)):
+                own, place = np.array(halves.values, np.int64), np.array(places.values, np.int64)
+                hit = np.isin(own, np.array(shared.values, np.int64))
+                out.append((np.full(int(hit.sum()), i), place[hit], own[hit], place[hit] + words.offsets[i]))
+            row, place, half, at = map(np.concatenate, zip(*out, strict=True))
+            if len(row):
+                of = pa.array(row)
+                numbers = [pa.array(place.astype(np.int32)), pa.array(half), long_array(words.digests(at, at + width, key))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("tag").take(of), *numbers], names=["doc", "tag", "place", "half", "window"])
 
     return run
 
@@ -148,19 +185,18 @@ def _finish(width: int, keep_text: bool):
         expand = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "text", TOGETHER >> 1):
             raws, gone = [expand(t) for t in batch.column("text").to_pylist()], []
-            columns = [batch.column(c) for c in ("lost", "places", "symbols", "windows", "hits")]
-            for i, (raw, lost, places, symbols, windows, hits) in enumerate(zip(raws, *columns, strict=True)):
+            for raw, lost, hits in zip(raws, *(batch.column(c) for c in ("lost", "hits")), strict=True):
                 change = np.zeros(len(raw) + 2, np.int32)
                 out = np.array(lost.values) if lost.is_valid else np.empty(0, np.int32)
                 np.add.at(change, out, 1)
                 np.add.at(change, out + 1, -1)
                 if hits.is_valid:
-                    own = joint(np.array(symbols.values, np.int64), np.array(windows.values, np.int64))
-                    at = np.array(places.values)[np.isin(own, joint(*pairs_of(columns[-1].slice(i, 1))))]
+                    at = np.array(hits.values)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + width, -1)
                 gone.append(np.cumsum(change) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *_digest(raws, gone, [False] * len(raws), keep_text)], names=["row", "n_words", "n_removed", "kept_sha256", "kept"])
+            none = [False] * len(raws)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *_digest(raws, none, gone, none, keep_text)], names=["row", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -169,12 +205,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     """Every row of ``docs`` with its other columns, and n_words, n_removed, kept_sha256 and, on request, kept.
 
     A word goes if a window of ``width`` words that covers it also starts in a row with a smaller id; windows are judged
-    on the input. kept is what is left, joined by one space, and kept_sha256 its digest. A null, empty or blank text has
+    on the input. kept_sha256 is the digest of what is left, joined by one space; kept is that, or the text as it was if it
+    loses nothing. A null, empty or blank text has
     no words; a text shorter than a window loses none. Rows that repeat an id don't count against each other; a row
     with a null id loses nothing and counts against none. The text column itself is not returned. Extra columns of any
     name pass through untouched (n_words, n_removed, kept_sha256 and kept replace columns of these names).
 
-    Shuffled are a symbol, a hash and an id for about every seventh word, and the texts once.
+    Shuffled are a symbol, a hash and an id for about every seventh word, the texts once, and compressed those of texts that
+    share symbols but not whole segments, twice more.
     """
     own = {"n_words", "n_removed", "kept_sha256", "kept", text_col}
     others = [c for c in docs.columns if c not in own]
@@ -191,17 +229,24 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     pending = firsts.join(several.hint("merge"), "key").select(F.col("first").alias("doc"), "key", "seg", F.lit(False).alias("whole"))
     of = F.struct("key", "seg")
     lists = covered.unionByName(pending).groupBy("doc").agg(F.collect_list(F.when(F.col("whole"), of)).alias("covered"), F.collect_list(F.when(~F.col("whole"), of)).alias("pending"))
-    first_out = f"row {row_type}, text binary, lost array<int>, places array<int>, symbols array<bigint>, windows array<bigint>, {OUT}, kept string"
+    first_out = f"row {row_type}, tag bigint, text binary, lost array<int>, places array<int>, halves array<bigint>, {OUT}, kept string"
     joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
     judged = stored(joined.mapInArrow(_judge(width, keep_text, key), first_out), "judged")
     discard(shared, firsts)
 
-    open_rows = judged.where("windows is not null")
-    windows = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), F.explode(F.arrays_zip("symbols", "windows")).alias("w")).select("doc", "w.symbols", "w.windows")
-    earliest = windows.groupBy("symbols", "windows").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("symbols", "windows", "first")
-    hits = windows.join(earliest.hint("merge"), ["symbols", "windows"]).where("doc > first").groupBy("doc").agg(F.collect_list(F.struct("symbols", "windows")).alias("hits"))
-    hits = stored(hits, "hits")
-    rest = open_rows.select("row", "text", "lost", "places", "symbols", "windows").join(hits, F.col(f"row.`{id_col}`") == hits["doc"], "left").drop("doc")
+    def both_ends(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+
+    open_rows = judged.where("tag is not null")
+    of_doc = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), "tag", "text", "places", "halves")
+    sides = of_doc.select("doc", F.explode(F.array_distinct("halves")).alias("half"))
+    shared_halves = sides.join(both_ends(sides, "half").select("half").hint("merge"), "half").groupBy("doc").agg(F.collect_set("half").alias("shared"))
+    windows = of_doc.join(shared_halves, "doc").mapInArrow(_windows(width, key), f"doc {kind}, tag bigint, place int, half bigint, window bigint")
+    windows = stored(windows, "windows")
+    hits = windows.join(both_ends(windows, "half", "window").hint("merge"), ["half", "window"]).where("doc > first").groupBy("doc", "tag").agg(F.collect_set("place").alias("hits"))
+    hits = stored(hits.withColumnsRenamed({"tag": "of"}), "hits")
+    discard(windows)
+    rest = open_rows.select("row", "tag", "text", "lost").join(hits, (F.col(f"row.`{id_col}`") == F.col("doc")) & (F.col("tag") == F.col("of")), "left").select("row", "text", "lost", "hits")
     rest = rest.mapInArrow(_finish(width, keep_text), f"row {row_type}, {OUT}, kept string")
-    done = judged.where("windows is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
+    done = judged.where("tag is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
     return done.select("row.*", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))
