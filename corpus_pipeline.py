@@ -38,9 +38,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text that loses nothing stays as it is; of others the words that are left are joined by one space.
     """
-    judged = recompression.remove_repeats(docs.withColumn("text_before", F.col("text")), width=REPEAT_WORDS, keep_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text_before"))
-    out = judged.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    judged = recompression.remove_repeats(docs, width=REPEAT_WORDS, keep_text=True)
+    out = judged.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
