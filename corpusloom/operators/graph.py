@@ -6,14 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the folder that the cluster names for checkpoints."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

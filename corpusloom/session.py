@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,3 +23,24 @@ def session(app: str = "corpusloom", cores: int | str = "*", partitions: int = 8
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session in one process (``local``) gets a temporary folder; any other is refused, as a folder
+    of this machine would be missing on the executors.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            found = current.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            found = tempfile.mkdtemp(prefix="corpusloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
