@@ -72,11 +72,24 @@ def normalised(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.withColumn(score, F.when(most > 0, F.col(score) / most).otherwise(0.0))
 
 
-def metadata_score(keywords: Column, haystack: Column, query: Column, exact: float = 0.2) -> Column:
-    """Share of keywords that the metadata hold, plus ``exact`` for the whole query, at most 1."""
-    found = F.size(F.filter(keywords, lambda k: F.contains(haystack, k)))
-    share = F.when(F.size(keywords) > 0, found / F.size(keywords)).otherwise(0.0)
-    return F.least(F.lit(1.0), share + F.when(F.contains(haystack, query), exact).otherwise(0.0))
+#: Words of a query that ask for a kind of chunk, the column that tells it, its value and the bonus.
+TYPE_BONUS = [(["培养目标", "毕业要求", "培养方案"], "chunk_type", "program_spec", 0.15), (["教学大纲", "课程目标", "课程设置"], "education_level", "meso", 0.10)]
+
+
+def metadata_score(keywords: Column, haystack: Column, text: Column, document: Column, course: Column | None = None, asked_courses: Column | None = None, kinds: dict[str, Column] | None = None, rules: list | None = None) -> Column:
+    """Share of keywords that the metadata hold; .2 if one of the first three stands in the first 160 characters; .2 if
+    one of the first two names the document; .3 for a course that is asked for; the first rule whose words the keywords
+    hold adds its bonus to chunks of its kind. At most 1, and 0 without keywords."""
+    any_in = lambda words, where: F.exists(words, lambda k: F.contains(where, k)).cast("int")
+    share = F.size(F.filter(keywords, lambda k: F.contains(haystack, k))) / F.greatest(F.size(keywords), F.lit(1))
+    total = share + 0.2 * any_in(F.slice(keywords, 1, 3), F.substring(text, 1, 160)) + 0.2 * any_in(F.slice(keywords, 1, 2), document)
+    if course is not None and asked_courses is not None:
+        total = total + F.when(F.coalesce(F.array_contains(asked_courses, course), F.lit(False)), 0.3).otherwise(0.0)
+    said, bonus = F.array_join(keywords, " "), F.lit(0.0)
+    for words, column, value, more in reversed(TYPE_BONUS if rules is None else rules):
+        if kinds and column in kinds:
+            bonus = F.when(T.contains_any(said, words), F.when(kinds[column] == value, more).otherwise(0.0)).otherwise(bonus)
+    return F.when(F.size(keywords) > 0, F.least(F.lit(1.0), total + bonus)).otherwise(0.0)
 
 
 def hybrid(tf: DataFrame, bm: DataFrame, meta: DataFrame, keep: Column, k: int, weights: tuple[float, float, float] = (0.40, 0.30, 0.30)) -> DataFrame:
@@ -118,6 +131,38 @@ def fuse(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
     return merged.withColumn("fused", F.col("rrf") + sum(F.col(f"best_{c}") * w for c, w in weights.items()) + bonus)
 
 
+def section_match(keywords: Column, *parts: Column) -> Column:
+    """Whether a keyword stands in one of a chunk's section, path and title."""
+    blob = F.lower(F.concat_ws(" ", *parts))
+    return F.coalesce(F.exists(keywords, lambda k: F.contains(blob, F.lower(k))), F.lit(False))
+
+
+def quality_flags(text: Column, section: Column, path: Column, keywords: Column) -> Column:
+    """(section_match, sentence_complete, has_section_path, section_blob)."""
+    return F.struct(
+        section_match(keywords, section, path).alias("section_match"), F.coalesce(F.right(F.rtrim(text), F.lit(1)).isin(T.TERMINATORS), F.lit(False)).alias("sentence_complete"),
+        (F.coalesce(path, F.lit("")) != "").alias("has_section_path"), F.lower(F.concat_ws(" ", section, path)).alias("section_blob"),
+    )
+
+
+def with_bonuses(fused: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """.08 more for a text that holds the query, .05 for a section that holds one of its keywords. ``texts`` has
+    (doc_id, text, section), ``queries`` (query_id, query, keywords)."""
+    j = fused.join(texts.select("doc_id", "text", "section"), "doc_id").join(queries.select("query_id", "query", "keywords"), "query_id")
+    more = F.when(F.contains("text", F.col("query")), 0.08).otherwise(0.0) + F.when(section_match(F.col("keywords"), F.col("section")), 0.05).otherwise(0.0)
+    return j.withColumn("fused", F.col("fused") + more).drop("text", "section", "query", "keywords")
+
+
+def fan_out(k: int) -> int:
+    """Candidates of each channel and variant for ``k`` results."""
+    return min(50, max(16, 3 * k, 8))
+
+
+def candidate_id(doc_id: Column, text: Column) -> Column:
+    """The id, or the text's digest where there is none."""
+    return F.coalesce(F.nullif(doc_id.cast("string"), F.lit("")), F.md5(text))
+
+
 def rule_features(query: Column, text: Column) -> dict[str, Column]:
     """The features of the rule reranker."""
     own, asked = F.array_distinct(T.tokens(text)), F.array_distinct(T.tokens(query))
@@ -231,3 +276,95 @@ def cross_encode(pairs: DataFrame, scorer, batch: int = 32) -> DataFrame:
             yield pdf[["query_id", "doc_id", "score"]]
 
     return pairs.select("query_id", "doc_id", "query", "text").mapInPandas(run, "query_id int, doc_id bigint, score double")
+
+
+def cap_sections(ranked: DataFrame, k: int, cap: int = 2) -> DataFrame:
+    """The first ``k`` with at most ``cap`` of a section; blank sections have no cap. ``ranked`` has (query_id, rank, section)."""
+    name = F.lower(F.trim(F.coalesce("section", F.lit(""))))
+    nth = ranked.withColumn("s", name).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "s").orderBy("rank"))).where((F.col("r") <= cap) | (F.col("s") == ""))
+    return nth.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k).drop("r", "s")
+
+
+def prepare_sources(hits: DataFrame, parents: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 4, cap: int = 2) -> DataFrame:
+    """What an answer is made from: children as their parents, cleaned, the first ten reranked by the rules, each id
+    once, ``cap`` of a section, ``k`` in all. ``hits`` has (query_id, id, score), ``texts`` (doc_id, text, section)."""
+    merged = expand_to_parents(hits, parents).select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("similarity"), F.col("score").alias("fused"))
+    clean = texts.withColumn("text", T.collapse(F.col("text"))).where("text <> ''")
+    ranked = rerank_head(merged.join(clean.select("doc_id"), "doc_id", "left_semi"), clean, queries)
+    return cap_sections(ranked.join(clean.select("doc_id", "section"), "doc_id"), k, cap).select("query_id", "place", "doc_id", "section", "score")
+
+
+def retrieve_and_rerank(scored: DataFrame, texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """3k candidates of every query at once, scored by the rules, the best ``k``."""
+    head = top_k(scored, 3 * k).join(texts.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    return top_k(head.drop("rank").withColumn("score", F.round(rule_score(F.col("score"), F.col("query"), F.col("text")), 6)), k).select("query_id", "rank", "doc_id", "score")
+
+
+def token_overlap(index, queries: DataFrame) -> DataFrame:
+    """Share of a query's distinct tokens that a document has, by the index."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    size = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
+    found = index.table("words").select("term", "doc_id").join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    return found.join(size, "query_id").select("query_id", "doc_id", (F.col("n") / F.col("asked")).alias("score"))
+
+
+def with_emergency(chosen: DataFrame, queries: DataFrame, level: int) -> DataFrame:
+    """Queries that no level answers get one row without a document, at ``level``."""
+    none = queries.select("query_id").join(chosen.select("query_id").distinct(), "query_id", "left_anti")
+    return chosen.unionByName(none.select("query_id", F.lit(level).alias("level"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score")))
+
+
+#: Retrieval tools by name: each takes (index, queries, k) and returns (query_id, doc_id, score, rank).
+TOOLS = {
+    "vector_search": lambda index, queries, k: top_k(index.tfidf(queries), k),
+    "keyword_search": lambda index, queries, k: top_k(index.bm25(queries), k),
+    "overlap_search": lambda index, queries, k: top_k(token_overlap(index, queries), k),
+    "hybrid_search": lambda index, queries, k: top_k(weighted_merge(top_k(index.tfidf(queries), 2 * k), top_k(index.bm25(queries), 2 * k), 0.6), k),
+}
+
+
+def join_sections(sources: DataFrame, least: float = 0.15, most_parts: int = 10, most_chars: int = 5000, k: int = 3) -> DataFrame:
+    """(query_id, place, doc_id, section, score, text): sources in order of similarity, put together while they are of
+    one section, at most ``most_parts`` and ``most_chars``, up to a sentence's end; of equal fingerprints the first; k of a query.
+
+    ``sources`` has (query_id, doc_id, score, text, section, finger), the hits of a query, whose number the caller bounds.
+    The fold is sequential and runs over each query's own rows. Sources below ``least`` or without text are left out; a part of at most 50
+    characters that ends a sentence is dropped, as are 80 that don't.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, buffer, head = [], [], None
+
+        def flush(more_than: int) -> None:
+            nonlocal buffer, head
+            text = "".join(buffer)
+            if len(text) > more_than:
+                rows.append((*head, text))
+            buffer, head = [], None
+
+        pdf = pdf[(pdf["score"] >= least) & (pdf["text"].fillna("") != "")].sort_values(["score", "doc_id"], ascending=[False, True])
+        for r in pdf.itertuples(index=False):
+            own = (r.query_id, r.doc_id, r.section or "", r.score)
+            if len(buffer) >= most_parts or sum(map(len, buffer)) + len(r.text) > most_chars:
+                flush(80)
+            if own[2] and head and own[2] != head[2]:
+                if len("".join(buffer)) > 80:
+                    flush(80)
+                head = own
+            buffer.append(r.text)
+            head = head or own
+            if r.text.rstrip(" ").endswith(("。", "！", "？", ".", "!", "?", "\n")):
+                flush(50)
+        flush(80)
+        seen, out = set(), []
+        for query, doc, section, score, text in rows:
+            finger = "".join(c for c in text if c.isalpha())[:80]
+            if finger and finger not in seen:
+                seen.add(finger)
+                out.append((query, len(out) + 1, doc, section, score, text))
+        return pd.DataFrame(out[:k], columns=["query_id", "place", "doc_id", "section", "score", "text"])
+
+    kind = sources.schema
+    schema = f"query_id {kind['query_id'].dataType.simpleString()}, place int, doc_id {kind['doc_id'].dataType.simpleString()}, section string, score double, text string"
+    return sources.groupBy("query_id").applyInPandas(run, schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluation as E
+from corpusloom.operators import index as I
 from corpusloom.operators import retrieval as R
 from corpusloom.registry import REGISTRY
 from corpusloom.session import load
@@ -22,8 +25,12 @@ INDEX = f"""{Q}, post as (select doc_id, unnest({TOK.format('text')}) as term fr
 BM25 = f"""{INDEX}, bm as (select query_id, doc_id, sum(qtf * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / avgdl))) as score
   from idx join qt using (term) join dfs using (term) join lens using (doc_id) cross join tot group by all),
   bmr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from bm)"""
-TFIDF = f""", idf as (select term, ln((1 + n) / (1 + df)::double) + 1 as idf from dfs cross join tot), wt as (select doc_id, term, tf * idf as w from idx join idf using (term)),
-  dn as (select doc_id, sqrt(sum(w * w)) as dn from wt group by doc_id), qw as (select query_id, term, qtf * idf as qw from qt join idf using (term)), qn as (select query_id, sqrt(sum(qw * qw)) as qn from qw group by query_id),
+GRAMS = "select {0}, unnest({1}) as term from {2} union all select {0}, unnest(list_transform(range(1, len({1})), lambda i: {1}[i] || ' ' || {1}[i + 1])) as term from {2}"
+TFIDF = f""", dt as (select doc_id, {TOK.format('text')} as t from documents), qtt as (select query_id, {TOK.format('query')} as t from queries),
+  gi as (select doc_id, term, count(*) as tf from ({GRAMS.format('doc_id', 't', 'dt')}) group by all), gq as (select query_id, term, count(*) as qtf from ({GRAMS.format('query_id', 't', 'qtt')}) group by all),
+  feat as (select term, sum(tf) as cf, count(*) as df from gi group by term order by cf desc, term limit 8000), idf as (select term, ln((1 + n) / (1 + df)::double) + 1 as idf from feat cross join tot),
+  wt as (select doc_id, term, tf * idf as w from gi join idf using (term)), dn as (select doc_id, sqrt(sum(w * w)) as dn from wt group by doc_id),
+  qw as (select query_id, term, qtf * idf as qw from gq join idf using (term)), qn as (select query_id, sqrt(sum(qw * qw)) as qn from qw group by query_id),
   ti as (select query_id, doc_id, sum(w * qw) / (any_value(dn) * any_value(qn)) as score from wt join qw using (term) join dn using (doc_id) join qn using (query_id) group by query_id, doc_id),
   tir as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from ti)"""
 FUSED = BM25 + TFIDF + """, cand as (select query_id, 'keyword' as channel, 0 as variant, doc_id, score as similarity, 1.0::double / (60 + rank) as rrf from bmr where rank <= 30
@@ -32,17 +39,27 @@ FUSED = BM25 + TFIDF + """, cand as (select query_id, 'keyword' as channel, 0 as
     string_agg(distinct channel, ',' order by channel) as channels, coalesce(max(similarity) filter (channel = 'vector'), 0) as bv, coalesce(max(similarity) filter (channel = 'keyword'), 0) as bk from cand group by all),
   f2 as (select *, rrf + bv * 0.6::double + bk * 0.4::double + least(0.06::double, 0.02::double * (variants - 1)) as fused from fused)"""
 
+WORDS = f"words as (select query_id, query, list_slice(list_filter(list_distinct_ordered, lambda t: length(t) >= 2), 1, 8) as kw from (select *, list_filter(toks, lambda t, i: list_position(toks, t) = i) as list_distinct_ordered from (select *, {TOK.format('query')} as toks from queries)))"
+
+
+def rules(src: str, texts: str = "documents") -> str:
+    """The rule reranker over (query_id, doc_id, similarity, ...) in ``src``."""
+    return f"""rf as (select {src}.*, texts.*, query, {TOK.format('text')} as own, list_distinct({TOK.format('query')}) as ask from {src} join (select doc_id as d_id, * exclude (doc_id) from {texts}) texts on d_id = doc_id join queries using (query_id)),
+  rules as (select *, similarity * 0.4::double + 0.25::double * (case when len(ask) > 0 then len(list_intersect(ask, list_distinct(own))) / len(ask)::double else 0 end) + 0.15::double * contains(text, query)::int
+    + 0.10::double * (case when length(query) > 1 then len(list_filter(range(1, length(query)), lambda i: contains(text, substr(query, i::int, 2)))) / (length(query) - 1)::double else 0 end) + 0.05::double * (1 - least(abs(length(text) - 300) / 300.0::double, 0.5::double))
+    + 0.01::double * (case when right(rtrim(text, ' '), 1) in ('。', '！', '？') then 0.1::double else 0 end) + 0.01::double * (case when length(text) > 0 then len(list_distinct(regexp_extract_all(text, '(?s).'))) / length(text)::double else 0 end) as rule from rf)"""
+
 
 def asked(spark):
     return spark.createDataFrame(ASKED, "query_id int, query string")
 
 
 def bm(spark, sf):
-    return R.bm25(asked(spark), load(spark, sf, "documents"))
+    return I.indexed(load(spark, sf, "documents")).bm25(asked(spark))
 
 
 def ti(spark, sf):
-    return R.tfidf(asked(spark), load(spark, sf, "documents"))
+    return I.indexed(load(spark, sf, "documents")).tfidf(asked(spark))
 
 
 def candidates(spark, sf):
@@ -61,13 +78,13 @@ def r01(spark, sf):
 
 @add("a01_corpus_stats", f"with {INDEX} select (select count(*) from dfs) as terms, n, round(avgdl, 6) as avgdl, (select max(df) from dfs) as max_df from tot")
 def a01(spark, sf):
-    df, _, total = R.corpus_stats(R.postings(load(spark, sf, "documents")))
-    return total.crossJoin(df.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))).select("terms", "n", F.round("avgdl", 6).alias("avgdl"), "max_df")
+    index = I.indexed(load(spark, sf, "documents"))
+    return index.table("totals").crossJoin(index.table("terms").agg(F.count("*").alias("terms"), F.max("df").alias("max_df"))).select("terms", "n", F.round("avgdl", 6).alias("avgdl"), "max_df")
 
 
 @add("a02_corpus_keywords", f"with {INDEX} select term, sum(tf) as n from idx where length(term) >= 2 group by term order by n desc, term limit 100")
 def a02(spark, sf):
-    return R.postings(load(spark, sf, "documents")).where("length(term) >= 2").groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(100)
+    return I.indexed(load(spark, sf, "documents")).table("terms").where("length(term) >= 2").select("term", F.col("cf").alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 
 @add("r10_weighted_rrf", f"with {FUSED} select query_id, doc_id, round(rrf, 6) as rrf, variants, channels, round(fused, 6) as fused from f2")
@@ -76,12 +93,74 @@ def r10(spark, sf):
     return f.select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"), "variants", "channels", F.round("fused", 6).alias("fused"))
 
 
-@add("r13_r14_rerank_head")
+@add("r13_r14_rerank_head", f"""with {FUSED}, pre as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, doc_id) as pre_rank from f2), {rules('pre')},
+  sc as (select query_id, doc_id, pre_rank, round(case when pre_rank <= 10 then rule else fused end, 6) as score from rules)
+  select query_id, row_number() over (partition by query_id order by (pre_rank > 10)::int, score desc, doc_id) as rank, doc_id, score from sc""")
 def r14(spark, sf):
     f = R.fuse(candidates(spark, sf), {"vector": 0.6, "keyword": 0.4})
     return R.rerank_head(f, load(spark, sf, "documents"), asked(spark)).select("query_id", "rank", "doc_id", "score")
 
 
+@add("r11_bonuses", f"""with {FUSED}, {WORDS}, j as (select f2.*, query, kw, text, source from f2 join documents using (doc_id) join words using (query_id))
+  select query_id, doc_id, round(fused + case when contains(text, query) then 0.08::double else 0 end + case when len(list_filter(kw, lambda k: contains(lower(source), k))) > 0 then 0.05::double else 0 end, 6) as fused from j""")
+def r11(spark, sf):
+    words = asked(spark).withColumn("keywords", T.first_keywords(F.col("query")))
+    texts = load(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section"))
+    f = R.with_bonuses(R.fuse(candidates(spark, sf), {"vector": 0.6, "keyword": 0.4}), texts, words)
+    return f.select("query_id", "doc_id", F.round("fused", 6).alias("fused"))
+
+
+@add("r12_quality_flags", f"""with {BM25}, {WORDS} select query_id, doc_id, len(list_filter(kw, lambda k: contains(lower(concat_ws(' ', left(text, 60), lang)), k))) > 0 as section_match, right(rtrim(text, ' '), 1) in ('。', '！', '？', '.', ';', '；') as sentence_complete, lang <> '' as has_section_path, lower(concat_ws(' ', left(text, 60), lang)) as section_blob
+  from bmr join documents using (doc_id) join words using (query_id) where rank <= 20""")
+def r12(spark, sf):
+    hits = R.top_k(bm(spark, sf), 20).join(load(spark, sf, "documents"), "doc_id").join(asked(spark), "query_id")
+    flags = R.quality_flags(F.col("text"), F.substring("text", 1, 60), F.col("lang"), T.first_keywords(F.col("query")))
+    return hits.select("query_id", "doc_id", flags.alias("f")).select("query_id", "doc_id", "f.*")
+
+
+@add("r17_prepared_sources", f"""with {BM25}, par as (select query_id, case when doc_id % 10 <> 0 then doc_id // 10 else doc_id end as doc_id, max(score) as similarity from bmr where rank <= 50 group by all),
+  clean as (select doc_id, trim(regexp_replace(replace(text, '　', ' '), '\\s+', ' ', 'g'), ' ') as text, source from documents), pre as (select par.*, similarity as fused, row_number() over (partition by query_id order by round(similarity, 9) desc, doc_id) as pre_rank from par join clean using (doc_id) where text <> ''),
+  {rules('pre', 'clean')}, sc as (select query_id, doc_id, source, pre_rank, round(case when pre_rank <= 10 then rule else fused end, 6) as score from rules),
+  rk as (select *, row_number() over (partition by query_id order by (pre_rank > 10)::int, score desc, doc_id) as rank from sc), capped as (select *, row_number() over (partition by query_id, lower(trim(source)) order by rank) as r from rk),
+  pl as (select *, row_number() over (partition by query_id order by rank) as place from capped where r <= 2 or trim(source) = '') select query_id, place, doc_id, source as section, score from pl where place <= 4""")
+def r17(spark, sf):
+    d = load(spark, sf, "documents")
+    hits = R.top_k(bm(spark, sf), 50).select("query_id", F.col("doc_id").alias("id"), "score")
+    parents = d.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("child_id"), F.expr("doc_id div 10").alias("parent_id"))
+    return R.prepare_sources(hits, parents, d.select("doc_id", "text", F.col("source").alias("section")), asked(spark))
+
+
+@add("r29_retrieve_rerank", f"""with {BM25}, pre as (select query_id, doc_id, score as similarity from bmr where rank <= 15), {rules('pre')},
+  sc as (select query_id, doc_id, round(rule, 6) as score from rules), rk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) select query_id, rank, doc_id, score from rk where rank <= 5""")
+def r29(spark, sf):
+    return R.retrieve_and_rerank(bm(spark, sf), load(spark, sf, "documents"), asked(spark), 5)
+
+
+@add("r20_tools", f"""with {BM25}{TFIDF}, own as (select query_id, len(list_distinct({TOK.format('query')})) as n_asked from queries), ov as (select query_id, doc_id, count(*) / any_value(n_asked)::double as score from idx join qt using (term) join own using (query_id) group by all),
+  ovr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from ov)
+  select 'keyword_search' as tool, query_id, rank, doc_id, round(score, 6) as score from bmr where rank <= 5 union all select 'vector_search', query_id, rank, doc_id, round(score, 6) from tir where rank <= 5 union all select 'overlap_search', query_id, rank, doc_id, round(score, 6) from ovr where rank <= 5""")
+def r20(spark, sf):
+    index = I.indexed(load(spark, sf, "documents"))
+    parts = [R.TOOLS[name](index, asked(spark), 5).select(F.lit(name).alias("tool"), "query_id", "rank", "doc_id", F.round("score", 6).alias("score")) for name in ("keyword_search", "vector_search", "overlap_search")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@add("r08_r09_candidates", f"""with {BM25}{TFIDF} select query_id, 'keyword' as channel, coalesce(nullif(doc_id::varchar, '7'), md5(text)) as id, round(1.0::double / (60 + rank), 9) as rrf from bmr join documents using (doc_id) where rank <= 30
+  union all select query_id, 'vector', coalesce(nullif(doc_id::varchar, '7'), md5(text)), round(1.0::double / (60 + rank), 9) from tir join documents using (doc_id) where rank <= 30""")
+def r08(spark, sf):
+    texts = load(spark, sf, "documents").select("doc_id", "text")
+    both = R.channel(R.top_k(bm(spark, sf), R.fan_out(10)), "keyword").unionByName(R.channel(R.top_k(ti(spark, sf), R.fan_out(10)), "vector", 1))
+    own = R.candidate_id(F.when(F.col("doc_id") != 7, F.col("doc_id")), F.col("text"))
+    return both.join(texts, "doc_id").select("query_id", "channel", own.alias("id"), F.round("rrf", 9).alias("rrf"))
+
+
+@add("r30_joined_sources")
+def r30(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", F.col("text"), F.col("source").alias("section"))
+    hits = R.top_k(bm(spark, sf), 15).select("query_id", "doc_id", "score").join(d, "doc_id")
+    return R.join_sections(hits.withColumn("text", T.collapse(F.col("text"))), most_chars=20_000).withColumn("text", F.md5("text"))
+
+
 @add("r16_diversity", f"""with {BM25}, j as (select query_id, rank, doc_id, lower(trim(source)) as section, source, score, md5(substr(text, 1, 180)) as sig from bmr join documents using (doc_id) where rank <= 50),
   a as (select *, row_number() over (partition by query_id, section, sig order by rank) as r1 from j), b as (select *, row_number() over (partition by query_id, section order by rank) as r2 from a where r1 = 1),
   c as (select *, row_number() over (partition by query_id order by rank) as place from b where r2 <= 2 or section = '') select query_id, place, doc_id, source as section, round(score, 6) as score from c where place <= 10""")
@@ -112,18 +191,28 @@ def r19(spark, sf):
     return R.weighted_merge(R.top_k(ti(spark, sf), 20), R.top_k(bm(spark, sf), 20), 0.6).withColumn("score", F.round("score", 6))
 
 
-@add("r06_hybrid_search")
+@add("r06_hybrid_search", f"""with {BM25}{TFIDF}, {WORDS}, meta as (select query_id, doc_id, case when len(kw) > 0 then least(1, len(list_filter(kw, lambda k: contains(lower(concat_ws(' ', source, lang)), k))) / len(kw)::double
+    + 0.2::double * (len(list_filter(kw[1:3], lambda k: contains(left(text, 160), k))) > 0)::int + 0.2::double * (len(list_filter(kw[1:2], lambda k: contains(source, k))) > 0)::int
+    + case when lang = 'fr' and contains(array_to_string(kw, ' '), 'eau') then 0.3::double else 0 end + case when contains(array_to_string(kw, ' '), 'der') and lang = 'de' then 0.15::double else 0 end) else 0 end as s2 from bm join documents using (doc_id) join words using (query_id)),
+  a as (select query_id, doc_id, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as s0 from ti), b as (select query_id, doc_id, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as s1 from bm),
+  h as (select query_id, doc_id, coalesce(s0, 0) * 0.4::double + coalesce(s1, 0) * 0.3::double + coalesce(s2, 0) * 0.3::double as score from a full join b using (query_id, doc_id) full join meta using (query_id, doc_id)),
+  r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as r0 from h), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from r where r0 <= 40 and score >= 0.15::double)
+  select query_id, rank, doc_id, round(score, 6) as score from k where rank <= 10""")
 def r06(spark, sf):
     docs = load(spark, sf, "documents")
-    words = asked(spark).select("query_id", "query", T.first_keywords(F.col("query")).alias("k"))
-    seen = bm(spark, sf).select("query_id", "doc_id").join(docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("meta")), "doc_id").join(words, "query_id")
-    meta = seen.select("query_id", "doc_id", R.metadata_score(F.col("k"), F.lower("meta"), F.col("query")).alias("score"))
-    return R.hybrid(ti(spark, sf), bm(spark, sf), meta, F.col("score") >= 0.15, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    words = asked(spark).select("query_id", T.first_keywords(F.col("query")).alias("k"))
+    seen = bm(spark, sf).select("query_id", "doc_id").join(docs, "doc_id").join(words, "query_id")
+    courses = F.when(F.array_contains("k", "eau"), F.array(F.lit("fr"))).otherwise(F.array().cast("array<string>"))
+    score = R.metadata_score(F.col("k"), F.lower(F.concat_ws(" ", "source", "lang")), F.col("text"), F.col("source"), F.col("lang"), courses, {"lang": F.col("lang")}, [(["der"], "lang", "de", 0.15)])
+    return R.hybrid(ti(spark, sf), bm(spark, sf), seen.select("query_id", "doc_id", score.alias("score")), F.col("score") >= 0.15, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@add("r22_compare_sections")
+@add("r22_compare_sections", f"""with {INDEX}, h as (select query_id, source as section, term, doc_id, tf / (tf + 1)::double as score from idx join qt using (term) join documents using (doc_id)),
+  g as (select query_id, section, count(distinct term) as keywords, count(distinct doc_id) as docs, round(avg(score), 6) as mean, round(max(score), 6) as best from h group by all),
+  r as (select *, case when keywords >= 2 then 'several keywords' when mean > 0.7 then 'high mean' when best > 0.85 then 'high best' end as reason from g) select * from r where reason is not null""")
 def r22(spark, sf):
-    hits = R.postings(load(spark, sf, "documents")).join(R.query_terms(asked(spark)), "term").join(load(spark, sf, "documents").select("doc_id", F.col("source").alias("section")), "doc_id")
+    words = I.indexed(load(spark, sf, "documents")).table("words")
+    hits = words.join(R.query_terms(asked(spark)), "term").join(load(spark, sf, "documents").select("doc_id", F.col("source").alias("section")), "doc_id")
     return R.compare_sections(hits.select("query_id", "section", F.col("term").alias("keyword"), "doc_id", (F.col("tf") / (F.col("tf") + 1)).alias("score")))
 
 
@@ -141,10 +230,20 @@ def r25(spark, sf):
     return R.supplement(R.top_k(bm(spark, sf), 10), R.top_k(ti(spark, sf), 30)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@add("r27_fallback", f"""with {BM25}{TFIDF}, l as (select query_id, doc_id, score, 0 as level from tir where score > 0.5 and rank <= 20 union all select query_id, doc_id, score, 1 from bmr where rank <= 5),
-  n as (select query_id, level, count(*) as c from l group by all), ch as (select query_id, coalesce(min(level) filter (c >= 3), max(level)) as level from n group by query_id) select query_id, level, doc_id, round(score, 6) as score from l join ch using (query_id, level)""")
+ODD = [*ASKED, (5, "zzzzqq xqxqx"), (6, "thing qqqqqz")]
+ODD_Q = "queries(query_id, query) as (values " + ", ".join(f"({i}, '{q}')" for i, q in ODD) + ")"
+
+
+@add("r27_x15_fallback", f"""with {(BM25 + TFIDF).replace(Q, ODD_Q)}, own as (select query_id, len(list_distinct({TOK.format('query')})) as n_asked from queries), ov as (select query_id, doc_id, count(*) / any_value(n_asked)::double as score from idx join qt using (term) join own using (query_id) group by all),
+  ovr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from ov),
+  l as (select query_id, doc_id, score, 0 as level from tir where score > 0.5 and rank <= 20 union all select query_id, doc_id, score, 1 from bmr where score > 4 and rank <= 5 union all select query_id, doc_id, score, 2 from ovr where rank <= 5),
+  n as (select query_id, level, count(*) as c from l group by all), ch as (select query_id, coalesce(min(level) filter (c >= 3), max(level)) as level from n group by query_id)
+  select query_id, level, doc_id, round(score, 6) as score from l join ch using (query_id, level) union all select query_id, 3, null, 0.0 from queries where query_id not in (select query_id from l)""")
 def r27(spark, sf):
-    return R.fallback([R.top_k(ti(spark, sf), 20).where("score > 0.5"), R.top_k(bm(spark, sf), 5)], 3).select("query_id", "level", "doc_id", F.round("score", 6).alias("score"))
+    index, queries = I.indexed(load(spark, sf, "documents")), spark.createDataFrame(ODD, "query_id int, query string")
+    levels = [R.top_k(index.tfidf(queries), 20).where("score > 0.5"), R.top_k(index.bm25(queries), 5).where("score > 4"), R.top_k(R.token_overlap(index, queries), 5)]
+    chosen = R.fallback(levels, 3).select("query_id", "level", "doc_id", "score")
+    return R.with_emergency(chosen, queries, 3).withColumn("score", F.round("score", 6))
 
 
 @add("r32_context", f"""with {BM25}, j as (select query_id, rank, text, sum(length(text)) over (partition by query_id order by rank rows unbounded preceding) as upto, row_number() over (partition by query_id order by rank) as nth from bmr join documents using (doc_id) where rank <= 10)
