@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, lean, slices, stored
+from corpusloom.llm.common import discard, lean, release, slices, stored
 from corpusloom.llm.recompress_core import GOLD, Words, mix, segments
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string"
@@ -221,8 +221,12 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     key = os.urandom(16)
     anchors = base.where("id is not null").select("id", "text").mapInArrow(_anchors(width, key), f"doc {kind}, key bigint, seg bigint")
-    ends = anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+    # tables are stored before they meet, so that adaptive execution can split the join where a key is hot
+    anchors = stored(anchors, "anchors")
+    ends = stored(anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key"), "ends")
     shared = stored(anchors.join(ends.hint("merge"), "key"), "shared")
+    discard(anchors, ends)
+    release(base.sparkSession, 0.0)
     firsts = stored(shared.groupBy("key", "seg").agg(F.min("doc").alias("first")), "firsts")
     covered = shared.join(firsts.hint("merge"), ["key", "seg"]).where("doc > first").select("doc", "key", "seg", F.lit(True).alias("whole"))
     several = firsts.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high")).where("n > 1 and low < high").select("key")
@@ -233,6 +237,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
     judged = stored(joined.mapInArrow(_judge(width, keep_text, key), first_out), "judged")
     discard(shared, firsts)
+    release(base.sparkSession, 0.0)
 
     def both_ends(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy(*by).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
@@ -240,12 +245,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     open_rows = judged.where("tag is not null")
     of_doc = open_rows.select(F.col(f"row.`{id_col}`").alias("doc"), "tag", "text", "places", "halves")
     sides = of_doc.select("doc", F.explode(F.array_distinct("halves")).alias("half"))
-    shared_halves = sides.join(both_ends(sides, "half").select("half").hint("merge"), "half").groupBy("doc").agg(F.collect_set("half").alias("shared"))
+    repeated = stored(both_ends(sides, "half").select("half"), "halves")
+    shared_halves = sides.join(repeated.hint("merge"), "half").groupBy("doc").agg(F.collect_set("half").alias("shared"))
     windows = of_doc.join(shared_halves, "doc").mapInArrow(_windows(width, key), f"doc {kind}, tag bigint, place int, half bigint, window bigint")
     windows = stored(windows, "windows")
-    hits = windows.join(both_ends(windows, "half", "window").hint("merge"), ["half", "window"]).where("doc > first").groupBy("doc", "tag").agg(F.collect_set("place").alias("hits"))
+    earliest = stored(both_ends(windows, "half", "window"), "earliest")
+    hits = windows.join(earliest.hint("merge"), ["half", "window"]).where("doc > first").groupBy("doc", "tag").agg(F.collect_set("place").alias("hits"))
     hits = stored(hits.withColumnsRenamed({"tag": "of"}), "hits")
-    discard(windows)
+    discard(windows, earliest, repeated)
     rest = open_rows.select("row", "tag", "text", "lost").join(hits, (F.col(f"row.`{id_col}`") == F.col("doc")) & (F.col("tag") == F.col("of")), "left").select("row", "text", "lost", "hits")
     rest = rest.mapInArrow(_finish(width, keep_text), f"row {row_type}, {OUT}, kept string")
     done = judged.where("tag is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
