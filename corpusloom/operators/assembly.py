@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +15,22 @@ TOPICS = [r"《([^》]+)》", r"第[一二三四五六七八九十\d]+章\s*([^\
 
 def merge_soft_wraps(lines: Column, most: int = 120, ends: str = "。！？；.!?;:：") -> Column:
     """First-seen lines; a line that goes on from one without a terminator is put to it while that is shorter than
-    ``most``. A fold over the array, so the length of the merged line counts."""
-    kept = F.array_distinct(F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
-
-    def step(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce((F.length(last) < most) & ~F.lit(ends).contains(F.right(last, F.lit(1))), F.lit(False))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, line)))).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(kept, F.array().cast("array<string>"), step)
+    ``most``. The length of the merged line counts, so it is a fold; a fold in SQL would copy the lines at every step, so
+    it runs over Arrow batches."""
+    @F.pandas_udf("array<string>", F.PandasUDFType.SCALAR)
+    def folded(column):
+        def fold(kept):
+            done: list[list[str]] = []
+            for line in kept if kept is not None else ():
+                if done and sum(map(len, done[-1])) < most and done[-1][-1][-1:] not in ends:
+                    done[-1].append(line)
+                else:
+                    done.append([line])
+            return ["".join(parts) for parts in done]
+
+        return column.map(fold)
+
+    return folded(F.array_distinct(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)))
 
 
 def slice_between(lines: DataFrame, start: Column, stop: Column) -> DataFrame:

@@ -63,16 +63,67 @@ def co_occurrence(items: DataFrame, band: int = 7) -> DataFrame:
 
 
 def same_category(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Neighbouring pairs (by id) within a category that no edge links yet, with weight .3.
+    """The pairs (by id) of a category that no edge links yet, with weight .3.
 
-    Every member is linked to the next one of its category, which joins a category of n in n - 1 edges; all pairs of a
-    category would be n * (n - 1) / 2 rows.
+    All pairs of a category are its answer, so it grows with the square of the category: for categories that hand-made
+    dimensions have. ``category_members`` says the same in a row for each member.
     """
-    w = Window.partitionBy(key).orderBy("id")
-    pairs = nodes.withColumn("dst", F.lead("id").over(w)).where("dst is not null").select(F.col("id").alias("src"), "dst")
+    a = nodes.select(F.col(key).alias("k"), F.col("id").alias("src"))
+    pairs = a.join(nodes.select(F.col(key).alias("k"), F.col("id").alias("dst")), "k").where("src < dst").select("src", "dst")
     return pairs.join(undirected(edges), ["src", "dst"], "left_anti").withColumn("weight", F.lit(0.3))
 
 
+def category_members(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, id, links): each member of a category of several with the number of others it is linked to."""
+    n = nodes.groupBy(key).agg((F.count("*") - 1).alias("links")).where("links > 0")
+    return nodes.join(n, key).select(key, "id", "links")
+
+
+def overlaps(teaches: DataFrame, least: int = 3) -> DataFrame:
+    """Concepts that ``least`` courses or more teach, with the courses' names in order."""
+    g = teaches.distinct().groupBy("concept").agg(F.count("*").alias("courses"), F.array_join(F.sort_array(F.collect_list("course")), ",").alias("names"))
+    return g.where(F.col("courses") >= least)
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, most: int) -> DataFrame:
+    """(seed, node, depth): what lies within ``hops`` steps of undirected edges, the first ``most`` by depth and id."""
+    w = Window.partitionBy("seed").orderBy("depth", "node")
+    return reach(undirected(edges), seeds, hops).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+
+def learning_path(edges: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, depth): for targets that have something before them their prerequisites at negative depths, for
+    others what follows, each node once."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    before = targets.join(back.select(F.col("src").alias("seed")).distinct(), "seed", "left_semi")
+    up = reach(back, before, depth).withColumn("depth", -F.col("depth"))
+    return up.unionByName(reach(edges, targets.join(before, "seed", "left_anti"), depth))
+
+
+def cards(nodes: DataFrame, edges: DataFrame, label: str, most: int = 4) -> DataFrame:
+    """(id, card): a line for each node with the names of the first ``most`` nodes that its edges lead to."""
+    w = Window.partitionBy("src").orderBy("dst")
+    head = edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("to")), "dst")
+    lists = head.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("dst", "to"))), lambda x: x["to"]), "、").alias("names"))
+    return lists.join(nodes, "id").select("id", F.concat(F.lit("["), "name", F.lit(f"] {label}："), "names").alias("card"))
+
+
+#: What a subgraph's summary shows of each type, and how many.
+SUMMARY = [("course", "涉及课程：", 6), ("concept", "核心知识点：", 10), ("requirement", "关联毕业要求：", 5)]
+
+
+def summarise(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, summary): the first names of each type in a subgraph, one line for each type that it has. ``nodes`` has
+    (key, id, name, type)."""
+    w = Window.partitionBy(key, "type").orderBy("id")
+    r = nodes.withColumn("rn", F.row_number().over(w))
+    lines = []
+    for kind, title, most in SUMMARY:
+        names = F.transform(F.sort_array(F.collect_list(F.when((F.col("type") == kind) & (F.col("rn") <= most), F.struct("id", "name")))), lambda x: x["name"])
+        lines.append(F.when(F.size(names) > 0, F.concat(F.lit(title), F.array_join(names, "、"))))
+    return r.where("rn <= 10").groupBy(key).agg(F.concat_ws("\n", F.lit("[图谱检索结果]"), *lines).alias("summary"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, community): connected components by the smallest id, with shortcuts every round."""
     both = cut(undirected(edges))

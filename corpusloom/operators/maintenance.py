@@ -98,3 +98,87 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def slow(kind: Column, seconds: Column) -> Column:
     """Whether a query, retrieval or generation took longer than 3, 1.5 or 2 seconds."""
     return F.when(kind == "query", seconds > 3.0).when(kind == "retrieval", seconds > 1.5).when(kind == "generation", seconds > 2.0).otherwise(False)
+
+
+def running_counters(points: DataFrame, key: str, order: str, block: int = 10_000) -> DataFrame:
+    """``counter``, the running sum of ``delta`` in the order of ``order`` (whole numbers) for each key.
+
+    Sums are taken in blocks of the order, so a hot key is sorted in many tasks; a key's blocks have a row each.
+    """
+    cut = points.withColumn("block", F.floor(F.col(order) / block))
+    own = Window.partitionBy(key, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut.groupBy(key, "block").agg(F.sum("delta").alias("total"))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    return cut.join(offsets, [key, "block"]).withColumn("counter", F.col("offset") + F.sum("delta").over(own)).drop("block", "offset")
+
+
+def cached(asked: DataFrame, entries: DataFrame, now: Column, least: float = 0.88) -> DataFrame:
+    """(query_id, key, kind, similarity): the entry that answers each query (query_id, key, vector): the one with its
+    key, else the live one with the most similar vector, from ``least`` on; of equally similar ones the least key.
+
+    Entries (key, vector, ts, ttl) are a cache of bounded capacity; queries meet them in blocks. A ttl of 0 or less never ends.
+    """
+    live = entries.where((F.col("ttl") <= 0) | (F.col("ts") + F.make_interval(secs=F.col("ttl")) > now))
+    exact = asked.join(live.select("key"), "key", "left_semi").select("query_id", "key", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    rest = asked.join(exact.select("query_id"), "query_id", "left_anti")
+    both = rest.select("query_id", "vector").crossJoin(live.where("vector is not null").select(F.col("key").alias("k"), F.col("vector").alias("v")))
+    size = F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("v"), F.col("v")))
+    scored = both.select("query_id", "k", F.when(size > 0, F.round(dot(F.col("vector"), F.col("v")) / size, 6)).otherwise(0.0).alias("similarity")).where(F.col("similarity") >= least)
+    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("n"), "k")).alias("b")).select("query_id", F.col("b.k").alias("key"), F.lit("similar").alias("kind"), (-F.col("b.n")).alias("similarity"))
+    return exact.unionByName(best)
+
+
+def insert(entries: DataFrame, rows: DataFrame, capacity: int) -> DataFrame:
+    """Rows of the same key replaced, and what then is over ``capacity`` goes by I4."""
+    return evict(upsert(entries, rows, "key"), capacity).drop("before", "place")
+
+
+def cache_statistics(entries: DataFrame, capacity: int) -> DataFrame:
+    """Entries, share of the capacity, hits, mean and most hits."""
+    return entries.agg(
+        F.count("*").alias("total_entries"), F.round(F.count("*") / F.lit(capacity), 6).alias("usage_ratio"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"),
+        F.round(F.coalesce(F.avg("hit_count"), F.lit(0.0)), 6).alias("avg_hits"), F.coalesce(F.max("hit_count"), F.lit(0)).alias("max_hits"),
+    )
+
+
+def append_message(sessions_: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions (session_id, updated_at, messages) with the rows (session_id, at, message) put to their end, in the order
+    of time, and updated_at moved on. Messages of unknown sessions are left out."""
+    new = messages.groupBy("session_id").agg(F.max("at").alias("last"), F.transform(F.sort_array(F.collect_list(F.struct("at", "message"))), lambda x: x["message"]).alias("more"))
+    j = sessions_.join(new, "session_id", "left")
+    return j.select("session_id", F.greatest("updated_at", "last").alias("updated_at"), F.when(F.col("more").isNull(), F.col("messages")).otherwise(F.concat("messages", "more")).alias("messages"))
+
+
+def revoke(tokens: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
+    """The tokens with those that ``which`` names revoked, and the number of rows that changed."""
+    hit = which & ~F.col("is_revoked")
+    return tokens.withColumn("is_revoked", F.col("is_revoked") | which), tokens.agg(F.count_if(hit).alias("changed"))
+
+
+def listing(rows: DataFrame, user: Column | None, order: str, key: str) -> DataFrame:
+    """Rows of one user, or all, the newest first."""
+    return (rows if user is None else rows.where(user)).orderBy(F.desc(order), key)
+
+
+def candidate_key(query: Column, k: int, vector: bool | None, keyword: bool | None) -> Column:
+    """The cache key of a search as JSON with sorted names."""
+    lit = lambda b: F.lit(b).cast("boolean")
+    return F.to_json(F.struct(query.alias("query"), F.lit(k).alias("top_k"), lit(keyword).alias("use_keyword"), lit(vector).alias("use_vector")), {"ignoreNullFields": "false"})
+
+
+def enriched(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with what a small dimension says of their key; the dimension is bounded, as it is written by hand."""
+    return rows.join(F.broadcast(facts), key, "left")
+
+
+def statistics(events: DataFrame, until: Column, ranges: dict[str, int | None]) -> DataFrame:
+    """Numbers of each time range (hours; None: all) by type in one pass: events, mean and slow ones."""
+    inside = F.filter(F.array(*(F.when(F.lit(h is None) | (F.col("ts") > until - F.make_interval(hours=F.lit(h or 0))), F.lit(name)) for name, h in ranges.items())), lambda x: x.isNotNull())
+    return events.withColumn("range", F.explode(inside)).groupBy("range", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") > 100).alias("slow"))
+
+
+def broken_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that a unique index over ``keys`` would refuse, with how often they occur."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -9,14 +9,24 @@ from corpusloom.functions import text as T
 from corpusloom.operators import assembly as A
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import graph as G
+from corpusloom.operators import index as I
+from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
-from corpusloom.plans.retrieval_queries import BM25, add, asked, bm
+from corpusloom.plans.retrieval_queries import ASKED, BM25, Q, add, asked, bm
 from corpusloom.session import load
 
+#: Ordered distinct values of a list in SQL.
+FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+#: Sentences of a text in SQL, as functions.text.sentences cuts them.
+SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^。！？；.!?;\\n]+[。！？；.!?;]?'), lambda s: trim(s, ' ')), lambda s: length(s) >= 12)"
+COLLAPSED = "list_transform({0}, lambda s: trim(regexp_replace(replace(s, '　', ' '), '\\s+', ' ', 'g'), ' '))"
+TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
-@add("c10_soft_wraps")
+
+@add("c10_soft_wraps", f"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0) as l from documents), k as (select doc_id, {FIRSTS.format('l')} as k from l)
+  select doc_id, md5(case when len(k) = 0 then '' else list_reduce(k, lambda a, x: case when length(string_split(a, chr(10))[-1]) < 120 and not contains('。！？；.!?;:：', right(string_split(a, chr(10))[-1], 1)) then a || x else a || chr(10) || x end) end) as digest from k""")
 def c10(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.array_join(A.merge_soft_wraps(F.split("text", "\n")), "\n").alias("clean"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(F.array_join(A.merge_soft_wraps(F.split("text", "\n")), "\n")).alias("digest"))
 
 
 @add("c21_slices", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
@@ -45,15 +55,18 @@ def t21(spark, sf):
     return A.topics(load(spark, sf, "documents"), patterns=[r"(\p{L}{4,8})tion"])
 
 
-@add("t23_key_content")
+@add("t23_key_content", r"""with t as (select doc_id, text, substr(text, 151, 50) as tail from documents), a as (select *, length(regexp_extract(tail, '(?s)^(.*[。！？.!?])', 1)) as ends, length(regexp_extract(tail, '(?s)^(.*) ', 1)) as space from t)
+  select doc_id, case when length(text) <= 200 then text when ends > 0 then substr(text, 1, 150 + ends) when space > 0 then substr(text, 1, 150 + space) || '...' else substr(text, 1, 200) || '...' end as content from a""")
 def t23(spark, sf):
     return load(spark, sf, "documents").select("doc_id", A.key_content(F.col("text")).alias("content"))
 
 
-@add("k11_document_summaries")
+@add("k11_document_summaries", f"""with h as (select source as doc_id, doc_id as ord, string_split(text, chr(10))[1] as title, list_filter({TOKENS.format('text')}, lambda t: length(t) >= 2) as toks, row_number() over (partition by source order by doc_id) as n from documents),
+  k as (select doc_id, n, title, ({FIRSTS.format('toks')})[1:3] as k from h where n <= 10), g as (select doc_id, list(title order by n) as titles, flatten(list(k order by n)) as words from k group by doc_id), f as (select doc_id, list_filter(titles, lambda t: t <> '') as titles, words from g)
+  select doc_id, array_to_string(({FIRSTS.format('titles')})[1:5], '；') as titles, array_to_string(({FIRSTS.format('words')})[1:8], ' ') as keywords from f""")
 def k11(spark, sf):
     d = load(spark, sf, "documents")
-    return A.document_summary(d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 12).alias("title"), "text"))
+    return A.document_summary(d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.element_at(F.split("text", "\n"), 1).alias("title"), "text"))
 
 
 @add("k15_levels", "select p_partkey, case when contains(p_type, 'STEEL') then 'program_spec' else 'course_outline' end as kind, array_to_string(list_transform(string_split(p_brand || '>' || p_type, '>'), lambda x: trim(x)), ' > ') as path from part")
@@ -62,16 +75,18 @@ def k15(spark, sf):
     return load(spark, sf, "part").select("p_partkey", kind.alias("kind"), A.section_path(F.concat_ws(">", "p_brand", "p_type")).alias("path"))
 
 
-@add("r31_merge_adjacent", f"""with {BM25}, r as (select query_id, rank, lang as section, left(text, 200) as text from bmr join documents using (doc_id) where rank <= 20),
+@add("r31_merge_adjacent", f"""with {BM25}, r as (select query_id, rank, lang as section, text from bmr join documents using (doc_id) where rank <= 20),
   n as (select *, case when lag(section) over (partition by query_id order by rank) = section then 0 else 1 end as new from r), i as (select *, sum(new) over (partition by query_id order by rank rows unbounded preceding) as island from n),
   b as (select *, floor((sum(length(text)) over (partition by query_id, island order by rank rows unbounded preceding) - 1) / 520) as block from i)
   select query_id, min(rank) as rank, any_value(section) as section, md5(string_agg(text, chr(10) order by rank)) as digest, count(*) as parts from b group by query_id, island, block""")
 def r31(spark, sf):
-    hits = R.top_k(bm(spark, sf), 20).join(load(spark, sf, "documents").select("doc_id", F.col("lang").alias("section"), F.substring("text", 1, 200).alias("text")), "doc_id")
+    hits = R.top_k(bm(spark, sf), 20).join(load(spark, sf, "documents").select("doc_id", F.col("lang").alias("section"), "text"), "doc_id")
     return A.merge_adjacent(hits.select("query_id", "rank", "section", "text")).select("query_id", "rank", "section", F.md5("text").alias("digest"), "parts")
 
 
-@add("r33_evidence")
+@add("r33_evidence", f"""with {BM25}, t as (select query_id, rank, ({FIRSTS.format('c')})[1:2] as s from (select query_id, rank, {COLLAPSED.format(SENT.format('text'))} as c from bmr join documents using (doc_id) where rank <= 5)),
+  u as (select query_id, rank, unnest(s) as sentence, unnest(range(len(s))) as pos from t), o as (select *, row_number() over (partition by query_id, sentence order by rank, pos) as rn from u),
+  p as (select *, row_number() over (partition by query_id order by rank, pos) as place from o where rn = 1) select query_id, place, sentence from p where place <= 6""")
 def r33(spark, sf):
     return A.evidence(R.top_k(bm(spark, sf), 5).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("query_id", "rank", "text"))
 
@@ -88,9 +103,12 @@ def r28(spark, sf):
     return E.best_so_far(steps).select("query_id", "iteration", "best")
 
 
-@add("e06_overall", "select item_id, round((0.35::double * item_id / 100 + 0.30::double * 0.5 + 0.15::double * 0.2) / 0.8::double, 6) as overall from benchmark")
+@add("e06_overall", """with m as (select user_id, avg(value) / 1000 as p, case when count(*) > 1 then max(value) / 2000 end as r, min(value) / 3000 as m, case when count(*) filter (event_type = 'error') > 0 then avg(value) filter (event_type = 'error') / 4000 end as d from events group by user_id)
+  select user_id, round((0.35::double * p + 0.30::double * coalesce(r, 0) + 0.20::double * m + 0.15::double * coalesce(d, 0)) / (0.35::double + case when r is null then 0 else 0.30::double end + 0.20::double + case when d is null then 0 else 0.15::double end), 6) as overall from m""")
 def e06(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id", F.round(E.overall(F.col("item_id") / 100, F.lit(0.5), F.lit(None).cast("double"), F.lit(0.2)), 6).alias("overall"))
+    v = F.col("value")
+    m = load(spark, sf, "events").groupBy("user_id").agg((F.avg(v) / 1000).alias("p"), F.when(F.count("*") > 1, F.max(v) / 2000).alias("r"), (F.min(v) / 3000).alias("m"), (F.avg(F.when(F.col("event_type") == "error", v)) / 4000).alias("d"))
+    return m.select("user_id", F.round(E.overall(F.col("p"), F.col("r"), F.col("m"), F.col("d")), 6).alias("overall"))
 
 
 @add("e11_approval", "select event_id, event_id % 4 < 2 or value < 30 as refused, case when event_id % 4 < 2 or value < 30 then 'high' when event_id % 5 >= 3 then 'medium' else 'low' end as risk from events")
@@ -109,10 +127,10 @@ def a06(spark, sf):
     return load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("parts")).where("parts >= 2")
 
 
-@add("a11_counters", "select event_type, event_id, sum(1) over (partition by event_type order by event_id rows unbounded preceding) as counter from events where user_id % 10 = 0")
+@add("a11_counters", "select event_type, event_id, sum(1) over (partition by event_type order by event_id rows unbounded preceding) as counter from events")
 def a11(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf, "events").where("user_id % 10 = 0").withColumn("counter", F.sum(F.lit(1)).over(w)).select("event_type", "event_id", "counter")
+    e = load(spark, sf, "events")
+    return M.running_counters(e.select("event_type", "event_id", F.lit(1).alias("delta")), "event_type", "event_id").select("event_type", "event_id", "counter")
 
 
 @add("a13_type_counts", "select p_type as type, count(*) as n from part group by p_type")
@@ -127,10 +145,10 @@ def g12(spark, sf):
     return G.subgraph(n, e, n.withColumnRenamed("id", "node"))[1]
 
 
-@add("x05_missing_names", "select n_name as name from nation where n_nationkey not in (select s_nationkey from supplier)")
+@add("x05_missing_names", "select n_name as name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 8000)")
 def x05(spark, sf):
     n = load(spark, sf, "nation")
-    has = load(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    has = load(spark, sf, "supplier").where("s_acctbal > 8000").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
     return A.readiness(n.select(F.col("n_name").alias("name")), has.distinct())
 
 
@@ -172,9 +190,13 @@ def x19(spark, sf):
     return g.select("conv_id", F.array_join(F.transform("l", lambda x: F.when(x["role"] == "assistant", "assistant").otherwise("user")), ",").alias("roles"))
 
 
-@add("r21_keyword_searches")
+KEYWORD_Q = "q0(query_id, query) as (values " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + f"), q1 as (select query_id, list_filter({TOKENS.format('query')}, lambda t: length(t) >= 2) as toks from q0), queries as (select query_id || '|' || kw as query_id, kw as query from (select query_id, unnest(({FIRSTS.format('toks')})[1:8]) as kw from q1))"
+
+
+@add("r21_keyword_searches", f"with {BM25.replace(Q, KEYWORD_Q)} select query_id as search, rank, doc_id, round(score, 6) as score from bmr where rank <= 5")
 def r21(spark, sf):
     """One search for each keyword of each query."""
     words = asked(spark).select("query_id", F.explode(T.first_keywords(F.col("query"))).alias("query"))
-    numbered = words.select(F.xxhash64("query_id", "query").alias("query_id"), "query")
-    return R.top_k(R.bm25(numbered, load(spark, sf, "documents")), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    numbered = words.select(F.concat_ws("|", "query_id", "query").alias("query_id"), "query")
+    found = R.top_k(I.indexed(load(spark, sf, "documents")).bm25(numbered), 5)
+    return found.select(F.col("query_id").alias("search"), "rank", "doc_id", F.round("score", 6).alias("score"))

@@ -46,7 +46,9 @@ def q10(spark, sf):
     return U.cross_topic(load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), p)
 
 
-@add("q09_refine")
+@add("q09_refine", r"""with b as (select item_id, text, case item_id % 4 when 0 then 'similarity' when 1 then 'coverage' when 2 then 'completeness' else 'diversity' end as weakness, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2) as toks from benchmark)
+  select item_id, weakness, case weakness when 'similarity' then text || ' more' when 'coverage' then regexp_replace(text, '^(请问|怎么|如何|什么是|please |how (do|does|to) |what (is|are) )', '')
+    when 'completeness' then trim(regexp_split_to_array(text, '[，,；;。.?？]|以及|和| and ')[1], ' ') else array_to_string((list_filter(toks, lambda x, i: list_position(toks, x) = i))[1:3], ' ') end as refined from b""")
 def q09(spark, sf):
     b = load(spark, sf, "benchmark")
     weak = F.element_at(F.array(*map(F.lit, ["similarity", "coverage", "completeness", "diversity"])), (F.col("item_id") % 4 + 1).cast("int"))
@@ -76,10 +78,10 @@ def k12(spark, sf):
     return S.children(load(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), "text"))
 
 
-@add("k10_k16_context", "select doc_id, concat_ws('；', source, nullif(lang, 'en'), 'p ' || n_chars) as prefix, concat_ws(' ', source || ' ' || lang, source || ' ' || lang, left(text, 30)) as search_text from documents")
+@add("k10_k16_context", "select doc_id, concat_ws('；', source, nullif(lang, 'en'), 'p ' || n_chars) as prefix, md5(concat_ws(' ', source || ' ' || lang, source || ' ' || lang, text)) as search_text from documents")
 def k10(spark, sf):
     d = load(spark, sf, "documents")
-    return d.select("doc_id", F.concat_ws("；", "source", F.nullif("lang", F.lit("en")), F.concat(F.lit("p "), "n_chars")).alias("prefix"), S.search_text(F.col("source"), F.col("lang"), F.substring("text", 1, 30)).alias("search_text"))
+    return d.select("doc_id", F.concat_ws("；", "source", F.nullif("lang", F.lit("en")), F.concat(F.lit("p "), "n_chars")).alias("prefix"), F.md5(S.search_text(F.col("source"), F.col("lang"), F.col("text"))).alias("search_text"))
 
 
 @add("k13_chunk_quality", r"""with c as (select source as doc_id, doc_id as ord, trim(text, ' ') as t, lang from documents), d as (select *, row_number() over (partition by doc_id, md5(t) order by ord) as nth, right(t, 1) in ('。', '！', '？', '.', ';', '；') as ends, len(regexp_extract_all(t, '\p{L}')) / greatest(length(t), 1)::double as share from c),
@@ -97,9 +99,13 @@ def a03(spark, sf):
     return g
 
 
-@add("k14_bloom_level")
+LEVELS = {"recall": ["STEEL", "POLISHED"], "apply": ["TIN", "PLATED", "SMALL"], "create": ["COPPER", "LARGE"]}
+LEVEL_SQL = ", ".join(" + ".join(f"contains(p_type, '{w}')::int" for w in words) + f" as n_{name}" for name, words in LEVELS.items())
+
+
+@add("k14_bloom_level", f"with s as (select p_partkey, {LEVEL_SQL} from part) select p_partkey, case when greatest(n_recall, n_apply, n_create) = 0 then 'understand' when n_recall >= n_apply and n_recall >= n_create then 'recall' when n_apply >= n_create then 'apply' else 'create' end as level from s")
 def k14(spark, sf):
-    return cases(spark).select("query_id", S.bloom_level(F.col("query"), S.BLOOM, "理解").alias("level"))
+    return load(spark, sf, "part").select("p_partkey", S.bloom_level(F.col("p_type"), LEVELS, "understand").alias("level"))
 
 
 @add("a05_structure", "select c_mktsegment, n_regionkey, count(*) as n, round(sum(c_acctbal), 6) as total from customer join nation on c_nationkey = n_nationkey group by grouping sets ((c_mktsegment), (n_regionkey), ())")
@@ -114,11 +120,67 @@ def a08(spark, sf):
     return M.percentile_stats(load(spark, sf, "events"), ["event_type"], "value")
 
 
-@add("a09_activity", "with u as (select max(ts) as u from events) select event_type, count(*) as n, round(avg(value), 6) as mean, count_if(value > 100) as slow from events cross join u where ts > u - interval 24 hour group by event_type")
+@add("a09_statistics", """with u as (select max(ts) as u from events), r(range, hours) as (values ('1h', 1), ('24h', 24), ('7d', 168), ('all', 10000000))
+  select range, event_type, count(*) as n, round(avg(value), 6) as mean, count_if(value > 100) as slow from events cross join u join r on range = 'all' or ts > u - to_hours(hours) group by all""")
 def a09(spark, sf):
     e = load(spark, sf, "events")
     until = e.agg(F.max("ts").alias("until"))
-    return M.activity(e.crossJoin(F.broadcast(until)), F.col("until"), 24)
+    return M.statistics(e.crossJoin(F.broadcast(until)), F.col("until"), {"1h": 1, "24h": 24, "7d": 168, "all": None})
+
+
+@add("i03_cache", """with q as (select vec_id as query_id, 'k' || (vec_id // 2) as key, embedding::double[] as vector from embeddings where vec_id % 20 = 0), e as (select 'k' || vec_id as key, embedding::double[] as vector, vec_id % 3 as ttl from embeddings where label < 3 and vec_id % 5 <> 0),
+  live as (select * from e where ttl <> 1), x as (select query_id, key, 'exact' as kind, 1.0 as similarity from q where key in (select key from live)),
+  s as (select query_id, live.key, round(list_cosine_similarity(q.vector, live.vector), 6) as similarity from q cross join live where query_id not in (select query_id from x)), b as (select *, row_number() over (partition by query_id order by similarity desc, key) as rn from s where similarity >= 0.2)
+  select * from x union all select query_id, key, 'similar', similarity from b where rn = 1""")
+def i03(spark, sf):
+    e = load(spark, sf, "embeddings")
+    asked_ = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("k"), F.expr("vec_id div 2")).alias("key"), F.col("embedding").alias("vector"))
+    entries = e.where("label < 3 and vec_id % 5 <> 0").select(F.concat(F.lit("k"), "vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("vec_id") % 3).cast("int").alias("ttl"))
+    # a ttl of 1 has ended, one of 2 goes on until the second is over
+    return M.cached(asked_, entries, F.lit("2024-01-01 00:00:01").cast("timestamp"), 0.2)
+
+
+@add("x07_insert", "with e as (select user_id as key, count(*) as h, max(ts) as t from events group by user_id), m as (select key, case when key % 3 = 0 then 1000 else h end as h, t from e) select key, h as hit_count from m order by h desc, t desc, key limit 40")
+def x07(spark, sf):
+    e = load(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("hit_count"), F.max("ts").alias("ts"))
+    return M.insert(e, e.where("key % 3 = 0").withColumn("hit_count", F.lit(1000).cast("bigint")), 40).select("key", "hit_count")
+
+
+@add("a14_cache_statistics", "with e as (select user_id, count(*) as h from events group by user_id) select count(*) as total_entries, round(count(*) / 500.0, 6) as usage_ratio, sum(h) as total_hits, round(avg(h), 6) as avg_hits, max(h) as max_hits from e")
+def a14(spark, sf):
+    return M.cache_statistics(load(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("hit_count")), 500)
+
+
+@add("x01_append", """with s as (select conv_id as session_id, max(turn) as updated_at, list(text order by turn) as messages from conversations where turn < 3 group by conv_id), n as (select conv_id as session_id, max(turn) as last, list(text order by turn) as more from conversations where turn >= 3 group by conv_id)
+  select s.session_id, greatest(updated_at, coalesce(last, updated_at)) as updated_at, md5(array_to_string(case when more is null then messages else list_concat(messages, more) end, '|')) as messages from s left join n using (session_id)""")
+def x01(spark, sf):
+    c = load(spark, sf, "conversations")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    old = c.where("turn < 3").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").alias("updated_at"), ordered.alias("messages"))
+    new = c.where("turn >= 3").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), F.col("text").alias("message"))
+    return M.append_message(old, new).withColumn("messages", F.md5(F.array_join("messages", "|")))
+
+
+@add("x01_revoked", "select count_if(user_id % 4 = 0 and event_type <> 'error') as changed from events")
+def x01b(spark, sf):
+    tokens = load(spark, sf, "events").withColumn("is_revoked", F.col("event_type") == "error")
+    return M.revoke(tokens, F.col("user_id") % 4 == 0)[1]
+
+
+@add("x02_listing", "select event_id, user_id, ts from events where user_id = 7 order by ts desc, event_id")
+def x02(spark, sf):
+    return M.listing(load(spark, sf, "events").select("event_id", "user_id", "ts"), F.col("user_id") == 7, "ts", "event_id")
+
+
+@add("x08_cache_keys", """select item_id, '{"query":' || to_json(text) || ',"top_k":5,"use_keyword":true,"use_vector":null}' as key from benchmark""")
+def x08(spark, sf):
+    return load(spark, sf, "benchmark").select("item_id", M.candidate_key(F.col("text"), 5, None, True).alias("key"))
+
+
+@add("s16_enriched", "select c_custkey, n_name, n_regionkey, r_name from customer left join (select n_nationkey, n_name, n_regionkey, r_name from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0) on c_nationkey = n_nationkey")
+def s16(spark, sf):
+    facts = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey", "r_name")
+    return M.enriched(load(spark, sf, "customer").select("c_custkey", "c_nationkey"), facts, "c_nationkey").drop("c_nationkey")
 
 
 @add("a10_http_counters", "select event_type, extract('hour' from ts) as hour, count(*) as n, count_if(event_type = 'error') as errors, round(sum(value), 4) as total from events group by all")
@@ -153,7 +215,9 @@ def snapshots(spark, sf):
     return d.where("doc_id % 7 <> 0"), d.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
 
 
-@add("i02_update_index")
+@add("i02_update_index", """with o as (select doc_id, text from documents where doc_id % 7 <> 0), n as (select doc_id, case when doc_id % 5 = 0 then text || '!' else text end as text from documents where doc_id % 11 <> 0),
+  keep as (select doc_id, o.text from o join n using (doc_id) where sha256(o.text) = sha256(n.text)), fresh as (select n.doc_id, n.text from n left join o using (doc_id) where o.doc_id is null or sha256(o.text) <> sha256(n.text)), u as (select * from keep union all select * from fresh),
+  w as (select doc_id, text, unnest(range(greatest(ceil((length(text) - 120) / 560.0)::int, 1))) as chunk_no from u where length(text) > 0) select doc_id, chunk_no, md5(substr(text, (chunk_no * 560 + 1)::int, 680)) as digest from w""")
 def i02(spark, sf):
     old, new = snapshots(spark, sf)
     return M.update_index(S.fixed_windows(old), M.changes(old, new), S.fixed_windows(new)).select("doc_id", "chunk_no", F.md5("chunk").alias("digest"))
@@ -192,9 +256,11 @@ def s17(spark, sf):
     return M.latest(e, ["user_id", "event_type"], "o", "props").withColumnRenamed("props", "content")
 
 
-@add("s11_unique_keys", "select conv_id, turn, count(*) as n from conversations group by all having count(*) > 1")
+@add("s11_unique_keys", "select l_orderkey, l_partkey, count(*) as n from lineitem group by all having count(*) > 1 union all select l_orderkey, null, count(*) from (select l_orderkey, l_linenumber from lineitem) group by l_orderkey, l_linenumber having count(*) > 1")
 def s11(spark, sf):
-    return load(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1")
+    li = load(spark, sf, "lineitem")
+    broken = M.broken_unique(li, ["l_orderkey", "l_partkey"])
+    return broken.unionByName(M.broken_unique(li, ["l_orderkey", "l_linenumber"]).select("l_orderkey", F.lit(None).cast("bigint").alias("l_partkey"), "n"))
 
 
 @add("v04_history_search", "select distinct conv_id from conversations where contains(lower(text), 'that')")
@@ -242,7 +308,7 @@ def g06(spark, sf):
     return G.reach(hierarchy(spark, sf), spark.createDataFrame([(1,)], "seed bigint"), 3)
 
 
-@add("g07_paths")
+@add("g07_paths", f"with recursive {HIER}, g as (select unnest([0, 1, 2, 3, 4]) as seed, 1001 as goal), r as (select seed, goal, seed::bigint as node, 0 as depth, seed::varchar as path from g union all select seed, goal, e.dst, depth + 1, path || '>' || e.dst from r join e on e.src = r.node where depth < 3 and node <> goal) select seed, goal, depth, min(path) as path from r where node = goal group by all")
 def g07(spark, sf):
     p = G.shortest_paths(hierarchy(spark, sf), spark.createDataFrame([(0, 1001), (1, 1001), (2, 1001), (3, 1001), (4, 1001)], "seed bigint, goal bigint"), 3)
     return p.select("seed", "goal", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
@@ -253,9 +319,10 @@ def g10(spark, sf):
     return G.components(hierarchy(spark, sf))
 
 
-@add("g11_gaps", "select p_partkey as requirement, count(distinct l_suppkey) as supporters, case when count(distinct l_suppkey) = 0 then 'high' else 'medium' end as severity from part left join lineitem on l_partkey = p_partkey group by p_partkey having count(distinct l_suppkey) < 8")
+@add("g11_gaps", "with s as (select l_partkey, l_suppkey from lineitem where l_quantity > 47) select p_partkey as requirement, count(distinct l_suppkey) as supporters, case when count(distinct l_suppkey) = 0 then 'high' else 'medium' end as severity from part left join s on l_partkey = p_partkey group by p_partkey having count(distinct l_suppkey) < 2")
 def g11(spark, sf):
-    return G.coverage_gaps(load(spark, sf, "part").select(F.col("p_partkey").alias("requirement")), load(spark, sf, "lineitem").select(F.col("l_partkey").alias("requirement"), F.col("l_suppkey").alias("supporter")), 8)
+    strong = load(spark, sf, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("requirement"), F.col("l_suppkey").alias("supporter"))
+    return G.coverage_gaps(load(spark, sf, "part").select(F.col("p_partkey").alias("requirement")), strong, 2)
 
 
 @add("g11_orphans", f"with {HIER}, n as (select n_nationkey + 100 as id from nation where n_nationkey % 2 = 0), x as (select src as id from e union select dst from e) select id from x where id not in (select id from n)")
@@ -284,10 +351,50 @@ def v02(spark, sf):
     return G.last_edges(load(spark, sf, "events").select(F.col("user_id").alias("src"), (F.col("user_id") % 7).alias("dst"), F.col("event_type").alias("type"), F.col("event_id").alias("ord")))
 
 
-@add("g03_same_category", "with p as (select p_partkey as src, lead(p_partkey) over (partition by p_brand order by p_partkey) as dst from part) select src, dst, 0.3 as weight from p where dst is not null")
+@add("g03_same_category", """with e as (select p_partkey as src, p_partkey + 1 as dst from part where p_partkey % 4 = 0), p as (select a.p_partkey as src, b.p_partkey as dst from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey)
+  select p.src, p.dst, 0.3 as weight from p left join e on (e.src = p.src and e.dst = p.dst) or (e.src = p.dst and e.dst = p.src) where e.src is null""")
 def g03(spark, sf):
-    none = spark.createDataFrame([], "src bigint, dst bigint")
-    return G.same_category(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand"), none, "p_brand")
+    part = load(spark, sf, "part")
+    edges = part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    return G.same_category(part.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("category")), edges, "category")
+
+
+@add("g03_members", "with m as (select p_brand as category, p_partkey as id, count(*) over (partition by p_brand) as n from part) select category, id, n - 1 as links from m where n > 1")
+def g03b(spark, sf):
+    return G.category_members(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "p_brand").withColumnRenamed("p_brand", "category")
+
+
+@add("g11_overlaps", "select l_partkey as concept, count(distinct l_suppkey) as courses, string_agg(distinct l_suppkey::varchar, ',' order by l_suppkey::varchar) as names from lineitem group by l_partkey having count(distinct l_suppkey) >= 3")
+def g11c(spark, sf):
+    return G.overlaps(load(spark, sf, "lineitem").select(F.col("l_partkey").alias("concept"), F.col("l_suppkey").cast("string").alias("course")), 3)
+
+
+@add("g14_context_cards", f"""with {HIER}, n as (select r_regionkey::bigint as id, r_name as name from region union all select 100 + n_nationkey, n_name from nation), d as (select src, dst, row_number() over (partition by src order by dst) as rn from e where src < 100),
+  g as (select src, string_agg(name, '、' order by dst) as names from d join n on n.id = dst where rn <= 4 group by src) select n.id, '[' || name || '] 后续课程：' || names as card from g join n on n.id = src""")
+def g14(spark, sf):
+    region, nation = load(spark, sf, "region"), load(spark, sf, "nation")
+    nodes = region.select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name")).unionByName(nation.select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_name").alias("name")))
+    return G.cards(nodes, hierarchy(spark, sf).where("src < 100"), "后续课程", 4)
+
+
+@add("x10_subgraph_summary", """with n as (select p_brand as grp, p_partkey as id, p_name as name, case p_size % 3 when 0 then 'course' when 1 then 'concept' else 'requirement' end as type from part), r as (select *, row_number() over (partition by grp, type order by id) as rn from n),
+  g as (select grp, string_agg(name, '、' order by id) filter (type = 'course' and rn <= 6) as c, string_agg(name, '、' order by id) filter (type = 'concept' and rn <= 10) as k, string_agg(name, '、' order by id) filter (type = 'requirement' and rn <= 5) as q from r group by grp)
+  select grp, concat_ws(chr(10), '[图谱检索结果]', '涉及课程：' || c, '核心知识点：' || k, '关联毕业要求：' || q) as summary from g""")
+def x10(spark, sf):
+    kind = F.when(F.col("p_size") % 3 == 0, "course").when(F.col("p_size") % 3 == 1, "concept").otherwise("requirement")
+    return G.summarise(load(spark, sf, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("type")), "grp")
+
+
+@add("g06_capped_subgraph", f"with recursive {HIER}, u as (select src, dst from e union select dst, src from e), r as (select 0::bigint as seed, 0::bigint as node, 0 as depth union select seed, u.dst, depth + 1 from r join u on u.src = r.node where depth < 2), f as (select seed, node, min(depth) as depth from r group by all), k as (select *, row_number() over (partition by seed order by depth, node) as rn from f) select seed, node, depth from k where rn <= 40")
+def g06b(spark, sf):
+    return G.neighbourhood(hierarchy(spark, sf), spark.createDataFrame([(0,)], "seed bigint"), 2, 40)
+
+
+@add("g08_learning_path", f"with recursive {HIER}, up as (select 1001::bigint as node, 0 as depth union select e.src, depth - 1 from up join e on e.dst = up.node where depth > -3), down as (select 1::bigint as node, 0 as depth union select e.dst, depth + 1 from down join e on e.src = down.node where depth < 3) select 1001::bigint as target, node, min(depth) as depth from up group by node union all select 1, node, min(depth) from down group by node")
+def g08(spark, sf):
+    e = hierarchy(spark, sf)
+    targets = spark.createDataFrame([(1001,), (1,)], "seed bigint")
+    return G.learning_path(e, targets, 3).withColumnRenamed("seed", "target")
 
 
 @add("st1_tumbling_batch", "select event_type, time_bucket(interval 1 hour, ts) as start, count(*) as n, round(sum(value), 4) as total from events group by all")

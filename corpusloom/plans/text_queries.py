@@ -60,7 +60,12 @@ def c11(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.low_signal(F.col("text"), "latin").alias("low_signal"))
 
 
-@add("c12_deep_clean")
+@add("c12_deep_clean", r"""with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(replace(x, '　', ' '), '[\t ]{2,}', ' ', 'g'), ' ')) as l from documents),
+  f as (select doc_id, list_filter(l, lambda line: length(line) > 0 and not (regexp_matches(line, '^[\d\s.,\-—_，、:：/]+$') or regexp_matches(line, '^[.\s…⋯·•]+$') or regexp_matches(line, '^[|:：\-_=+/\\\s]+$') or regexp_matches(line, '^\d+[.、，]\s*[^\x{4e00}-\x{9fff}]{0,40}$') or (ends_with(line, '......................') and length(line) < 100)
+      or (regexp_matches(line, '^[a-zA-Z0-9][^\x{4e00}-\x{9fff}]{0,50}$') and len(regexp_extract_all(line, '[\x{4e00}-\x{9fff}]')) < 5 and length(line) < 50))
+    and not (contains(line, '课程体系与毕业要求') or len(regexp_extract_all(line, '[√✓✔☑□■◆●○]')) >= 2 or (len(regexp_extract_all(line, '[√✓✔☑□■◆●○]')) >= 1 and length(line) - length(replace(line, '|', '')) + len(regexp_extract_all(line, '\s{2,}')) >= 2)
+      or (contains(line, '|') and len(regexp_extract_all(line, '[\x{4e00}-\x{9fff}]')) < length(line) * 0.45) or (length(line) - length(replace(line, '|', '')) + len(regexp_extract_all(line, '\s{2,}')) >= 3 and len(regexp_extract_all(line, '[\x{4e00}-\x{9fff}]')) < 14))) as k from l)
+  select doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), chr(10)) as clean from f""")
 def c12(spark, sf):
     """Lines keep their first occurrence in the array itself, so nothing is shuffled."""
     return load(spark, sf, "documents").select("doc_id", T.deep_clean(F.col("text")).alias("clean"))
@@ -147,7 +152,7 @@ def t03(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.array_join(T.first_keywords(F.col("text")), " ").alias("keywords")).where("keywords <> ''")
 
 
-@add("t06_half_width", r"select item_id, trim(regexp_replace(translate('（' || text || '）：“x”', '（）：；！？，．【】“”‘’""''', '():;!?,.[]'), '\s+', ' ', 'g')) as clean from benchmark".replace('""', '"'))
+@add("t06_half_width", r"""select item_id, trim(regexp_replace(translate('（' || text || '）：“x”', '（）：；！？，．【】“”‘’''''', '():;!?,.[]'), '\s+', ' ', 'g')) as clean from benchmark""")
 def t06(spark, sf):
     return load(spark, sf, "benchmark").select("item_id", T.half_width(F.concat(F.lit("（"), "text", F.lit("）：“x”"))).alias("clean"))
 
@@ -222,7 +227,11 @@ def t22(spark, sf):
     return kept.select("item_id", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("summary"))
 
 
-@add("t10_t11_excerpts")
+@add("t10_t11_excerpts", r"""with d as (select doc_id, text, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2) as toks,
+    list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;\n]+[。！？；.!?;]?'), lambda s: trim(s, ' ')), lambda s: length(s) >= 12) as own from documents),
+  e as (select *, (list_filter(toks, lambda x, i: list_position(toks, x) = i))[1:3] as k, list_transform(own, lambda s: trim(regexp_replace(replace(s, '　', ' '), '\s+', ' ', 'g'), ' ')) as flat from d),
+  f as (select *, list_filter(own, lambda s: len(list_filter(k, lambda w: contains(lower(s), w))) > 0) as hit from e)
+  select doc_id, array_to_string((list_filter(flat, lambda x, i: list_position(flat, x) = i))[1:3], chr(10)) as key_sentences, array_to_string((case when len(hit) > 0 then hit else own end)[1:3], ' ') as excerpt from f""")
 def t10(spark, sf):
     d = load(spark, sf, "documents").withColumn("k", T.first_keywords(F.col("text"), 3))
     return d.select("doc_id", F.array_join(T.key_sentences(F.col("text")), "\n").alias("key_sentences"), T.query_excerpt(F.col("text"), F.col("k")).alias("excerpt"))
