@@ -147,79 +147,92 @@ def without_copies(texts: list[str | None]) -> list[int]:
     return out
 
 
+def surest(hot: np.ndarray, all_: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How surely features differ in their share of toxic and clean texts, in standard deviations."""
+    share = all_ / np.float32(n1 + n0)
+    return np.abs(hot / np.float32(n1) - (all_ - hot) / np.float32(n0)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * np.float32(1 / n1 + 1 / n0))
+
+
 def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.0007, folds: int = 2, least_df: int = 3) -> Model:
-    """The model of labelled texts; the cut is the one with the best F1 on texts held out in turn.
+    """The model of labelled texts; the cut is the one with the best F1 on texts held out in turn. ``texts`` is emptied.
 
     Without a toxic and a clean text nothing can be learnt: no weights, and nothing is rejected.
     """
     first = without_copies(texts)
-    texts, y = [texts[i] for i in first], np.array([toxic[i] for i in first], int)
+    own, y = [texts[i] for i in first], np.array([toxic[i] for i in first], int)
+    texts.clear()
     if not len(y) or y.min() == y.max():
         return Model({}, tuple(float(5 + k) for k in range(GRADES)), float(GRADES + 1))
-    # one text's words at a time: the sample is held as numbers. Counts by hash first, so that rare features need no names
-    seen = np.zeros(1 << 22, np.int32)
-    for t in texts:
-        seen[list({hash(p) & (len(seen) - 1) for w in set(WORD(t.lower()) if t else []) for p in parts_of(w)})] += 1
+    n, n1 = len(y), int(y.sum())
+    # the sample is held as numbers; counts by hash come first, so that rare and even features need no names
+    seen, mask = np.zeros((2, 1 << 22), np.int16), (1 << 22) - 1
+    for t, mark in zip(own, y.tolist(), strict=True):
+        seen[mark][list({hash(p) & mask for w in set(WORD(t.lower()) if t else []) for p in parts_of(w)})] += 1
+    open_ = np.zeros(1 << 22, bool)
+    for at in range(0, 1 << 22, 1 << 18):
+        cold, hot = seen[:, at : at + (1 << 18)].astype(np.float32)
+        open_[at : at + (1 << 18)] = (cold + hot >= least_df) & (surest(hot, cold + hot, n1, n - n1) >= 1)
+    del seen
     number: dict[str, int] = {}
     rows_, cols_, values_ = [], [], []
-    for i, t in enumerate(texts):
-        words = WORD(t.lower()) if t else []
-        found: Counter = Counter()
-        for word, n in Counter(words).items():
+    for i in range(n):
+        words, found = WORD(own[i].lower()) if own[i] else [], Counter()
+        own[i] = None
+        for word, times in Counter(words).items():
             for p in parts_of(word):
-                if seen[hash(p) & (len(seen) - 1)] >= least_df:
-                    found[p] += n
+                if open_[hash(p) & mask]:
+                    found[p] += times
         cols_.append(np.array([number.setdefault(p, len(number)) for p in found], np.int32))
         values_.append(np.log1p(100.0 * np.array(list(found.values()), np.float32) / np.float32(len(words) + PRIOR)))
         rows_.append(np.full(len(found), i, np.int32))
-    rows, cols, values = (np.concatenate(x) if x else np.empty(0) for x in (rows_, cols_, values_))
-    del rows_, cols_, values_
-    df = np.bincount(cols, minlength=len(number))
-    kept = (df >= least_df)[cols]
-    rows, cols, values = rows[kept], cols[kept], values[kept]
+    rows, cols, values = (np.concatenate(x) for x in (rows_, cols_, values_))
+    del rows_, cols_, values_, open_
     names = list(number)
     del number
 
-    def fitted(keep: np.ndarray, grade: np.ndarray) -> Model:
-        own = keep[rows]
-        r, c, v = (np.cumsum(keep) - 1)[rows[own]], cols[own], values[own]
-        # of what differs between the classes, the surest
-        n1, n0 = max(1, int(y[keep].sum())), max(1, int((1 - y[keep]).sum()))
+    def fitted(keep: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, thresholds) on the texts of ``keep``, over the features that differ most surely there."""
+        inside = keep[rows]
+        r, c, v = (np.cumsum(keep) - 1)[rows[inside]], cols[inside], values[inside]
+        k1, k0 = max(1, int(y[keep].sum())), max(1, int((1 - y[keep]).sum()))
         all_, hot = np.bincount(c, minlength=len(names)), np.bincount(c[y[keep][r] == 1], minlength=len(names))
-        share = all_ / (n1 + n0)
-        sure = np.abs(hot / n1 - (all_ - hot) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-        sure[all_ < least_df] = -1
+        sure = np.where(all_ >= least_df, surest(hot, all_, k1, k0), -1)
         best = np.flatnonzero(sure >= max(1.0, np.partition(sure, -FEATURES)[-FEATURES] if len(sure) > FEATURES else 0.0))
         place = np.full(len(names), -1, np.int64)
         place[best] = np.arange(len(best))
         sel = place[c] >= 0
         w, theta = fit_weights(r[sel], place[c[sel]], v[sel].astype(float), int(keep.sum()), len(best), grade[keep], penalty)
-        return Model({names[best[i]]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()), 0.0)
+        whole = np.zeros(len(names))
+        whole[best] = w
+        return whole, theta
 
-    fold = np.arange(len(y)) % folds
+    fold = np.arange(n) % folds
 
-    def out_of_fold(grade: np.ndarray, of) -> np.ndarray:
-        found = np.zeros(len(y))
+    def out_of_fold(grade: np.ndarray, severity: bool) -> np.ndarray:
+        """Each text's log-odds, or its expected severity, from a model fitted without its fold."""
+        found = np.zeros(n)
         for f in range(folds):
-            part = fitted(fold != f, grade)
-            for i in np.flatnonzero(fold == f):
-                found[i] = of(part, texts[i])
+            w, theta = fitted(fold != f, grade)
+            z = np.bincount(rows, values * w[cols], n)
+            found[fold == f] = (sigmoid(z[:, None] - theta).sum(1) if severity else z)[fold == f]
         return found
 
-    z = out_of_fold(y, lambda m, t: m.score(t))
+    z = out_of_fold(y, False)
     thirds = np.quantile(z[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (z > thirds[0]) + (z > thirds[1]), 0)
-    held_out = out_of_fold(grade, lambda m, t: m.severity(t)[0])
+    held_out = out_of_fold(grade, True)
     order = np.argsort(-held_out, kind="stable")
     s = held_out[order]
     right = np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * right / (np.arange(1, n + 1) + n1)
     f1[:-1][s[:-1] == s[1:]] = -1  # no cut between equal severities
     best = int(np.argmax(f1))
-    cut = float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best])
-    whole = fitted(np.ones(len(y), bool), grade)
+    cut = float((s[best] + s[best + 1]) / 2) if best + 1 < n else float(s[best])
+    w, theta = fitted(np.ones(n, bool), grade)
+    whole = Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, tuple(theta.tolist()), 0.0)
     # a text without any feature is never rejected
-    return Model(whole.weights, whole.theta, max(cut, whole.severity(None)[0] + 1e-6))
+    whole.cut = max(cut, whole.severity(None)[0] + 1e-6)
+    return whole
 
 
 def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
