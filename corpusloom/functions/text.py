@@ -4,6 +4,9 @@ content: ``cjk``, or ``latin`` (any letter) for text in alphabets."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ TABLE_HINTS = ["课程体系与毕业要求", "关联度矩阵", "支撑关系",
 FRAGMENT_PREFIX = r"^\s*(\d+[.、，]\s*|[一二三四五六七八九十]+、\s*)"
 SECTION_TITLE = r"(第[一二三四五六七八九十百零\d]+[章节条款]|[一二三四五六七八九十]+、[^。\n]{1,20})"
 PAGE_REFERENCE = r"(?i)(第?\s*\d+\s*页|p\.\s*\d+)"
+NOISE_CHUNKS = ["校徽释义", "校训释义", "校风释义", "教风释义", "学风释义", "编制说明"]
 SECRETS = ["password", "token", "secret", "api_key"]
 HEADINGS = [(r"^第[一二三四五六七八九十百零\d]+[章节条款]", 1), (r"^[一二三四五六七八九十]+、", 2), (r"^\d+(\.\d+){0,3}[、.]?\s*", 2), (r"^[（(][一二三四五六七八九十\d]+[）)]", 3)]
 TERMINATORS = ["。", "！", "？", ".", ";", "；"]
@@ -185,9 +189,7 @@ def first_keywords(c: Column, limit: int = 8) -> Column:
 
 def top_keywords(c: Column, limit: int = 8, stop: list[str] | None = None) -> Column:
     """The most frequent tokens of two characters or more; of equally frequent ones the first seen."""
-    own = F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(stop or [""]))
-    ranked = F.array_sort(F.transform(F.array_distinct(own), lambda t: F.struct((-F.size(F.filter(own, lambda x: x == t))).alias("n"), F.array_position(own, t).alias("at"), t.alias("t"))))
-    return F.slice(F.transform(ranked, lambda r: r["t"]), 1, limit)
+    return frequent(F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(stop or [""])), limit)
 
 
 def half_width(c: Column) -> Column:
@@ -293,3 +295,41 @@ def heading_level(c: Column) -> Column:
     for pattern, level in reversed(HEADINGS):
         out = F.when(c.rlike(pattern), F.lit(level)).otherwise(out)
     return out
+
+
+def noise_chunk(c: Column, words: list[str] | None = None, script: str = "cjk") -> Column:
+    """C17: a chunk that holds one of the words, or one with five ellipses or more and few letters of the script."""
+    return contains_any(c, NOISE_CHUNKS if words is None else words) | ((occurrences(c, "...") >= 5) & (count(c, SCRIPT[script]) < F.length(c) * 0.3))
+
+
+def content_fingerprint(c: Column, script: str = "cjk", length: int = 200, words: str = r"[\x{4e00}-\x{9fff}]{2,4}") -> Column:
+    """The first characters of the script, then the three most frequent words, of equally frequent ones the first seen."""
+    own = F.regexp_extract_all(c, F.lit(words), F.lit(0))
+    return F.concat(script_fingerprint(c, script, length), F.array_join(frequent(own, 3), ""))
+
+
+def frequent(values: Column, n: int) -> Column:
+    """The ``n`` most frequent values of a list, of equally frequent ones the first seen.
+
+    Array functions in SQL would count each value against the whole list; a count over Arrow batches is linear.
+    """
+
+    @F.pandas_udf("array<string>")
+    def counted(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: [v for v, _ in Counter(x if x is not None else ()).most_common(n)])
+
+    return counted(values)
+
+
+def split_labelled(c: Column, labels: list[str], least: int = 8) -> Column:
+    """A line with two labels or more cut before each label that a colon or a space follows; pieces of fewer than ``least``
+    characters without spaces go to the piece on their left, or away if they are the first. Other lines stay whole."""
+    line = collapse(c)
+    any_label = "|".join(sorted(labels, key=len, reverse=True))
+    parts = F.split(F.regexp_replace(line, rf"({any_label})(\s*[：:]|\s+)", "\x01$1$2"), "\x01")
+    clean = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "^[ ，、；：,.]+|[ ，、；：,.]+$", "")), lambda x: x != "")
+    short = lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))) < least
+    # a mark before every piece that stands alone, then one cut; what comes before the first mark has nothing on its left
+    joined = F.array_join(F.transform(clean, lambda x: F.when(short(x), F.concat(F.lit(" "), x)).otherwise(F.concat(F.lit("\x01"), x))), "")
+    fragments = F.filter(F.split(F.regexp_replace(joined, "^[^\x01]*", ""), "\x01"), lambda x: x != "")
+    return F.when(~labelled(c, labels) | (F.size(fragments) == 0), F.array(line)).otherwise(fragments)

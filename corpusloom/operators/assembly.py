@@ -17,8 +17,8 @@ def merge_soft_wraps(lines: Column, most: int = 120, ends: str = "。！？；.!
     """First-seen lines; a line that goes on from one without a terminator is put to it while that is shorter than
     ``most``. The length of the merged line counts, so it is a fold; a fold in SQL would copy the lines at every step, so
     it runs over Arrow batches."""
-    @F.pandas_udf("array<string>", F.PandasUDFType.SCALAR)
-    def folded(column):
+    @F.pandas_udf("array<string>")
+    def folded(column: pd.Series) -> pd.Series:
         def fold(kept):
             done: list[list[str]] = []
             for line in kept if kept is not None else ():

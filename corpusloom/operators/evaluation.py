@@ -24,23 +24,46 @@ def is_relevant(chunk: dict[str, Column], case: dict[str, Column]) -> Column:
     return F.array_contains(case["ids"], chunk["id"]) | (present & fits)
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Precision (over what was returned, if less than k), recall over the whole pool, MRR, and nDCG whose ideal is
-    cut to what was returned."""
+def evaluate(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """A row for each query and each k: precision (over what was returned, if less than k), recall over the whole
+    pool, MRR, nDCG whose ideal is cut to what was returned, and the share of what is not relevant.
+
+    Queries that return nothing have rows too, of zeros. Relevant ids count once.
+    """
+    relevant = relevant.select("query_id", "doc_id").distinct()
     pool = relevant.groupBy("query_id").agg(F.count("*").alias("pool"))
-    marked = ranked.where(F.col("rank") <= k).join(relevant.withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    m = marked.groupBy("query_id").agg(
+    marked = ranked.where(F.col("rank") <= max(ks)).join(relevant.withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    at = marked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
+    m = at.groupBy("query_id", "k").agg(
         F.sum("rel").alias("hits"), F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("rel") == 1, 1.0 / F.col("rank"))), F.lit(0.0)).alias("mrr"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg")
-    ).join(pool, "query_id", "left").withColumn("pool", F.coalesce("pool", F.lit(0)))
+    )
+    every = queries.select("query_id").distinct().withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    m = every.join(m, ["query_id", "k"], "left").join(pool, "query_id", "left").fillna(0, ["hits", "n", "mrr", "dcg", "pool"])
     upto = F.least("pool", "n").cast("int")
     ideal = F.when(upto > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))).otherwise(0.0)
     r = lambda c, name: F.round(c, 6).alias(name)
+    denominator = F.when(F.col("n") > 0, F.least("k", "n")).otherwise(F.col("k"))
     return m.withColumn("ideal", ideal).select(
-        "query_id", r(F.col("hits") / F.least(F.lit(k), "n"), "precision"), r(F.when(F.col("pool") > 0, F.col("hits") / F.col("pool")).otherwise(0.0), "recall"), r(F.col("mrr"), "mrr"),
-        r(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0), "ndcg"),
+        "query_id", "k", r(F.col("hits") / denominator, "precision"), r(F.when(F.col("pool") > 0, F.col("hits") / F.col("pool")).otherwise(0.0), "recall"), r(F.col("mrr"), "mrr"),
+        r(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0), "ndcg"), r(F.when(F.col("n") > 0, 1 - F.col("hits") / F.col("n")).otherwise(0.0), "irrelevant"),
     )
 
 
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """E2-E4 at one k, for ``queries`` or else for those that have results or relevant documents."""
+    if queries is None:
+        queries = ranked.select("query_id").union(relevant.select("query_id"))
+    return evaluate(queries, ranked, relevant, (k,)).select("query_id", "precision", "recall", "mrr", "ndcg")
+
+
+def duplication(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """E5: (query_id, duplication): one less the share of distinct (section, first 120 characters) among the results
+    (query_id, section, text); 0 without any."""
+    sign = F.struct(F.lower(F.trim(F.coalesce("section", F.lit("")))), F.lower(F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, 120)))
+    found = results.groupBy("query_id").agg(F.round(1 - F.countDistinct(sign) / F.count("*"), 6).alias("duplication"))
+    return queries.select("query_id").distinct().join(found, "query_id", "left").fillna(0.0, ["duplication"])
+
+
 def overall(precision: Column, recall: Column, mrr: Column, ndcg: Column) -> Column:
     """.35, .30, .20 and .15, over the weights of what there is."""
     parts = [(precision, 0.35), (recall, 0.30), (mrr, 0.20), (ndcg, 0.15)]
@@ -101,16 +124,42 @@ def approval(count: Column, quality: Column, iteration: Column, most: int = 3) -
     return F.struct((risk != "high").alias("approved"), risk.alias("risk"), reason.alias("reason"))
 
 
-def grade_responses(turns: DataFrame) -> DataFrame:
-    """Every assistant turn that answers a user turn: length, structure and shared characters."""
+#: Words of an answer that refuses, and how an answer that failed begins.
+REFUSALS = ["暂无相关内容", "无法回答", "建议咨询", "我不太确定"]
+FAILURES = ["[ERROR]", "抱歉"]
+
+
+def response_score(query: Column, response: Column, refusals: list[str] | None = None, failures: list[str] | None = None) -> Column:
+    """Length (.3 from 200 characters, .15 from 50), marks of structure (.2), the share of the query's characters that the
+    response has (.3); a refusal leaves .3 of it and a failure .1; at most 1, rounded to 3 places; 0 for an empty response."""
+    r = F.trim(F.coalesce(response, F.lit("")))
+    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    asked = chars(query)
+    score = F.when(F.length(r) >= 200, 0.3).when(F.length(r) >= 50, 0.15).otherwise(0.0) + F.when(T.contains_any(r, ["**", "- ", "1."]), 0.2).otherwise(0.0)
+    score = score + F.size(F.array_intersect(asked, chars(r))) / F.greatest(F.size(asked), F.lit(1)) * 0.3
+    begins = F.lit(False)
+    for word in FAILURES if failures is None else failures:
+        begins = begins | r.startswith(word)
+    score = score * F.when(T.contains_any(r, REFUSALS if refusals is None else refusals), 0.3).otherwise(1.0) * F.when(begins, 0.1).otherwise(1.0)
+    return F.when(r == "", 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 3))
+
+
+def grade_responses(turns: DataFrame, refusals: list[str] | None = None, failures: list[str] | None = None) -> DataFrame:
+    """Every assistant turn that answers a user turn, with its score and its grade."""
     p = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("r"))
     u = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
-    chars = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != ""))
-    q, r = chars(F.col("q")), chars(F.col("r"))
-    score = F.least(F.length("r") / 500.0, F.lit(1.0)) * 0.4 + F.when(F.contains("r", F.lit("\n")), 0.3).otherwise(0.0) + F.size(F.array_intersect(q, r)) / F.greatest(F.size(q), F.lit(1)) * 0.3
-    s = p.join(u, ["conv_id", "turn"]).withColumn("score", score)
-    grade = F.when(F.col("score") >= 0.8, "A").when(F.col("score") >= 0.6, "B").when(F.col("score") >= 0.4, "C").otherwise("D")
-    return s.select("conv_id", "turn", F.round("score", 6).alias("score"), grade.alias("grade"))
+    s = p.join(u, ["conv_id", "turn"]).withColumn("score", response_score(F.col("q"), F.col("r"), refusals, failures))
+    grade = F.when(F.col("score") >= 0.5, "high").when(F.col("score") >= 0.2, "medium").otherwise("low")
+    return s.select("conv_id", "turn", "score", grade.alias("grade"))
+
+
+def expand(queries: DataFrame, words: DataFrame, least: float = 0.85) -> DataFrame:
+    """Q13: (query_id, term): each query's tokens and the words of the vocabulary that are like one of them, each once."""
+    tokens = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
+    asked = tokens.select(F.col("term").alias("token")).distinct().withColumn("n", F.length("token"))
+    band = asked.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * least - 1e-9).cast("int"), F.floor(F.col("n") / least + 1e-9).cast("int"))))
+    like = band.join(words.select(F.col("term").alias("variant"), F.length("term").alias("m")).distinct(), "m").where(T.similarity(F.col("token"), F.col("variant")) >= least)
+    return tokens.union(tokens.join(like.select(F.col("token").alias("term"), "variant"), "term").select("query_id", F.col("variant").alias("term"))).distinct()
 
 
 def fuzzy_pairs(words: DataFrame, least: float) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
-def furniture(pages: DataFrame, doc: str = "source", order: str = "doc_id") -> DataFrame:
-    """Lines, headers and footers of each document, whose pages are the rows in ``order``.
+def marked_lines(pages: DataFrame, doc: str = "source", order: str = "doc_id") -> DataFrame:
+    """C4: (doc, page, pos, n, line, header, footer) of documents whose pages are the rows in ``order``.
 
     A line among the first (last) two of a page is a header (footer) if it stands there at least twice, or on every page
     where there are fewer than three. Lines are found by an aggregate joined back; a header is not counted as a footer.
     """
-    lines = pages.select(F.col(doc).alias("doc"), F.split("text", "\n").alias("l")).withColumn("n", F.size("l")).select("doc", "n", F.posexplode("l").alias("pos", "line"))
+    lines = pages.select(F.col(doc).alias("doc"), F.col(order).alias("page"), F.split("text", "\n").alias("l")).withColumn("n", F.size("l")).select("doc", "page", "n", F.posexplode("l").alias("pos", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
     number = pages.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("pages"))
     least = F.when(F.col("pages") >= 3, 2).otherwise(F.col("pages"))
@@ -29,22 +29,98 @@ def furniture(pages: DataFrame, doc: str = "source", order: str = "doc_id") -> D
     top, bottom = F.col("pos") < 2, F.col("pos") >= F.col("n") - 2
     marked = lines.join(repeated(top, "head"), ["doc", "line"], "left").join(repeated(bottom, "foot"), ["doc", "line"], "left")
     header = top & F.coalesce("head", F.lit(False))
-    footer = ~header & bottom & F.coalesce("foot", F.lit(False))
-    return marked.groupBy(F.col("doc").alias(doc)).agg(F.count("*").alias("n_lines"), F.count_if(header).alias("n_header"), F.count_if(footer).alias("n_footer"))
+    return marked.select("doc", "page", "pos", "n", "line", header.alias("header"), (~header & bottom & F.coalesce("foot", F.lit(False))).alias("footer"))
+
+
+def furniture(pages: DataFrame, doc: str = "source", order: str = "doc_id") -> DataFrame:
+    """C4: lines, headers and footers of each document."""
+    marked = marked_lines(pages, doc, order)
+    return marked.groupBy(F.col("doc").alias(doc)).agg(F.count("*").alias("n_lines"), F.count_if("header").alias("n_header"), F.count_if("footer").alias("n_footer"))
+
+
+def clean_pages(pages: DataFrame, doc: str = "source", order: str = "doc_id") -> DataFrame:
+    """(doc, page, text, n_furniture, n_toc, n_noise): every page without blank lines, headers and footers, lines of a
+    table of contents and noise; a line counts for the first of these that it is. Pages that keep no line have no row."""
+    reason = F.when(F.col("line") == "", "blank").when(F.col("header") | F.col("footer"), "furniture").when(T.toc_line(F.col("line")), "toc").when(T.page_noise(F.col("line")), "noise").otherwise("")
+    r = marked_lines(pages, doc, order).withColumn("reason", reason)
+    kept = F.sort_array(F.collect_list(F.when(F.col("reason") == "", F.struct("pos", "line"))))
+    g = r.groupBy("doc", "page").agg(kept.alias("kept"), *(F.count_if(F.col("reason") == x).alias(f"n_{x}") for x in ("furniture", "toc", "noise")))
+    return g.where(F.size("kept") > 0).select("doc", "page", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("text"), "n_furniture", "n_toc", "n_noise")
+
+
+def chunk_lines(lines: DataFrame, script: str = "cjk", hints: list[str] | None = None) -> DataFrame:
+    """K5: (doc_id, pos, page, line): lines trimmed and collapsed; a number of up to three digits that a letter of the script
+    follows is the page; blank lines, bare numbers, dot leaders, tables and rows of marks go. ``lines`` has (doc_id, pos,
+    page, line)."""
+    letter = T.SCRIPT[script]
+    raw = F.trim(F.translate("line", "　", " "))
+    number = F.regexp_extract(raw, rf"^(\d{{1,3}}){letter}", 1)
+    text = T.collapse(F.when(number != "", F.substring(raw, F.length(number) + 1, F.length(raw))).otherwise(raw))
+    marks = T.occurrences(F.col("line"), "√"), T.occurrences(F.col("line"), "✓")
+    noise = (
+        (F.col("line") == "") | F.col("line").rlike(r"^\d{1,3}$") | (T.occurrences(F.col("line"), "…") >= 3) | (T.occurrences(F.col("line"), ".") >= 10) | T.contains_any(F.col("line"), T.TABLE_HINTS if hints is None else hints)
+        | (marks[0] >= 2) | (marks[1] >= 2) | (F.col("line").contains("|") & (T.count(F.col("line"), letter) < 8))
+    )
+    out = lines.select("doc_id", "pos", F.when(number != "", number.cast("int")).otherwise(F.col("page")).alias("page"), text.alias("line"))
+    return out.where(~noise)
+
+
+def section_paths(headings: DataFrame) -> DataFrame:
+    """K1: (doc_id, pos, path): of each heading (doc_id, pos, level, title, root) the titles it stands under, joined by `` > ``.
+
+    A heading of level n keeps the root and the first n - 1 titles of the path before it. Each path needs the one before,
+    so it is a fold over a document's headings, over Arrow batches.
+    """
+
+    @F.pandas_udf("array<string>")
+    def folded(column: pd.Series) -> pd.Series:
+        def fold(rows):
+            stack, out = [], []
+            for r in rows:
+                stack = ([r["root"]] if not stack else stack[:1]) + stack[1 : r["level"]] + [r["title"]]
+                out.append(" > ".join(stack))
+            return out
+
+        return column.map(fold)
+
+    g = headings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "level", "title", "root"))).alias("l"))
+    return g.select("doc_id", "l", folded("l").alias("paths")).select("doc_id", F.explode(F.arrays_zip(F.transform("l", lambda x: x["pos"]).alias("pos"), F.col("paths").alias("path"))).alias("x")).select("doc_id", "x.pos", "x.path")
+
+
+def merge_small(chunks: DataFrame, least: int = 180) -> DataFrame:
+    """K8: (doc_id, chunk_no, section, text): a chunk is put to the one before while that is of the same section and shorter
+    than ``least``. ``chunks`` has (doc_id, ord, section, text). A fold over a document's chunks, over Arrow batches."""
+
+    @F.pandas_udf("array<struct<section:string,text:string>>")
+    def folded(column: pd.Series) -> pd.Series:
+        def fold(rows):
+            out: list[dict] = []
+            for r in rows:
+                if out and out[-1]["section"] == r["section"] and len(out[-1]["text"]) < least:
+                    out[-1]["text"] = f"{out[-1]['text']} {r['text']}".strip()
+                else:
+                    out.append({"section": r["section"], "text": r["text"]})
+            return out
+
+        return column.map(fold)
+
+    g = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "section", "text"))).alias("l"))
+    return g.select("doc_id", F.posexplode(folded("l")).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.section", "c.text")
 
 
-def sections(lines: DataFrame, heading: Column) -> DataFrame:
+def sections(lines: DataFrame, heading: Column, least: int = 0) -> DataFrame:
     """K1, K2, K6: (doc_id, section_no, title, n_lines, n_chars, body) by gaps and islands.
 
     ``lines`` has (doc_id, pos, line). A heading opens a section; lines before the first heading are section 0. Sections
-    without lines of their own are dropped.
+    without lines of their own, or of fewer than ``least`` / 2 characters, are dropped.
     """
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("is_heading", heading).withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(w))
     body = F.when(~F.col("is_heading"), F.struct("pos", "line"))
     out = marked.groupBy("doc_id", "section_no").agg(F.max(F.when(F.col("is_heading"), F.col("line"))).alias("title"), F.sort_array(F.collect_list(body)).alias("body"))
     out = out.where(F.size("body") > 0).withColumn("body", F.transform("body", lambda x: x["line"]))
-    return out.select("doc_id", "section_no", "title", F.size("body").alias("n_lines"), F.aggregate("body", F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"), "body")
+    out = out.select("doc_id", "section_no", "title", F.size("body").alias("n_lines"), F.aggregate("body", F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"), "body")
+    return out.where(F.col("n_chars") >= least / 2)
 
 
 def fixed_windows(docs: DataFrame, size: int = 680, overlap: int = 120) -> DataFrame:

@@ -149,3 +149,16 @@ def perspectives(queries: DataFrame, rules: DataFrame) -> DataFrame:
     hits = queries.crossJoin(F.broadcast(rules)).withColumn("hits", F.size(F.filter("keywords", lambda k: F.contains(F.col("query"), k))))
     any_ = hits.groupBy("query_id").agg(F.max("hits").alias("most"))
     return hits.join(any_, "query_id").where("hits > 0 or most = 0").select("query_id", "perspective", "hits")
+
+
+def supplemental(queries: DataFrame, rules: DataFrame) -> DataFrame:
+    """Q12: (query_id, perspective, ord, query): further queries of each perspective: for every rule (perspective, ord,
+    keywords, suffix) of which a keyword is in the query, the query with the suffix. The rules are a fixed table."""
+    hits = queries.crossJoin(F.broadcast(rules)).where(F.exists("keywords", lambda k: F.contains(F.col("query"), k)))
+    return hits.select("query_id", "perspective", "ord", F.concat_ws(" ", "query", "suffix").alias("query"))
+
+
+def with_hints(query: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """Q12: the query with the hints of the rules whose words it holds, in brackets on a line of their own."""
+    hints = F.concat_ws("；", *(F.when(T.contains_any(query, words), F.lit(hint)) for words, hint in rules))
+    return F.when(hints == "", query).otherwise(F.concat(query, F.lit("\n（"), hints, F.lit("）")))

@@ -254,31 +254,44 @@ def r32(spark, sf):
 
 @add("e02_e07_ranking_metrics", """with q as (select vec_id as query_id, label, embedding::double[] as q from embeddings where vec_id % 20 = 0), v as (select vec_id, label as vl, embedding::double[] as v from embeddings),
   s as (select query_id, vec_id as doc_id, (label = vl)::int as rel, round(list_cosine_similarity(v, q), 6) as score from v cross join q), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s),
-  pool as (select query_id, sum(rel) as pool from s group by query_id), t as (select * from r where rank <= 5),
-  m as (select query_id, sum(rel) as hits, count(*) as n, coalesce(max(case when rel = 1 then 1.0::double / rank end), 0) as mrr, sum(rel / log2(rank + 1)) as dcg, any_value(pool) as pool from t join pool using (query_id) group by query_id),
-  i as (select query_id, sum(1 / log2(x.k + 1)) as idcg from m join (select unnest(range(1, 6)) as k) x on x.k <= least(pool, n) group by query_id)
-  select query_id, round(hits / least(5, n)::double, 6) as precision, round(hits / pool::double, 6) as recall, round(mrr, 6) as mrr, round(case when idcg > 0 then dcg / idcg else 0 end, 6) as ndcg from m left join i using (query_id)""")
+  pool as (select query_id, sum(rel) as pool from s group by query_id), ks(k) as (values (1), (3), (5)), every as (select query_id, k from (select query_id from q union all select -1) cross join ks), t as (select r.*, k from r join ks on rank <= k where query_id % 60 <> 0),
+  m as (select query_id, k, sum(rel) as hits, count(*) as n, coalesce(max(case when rel = 1 then 1.0::double / rank end), 0) as mrr, sum(rel / log2(rank + 1)) as dcg from t group by query_id, k),
+  e as (select every.query_id, every.k, coalesce(hits, 0) as hits, coalesce(n, 0) as n, coalesce(mrr, 0) as mrr, coalesce(dcg, 0) as dcg, coalesce(pool, 0) as pool from every left join m using (query_id, k) left join pool using (query_id)),
+  i as (select query_id, e.k, sum(1 / log2(x.j + 1)) as idcg from e join (select unnest(range(1, 6)) as j) x on x.j <= least(pool, n) group by all)
+  select query_id, k, round(hits / (case when n > 0 then least(k, n) else k end)::double, 6) as precision, round(case when pool > 0 then hits / pool::double else 0 end, 6) as recall, round(mrr, 6) as mrr, round(case when idcg > 0 then dcg / idcg else 0 end, 6) as ndcg, round(case when n > 0 then 1 - hits / n::double else 0 end, 6) as irrelevant from e left join i using (query_id, k)""")
 def e02(spark, sf):
+    """A third of the queries, and one of no vector, get no results."""
     e = load(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0")
-    ranked = R.dense_knn(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e, 5)
+    ranked = R.dense_knn(q.where("vec_id % 60 <> 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e, 5)
     relevant = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
-    return E.ranking_metrics(ranked, relevant, 5)
+    return E.evaluate(q.select(F.col("vec_id").alias("query_id")).union(spark.sql("select -1L")), ranked, relevant)
 
 
-@add("e05_duplication", f"with {BM25}, t as (select query_id, md5(text) as h from bmr join documents using (doc_id) where rank <= 10) select query_id, round(1 - count(distinct h) / count(*)::double, 6) as duplication from t group by query_id")
+@add("e05_duplication", f"with {BM25}, t as (select query_id, lower(trim(lang)) || chr(1) || lower(substr(trim(text), 1, 120)) as h from bmr join documents using (doc_id) where rank <= 40), d as (select query_id, round(1 - count(distinct h) / count(*)::double, 6) as duplication from t group by query_id) select query_id, coalesce(duplication, 0) as duplication from (select query_id from queries union all select 99) left join d using (query_id)")
 def e05(spark, sf):
-    t = R.top_k(bm(spark, sf), 10).join(load(spark, sf, "documents").select("doc_id", F.md5("text").alias("h")), "doc_id")
-    return t.groupBy("query_id").agg(F.round(1 - F.countDistinct("h") / F.count("*"), 6).alias("duplication"))
+    t = R.top_k(bm(spark, sf), 40).join(load(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("section")), "doc_id")
+    return E.duplication(asked(spark).select("query_id").union(spark.sql("select 99")), t)
 
 
-@add("e08_corrective_quality")
+@add("e08_corrective_quality", f"""with {BM25}{TFIDF}, {WORDS}, t as (select query_id, rank, score, text, source, kw[1:6] as kw from tir join documents using (doc_id) join words using (query_id) where rank <= 8),
+  g as (select query_id, least(1, avg(score) filter (rank <= 3)) as sim, len(list_distinct(flatten(list(list_filter(kw, lambda k: contains(lower(text), k)))))) as covered, any_value(len(kw)) as asked, count(distinct source) filter (trim(source) <> '') as sections, count(*) as n, sum(length(text)) as chars from t group by query_id),
+  h as (select query_id, sim, case when asked > 0 then covered / asked::double else 0.5 end as cov, case when n <= 1 then 0.5 else least(1, sections / n::double) end as div, case when chars < 100 then 0.2 when chars < 300 then 0.4 when chars < 800 then 0.7 else 0.9 end::double as comp from g),
+  q as (select *, 0.35::double * sim + 0.30::double * cov + 0.15::double * div + 0.20::double * comp as quality from h)
+  select query_id, round(quality, 6) as quality, case when quality >= 0.6 then 'accept' when quality >= 0.3 then 'refine' else 'reject' end as action, concat_ws(',', case when sim < 0.3 then 'expand_top_k' end, case when cov < 0.4 then 'rewrite_query' end, case when div < 0.3 then 'diversify_retrieval' end, case when comp < 0.3 then 'lower_threshold' end) as hints from q""")
 def e08(spark, sf):
     t = R.top_k(ti(spark, sf), 8).join(load(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section")), "doc_id").join(asked(spark).select("query_id", T.first_keywords(F.col("query"), 6).alias("keywords")), "query_id")
     return E.corrective_quality(t)
 
 
-@add("e09_e10_result_quality")
+@add("e09_e10_result_quality", f"""with {BM25}{TFIDF}, h as (select query_id, rank, score, length(text) as n, list_distinct({TOK.format('text')}) as own, list_distinct({TOK.format('query')}) as ask from tir join documents using (doc_id) join queries using (query_id) where rank <= 5),
+  x as (select *, case when n < 50 then n / 50.0::double when n > 200 then 1.0 else 0.5 + (n - 50) / 300.0::double end as len, case when len(ask) > 0 then least(1, len(list_intersect(ask, own)) / len(ask)::double) else 0.5 end as den from h),
+  g as (select query_id, least(1, greatest(0, sum(score / rank) / sum(1.0::double / rank))) as similarity, count(*) as n, len(list_distinct(flatten(list(list_intersect(ask, own))))) as covered, any_value(len(ask)) as asked, avg(len) as lengths, avg(den) as density from x group by query_id),
+  p as (select a.query_id, avg(1 - len(list_intersect(a.own, b.own)) / len(list_distinct(list_concat(a.own, b.own)))::double) as distance from h a join h b on a.query_id = b.query_id and a.rank < b.rank where len(a.own) > 0 and len(b.own) > 0 group by a.query_id),
+  j as (select query_id, similarity, case when asked > 0 then covered / asked::double else 1 end as coverage, case when n <= 1 then 1.0 else coalesce(distance, 0.5) end::double as diversity, least(1, least(1, n / 3.0::double) * 0.3::double + lengths * 0.4::double + density * 0.3::double) as completeness from g left join p using (query_id)),
+  c as (select *, 0.35::double * similarity + 0.25::double * coverage + 0.25::double * completeness + 0.15::double * diversity as confidence, least(similarity, coverage, diversity, completeness) as low from j)
+  select query_id, round(similarity, 6) as similarity, round(coverage, 6) as coverage, round(diversity, 6) as diversity, round(completeness, 6) as completeness, round(confidence, 6) as confidence,
+    case when similarity = low then 'similarity' when coverage = low then 'coverage' when diversity = low then 'diversity' else 'completeness' end as weakness, round(confidence, 6) >= 0.7 as sufficient from c""")
 def e09(spark, sf):
     t = R.top_k(ti(spark, sf), 5).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(asked(spark), "query_id")
     return E.result_quality(t)
@@ -289,18 +302,28 @@ def a07(spark, sf):
     return load(spark, sf, "embeddings").select("label", F.element_at("embedding", 1).cast("double").alias("x")).groupBy("label").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
 
 
-@add("e12_response_grades", r"""with p as (select a.conv_id, a.turn, u.text as q, a.text as r from conversations a join conversations u on u.conv_id = a.conv_id and u.turn = a.turn - 1 where a.role = 'assistant' and u.role = 'user'),
-  s as (select conv_id, turn, least(length(r) / 500::double, 1) * 0.4::double + (case when contains(r, chr(10)) then 0.3::double else 0 end) + len(list_intersect(list_distinct(string_split(lower(q), '')), list_distinct(string_split(lower(r), '')))) / greatest(len(list_distinct(string_split(lower(q), ''))), 1)::double * 0.3::double as score from p)
-  select conv_id, turn, round(score, 6) as score, case when score >= 0.8 then 'A' when score >= 0.6 then 'B' when score >= 0.4 then 'C' else 'D' end as grade from s""")
+@add("e12_response_grades", r"""with p as (select a.conv_id, a.turn, u.text as q, trim(a.text) as r from conversations a join conversations u on u.conv_id = a.conv_id and u.turn = a.turn - 1 where a.role = 'assistant' and u.role = 'user'),
+  c as (select *, list_distinct(list_filter(string_split(q, ''), lambda x: x <> '')) as qc, list_distinct(string_split(r, '')) as rc from p),
+  s as (select conv_id, turn, case when r = '' then 0 else round(least(1, ((case when length(r) >= 200 then 0.3::double when length(r) >= 50 then 0.15::double else 0 end) + (case when contains(r, '**') or contains(r, '- ') or contains(r, '1.') then 0.2::double else 0 end)
+    + len(list_intersect(qc, rc)) / greatest(len(qc), 1)::double * 0.3::double) * (case when contains(r, 'the er') then 0.3::double else 1 end) * (case when starts_with(r, 'The') then 0.1::double else 1 end)), 3) end as score from c)
+  select conv_id, turn, score, case when score >= 0.5 then 'high' when score >= 0.2 then 'medium' else 'low' end as grade from s""")
 def e12(spark, sf):
-    return E.grade_responses(load(spark, sf, "conversations"))
+    return E.grade_responses(load(spark, sf, "conversations"), ["the er"], ["The"])
 
 
-@add("q13_fuzzy_expansion", """with v as (select distinct term from (select unnest(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z]+')) as term from part) where length(term) >= 4)
-  select a.term as token, b.term as variant from v a join v b on a.term <> b.term and abs(length(a.term) - length(b.term)) <= 0.3::double * greatest(length(a.term), length(b.term)) where 1.0 - levenshtein(a.term, b.term) / greatest(length(a.term), length(b.term)) >= 0.7""")
+@add("q13_fuzzy_pairs", """with v as (select distinct lower(s_name) as term from supplier) select a.term as token, b.term as variant from v a join v b on a.term <> b.term where 1.0 - levenshtein(a.term, b.term) / greatest(length(a.term), length(b.term)) >= 0.9""")
 def q13(spark, sf):
-    words = load(spark, sf, "part").select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("[a-z]+"), F.lit(0))).alias("term")).where("length(term) >= 4").distinct()
-    return E.fuzzy_pairs(words, 0.7)
+    return E.fuzzy_pairs(load(spark, sf, "supplier").select(F.lower("s_name").alias("term")).distinct(), 0.9)
+
+
+@add("q13_expansion", r"""with q as (select item_id as query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from benchmark), v as (select distinct unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) as term from part union select distinct unnest(t[1:2]) || 's' from q),
+  k as (select distinct query_id, unnest(t) as term from q), l as (select distinct query_id, v.term from k join v on abs(length(k.term) - length(v.term)) <= 0.2 * greatest(length(k.term), length(v.term)) where 1.0 - levenshtein(k.term, v.term) / greatest(length(k.term), length(v.term)) >= 0.85)
+  select * from k union select * from l""")
+def q13b(spark, sf):
+    part, items = load(spark, sf, "part"), load(spark, sf, "benchmark")
+    words = part.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    words = words.union(items.select(F.explode(F.transform(F.slice(T.tokens(F.col("text")), 1, 2), lambda t: F.concat(t, F.lit("s"))))))
+    return E.expand(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), words.distinct(), 0.85)
 
 
 @add("w08_history_window", """with r as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) select conv_id, turn, role from r where back <= 3 and length(text) > 0""")

@@ -12,22 +12,65 @@ from corpusloom.operators import understanding as U
 from corpusloom.plans.retrieval_queries import add
 from corpusloom.session import load
 
-CASES = [(1, "人工智能专业的培养目标是什么？"), (2, "Python课程有多少学分"), (3, "奖学金申请条件和流程"), (4, "先修课程与后续课程的关系以及课程体系的衔接"), (5, "你好")]
+#: Questions put together from the terms of the rules, one for each part.
+TERMS = [t for terms in U.INTENTS.values() for t in terms] + ["Python3", "你好", "比较", "绩点", "GPU 加速"]
+LINKS = ["", "和", "的区别", " and ", "还有", " 以及 "]
+QUESTIONS = f"q0 as (select p_partkey as query_id, {TERMS!r}[p_partkey % {len(TERMS)} + 1] || {LINKS!r}[p_partkey % {len(LINKS)} + 1] || case when p_partkey % 4 = 0 then '' else {TERMS!r}[(p_partkey * 7) % {len(TERMS)} + 1] end || case when p_partkey % 3 = 0 then '？' else '' end as query from part)"
+
+
+def cases(spark, sf):
+    key = F.col("p_partkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    query = F.concat(pick(TERMS, key), pick(LINKS, key), F.when(key % 4 == 0, "").otherwise(pick(TERMS, key * 7)), F.when(key % 3 == 0, "？").otherwise(""))
+    return load(spark, sf, "part").select(key.alias("query_id"), query.alias("query"))
+
+
+def any_of(c: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+def analysis_sql() -> str:
+    hits = lambda terms: " + ".join(f"case when contains(q, '{t}') then 1.0::double when contains(lower(q), '{t.lower()}') then 0.8::double else 0 end" for t in terms)
+    scored = ", ".join(f"{{'n': -round(least(({hits(terms)}) / {len(terms)}, 1), 3), 'o': {i}, 'name': '{name}'}}" for i, (name, terms) in enumerate(U.INTENTS.items()))
+    synonyms = ", ".join(f"case when len(list_filter(keywords, lambda k: contains('{n}', k) or k in ({', '.join(repr(o) for o in others)}))) > 0 then {[n, *others[:2]]!r} else [] end" for n, others in U.SYNONYMS.items())
+    technical = U.TECHNICAL
+    return rf"""{QUESTIONS}, q1 as (select query_id, query, trim(regexp_replace(replace(translate(query, '（）：；！？，．【】“”‘’"' || chr(39), '():;!?,.[]'), '　', ' '), '\s+', ' ', 'g'), ' ') as q from q0),
+  q2 as (select *, list_filter(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2) as toks, list_sort(list_filter([{scored}], lambda x: x.n < 0)) as found from q1),
+  q3 as (select *, (list_filter(toks, lambda x, i: list_position(toks, x) = i))[1:8] as keywords, case when len(found) > 0 then list_transform(found, lambda x: x.name) else ['general'] end as intents from q2),
+  q4 as (select *, regexp_matches(q, '{technical}') as tech from q3),
+  q5 as (select *, case when tech then 'technical' when {any_of('q', U.POLICY)} or list_has_any(intents, ['scholarship', 'student_affairs']) then 'policy' when {any_of('q', U.PROGRAM)} or list_has_any(intents, ['training', 'curriculum', 'practice', 'credit']) then 'program' else 'general' end as category,
+    least(5, 1 + (len(intents) >= 2)::int + (len(keywords) >= 4)::int + (length(q) >= 30)::int + {any_of('q', U.COMPARE)}::int) as complexity, length(q) as n from q4),
+  q6 as (select *, case when (complexity <= 1 and n <= 12) or regexp_matches(q, '{U.SIMPLE}') then 'simple' when complexity >= 4 or len(intents) >= 2 or {any_of('q', U.MULTI_HOP)} then 'complex' when {any_of('q', U.COMPARE_LONG)} and n >= 15 then 'complex' else 'standard' end as route,
+    case complexity when 1 then 4 when 2 then 5 when 3 then 6 when 4 then 8 else 10 end as k, case when n <= 8 then 0.45::double when n >= 20 then 0.25::double else 0.3::double end as k1, case when n <= 8 then 0.55::double when n >= 20 then 0.75::double else 0.7::double end as v1,
+    list_filter(keywords, lambda w: regexp_matches(w, '{technical}')) as terms, flatten([{synonyms}]) as syn from q5),
+  q7 as (select *, case category when 'policy' then greatest(k1, 0.58::double) when 'program' then least(k1, 0.45::double) when 'technical' then greatest(k1, 0.62::double) else k1 end as k2, case category when 'policy' then least(v1, 0.42::double) when 'program' then greatest(v1, 0.55::double) when 'technical' then least(v1, 0.38::double) else v1 end as v2,
+    list_filter([q, case when category = 'technical' then array_to_string(terms, ' ') else array_to_string((list_filter(syn, lambda x, i: list_position(syn, x) = i))[1:4], ' ') end], lambda v: trim(v, ' ') <> '') as vs from q6),
+  q8 as (select *, case when tech then least(k2 + 0.1::double, 0.6::double) else k2 end as k3, (list_filter(vs, lambda x, i: list_position(vs, x) = i))[1:3] as variants from q7), q9 as (select *, case when tech then greatest(1 - k3, 0.4::double) else v2 end as v3 from q8)"""
+
+
+@add("q01_q07_analysis", f"with {analysis_sql()} select query_id, array_to_string(intents, ',') as intents, category, complexity, route, k, round(v3 / (v3 + k3), 6) as vector_weight, array_to_string(variants, '|') as variants from q9")
+def q01(spark, sf):
+    a = U.analyse(cases(spark, sf))
+    return a.select("query_id", F.array_join("intents", ",").alias("intents"), "category", "complexity", "route", "k", F.round("weights.vector", 6).alias("vector_weight"), F.array_join("variants", "|").alias("variants"))
 
 
-def cases(spark):
-    return spark.createDataFrame(CASES, "query_id int, query string")
+@add("q05_suggestions", f"with {analysis_sql()}, o as (select query_id, list_filter(list_concat(variants, [array_to_string(keywords[1:4], ' ')]), lambda v: v <> query and v <> '') as o from q9), f as (select query_id, (list_filter(o, lambda x, i: list_position(o, x) = i))[1:3] as o from o) select query_id, unnest(range(len(o))) as position, unnest(o) as suggestion from f")
+def q05(spark, sf):
+    return U.suggestions(U.analyse(cases(spark, sf)))
 
 
-@add("q01_q07_analysis")
-def q01(spark, sf):
-    a = U.analyse(cases(spark))
-    return a.select("query_id", F.array_join("intents", ",").alias("intents"), "category", "complexity", "route", "k", F.round("weights.vector", 6).alias("vector_weight"), F.array_join("variants", "|").alias("variants"))
+SUPPLEMENTS = [("teacher", 1, ["the", "and"], "standards"), ("teacher", 2, ["ing"], "lesson plan"), ("student", 1, ["tion", "qqq"], "reading list")]
 
 
-@add("q05_suggestions")
-def q05(spark, sf):
-    return U.suggestions(U.analyse(cases(spark)))
+@add("q12_supplements", "with r(perspective, ord, words, suffix) as (values ('teacher', 1, ['the', 'and'], 'standards'), ('teacher', 2, ['ing'], 'lesson plan'), ('student', 1, ['tion', 'qqq'], 'reading list')) select item_id as query_id, perspective, ord, text || ' ' || suffix as query from benchmark join r on len(list_filter(words, lambda w: contains(text, w))) > 0")
+def q12(spark, sf):
+    rules = spark.createDataFrame(SUPPLEMENTS, "perspective string, ord int, keywords array<string>, suffix string")
+    return U.supplemental(load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), rules)
+
+
+@add("q12_hints", "select item_id as query_id, text || case when contains(text, 'ing') or contains(text, 'tion') then chr(10) || '（' || concat_ws('；', case when contains(text, 'ing') then 'show steps' end, case when contains(text, 'tion') then 'name sources' end) || '）' else '' end as query from benchmark")
+def q12b(spark, sf):
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), U.with_hints(F.col("text"), [(["ing"], "show steps"), (["tion"], "name sources")]).alias("query"))
 
 
 @add("q03_q16_rules_on_items", r"""with k as (select item_id, text as q, case when regexp_matches(text, '[A-Za-z]{2,}[\-_/]?[A-Za-z0-9]*|\d+[A-Za-z]+|[A-Za-z]+\d+') then 'technical' else 'general' end as category, length(trim(text)) as n from benchmark),
