@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batches_out, lean, slices
+from corpusloom.llm.common import batches_out, lean, slices, tidy
 
 #: The published split of the byte-level vocabulary before merges, with Unicode white space written out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -236,4 +236,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
             fields += [("decoded_sha256", pa.string())] * decode + [("ids", pa.list_(pa.int32()))] * keep_ids
             yield batches_out(out, pa.schema(fields))
 
-    return lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.common import lean, slices
+from corpusloom.llm.common import lean, slices, tidy
 
 WORD = re.compile(r"\w+").findall
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -186,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
                     ids = batch.column("id").take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), pa.array([round(s, 6) for s in score]), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        part = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+        part = lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -205,5 +205,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, leas
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(clean)], names=["row"])
 
         base = lean(kept).select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"))
-        kept = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}").select("row.*")
+        kept = base.mapInArrow(tidy(run), f"row {base.schema['row'].dataType.simpleString()}").select("row.*")
     return kept

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lean, slices
+from corpusloom.llm.common import lean, slices, tidy
 
 #: A-Z alone are lower-cased; a shingle's words are joined by one space.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -55,4 +55,4 @@ def with_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import in_pieces, slices
+from corpusloom.llm.common import in_pieces, slices, tidy
 from corpusloom.llm.recompress_core import BYTE_VALUES, mix, span_hashes, word_spans
 
 IDENTITY, SKETCH, RUN = 16, 512, 3
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([v.digest() for v in found], pa.string()), pa.array([v.to_bytes() for v in found], pa.binary())], names=[id_col, "n_chars", "fingerprint", "vector"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, n_chars bigint, fingerprint string, vector binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"{id_col} {kind}, n_chars bigint, fingerprint string, vector binary")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("id", "text", "piece", "extra").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select("id", "text", "piece", "extra").mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def _row(held: tuple, following: str, next_vector: Vector) -> tuple:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, lean, slices, stored
+from corpusloom.llm.common import discard, lean, slices, stored, tidy
 from corpusloom.llm.components import components
 from corpusloom.llm.fingerprints import shingle_hashes, simhash
 from corpusloom.llm.recompress_core import GOLD, mix
@@ -123,7 +123,7 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     """
     base = lean(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    signs = stored(base.mapInArrow(_signatures(width), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>, bits array<bigint>"), "signatures")
+    signs = stored(base.mapInArrow(tidy(_signatures(width)), f"id {kind}, same bigint, fp bigint, n bigint, samples array<bigint>, bits array<bigint>"), "signatures")
     heads = signs.groupBy("same").agg(F.min("id").alias("head"))
     sets = stored(signs.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("samples").alias("samples"), F.first("bits").alias("bits")).drop("same"), "sets")
 
@@ -136,7 +136,7 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     few = used.count() <= FEW
     wanted = base.join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi")
     shapes = stored(sets.select("id", "n", "bits").join(F.broadcast(used) if few else used.hint("merge"), "id", "left_semi"), "shapes")
-    texts = stored(wanted.mapInArrow(_shingles(width), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    texts = stored(wanted.mapInArrow(tidy(_shingles(width)), f"id {kind}, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
     discard(sets, used)
 
     def alike(pairs: DataFrame) -> DataFrame:

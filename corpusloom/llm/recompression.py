@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, lean, release, slices, stored
+from corpusloom.llm.common import discard, lean, release, slices, stored, tidy
 from corpusloom.llm.recompress_core import GOLD, Words, mix, segments
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string"
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     kind, row_type = base.schema["id"].dataType.simpleString(), base.schema["row"].dataType.simpleString()
 
     key = os.urandom(16)
-    anchors = base.where("id is not null").select("id", "text").mapInArrow(_anchors(width, key), f"doc {kind}, key bigint, seg bigint")
+    anchors = base.where("id is not null").select("id", "text").mapInArrow(tidy(_anchors(width, key)), f"doc {kind}, key bigint, seg bigint")
     # tables are stored before they meet, so that adaptive execution can split the join where a key is hot
     anchors = stored(anchors, "anchors")
     ends = stored(anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key"), "ends")
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     lists = covered.unionByName(pending).groupBy("doc").agg(F.collect_list(F.when(F.col("whole"), of)).alias("covered"), F.collect_list(F.when(~F.col("whole"), of)).alias("pending"))
     first_out = f"row {row_type}, tag bigint, text binary, lost array<int>, places array<int>, halves array<bigint>, {OUT}, kept string"
     joined = base.join(lists.hint("merge"), base["id"] == lists["doc"], "left").select("row", "text", "covered", "pending")
-    judged = stored(joined.mapInArrow(_judge(width, keep_text, key), first_out), "judged")
+    judged = stored(joined.mapInArrow(tidy(_judge(width, keep_text, key)), first_out), "judged")
     discard(shared, firsts)
     release(base.sparkSession, 0.0)
 
@@ -247,13 +247,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     sides = of_doc.select("doc", F.explode(F.array_distinct("halves")).alias("half"))
     repeated = stored(both_ends(sides, "half").select("half"), "halves")
     shared_halves = sides.join(repeated.hint("merge"), "half").groupBy("doc").agg(F.collect_set("half").alias("shared"))
-    windows = of_doc.join(shared_halves, "doc").mapInArrow(_windows(width, key), f"doc {kind}, tag bigint, place int, half bigint, window bigint")
+    windows = of_doc.join(shared_halves, "doc").mapInArrow(tidy(_windows(width, key)), f"doc {kind}, tag bigint, place int, half bigint, window bigint")
     windows = stored(windows, "windows")
     earliest = stored(both_ends(windows, "half", "window"), "earliest")
     hits = windows.join(earliest.hint("merge"), ["half", "window"]).where("doc > first").groupBy("doc", "tag").agg(F.collect_set("place").alias("hits"))
     hits = stored(hits.withColumnsRenamed({"tag": "of"}), "hits")
     discard(windows, earliest, repeated)
     rest = open_rows.select("row", "tag", "text", "lost").join(hits, (F.col(f"row.`{id_col}`") == F.col("doc")) & (F.col("tag") == F.col("of")), "left").select("row", "text", "lost", "hits")
-    rest = rest.mapInArrow(_finish(width, keep_text), f"row {row_type}, {OUT}, kept string")
+    rest = rest.mapInArrow(tidy(_finish(width, keep_text)), f"row {row_type}, {OUT}, kept string")
     done = judged.where("tag is null").select("row", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
     return done.select("row.*", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))

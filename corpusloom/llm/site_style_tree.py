@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, lean, slices, stored
+from corpusloom.llm.common import discard, lean, slices, stored, tidy
 from corpusloom.llm.url_markov import host_of
 
 #: What HTML says of its elements.
@@ -250,7 +250,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
                 numbers = [pa.array(x, pa.int64()) for x in (nodes, aboves, kinds, values, whole)]
                 yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(rows)), *numbers], names=["host", "node", "above", "kind", "value", "page"])
 
-    found = pages.select("host", F.col("html").alias("text")).mapInArrow(run, "host string, node bigint, above bigint, kind bigint, value bigint, page bigint")
+    found = pages.select("host", F.col("html").alias("text")).mapInArrow(tidy(run), "host string, node bigint, above bigint, kind bigint, value bigint, page bigint")
     said = stored(found.distinct(), "nodes")
 
     def importance(by: list[str], rows: DataFrame) -> DataFrame:
@@ -296,4 +296,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(read(h).blocks, set(low or ())) for h, low in zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint").withColumnsRenamed({"page_id": id_col, "url": url_col})
+    return joined.mapInArrow(tidy(run), f"page_id {kind}, url string, text string, n_chars bigint").withColumnsRenamed({"page_id": id_col, "url": url_col})

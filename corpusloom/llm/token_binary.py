@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe_prefix import PLAIN_END, SPACE, Memo, plain_classes
-from corpusloom.llm.common import in_pieces, shared_dir, slices
+from corpusloom.llm.common import in_pieces, shared_dir, slices, tidy
 from corpusloom.llm.lane_coder import BLOCK, decode_blocks, encode_blocks
 
 MAGIC = b"CLF1"
@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None
         if ready:
             yield flush()
 
-    rows.select("id", "text", "piece").mapInArrow(run, "piece int, nth bigint, n_docs bigint, n_tokens bigint, frame binary").write.parquet(path)
+    rows.select("id", "text", "piece").mapInArrow(tidy(run), "piece int, nth bigint, n_docs bigint, n_tokens bigint, frame binary").write.parquet(path)
 
 
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -199,7 +199,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["piece", "nth", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
-    docs = frames.select("piece", "nth", "frame").mapInArrow(run, "piece int, nth bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    docs = frames.select("piece", "nth", "frame").mapInArrow(tidy(run), "piece int, nth bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
     out = docs.join(starts, ["piece", "nth"]).withColumn("start", F.col("base") + F.col("at"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

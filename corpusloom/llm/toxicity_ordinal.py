@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lean, slices
+from corpusloom.llm.common import lean, slices, tidy
 from corpusloom.llm.fingerprints import shingle_hashes
 
 GRADES = 3
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_byte
         yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(t)) for x, t in lists), pa.array([model.cut])], names=["names", "weights", "theta", "cut"])
 
     rows = sample(docs, labels, sample_rows, sample_bytes, id_col, text_col).repartition(1)
-    found = rows.mapInArrow(run, "names array<string>, weights array<double>, theta array<double>, cut double").collect()
+    found = rows.mapInArrow(tidy(run), "names array<string>, weights array<double>, theta array<double>, cut double").collect()
     if not found:  # an empty table has no task
         return fit_texts([], [])
     return Model(dict(zip(found[0]["names"], found[0]["weights"], strict=True)), tuple(found[0]["theta"]), found[0]["cut"])
@@ -290,4 +290,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
                 names=["row", "expected_severity", "grade", "toxic"],
             )
 
-    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, expected_severity double, grade int, toxic int").select("row.*", "expected_severity", "grade", "toxic")
+    return base.mapInArrow(tidy(run), f"row {base.schema['row'].dataType.simpleString()}, expected_severity double, grade int, toxic int").select("row.*", "expected_severity", "grade", "toxic")
