@@ -161,3 +161,56 @@ def trace(steps: DataFrame) -> DataFrame:
 def half_range(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and half the range."""
     return rows.groupBy(key).agg(F.round(F.avg(value), 6).alias("mean"), F.round((F.max(value) - F.min(value)) / 2, 6).alias("spread"))
+
+
+#: How an answer of each kind begins and ends.
+TEMPLATES = {
+    "curriculum": ("围绕培养方案，当前检索结果可以归纳为以下几部分：", "如果你需要，我可以继续拆解成培养目标、毕业要求或课程结构。"),
+    "practice": ("围绕实践教学环节，当前可以确认以下要点：", "实践安排通常会随学期或学院通知调整，最终以当期发布内容为准。"),
+    "credit": ("围绕学分要求，当前可以确认以下内容：", "如果你想进一步区分必修、选修或实践学分，我可以继续按模块展开。"),
+    "prerequisite": ("围绕先修关系，当前检索结果可以整理为：", "如果你提供具体课程名，我可以继续按学习顺序整理。"),
+    "general": ("根据当前检索结果，可以先确认以下信息：", "如果你希望答案更聚焦，可以继续限定主题或给出具体课程、章节名称。"),
+}
+GREETING = "你好，我是{0}。\n\n你可以直接询问培养方案、课程体系、学分要求、奖助学金或毕业设计相关问题。"
+HELP = "{0}当前支持基于知识库回答以下内容：\n\n- 培养方案与毕业要求\n- 课程体系与先修关系\n- 学分结构与实践教学安排\n- 学生事务相关政策"
+FALLBACK = ("当前知识库中没有检索到能够直接支撑“", "”的片段。\n\n建议换一种更具体的问法，例如直接说明课程名称、培养目标、学分要求或毕业环节。")
+
+
+def themed_responses(queries: DataFrame, points: DataFrame, agent: str, kind: Column | None = None) -> DataFrame:
+    """(query_id, kind, response): the template of each query's kind around its points, one a line in order; the
+    greeting and the help as they are; without points the fallback. ``points`` has (query_id, place, sentence)."""
+    lists = points.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "sentence"))), lambda x: F.concat(F.lit("- "), x["sentence"])), "\n").alias("lines"))
+    j = queries.join(lists, "query_id", "left").withColumn("kind", response_kind(F.col("query")) if kind is None else kind)
+    table = F.create_map(*(x for k, (a, b) in TEMPLATES.items() for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))))
+    own = table[F.col("kind")]
+    themed = F.concat_ws("\n\n", own[0], "lines", own[1])
+    empty = F.concat(F.lit(FALLBACK[0]), "query", F.lit(FALLBACK[1]))
+    text = F.when(F.col("kind") == "greeting", GREETING.format(agent)).when(F.col("kind") == "help", HELP.format(agent)).when(F.col("lines").isNull(), empty).otherwise(themed)
+    return j.select("query_id", "kind", text.alias("response"))
+
+
+def correlations(sections_: DataFrame, notes: dict[str, list[str]]) -> DataFrame:
+    """X11: (query_id, narrative): what the sections of a cross-topic search have to do with each other: the first three with
+    their keywords and reason, two excerpts of each of the first two, and what the pattern's own note adds.
+
+    ``sections_`` has (query_id, pattern, place, section, keywords, reason, excerpts); a query without a section has one row with a null one.
+    """
+    line = F.concat(F.lit("   - 《"), "section", F.lit("》：涉及 "), F.array_join("keywords", ", "), F.lit(" 等关键词（"), "reason", F.lit("）"))
+    lines = F.transform(F.sort_array(F.collect_list(F.when((F.col("place") <= 3) & F.col("section").isNotNull(), F.struct("place", line.alias("x"))))), lambda r: r["x"])
+    points = F.flatten(F.transform(F.sort_array(F.collect_list(F.when((F.col("place") <= 2) & F.col("section").isNotNull(), F.struct("place", F.transform(F.slice("excerpts", 1, 2), lambda e: F.concat(F.lit("   - "), e)).alias("x"))))), lambda r: r["x"]))
+    g = sections_.groupBy("query_id", "pattern").agg(lines.alias("lines"), points.alias("points"))
+    none = F.size("lines") == 0
+    note = F.lit(None).cast("string")
+    for pattern, (title, *rest) in notes.items():
+        note = F.when(F.col("pattern") == pattern, "\n".join([f"\n\n3. {title}：", *(f"   - {x}" for x in rest)])).otherwise(note)
+    found = F.concat_ws("\n", F.lit("\n1. 章节关联："), F.array_join("lines", "\n"), F.lit("\n2. 规章要点："), F.when(F.size("points") > 0, F.array_join("points", "\n")))
+    empty = F.lit("\n1. 未发现直接关联的章节\n\n2. 将基于各关键词独立分析相关规定")
+    end = F.when(none, "\n\n4. 结论：\n   - 各项规定相对独立，需分别了解").otherwise("\n\n4. 结论：\n   - 多项规章存在明确关联，需综合考虑\n   - 建议同时参考所有相关规定")
+    return g.select("query_id", F.concat_ws("\n", F.lit("相关规章关联分析："), F.when(none, empty).otherwise(found), note, end).alias("narrative"))
+
+
+def enriched_context(contexts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, context): each context with its further blocks (query_id, ord, block) after it, in order, a blank line
+    between; contexts without blocks as they are."""
+    more = blocks.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias("more"))
+    return contexts.join(more, "query_id", "left").select("query_id", F.concat_ws("\n\n", "context", "more").alias("context"))

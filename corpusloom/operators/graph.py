@@ -190,3 +190,39 @@ def chain(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
 def strategy(query: Column) -> Column:
     """Which traversal answers a question."""
     return F.when(query.rlike("先修|后续|路径|顺序|path|before"), "path").when(query.rlike("一致|覆盖|重叠|gap|overlap"), "alignment").when(query.rlike("社区|体系|结构|community"), "community").otherwise("subgraph")
+
+
+def ego(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFrame:
+    """V3: (center, kind, place, node): of each course the first ``most`` that lead to it (prerequisite), follow it (next) and,
+    of its category, stand nearest in name without such an edge (related). ``nodes`` has (id, name, category)."""
+    before = edges.select(F.col("dst").alias("center"), F.lit("prerequisite").alias("kind"), F.col("src").alias("node"))
+    both = before.unionByName(edges.select(F.col("src").alias("center"), F.lit("next").alias("kind"), F.col("dst").alias("node"))).distinct()
+    w = Window.partitionBy("center", "kind").orderBy("name", "node")
+    named = lambda rows: rows.join(nodes.select(F.col("id").alias("node"), "name"), "node").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    # a course's neighbours by name in its category, enough of them to leave ``most`` beside those with an edge
+    spot = nodes.withColumn("at", F.row_number().over(Window.partitionBy("category").orderBy("name", "id")))
+    a = spot.select(F.col("id").alias("center"), "category", "at").withColumn("at", F.explode(F.sequence(F.col("at") - most, F.col("at") + most)))
+    near = a.join(spot.select("category", "at", F.col("id").alias("node")), ["category", "at"]).where("center <> node").select("center", F.lit("related").alias("kind"), "node")
+    related = near.join(both.select("center", "node"), ["center", "node"], "left_anti").select("center", "kind", "node")
+    return named(both.unionByName(related)).select("center", "kind", "place", "node")
+
+
+#: Words that ask for a traversal, in the order in which they are tried, and the score of what it finds.
+STRATEGIES = [
+    ("path", ["学习路径", "先修", "后续", "课程链", "先导", "前置", "衔接", "课程顺序", "学完之后", "之前学"], 0.85),
+    ("alignment", ["一致性", "覆盖度", "断层", "冗余", "对齐", "支撑", "培养目标", "毕业要求"], 0.80),
+    ("community", ["概述", "总体", "全景", "整体", "所有课程", "专业特色", "专业介绍"], 0.70),
+]
+
+
+def routed(queries: DataFrame, scores: Column | None = None) -> DataFrame:
+    """(query_id, strategy, score, id): the traversal for each query (query_id, query, hits), the score of its result
+    and the result's id; a community's score grows by .1 a hit up to .95, a subgraph's is .75."""
+    name, score = F.lit("subgraph"), F.lit(0.75)
+    for strategy_, words, fixed in reversed(STRATEGIES):
+        asked = F.lit(False)
+        for w in words:
+            asked = asked | F.contains(F.col("query"), F.lit(w))
+        value = F.least(F.lit(0.95), fixed + 0.1 * F.col("hits")) if strategy_ == "community" else F.lit(fixed)
+        name, score = F.when(asked, strategy_).otherwise(name), F.when(asked, value).otherwise(score)
+    return queries.select("query_id", name.alias("strategy"), F.round(score, 6).alias("score"), F.substring(F.md5(F.concat_ws("|", name, "query")), 1, 8).alias("id"))

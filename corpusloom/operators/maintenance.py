@@ -182,3 +182,8 @@ def statistics(events: DataFrame, until: Column, ranges: dict[str, int | None])
 def broken_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that a unique index over ``keys`` would refuse, with how often they occur."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def live_sessions(sessions_: DataFrame, now: Column, ttl: int = 86_400) -> DataFrame:
+    """The sessions that a store with a time to live still has: those updated less than ``ttl`` seconds ago."""
+    return sessions_.where(F.col("updated_at") + F.make_interval(secs=F.lit(ttl)) > now)
