@@ -116,9 +116,19 @@ def k09(spark, sf):
     return S.chunk_documents(load(spark, sf, "documents"))
 
 
-@add("k12_children")
+#: Where a child of 250 characters that starts after ``st`` of them ends in SQL: after the last of the first mark in its second half.
+CUT = "case " + " ".join(f"when strpos(reverse(half), {m}) > 0 then st + 125 + length(half) - strpos(reverse(half), {m}) + 1" for m in ("'。'", "'！'", "'？'", "'；'", "chr(10)", "'.'", "'!'", "'?'", "';'", "' '")) + " else st + 250 end"
+
+
+def child_sql(start: str) -> str:
+    cut = f"select *, case when st + 250 >= length(text) then length(text) else {CUT} end as cut from (select *, substr(text, st + 126, 125) as half from ({start}))"
+    return f"select doc_id, text, ord, st, case when length(text) - cut < 80 then length(text) else cut end as fin from ({cut})"
+
+
+@add("k12_children", f"""with recursive r as ({child_sql('select doc_id, text, 0 as ord, 0::bigint as st from documents where length(text) > 0')} union all {child_sql('select doc_id, text, ord + 1 as ord, greatest(fin - 50, st + 1) as st from r where fin < length(text)')})
+  select doc_id as parent_id, ord, md5(substr(text, st + 1, fin - st)) as digest from r""")
 def k12(spark, sf):
-    return S.children(load(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), "text"))
+    return S.children(load(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), "text")).select("parent_id", "ord", F.md5("text").alias("digest"))
 
 
 @add("k10_k16_context", "select doc_id, concat_ws('；', source, nullif(lang, 'en'), 'p ' || n_chars) as prefix, md5(concat_ws(' ', source || ' ' || lang, source || ' ' || lang, text)) as search_text from documents")
