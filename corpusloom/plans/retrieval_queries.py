@@ -177,6 +177,14 @@ def r07(spark, sf):
     return R.dense_knn(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e, 5).select("query_id", "rank", "doc_id", "score")
 
 
+@add("r07_filtered_knn", """with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), v as (select vec_id, embedding::double[] as v from embeddings where label in (1, 2, 5)),
+  s as (select query_id, vec_id as doc_id, round(list_cosine_similarity(v, q), 6) as score from v cross join q), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s)
+  select query_id, rank, doc_id, score from r where rank <= 3""")
+def r07b(spark, sf):
+    e = load(spark, sf, "embeddings")
+    return R.dense_knn(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e, 3, F.col("label").isin(1, 2, 5)).select("query_id", "rank", "doc_id", "score")
+
+
 @add("r18_hyde_merge", f"""with {BM25}{TFIDF}, a as (select * from bmr where rank <= 20), b as (select * from tir where rank <= 20)
   select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc_id, b.doc_id) as doc_id, round(case when a.rank is null then 0.4::double / (60 + b.rank) when b.rank is null then a.score + 1.0::double / (60 + a.rank) else a.score + 1.0::double / (60 + a.rank) + 0.6::double / (60 + b.rank) end, 6) as score
   from a full join b on a.query_id = b.query_id and a.doc_id = b.doc_id""")

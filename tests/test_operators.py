@@ -137,3 +137,39 @@ def test_point_lookup_is_pushed_to_the_scan(spark):
 
     plan = REGISTRY.queries["s13_point_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,17)" in plan and "text" not in plan.split("ReadSchema")[-1]
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    source = tmp_path / "docs"
+    spark.createDataFrame([(1, "a" * 900), (2, "b"), (3, "c")], "doc_id bigint, text string").coalesce(1).write.parquet(str(source))
+    run = lambda: windows.keep_index(spark.readStream.schema("doc_id bigint, text string").parquet(str(source)), str(tmp_path / "index"), sections.fixed_windows, str(tmp_path / "check")).awaitTermination()
+    run()
+    spark.createDataFrame([(2, "new"), (4, "d"), (3, "c"), (4, "dd")], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    newest = sorted((tmp_path / "index").glob("v*"))[-1]
+    got = spark.read.parquet(f"{newest}/chunks").orderBy("doc_id", "chunk_no").collect()
+    assert [(r["doc_id"], r["chunk_no"], len(r["chunk"])) for r in got] == [(1, 0, 680), (1, 1, 340), (2, 0, 3), (3, 0, 1), (4, 0, 2)]
+    assert [r["chunk"] for r in got][2:] == ["new", "c", "dd"]
+
+
+def test_state_forgets_old_values(spark, tmp_path):
+    rows = [(7, "2024-01-01 00:00:00", 1.0), (7, "2024-01-01 02:00:00", 4.0), (7, "2024-01-01 01:30:00", 2.0), (8, "2024-01-01 00:00:00", 5.0)]
+    events = spark.createDataFrame(rows, "user_id bigint, ts string, value double").selectExpr("user_id", "cast(ts as timestamp) as ts", "value")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    windows.last_values(stream, 2, ttl_seconds=3600).writeStream.outputMode("update").format("memory").queryName("forgets").trigger(availableNow=True).start().awaitTermination()
+    assert {r["user_id"]: (r["n"], r["total"]) for r in spark.table("forgets").collect()} == {7: (2, 6.0), 8: (1, 5.0)}
+
+
+def test_index_is_built_anew_when_a_text_changes(spark, tmp_path):
+    from corpusloom.operators import index
+
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None), (4, "")], "doc_id bigint, text string")
+    one = index.indexed(docs)
+    assert index.indexed(docs.orderBy("doc_id", ascending=False)).path == one.path
+    q = spark.createDataFrame([(1, "red fox"), (2, "green")], "query_id int, query string")
+    assert {(r["query_id"], r["doc_id"]) for r in one.bm25(q).collect()} == {(1, 1), (1, 2)}
+    scores = {r["doc_id"]: r["score"] for r in one.tfidf(q).collect()}
+    assert scores[1] > scores[2] and one.table("features").where("term = 'red fox'").count() == 1
+    other = index.indexed(docs.where("doc_id <> 2").union(spark.createDataFrame([(2, "blue ox")], docs.schema)))
+    assert other.path != one.path and {r["doc_id"] for r in other.bm25(q).collect()} == {1}
