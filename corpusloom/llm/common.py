@@ -66,7 +66,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table by its path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     if path in SCRATCH:
@@ -76,7 +77,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let go of the shuffle files of finished jobs."""
     for df in tables:
-        _delete(df.sparkSession, df.scratch_path)
+        remove(df.sparkSession, df.scratch_path)
     release(tables[0].sparkSession)
 
 
@@ -92,7 +93,7 @@ def release(spark: SparkSession, seconds: float = 5.0) -> None:
 def clear_scratch(spark: SparkSession, since: int = 0) -> None:
     """Delete the scratch tables that were written after the first ``since`` of SCRATCH. What was read from them must be written elsewhere by then."""
     for path in SCRATCH[since:]:
-        _delete(spark, path)
+        remove(spark, path)
 
 
 def words_of(text: str | None) -> list[str]:
