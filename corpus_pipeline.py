@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe_prefix, decontamination, near_groups, recompression, toxicity_ordinal
-from corpusloom.llm.common import shared_dir, table
+from corpusloom.llm.common import SCRATCH, clear_scratch, remove, table
+from corpusloom.session import shared_dir
 
 #: Words in a repeat that the substring stage removes.
 REPEAT_WORDS = 25
@@ -58,10 +59,15 @@ STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup"
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/corpusloom/pipeline-{name}-{uuid.uuid4().hex}"
+        path, since = f"{shared_dir(spark)}/corpusloom/pipeline-{name}-{uuid.uuid4().hex}", len(SCRATCH)
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        # what the stage has written on its way, and its input, are done with
+        clear_scratch(spark, since)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
