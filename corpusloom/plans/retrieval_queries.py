@@ -110,11 +110,11 @@ def r11(spark, sf):
     return f.select("query_id", "doc_id", F.round("fused", 6).alias("fused"))
 
 
-@add("r12_quality_flags", f"""with {BM25}, {WORDS} select query_id, doc_id, len(list_filter(kw, lambda k: contains(lower(concat_ws(' ', left(text, 60), lang)), k))) > 0 as section_match, right(rtrim(text, ' '), 1) in ('。', '！', '？', '.', ';', '；') as sentence_complete, lang <> '' as has_section_path, lower(concat_ws(' ', left(text, 60), lang)) as section_blob
+@add("r12_quality_flags", f"""with {BM25}, {WORDS} select query_id, doc_id, len(list_filter(kw, lambda k: contains(lower(concat_ws(' ', string_split(text, chr(10))[1], lang)), k))) > 0 as section_match, right(rtrim(text, ' '), 1) in ('。', '！', '？', '.', ';', '；') as sentence_complete, lang <> '' as has_section_path, lower(concat_ws(' ', string_split(text, chr(10))[1], lang)) as section_blob
   from bmr join documents using (doc_id) join words using (query_id) where rank <= 20""")
 def r12(spark, sf):
     hits = R.top_k(bm(spark, sf), 20).join(load(spark, sf, "documents"), "doc_id").join(asked(spark), "query_id")
-    flags = R.quality_flags(F.col("text"), F.substring("text", 1, 60), F.col("lang"), T.first_keywords(F.col("query")))
+    flags = R.quality_flags(F.col("text"), F.element_at(F.split("text", "\n"), 1), F.col("lang"), T.first_keywords(F.col("query")))
     return hits.select("query_id", "doc_id", flags.alias("f")).select("query_id", "doc_id", "f.*")
 
 

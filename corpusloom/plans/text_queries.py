@@ -204,9 +204,9 @@ def t19(spark, sf):
     return load(spark, sf, "pages").select("page_id", T.normal_path(path).alias("path"))
 
 
-@add("t20_tags", r"select conv_id, turn, trim(regexp_extract('<thinking>t</thinking><answer> ' || left(text, 40) || ' </answer>', '(?s)<answer>(.*?)</answer>', 1)) as answer, greatest(0.0, least(1.0, coalesce(try_cast(regexp_extract('STATUS: revise CONFIDENCE: ' || (turn + 5) / 10, '(?i)CONFIDENCE:\s*([0-9.]+)', 1) as double), 0.5))) as confidence from conversations")
+@add("t20_tags", r"select conv_id, turn, trim(regexp_extract('<thinking>t</thinking><answer> ' || text || ' </answer>', '(?s)<answer>(.*?)</answer>', 1)) as answer, greatest(0.0, least(1.0, coalesce(try_cast(regexp_extract('STATUS: revise CONFIDENCE: ' || (turn + 5) / 10, '(?i)CONFIDENCE:\s*([0-9.]+)', 1) as double), 0.5))) as confidence from conversations")
 def t20(spark, sf):
-    said = F.concat(F.lit("<thinking>t</thinking><answer> "), F.substring("text", 1, 40), F.lit(" </answer>"))
+    said = F.concat(F.lit("<thinking>t</thinking><answer> "), "text", F.lit(" </answer>"))
     r = T.reflection(F.concat(F.lit("STATUS: revise CONFIDENCE: "), ((F.col("turn") + 5) / 10).cast("string")))
     return load(spark, sf, "conversations").select("conv_id", "turn", T.tagged(said, "answer").alias("answer"), r["confidence"].alias("confidence"))
 
