@@ -5,7 +5,7 @@ have an L1 penalty, so most features get none. The expected severity is the sum
 
 Features are the words of a text in lower case and the beginnings of its words, START[0] to START[-1] characters long,
 which pool words that share a stem. A feature's value is log(1 + rate), with its rate in a hundred words of the text, so
-that one chance hit in a long text counts for little.
+that one chance hit in a long text counts for little, and of at most MOST, so that one word said over and over does not either.
 
 The labels are 0 or 1, and no table holds degrees of severity. Grades are made from the labels by folds: 0 is not toxic;
 a toxic text gets 1, 2 or 3 by the third of the toxic texts into which the log-odds fall that a model of two grades,
@@ -29,8 +29,8 @@ from corpusloom.llm.fingerprints import shingle_hashes
 
 GRADES = 3
 WORD = re.compile(r"\w+").findall
-#: Lengths of the beginnings of words, and what is added to a text's number of words before rates are taken.
-START, PRIOR = range(2, 9), 50.0
+#: Lengths of the beginnings of words, what is added to a text's number of words before rates are taken, and the highest rate.
+START, PRIOR, MOST = range(2, 9), 50.0, 10.0
 #: Features that a model is fitted on at most: those whose shares in toxic and in clean texts differ most surely.
 FEATURES = 20_000
 #: Words whose features a worker remembers.
@@ -43,7 +43,7 @@ def parts_of(word: str) -> list[str]:
 
 
 def rate(n: float, words: int) -> float:
-    return float(np.log1p(100.0 * n / (words + PRIOR)))
+    return float(np.log1p(min(100.0 * n / (words + PRIOR), MOST)))
 
 
 @dataclass
@@ -183,7 +183,7 @@ def fit_texts(texts: list[str | None], toxic: list[int], penalty: float = 0.0007
                 if open_[hash(p) & mask]:
                     found[p] += times
         cols_.append(np.array([number.setdefault(p, len(number)) for p in found], np.int32))
-        values_.append(np.log1p(100.0 * np.array(list(found.values()), np.float32) / np.float32(len(words) + PRIOR)))
+        values_.append(np.log1p(np.minimum(100.0 * np.array(list(found.values()), np.float32) / np.float32(len(words) + PRIOR), np.float32(MOST))))
         rows_.append(np.full(len(found), i, np.int32))
     rows, cols, values = (np.concatenate(x) for x in (rows_, cols_, values_))
     del rows_, cols_, values_, open_

@@ -470,3 +470,64 @@ def test_queries_have_their_columns():
     from corpusloom.llm import queries
 
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+
+
+def test_contamination_of_all_pairs_by_full_alignment(spark):
+    """String ids, repeated items and rows, clashing columns: every pair that shares a 4-gram, by the whole table of Smith-Waterman."""
+    rng = np.random.default_rng(21)
+    items = [(f"item-{i}", " ".join(f"w{x}" for x in rng.integers(0, 60, int(rng.integers(6, 25))))) for i in range(12)]
+    items += [items[0], ("other", items[1][1]), (None, items[2][1]), ("short", "w1 w2"), ("none", "!!")]
+    texts = []
+    for i in range(40):
+        own = [f"w{x}" for x in rng.integers(0, 60, int(rng.integers(0, 60)))]
+        copy = items[i % 12][1].split()
+        for k in rng.integers(0, len(copy), int(rng.integers(0, 6))):
+            copy[k] = "edited"
+        texts.append((f"d{i}", " ".join(own[: len(own) // 2] + copy * (i % 3) + own[len(own) // 2 :]), "x", 0.5))
+    texts += [texts[1], ("null", None, "x", 0.5), ("long", "w9 " * 30_000 + items[3][1], "x", 0.5)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string, item_id string, score double")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = Counter((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontamination.contaminated(docs, bench).collect())
+
+    word = lambda t: re.findall(r"\w+", (t or "").lower())
+    want = Counter()
+    for doc, text, *_ in texts:
+        for item, said in items:
+            a, b = word(said), word(text)
+            n = min(4, len(a))
+            if not a or not {tuple(a[k : k + n]) for k in range(len(a) - n + 1)} & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}:
+                continue
+            number = {w: i + 1 for i, w in enumerate(dict.fromkeys(a))}
+            best = decontamination.align(np.array([number[w] for w in a]), np.array([number.get(w, 0) for w in b], np.int64))[0] / (2 * len(a))
+            if best >= 0.5:
+                want[doc, item, round(best, 6)] += 1
+    assert got == want and len({d for d, *_ in got}) > 15
+    left = decontamination.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(t[0] for t in texts if not any(d == t[0] for d, *_ in want))
+
+
+def test_perspectives_of_odd_conversations(spark):
+    long = "é" * 200_000
+    rows = [(1, 0, "ann", "", "a", 1), (1, 1, "bob", long, "b", 2), (1, 2, "ann", " \n", "c", 3)]
+    got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, rendered string, position int")).collect()
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob")} and len(got) == 6
+    assert max(len(r["rendered"]) for r in got) > 200_000
+    assert chat_rotation.rotate(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
+
+
+def test_toxicity_of_ties_repeats_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = {i: " ".join(f"v{x}" for x in rng.integers(0, 300, 60)) + (" vile rotten awful" if i % 4 == 0 else "") for i in range(240)}
+    docs = [(i, t, 1, "kept") for i, t in texts.items()] + [(0, texts[0], 1, "kept"), (500, "vile rotten awful " * 20_000, 1, "kept"), (501, "qqqq " * 50_000, 1, "kept"), (None, texts[4], 1, "kept")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, toxic int, names string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts] + [(0, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    one, two = (toxicity_ordinal.fit(f, labels) for f in (frame, frame.orderBy("text")))
+    assert one.weights == two.weights and one.cut == two.cut
+    got = toxicity_ordinal.score(frame, one).collect()
+    assert len(got) == len(docs) and Counter(r["names"] for r in got) == {"kept": len(docs)}
+    by_id = {r["doc_id"]: r["toxic"] for r in got}
+    assert by_id[500] == 1 and by_id[501] == 0 and by_id[None] == 1 and sum(by_id[i] == int(i % 4 == 0) for i in texts) > 232
+    # the sample's bound holds, by rows and by bytes
+    assert toxicity_ordinal.sample(frame, labels, 50, 1 << 30).count() <= 50
+    held = toxicity_ordinal.sample(frame, labels, 1000, 5000).collect()
+    assert 0 < sum(len(r["text"]) for r in held) <= 5000

@@ -54,3 +54,21 @@ def test_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs2 = stage(spark, docs, str(tmp_path))
         assert docs2.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, ties and extra columns whose names the stages use themselves."""
+    long, text = " ".join(f"k{i}" for i in range(40_000)), " ".join(f"t{i}" for i in range(50))
+    rows = [(1, None, 0), (1, text, 0), (1, text, 0), (2, "", 0), (None, text, 0), (None, None, 0), (3, long, 0), (4, "t" * 50_000, 0), (5, " \n ", 0), (6, "one two", 0)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k, "id", 1.0) for i, t, k in rows], DOCS + ", toxic int, id string, kept double")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of the kind is here at all"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name != "encode":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in now.select("doc_id").collect())
+        assert (True, 3) in ids and (True, 6) in ids and ids.count((False, 0)) == 2
