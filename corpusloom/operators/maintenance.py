@@ -187,3 +187,17 @@ def broken_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
 def live_sessions(sessions_: DataFrame, now: Column, ttl: int = 86_400) -> DataFrame:
     """The sessions that a store with a time to live still has: those updated less than ``ttl`` seconds ago."""
     return sessions_.where(F.col("updated_at") + F.make_interval(secs=F.lit(ttl)) > now)
+
+
+def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The table without the rows of these keys; ``table.join(keys, key)`` gets them, an empty one resets."""
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def snapshot(points: DataFrame) -> DataFrame:
+    """What each metric (name, ts, value, kind) has recorded: number, sum, mean, least, most, the last value and how many
+    are slow for their kind."""
+    return points.groupBy("name").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.max_by("value", F.struct("ts", "value")).alias("last"), F.count_if(slow(F.col("kind"), F.col("value"))).alias("slow"),
+    )

@@ -11,6 +11,7 @@ from corpusloom.operators import sections as S
 from corpusloom.operators import understanding as U
 from corpusloom.plans.retrieval_queries import add
 from corpusloom.session import load
+from corpusloom.sources import readers
 
 #: Questions put together from the terms of the rules, one for each part.
 TERMS = [t for terms in U.INTENTS.values() for t in terms] + ["Python3", "你好", "比较", "绩点", "GPU 加速"]
@@ -288,6 +289,42 @@ def s09(spark, sf):
     return M.upsert(d, d.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), "doc_id")
 
 
+@add("s09_deleted", "select source, count(*) as n from documents where doc_id not in (select doc_id from labels where toxic = 1) group by source")
+def s09b(spark, sf):
+    gone = load(spark, sf, "labels").where("toxic = 1")
+    return M.deleted(load(spark, sf, "documents").select("doc_id", "source"), gone, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@add("x06_snapshot", """select event_type as name, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(value) as low, max(value) as high, arg_max(value, (ts, value)) as last, count_if(case when event_id % 3 = 0 then value > 3.0 when event_id % 3 = 1 then value > 1.5 else value > 2.0 end) as slow from events group by event_type""")
+def x06b(spark, sf):
+    kind = F.when(F.col("event_id") % 3 == 0, "query").when(F.col("event_id") % 3 == 1, "retrieval").otherwise("generation")
+    return M.snapshot(load(spark, sf, "events").select(F.col("event_type").alias("name"), "ts", "value", kind.alias("kind")))
+
+
+@add("s03_synthetic_pages", "with r as (select source, n_chars, row_number() over (partition by source order by doc_id) as rn from documents) select source, cast(floor((rn - 1) / 45) + 1 as int) as page, count(*) as n, sum(n_chars) as chars from r group by all")
+def s03(spark, sf):
+    paged = readers.synthetic_pages(load(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id")
+    return paged.groupBy("source", "page").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@add("s02_clean_lines", r"""with l as (select source as path, doc_id as page, unnest(string_split(text, chr(10))) as line from documents), c as (select path, page, trim(regexp_replace(trim(regexp_replace(replace(replace(line, '•', ' '), '　', ' '), '\s+', ' ', 'g'), ' '), '^[| ]+|[| ]+$', '', 'g'), ' ') as line from l)
+  select path, page, count(*) as n, sum(length(line)) as chars from c where line <> '' and not (regexp_matches(line, '^\s*$|^\d+$|^[·•.．…\-_]{4,}$|^[\d\s\-_/]+$') or length(line) <= 2 or length(line) - length(replace(line, '…', '')) >= 3 or length(line) - length(replace(line, '.', '')) >= 8 or starts_with(line, '第 '))
+    and not (regexp_matches(line, '[.．…]{4,}\s*\d+$') or (contains(line, '目录') and length(line) <= 12)) group by all""")
+def s02(spark, sf):
+    lines_ = load(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return readers.clean_page_lines(lines_).groupBy("path", "page").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@add("s03_table_rows", "with p as (select p_partkey, [trim(p_brand, ' '), trim(p_type, ' '), '', trim(p_brand, ' '), trim(p_name, ' ')] as c from part), f as (select p_partkey, list_filter(c, lambda x: x <> '') as c from p) select p_partkey, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ' | ') as line from f")
+def s03b(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", readers.table_row(F.array("p_brand", "p_type", F.lit(" "), "p_brand", "p_name")).alias("line"))
+
+
+@add("s07_metadata", r"with t as (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from benchmark) select term, count(*) as n from t where length(term) >= 2 group by term order by n desc, term limit 100")
+def s07(spark, sf):
+    return readers.top_keywords(load(spark, sf, "benchmark").select("text"))
+
+
 @add("s10_find_many", "select doc_id, lang, n_chars from documents where lang = 'fr' order by n_chars desc, doc_id limit 20 offset 10")
 def s10(spark, sf):
     return load(spark, sf, "documents").where("lang = 'fr'").select("doc_id", "lang", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(10).limit(20)
@@ -467,6 +504,4 @@ def st2(spark, sf):
 
 @add("s06_load_normalise", "select doc_id, coalesce(nullif(trim(source), ''), 'unknown') as section, length(text) as char_count from documents where length(text) >= 40")
 def s06(spark, sf):
-    from corpusloom.sources import readers
-
     return readers.normalised(load(spark, sf, "documents").select(F.col("doc_id"), "text", F.col("source").alias("section")))

@@ -173,3 +173,18 @@ def test_index_is_built_anew_when_a_text_changes(spark, tmp_path):
     assert scores[1] > scores[2] and one.table("features").where("term = 'red fox'").count() == 1
     other = index.indexed(docs.where("doc_id <> 2").union(spark.createDataFrame([(2, "blue ox")], docs.schema)))
     assert other.path != one.path and {r["doc_id"] for r in other.bm25(q).collect()} == {1}
+
+
+def test_knowledge_base_is_rebuilt(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    docs = spark.createDataFrame([(1, "One sentence is here. " * 60), (2, "Another short text stands here alone."), (3, None)], "doc_id bigint, text string")
+    report = readers.rebuild(docs, str(tmp_path / "kb"))
+    row = report.first()
+    assert row["documents"] == 2 and row["chunks"] == row["short"] + row["medium"] + row["long"] >= 3
+    text = readers.markdown(report, "Chunks")
+    assert text.startswith("# Chunks") and f"| 2 | {row['chunks']} |" in text
+    meta = spark.read.json(str(tmp_path / "kb" / "metadata")).first()
+    assert meta["total_chunks"] == row["chunks"] and "sentence" in meta["keywords"][:5]
+    with pytest.raises(ValueError):
+        readers.markdown(spark.range(20), "x", most=10)
