@@ -92,11 +92,12 @@ def code_like(c: Column, script: str = "cjk") -> Column:
     return c.rlike(CODE) | c.rlike("^(package |class |public |private |protected )") | ((occurrences(c, "=") >= 2) & (count(c, SCRIPT[script]) < 10))
 
 
-def low_signal(c: Column, script: str = "cjk") -> Column:
-    """C11, without the rule for code: shares of script, ASCII letters and digits."""
+def low_signal(c: Column, script: str = "cjk", outline: bool = False) -> Column:
+    """C11: by shares of script, ASCII letters and digits; in outlines code counts as well."""
     total = F.greatest(F.length(c), F.lit(1))
     own, latin, digits = count(c, SCRIPT[script]), count(c, "[A-Za-z]"), count(c, r"\d")
-    return (own < 40) | (latin > own * 1.2) | ((own / total < 0.12) & (latin / total > 0.18)) | ((digits / total > 0.35) & (own / total < 0.2))
+    out = (own < 40) | (latin > own * 1.2) | ((own / total < 0.12) & (latin / total > 0.18)) | ((digits / total > 0.35) & (own / total < 0.2))
+    return out | c.rlike(CODE) if outline else out
 
 
 def matrix_row(c: Column, script: str = "cjk") -> Column:

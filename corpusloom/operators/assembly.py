@@ -110,12 +110,71 @@ def evidence(hits: DataFrame, each: int = 2, most: int = 6) -> DataFrame:
     return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "pos"))).where(F.col("place") <= most).select("query_id", "place", "sentence")
 
 
+#: Words by which questions are sorted, in the order in which the classes are tried.
+RESPONSE_KINDS = [
+    ("greeting", ["你好", "您好", "hello", "hi"]), ("help", ["帮助", "help", "能做什么", "功能"]), ("curriculum", ["培养方案", "培养计划", "课程体系", "培养目标", "毕业要求", "学位"]),
+    ("credit", ["学分", "总学分", "必修", "选修", "学时"]), ("practice", ["实践", "实习", "实验", "毕业设计", "毕业论文", "课程设计", "项目"]), ("prerequisite", ["先修", "前置", "基础课", "先学"]),
+    ("course_detail", ["课程", "学什么", "教学内容", "大纲", "机器学习", "深度学习", "python"]),
+]
+QUERY_TYPES = [("factual", ["什么", "是什么", "定义", "概念"]), ("policy", ["政策", "规定", "要求", "条件", "标准"]), ("procedural", ["如何", "怎么", "流程", "步骤", "方法"])]
+QUESTION_FORMS = [("how_to", ["什么", "如何", "怎么", "怎样"]), ("yes_no", ["是否", "能不能", "可以"]), ("quantity", ["哪些", "多少", "几个"])]
+
+
+def first_class(c: Column, classes: list[tuple[str, list[str]]], default: str) -> Column:
+    """The first class of which a word is in the text."""
+    out = F.lit(default)
+    for name, words in reversed(classes):
+        out = F.when(T.contains_any(c, words), name).otherwise(out)
+    return out
+
+
 def response_kind(query: Column) -> Column:
     """Which template answers."""
-    return (
-        F.when(query.rlike("^(你好|您好|hello|hi)"), "greeting").when(query.rlike("帮助|help|怎么用"), "help").when(query.rlike("课程|培养|curriculum"), "curriculum").when(query.rlike("实践|实习|practice"), "practice")
-        .when(query.rlike("学分|credit"), "credit").when(query.rlike("先修|prerequisite"), "prerequisite").otherwise("general")
-    )
+    return first_class(F.lower(query), RESPONSE_KINDS, "general")
+
+
+def query_class(query: Column, history: Column | None = None) -> Column:
+    """Q8: (type, form, complexity, requires_context) of a question; keywords are its distinct tokens of two characters or more."""
+    n = F.size(F.array_distinct(F.filter(T.tokens(query), lambda t: F.length(t) > 1)))
+    complexity = F.when((n <= 3) & ~query.contains("?") & ~query.contains("，"), "simple").when(n <= 6, "medium").otherwise("complex")
+    context = F.lit(False) if history is None else F.coalesce(F.size(history) > 0, F.lit(False))
+    return F.struct(first_class(F.lower(query), QUERY_TYPES, "complex").alias("type"), first_class(query, QUESTION_FORMS, "general").alias("form"), complexity.alias("complexity"), context.alias("requires_context"))
+
+
+#: Greetings, and the length up to which a question is too short for a hypothetical answer.
+GREETINGS = ["你好", "您好", "在吗", "谢谢", "hello", "hi", "帮助", "是谁"]
+SHORT_QUERY, HYDE_CHARS = 6, 500
+
+
+def hyde_variant(query: Column, answer: Column) -> Column:
+    """Q14: the first characters of a model's hypothetical answer as a second query; null for short questions, greetings and
+    blank answers. The answer comes from the caller."""
+    plain = F.trim(query)
+    head = F.substring(F.trim(answer), 1, HYDE_CHARS)
+    return F.when((F.length(plain) > SHORT_QUERY) & ~F.lower(plain).isin(GREETINGS) & (head != ""), head)
+
+
+def clean_section_lines(lines: Column, outline: bool = False, script: str = "cjk") -> Column:
+    """A section's lines normalised, the first of equal ones, without noise, tables of contents, tables and, in outlines,
+    code; a line goes to the one before it unless that is ended or long, or it is a heading itself."""
+    drop = lambda x: T.corpus_noise(x) | T.toc_line(x) | T.table_like(x, script) | (T.code_like(x, script) if outline else F.lit(False))
+    kept = F.filter(F.array_distinct(F.filter(F.transform(lines, T.corpus_line), lambda x: x != "")), lambda x: ~drop(x))
+    marked = F.transform(kept, lambda x: F.struct(x.alias("line"), T.heading_level(x).isNotNull().alias("heading")))
+
+    @F.pandas_udf("array<string>")
+    def folded(column: pd.Series) -> pd.Series:
+        def fold(rows):
+            done: list[str] = []
+            for r in rows if rows is not None else ():
+                if done and not r["heading"] and done[-1][-1:] not in "。！？;；:：" and len(done[-1]) < 120:
+                    done[-1] = f"{done[-1].rstrip()} {r['line'].lstrip()}".strip()
+                else:
+                    done.append(r["line"])
+            return done
+
+        return column.map(fold)
+
+    return folded(marked)
 
 
 def course_graph(courses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -168,6 +227,7 @@ TEMPLATES = {
     "curriculum": ("围绕培养方案，当前检索结果可以归纳为以下几部分：", "如果你需要，我可以继续拆解成培养目标、毕业要求或课程结构。"),
     "practice": ("围绕实践教学环节，当前可以确认以下要点：", "实践安排通常会随学期或学院通知调整，最终以当期发布内容为准。"),
     "credit": ("围绕学分要求，当前可以确认以下内容：", "如果你想进一步区分必修、选修或实践学分，我可以继续按模块展开。"),
+    "course_detail": ("围绕课程内容，当前检索结果可以归纳为以下信息：", "如果要继续追问某门课程的考核方式、先修要求或实践安排，可以直接补充课程名。"),
     "prerequisite": ("围绕先修关系，当前检索结果可以整理为：", "如果你提供具体课程名，我可以继续按学习顺序整理。"),
     "general": ("根据当前检索结果，可以先确认以下信息：", "如果你希望答案更聚焦，可以继续限定主题或给出具体课程、章节名称。"),
 }

@@ -118,16 +118,6 @@ def e11(spark, sf):
     return load(spark, sf, "events").select("event_id", (~a["approved"]).alias("refused"), a["risk"].alias("risk"))
 
 
-@add("q08_response_kind", "select conv_id, turn, case when regexp_matches(lower(text), 'help') then 'help' when regexp_matches(lower(text), 'practice') then 'practice' when regexp_matches(lower(text), 'credit') then 'credit' else 'general' end as kind from conversations")
-def q08(spark, sf):
-    return load(spark, sf, "conversations").select("conv_id", "turn", A.response_kind(F.concat(F.lit(" "), F.lower("text"))).alias("kind"))
-
-
-@add("a06_requirement_coverage", "select l_suppkey, count(distinct l_partkey) as parts from lineitem group by l_suppkey having count(distinct l_partkey) >= 2")
-def a06(spark, sf):
-    return load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("parts")).where("parts >= 2")
-
-
 @add("a11_counters", "select event_type, event_id, sum(1) over (partition by event_type order by event_id rows unbounded preceding) as counter from events")
 def a11(spark, sf):
     e = load(spark, sf, "events")

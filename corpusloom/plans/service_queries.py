@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import assembly as A
 from corpusloom.operators import graph as G
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import sections as S
@@ -60,6 +61,22 @@ def q05(spark, sf):
     return U.suggestions(U.analyse(cases(spark, sf)))
 
 
+def class_sql(c: str, classes: list[tuple[str, list[str]]], default: str) -> str:
+    return "case " + " ".join(f"when {any_of(c, words)} then '{name}'" for name, words in classes) + f" else '{default}' end"
+
+
+@add("q08_query_class", f"""with {QUESTIONS}, t as (select *, len(list_distinct(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1))) as n from q0)
+  select query_id, {class_sql('lower(query)', A.RESPONSE_KINDS, 'general')} as kind, {class_sql('lower(query)', A.QUERY_TYPES, 'complex')} as type, {class_sql('query', A.QUESTION_FORMS, 'general')} as form, case when n <= 3 and not contains(query, '?') and not contains(query, '，') then 'simple' when n <= 6 then 'medium' else 'complex' end as complexity, query_id % 2 = 0 as requires_context from t""")
+def q08b(spark, sf):
+    history = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("before"))).otherwise(F.array().cast("array<string>"))
+    return cases(spark, sf).select("query_id", A.response_kind(F.col("query")).alias("kind"), A.query_class(F.col("query"), history).alias("c")).select("query_id", "kind", "c.*")
+
+
+@add("q14_hyde_variants", f"with {QUESTIONS} select query_id, md5(case when length(trim(query, ' ')) > 6 and lower(trim(query, ' ')) not in ({str(A.GREETINGS)[1:-1]}) then left(trim(repeat(query, 60), ' '), 500) end) as variant from q0")
+def q14(spark, sf):
+    return cases(spark, sf).select("query_id", F.md5(A.hyde_variant(F.col("query"), F.repeat("query", F.lit(60)))).alias("variant"))
+
+
 SUPPLEMENTS = [("teacher", 1, ["the", "and"], "standards"), ("teacher", 2, ["ing"], "lesson plan"), ("student", 1, ["tion", "qqq"], "reading list")]
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import evaluation, graph, maintenance, retrieval, sections, understanding
+from corpusloom.operators import assembly, evaluation, graph, maintenance, retrieval, sections, understanding
 from corpusloom.sources import readers
 from corpusloom.streaming import windows
 
@@ -188,3 +188,11 @@ def test_knowledge_base_is_rebuilt(spark, tmp_path):
     assert meta["total_chunks"] == row["chunks"] and "sentence" in meta["keywords"][:5]
     with pytest.raises(ValueError):
         readers.markdown(spark.range(20), "x", most=10)
+
+
+def test_section_lines(spark):
+    lines = ["第一章 总则", "本课程面向全体学生开设并且", "覆盖主要内容。", "本课程面向全体学生开设并且", "12", "支撑关系 1 2", "import java.util.List;", "第二节 要求", "学生应当完成", "", "全部实验"]
+    want = ["第一章 总则 本课程面向全体学生开设并且 覆盖主要内容。", "第二节 要求 学生应当完成 全部实验"]
+    frame = spark.createDataFrame([(lines,)], "l array<string>")
+    assert frame.select(assembly.clean_section_lines(F.col("l"), outline=True)).first()[0] == want
+    assert "import" in " ".join(frame.select(assembly.clean_section_lines(F.col("l"))).first()[0])
