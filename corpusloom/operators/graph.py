@@ -226,3 +226,21 @@ def routed(queries: DataFrame, scores: Column | None = None) -> DataFrame:
         value = F.least(F.lit(0.95), fixed + 0.1 * F.col("hits")) if strategy_ == "community" else F.lit(fixed)
         name, score = F.when(asked, strategy_).otherwise(name), F.when(asked, value).otherwise(score)
     return queries.select("query_id", name.alias("strategy"), F.round(score, 6).alias("score"), F.substring(F.md5(F.concat_ws("|", name, "query")), 1, 8).alias("id"))
+
+
+def community_summaries(nodes: DataFrame, communities: DataFrame, most: int = 10) -> DataFrame:
+    """(community, size, summary): the names of the first ``most`` members of each community by id. ``communities`` has (id,
+    community), as ``components`` gives them or any other partition."""
+    w = Window.partitionBy("community").orderBy("id")
+    head = communities.join(nodes.select("id", "name"), "id").withColumn("rn", F.row_number().over(w))
+    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= most, F.struct("id", "name")))), lambda x: x["name"])
+    return head.groupBy("community").agg(F.count("*").alias("size"), F.array_join(first, "、").alias("summary"))
+
+
+def search_communities(queries: DataFrame, summaries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, community, score, rank): communities whose summary holds keywords of a query (query_id, keywords): .70 and
+    .1 for each, at most .95; the best ``k``. The queries asked are a bounded set."""
+    j = summaries.crossJoin(F.broadcast(queries)).withColumn("hits", F.size(F.filter("keywords", lambda w: F.contains(F.lower("summary"), F.lower(w))))).where("hits > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("size"), "community")
+    scored = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("query_id", "community", F.round(F.least(F.lit(0.95), 0.70 + 0.1 * F.col("hits")), 6).alias("score"), "rank")

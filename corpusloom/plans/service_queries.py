@@ -170,13 +170,13 @@ def a03(spark, sf):
     return g
 
 
-LEVELS = {"recall": ["STEEL", "POLISHED"], "apply": ["TIN", "PLATED", "SMALL"], "create": ["COPPER", "LARGE"]}
-LEVEL_SQL = ", ".join(" + ".join(f"contains(p_type, '{w}')::int" for w in words) + f" as n_{name}" for name, words in LEVELS.items())
+LEVELS = {"recall": ["cold", "widget"], "apply": ["small", "bolt", "PROMO"], "create": ["large", "ECONOMY"]}
+LEVEL_SQL = ", ".join(" + ".join(f"contains(p_name || ' ' || p_type, '{w}')::int" for w in words) + f" as n_{name}" for name, words in LEVELS.items())
 
 
 @add("k14_bloom_level", f"with s as (select p_partkey, {LEVEL_SQL} from part) select p_partkey, case when greatest(n_recall, n_apply, n_create) = 0 then 'understand' when n_recall >= n_apply and n_recall >= n_create then 'recall' when n_apply >= n_create then 'apply' else 'create' end as level from s")
 def k14(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", S.bloom_level(F.col("p_type"), LEVELS, "understand").alias("level"))
+    return load(spark, sf, "part").select("p_partkey", S.bloom_level(F.concat_ws(" ", "p_name", "p_type"), LEVELS, "understand").alias("level"))
 
 
 @add("a05_structure", "select c_mktsegment, n_regionkey, count(*) as n, round(sum(c_acctbal), 6) as total from customer join nation on c_nationkey = n_nationkey group by grouping sets ((c_mktsegment), (n_regionkey), ())")
@@ -426,6 +426,16 @@ def g10(spark, sf):
     return G.components(hierarchy(spark, sf))
 
 
+@add("g10_community_search", """with n as (select p_partkey as id, p_name as name, p_brand as community, row_number() over (partition by p_brand order by p_partkey) as rn from part), s as (select community, count(*) as size, string_agg(name, '、' order by id) filter (rn <= 10) as summary from n group by community),
+  q(query_id, kw) as (values (1, ['cold', 'bolt']), (2, ['widget', 'large']), (3, ['zzzz'])), h as (select query_id, community, size, len(list_filter(kw, lambda w: contains(lower(summary), w))) as hits from s cross join q),
+  r as (select *, row_number() over (partition by query_id order by hits desc, size desc, community) as rank from h where hits > 0) select query_id, community, round(least(0.95, 0.7 + 0.1 * hits)::double, 6) as score, rank from r where rank <= 5""")
+def g10b(spark, sf):
+    part = load(spark, sf, "part")
+    queries = spark.createDataFrame([(1, ["cold", "bolt"]), (2, ["WIDGET", "large"]), (3, ["zzzz"])], "query_id int, keywords array<string>")
+    summaries = G.community_summaries(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community")))
+    return G.search_communities(queries, summaries)
+
+
 @add("g11_gaps", "with s as (select l_partkey, l_suppkey from lineitem where l_quantity > 47) select p_partkey as requirement, count(distinct l_suppkey) as supporters, case when count(distinct l_suppkey) = 0 then 'high' else 'medium' end as severity from part left join s on l_partkey = p_partkey group by p_partkey having count(distinct l_suppkey) < 2")
 def g11(spark, sf):
     strong = load(spark, sf, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("requirement"), F.col("l_suppkey").alias("supporter"))
