@@ -190,8 +190,9 @@ def dropped(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     classes = heads.select("same", F.col("head").alias("root"))
     if roots is not None:
         classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("same", F.coalesce("root", "head").alias("root"))
-    out = stored(signs.select("id", "same").join(classes, "same").where("id <> root").select("id", "root").distinct(), "dropped")
-    discard(signs, members, shapes, texts, *([roots] if roots is not None else []))
+    classes = stored(classes, "classes")  # so that the join can be split where very many rows say the same
+    out = stored(signs.select("id", "same").join(classes.hint("merge"), "same").where("id <> root").select("id", "root").distinct(), "dropped")
+    discard(signs, members, shapes, texts, classes, *([roots] if roots is not None else []))
     return out
 
 
