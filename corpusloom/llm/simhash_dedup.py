@@ -2,8 +2,9 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits; a segment's count of ones (0 to 2) is one coordinate. The
 Manhattan distance of two such points is never more than the number of differing bits, so it is a lower bound. Points
-within distance r agree on at least AGREE of r + AGREE groups of coordinates, because each group that differs costs at
-least one. Every choice of AGREE groups is a grid whose cells are the joint values of their coordinates: two points within
+within distance r agree on at least m of r + m groups of coordinates, because each group that differs costs at least one.
+m is AGREE, or more where so many points would crowd the cells (``agree_for``): the pairs found are the same for every m.
+Every choice of m groups is a grid whose cells are the joint values of their coordinates: two points within
 r share a cell of the first grid whose groups are all equal, and are joined there and only there. In a cell the bound
 comes first, then the exact count of differing bits. Equal fingerprints are one point, so copies cost nothing.
 """
@@ -20,6 +21,8 @@ from corpusloom.llm.components import components
 from corpusloom.llm.fingerprints import with_fingerprints
 
 SEGMENTS, AGREE = 32, 3
+#: Points that may share a cell by chance, on average, and the most groups that agree.
+CROWD, MOST_AGREE = 8, 6
 LOW_BITS = 0x5555555555555555
 
 
@@ -47,10 +50,20 @@ def group_masks(radius: int, agree: int = AGREE) -> list[int]:
     return [signed(sum(3 << 2 * s for s in range(a, b))) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def close_pairs(points: DataFrame, radius: int) -> DataFrame:
+def agree_for(points: int, radius: int) -> int:
+    """The groups that agree in a grid for so many points: a segment of two random bits tells 1.5 bits, and a grid of m of
+    radius + m groups as large a share of all segments."""
+    for m in range(AGREE, MOST_AGREE):
+        if points <= CROWD * 2 ** (1.5 * SEGMENTS * m / (radius + m)):
+            return m
+    return MOST_AGREE
+
+
+def close_pairs(points: DataFrame, radius: int, agree: int | None = None) -> DataFrame:
     """(a, b), a < b: the pairs of distinct values of ``points.fp`` that differ in at most ``radius`` bits, each once."""
-    masks = group_masks(radius)
-    grids = list(combinations(range(len(masks)), AGREE))
+    agree = agree or agree_for(points.count(), radius)
+    masks = group_masks(radius, agree)
+    grids = list(combinations(range(len(masks)), agree))
     spread = F.array(
         *(F.struct(F.lit(n).alias("grid"), F.lit(g[-1]).alias("last"), F.lit(signed(sum(masks[i] for i in g) % (1 << 64))).alias("mask")) for n, g in enumerate(grids))
     )
@@ -64,7 +77,7 @@ def close_pairs(points: DataFrame, radius: int) -> DataFrame:
     near = (
         (F.col("x.cell") == F.col("y.cell")) & (F.col("x.mask") == F.col("y.mask")) & (F.col("x.fp") < F.col("y.fp"))
         & (manhattan(ex, ey) <= radius)
-        & (differ.bitwiseAND(F.col("x.mask")) == 0) & (equal_so_far == AGREE)
+        & (differ.bitwiseAND(F.col("x.mask")) == 0) & (equal_so_far == agree)
         & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius)
     )
     return x.join(y.hint("merge"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))

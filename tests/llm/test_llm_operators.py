@@ -531,3 +531,20 @@ def test_toxicity_of_ties_repeats_and_long_texts(spark):
     assert toxicity_ordinal.sample(frame, labels, 50, 1 << 30).count() <= 50
     held = toxicity_ordinal.sample(frame, labels, 1000, 5000).collect()
     assert 0 < sum(len(r["text"]) for r in held) <= 5000
+
+
+def test_close_pairs_are_the_same_for_every_grid(spark):
+    rng = np.random.default_rng(12)
+    values = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
+    for v in values[:20]:
+        for n in (1, 3, 4, 5):
+            for k in rng.choice(63, n, replace=False).tolist():
+                v ^= 1 << k
+            values.append(v)
+    values = sorted(set(values))
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
+    points = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    for agree in (3, 4, 5):
+        found = [(r["a"], r["b"]) for r in simhash_dedup.close_pairs(points, 4, agree).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
+    assert [simhash_dedup.agree_for(n, 4) for n in (10, 10**7, 10**8, 10**9, 10**12)] == [3, 3, 4, 6, 6]
