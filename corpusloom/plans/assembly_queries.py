@@ -211,7 +211,7 @@ def t12(spark, sf):
     return load(spark, sf, "part").select("p_partkey", T.section_title(x).alias("title"), T.page_reference(x).alias("page"), F.array_join(T.course_mentions(x), "|").alias("mentions"))
 
 
-@add("k03_kept_sections", "select doc_id from documents where length(text) >= 120 and not (contains(text, '课程体系与毕业要求') or contains(text, '矩阵')) and (contains(source, '7') or contains(left(text, 240), 'the') or contains(left(text, 240), 'eau'))")
+@add("k03_kept_sections", "select doc_id from documents where length(text) >= 120 and not (contains(text, '课程体系与毕业要求') or contains(text, '矩阵')) and (contains(source, '7') or contains(left(text, 240), '7') or contains(left(text, 240), 'the') or contains(left(text, 240), 'eau'))")
 def k03(spark, sf):
     return load(spark, sf, "documents").where(A.keep_section(F.col("source"), F.col("text"), ["7", "the", "eau"])).select("doc_id")
 
