@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, token_binary, toxicity_ordinal, url_markov
+from corpusloom.llm import band_join, bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, token_binary, toxicity_ordinal, url_markov
 from corpusloom.llm.common import table
 
 #: The rules of the URL query.
@@ -63,9 +63,13 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ordinal.score(docs, model, columns=["doc_id"])
 
 
+def op12_numeric_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join.near_prices(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_perspectives": chat_rotation.SQL}
+    return {"op5_chat_perspectives": chat_rotation.SQL, "op12_numeric_band_join": band_join.SQL}
