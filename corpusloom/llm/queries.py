@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import band_join, bpe_prefix, chat_rotation, decontamination, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, token_binary, toxicity_ordinal, url_markov
+from corpusloom.llm import band_join, bpe_prefix, chat_rotation, decontamination, first_fit, multiset_fingerprint, recompression, simhash_dedup, site_style_tree, token_align, token_binary, toxicity_ordinal, url_markov
 from corpusloom.llm.common import table
 
 #: The rules of the URL query.
@@ -18,6 +18,7 @@ URL_RULES = [
 ]
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +64,18 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_ordinal.score(docs, model, columns=["doc_id"])
 
 
+def op11_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.pack(table(spark, sf_dir, "documents"), BYTE_VOCAB, end_id=0, capacity=1024)
+
+
 def op12_numeric_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join.near_prices(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned(table(spark, sf_dir, "documents"), BYTE_VOCAB, PIECE_VOCAB)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
