@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_prefix import load
 from corpusloom.llm.common import lean, slices, stored, tidy
+from corpusloom.llm.token_ids import byte_ids
 
 #: Documents in a group, about.
 GROUP = 2_000
@@ -121,11 +121,11 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int | None, capacity: int,
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, partition = load(vocabulary), 0, TaskContext.get().partitionId()
+        bpe, seen, partition = byte_ids(vocabulary), 0, TaskContext.get().partitionId()
         for batch in slices(batches, "text"):
             tokens, full, rest = [], [], []
             for text in batch.column("text").to_pylist():
-                raw = (bpe.encode_to_bytes(text) if text else b"") + tail
+                raw = (bpe.ids(text).tobytes() if text else b"") + tail
                 tokens.append(len(raw) // 4)
                 cut = len(raw) - len(raw) % step
                 full.append(raw[:cut] if keep_ids else b"".join(zlib.crc32(raw[i : i + step]).to_bytes(4, "little") for i in range(0, cut, step)))

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_prefix import load
 from corpusloom.llm.common import lean, slices, stored, tidy
+from corpusloom.llm.token_ids import byte_ids
 
 #: Bytes of text in a block, or one longer document; links of a group that are listed by themselves rather than by distinct ids.
 BLOCK, FEW = 4 << 20, 256
@@ -54,9 +54,9 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.bpe = load(a_path)
+        self.bpe = byte_ids(a_path)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.bytes_a = self.bpe.token_bytes
+        self.bytes_a = self.bpe.exact.token_bytes
         size = self.pieces.get_piece_size()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.pieces.id_to_piece(i)) for i in range(size))]
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
@@ -72,7 +72,7 @@ class Aligner:
             if not text:
                 continue
             whole = b" " + text.encode()
-            a = np.frombuffer(self.bpe._plain(" " + text), np.uint32)
+            a = self.bpe.plain(" " + text)
             if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b_all[i])) != whole:
                 continue
             has[i] = True

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import band_join, first_fit, queries, token_align
+from corpusloom.llm import band_join, first_fit, queries, token_align, token_ids
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -233,3 +233,16 @@ def test_large_groups_of_links():
     assert sorted(zip(pair.tolist(), times.tolist(), strict=True)) == [(x << 32 | y, 120) for x in range(3) for y in range(5)] and not text.any()
     x = np.array([0, 3, 254, 255, 256, 10**12])
     assert token_align.unsqueeze(*token_align.squeeze(x)).tolist() == x.tolist()
+
+
+def test_ids_are_the_library_s_for_every_character():
+    own, tokenizer, plain = token_ids.byte_ids(BYTE), library(), library()
+    plain.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 2000):
+        texts = ["".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}. " for c in points[i : i + 2000][k : k + 50]) for k in range(0, 2000, 50)]
+        for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.ids(text).tolist() == want.ids
+    for text in ("a <|endoftext|> b<|endoftext|>", "x" * 100_000, " " * 1_000_000 + "y", "<|endoftext|>" + "\n" * 700_000):
+        assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.plain(text).tolist() == plain.encode(text, add_special_tokens=False).ids
