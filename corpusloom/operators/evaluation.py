@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.similar import similar_words
 
 
 def is_relevant(chunk: dict[str, Column], case: dict[str, Column]) -> Column:
@@ -156,23 +157,13 @@ def grade_responses(turns: DataFrame, refusals: list[str] | None = None, failure
 def expand(queries: DataFrame, words: DataFrame, least: float = 0.85) -> DataFrame:
     """Q13: (query_id, term): each query's tokens and the words of the vocabulary that are like one of them, each once."""
     tokens = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
-    asked = tokens.select(F.col("term").alias("token")).distinct().withColumn("n", F.length("token"))
-    band = asked.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * least - 1e-9).cast("int"), F.floor(F.col("n") / least + 1e-9).cast("int"))))
-    like = band.join(words.select(F.col("term").alias("variant"), F.length("term").alias("m")).distinct(), "m").where(T.similarity(F.col("token"), F.col("variant")) >= least)
+    like = similar_words(tokens, words, least)
     return tokens.union(tokens.join(like.select(F.col("token").alias("term"), "variant"), "term").select("query_id", F.col("variant").alias("term"))).distinct()
 
 
 def fuzzy_pairs(words: DataFrame, least: float) -> DataFrame:
-    """Q13: (token, variant): distinct words whose similarity reaches ``least``.
-
-    Words are joined on their length: a pair this alike differs in length by no more than 1 - least of the longer, so a
-    word meets only the lengths in that band.
-    """
-    a = words.select(F.col("term").alias("token"), F.length("term").alias("n"))
-    low, high = F.ceil(F.col("n") * least - 1e-9).cast("int"), F.floor(F.col("n") / least + 1e-9).cast("int")
-    a = a.withColumn("m", F.explode(F.sequence(low, high)))
-    b = words.select(F.col("term").alias("variant"), F.length("term").alias("m"))
-    return a.join(b, "m").where((F.col("token") != F.col("variant")) & (T.similarity(F.col("token"), F.col("variant")) >= least)).select("token", "variant")
+    """Q13: (token, variant): distinct words whose similarity reaches ``least``, in both orders."""
+    return similar_words(words, words, least).where("token <> variant")
 
 
 def best_so_far(steps: DataFrame) -> DataFrame:

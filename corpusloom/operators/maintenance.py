@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.similar import cosine_join
+from corpusloom.session import written
+
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, status): added, modified, deleted or unchanged by the content's SHA-256."""
@@ -37,17 +42,54 @@ def evict(entries: DataFrame, capacity: int) -> DataFrame:
     return placed.where(F.col("place") <= capacity)
 
 
-def percentile_stats(points: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Count, mean, least, most and percentiles by index floor(n p), clamped, without interpolation.
+def _match(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join by equal columns, null equal to null."""
+    renamed = b.withColumnsRenamed({k: f"{k}__r" for k in by})
+    return a.join(renamed, reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}__r")), by, F.lit(True))).drop(*(f"{k}__r" for k in by))
+
+
+def percentile_stats(points: DataFrame, keys: list[str], value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000, most: int = 10_000) -> DataFrame:
+    """Count, mean, least, most and percentiles by index floor(n p), clamped, without interpolation. Null values don't count.
 
-    Values are counted first, so equal values are one row and a group's order is over distinct values.
+    Ranks are found in rounds. A sketch of each key gives a bracket around each wanted rank, counts say how many values lie below
+    and inside it, and only what is inside goes on, until a bracket holds one value or at most ``most`` rows. Sketches and counts are
+    merged from partial ones, so no task sees a whole key, however hot; a round leaves about one row in ``accuracy`` / 4.
     """
-    counted = points.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = points.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
-    j = counted.withColumn("upto", F.sum("c").over(w)).join(totals, keys)
-    pick = lambda p: F.min(F.when(F.col("upto") >= F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1, F.col(value)))
-    return j.groupBy(*keys, "n", "mean", "low", "high").agg(*(F.round(pick(p), 6).alias(f"p{round(p * 100)}") for p in ps)).withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
+    rows = points.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", [min(1.0, max(0.0, p + s / accuracy)) for p in ps for s in (-2, 2)], accuracy).alias("q"))
+    stats = written(stats, "sketch")
+    own, found = [*keys, "i"], []
+    sizes = ("below", "at_lo", "inner", "at_hi")
+    places = lambda lo, hi: (F.col("v") < lo, F.col("v") == lo, (F.col("v") > lo) & (F.col("v") < hi), (F.col("v") == hi) & (lo < hi))
+    # the first round reads the table; its counts are taken beside each other, so a row stays one row
+    j = _match(rows, stats.select(*keys, "q"), keys)
+    lo, hi = (lambda i: F.get("q", F.lit(2 * i))), (lambda i: F.get("q", F.lit(2 * i + 1)))
+    counts = j.groupBy(*keys).agg(*(F.count_if(c).alias(f"{name}{i}") for i in range(len(ps)) for name, c in zip(sizes, places(lo(i), hi(i)), strict=True)))
+    per = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("rank"), lo(i).alias("lo"), hi(i).alias("hi"), *(F.col(f"{name}{i}").alias(name) for name in sizes)) for i, p in enumerate(ps))))
+    state = _match(stats.select(*keys, "n", "q"), counts, keys).select(*keys, "n", per.alias("w")).select(*keys, "n", "w.*")
+    rest = j.withColumn("i", F.explode(F.array(*(F.lit(i) for i in range(len(ps)))))).where((F.col("v") > F.get("q", 2 * F.col("i"))) & (F.col("v") < F.get("q", 2 * F.col("i") + 1))).select(*own, "v")
+    while True:
+        after = F.col("rank") - F.col("below")
+        x = F.when(after < F.col("at_lo"), F.col("lo")).when(after >= F.col("at_lo") + F.col("inner"), F.col("hi"))
+        state = written(state.select(*own, x.alias("x"), (after - F.col("at_lo")).alias("rank"), F.col("inner").alias("n"), ((after < 0) | (after >= F.col("at_lo") + F.col("inner") + F.col("at_hi"))).alias("missed")), "ranks")
+        if state.where("missed").limit(1).count():
+            raise ValueError("a sketch missed its rank: raise the accuracy")
+        found.append(state.where("x is not null").select(*own, "x"))
+        going = state.where("x is null")
+        rest = written(_match(rest, going.select(*own), own), "inside")
+        if not going.where(F.col("n") > most).limit(1).count():
+            break
+        # brackets of about a twentieth of what is left, without the values that the last ones ended at
+        sketch = rest.groupBy(*own).agg(F.percentile_approx("v", [k / 64 for k in range(65)], accuracy).alias("q"))
+        at = F.floor(F.col("rank") / F.col("n") * 64).cast("int")
+        named = _match(sketch, going.select(*own, "rank", "n"), own).select(*own, "rank", F.get("q", F.greatest(at - 1, F.lit(0))).alias("lo"), F.get("q", F.least(at + 2, F.lit(64))).alias("hi"))
+        met = _match(rest, written(named, "brackets"), own)
+        state = met.groupBy(*own, "lo", "hi", "rank").agg(*(F.count_if(c).alias(name) for name, c in zip(sizes, places(F.col("lo"), F.col("hi")), strict=True)))
+        rest = met.where("v > lo and v < hi").select(*own, "v")
+    few = rest.groupBy(*own).agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most ``most`` values each
+    found.append(_match(few, going.select(*own, "rank"), own).select(*own, F.get("vs", F.col("rank").cast("int")).alias("x")))
+    picked = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*(F.round(F.max(F.when(F.col("i") == i, F.col("x"))), 6).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)))
+    return _match(stats, picked, keys).select(*keys, "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")), *(f"p{round(p * 100)}" for p in ps))
 
 
 def last_points(points: DataFrame, key: str, n: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -115,19 +157,17 @@ def running_counters(points: DataFrame, key: str, order: str, block: int = 10_00
 
 def cached(asked: DataFrame, entries: DataFrame, now: Column, least: float = 0.88) -> DataFrame:
     """(query_id, key, kind, similarity): the entry that answers each query (query_id, key, vector): the one with its
-    key, else the live one with the most similar vector, from ``least`` on; of equally similar ones the least key.
+    key, else the live one with the most similar vector, from ``least`` > 0 on; of equally similar ones the least key.
 
-    Entries (key, vector, ts, ttl) are a cache of bounded capacity; queries meet them in blocks. A ttl of 0 or less never ends.
+    Entries are (key, vector, ts, ttl); a ttl of 0 or less never ends. Vectors meet by the range join over pivots, however many
+    entries there are.
     """
     live = entries.where((F.col("ttl") <= 0) | (F.col("ts") + F.make_interval(secs=F.col("ttl")) > now))
     exact = asked.join(live.select("key"), "key", "left_semi").select("query_id", "key", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     rest = asked.join(exact.select("query_id"), "query_id", "left_anti")
-    both = rest.select("query_id", "vector").crossJoin(live.where("vector is not null").select(F.col("key").alias("k"), F.col("vector").alias("v")))
-    size = F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("v"), F.col("v")))
-    scored = both.select("query_id", "k", F.when(size > 0, F.round(dot(F.col("vector"), F.col("v")) / size, 6)).otherwise(0.0).alias("similarity")).where(F.col("similarity") >= least)
-    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("n"), "k")).alias("b")).select("query_id", F.col("b.k").alias("key"), F.lit("similar").alias("kind"), (-F.col("b.n")).alias("similarity"))
-    return exact.unionByName(best)
+    close = cosine_join(rest.select(F.col("query_id").alias("id"), "vector"), live.select(F.col("key").alias("id"), "vector"), least)
+    best = close.groupBy(F.col("left_id").alias("query_id")).agg(F.min(F.struct((-F.col("similarity")).alias("n"), F.col("right_id").alias("k"))).alias("b"))
+    return exact.unionByName(best.select("query_id", F.col("b.k").alias("key"), F.lit("similar").alias("kind"), (-F.col("b.n")).alias("similarity")))
 
 
 def insert(entries: DataFrame, rows: DataFrame, capacity: int) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def session(app: str = "corpusloom", cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -44,3 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` written once to the shared folder and read again: its lineage is cut by files that every executor can read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
