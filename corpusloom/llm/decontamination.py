@@ -1,11 +1,12 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment of words.
 
-Every test item is known by its n-grams of words. All of them are seeds: a document that holds any n-gram of an item, be it
-rare or common, is aligned with the item, in the words around each place where it holds one. Which n-grams an edited copy
-has kept is not known beforehand, so none is left out by its count. A passage is skipped only if it has too few of the
-item's words to reach the score. An alignment's score is the share of the item's own score; a pair counts from ``least`` on.
+An alignment's score is the share of the item's own score; a pair counts from ``least`` on. How long a run of words an edited
+copy keeps is not known: at a score of a half every other word may be new. So seeds are single words, the rarest of each
+item by the number of documents that have them, as many as the score leaves no way around, and several of them must stand
+close together. Only where they do is a passage aligned, and no pair that reaches the score is passed by.
 
-Test items go to the executors in blocks of bounded size; every block meets all documents.
+Test items go to the executors in blocks of bounded size; every block counts its words over all documents and then meets
+them all.
 """
 
 from __future__ import annotations
@@ -26,102 +27,117 @@ WORD = re.compile(r"\w+").findall
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that go to the executors at once.
 BLOCK_BYTES = 8 << 20
+#: One seed of so many words of an item must be matched, close together. Hits of seeds that are held at once, about.
+SEEDS_EACH, HITS = 6, 1_000_000
 
 
 class Items:
-    """The n-grams of a block of test items: ids of their words, and which n-gram stands where in which item."""
+    """A block of test items: ids of their words and, once the corpus has been counted, the rare words that seed an alignment.
 
-    def __init__(self, rows: list[tuple[object, str]], n: int):
+    An alignment that scores ``least`` has at least ceil(m least) of an item's m words as matches. So of the item's
+    m - ceil(m least) + j rarest words at least j are matched, and they lie within the m (3 - 2 least) words that such an
+    alignment spans at most. ``j`` grows with the item; a passage with fewer of the seeds in that span can't reach the score.
+    """
+
+    def __init__(self, rows: list[tuple[object, str]], least: float):
         self.vocabulary: dict[str, int] = {}
-        self.words: list[np.ndarray] = []
-        self.ids: list[object] = []
+        self.least = least
+        by_words: dict[tuple[int, ...], list[object]] = {}
         for item, text in rows:
             words = WORD(text.lower())
             if words:
-                self.ids.append(item)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        self.n = n
-        self.grams: dict[tuple[int, ...], int] = {}
-        self.places: list[list[tuple[int, int]]] = []
-        for at, words in enumerate(self.words):
-            width = min(n, len(words))
-            for k in range(len(words) - width + 1):
-                gram = self.grams.setdefault(tuple(words[k : k + width].tolist()), len(self.places))
-                if gram == len(self.places):
-                    self.places.append([])
-                self.places[gram].append((at, k))
-        self.widths = sorted({len(g) for g in self.grams})
-        self.tables = {w: self._table(w) for w in self.widths}
-
-    def _code(self, columns: list[np.ndarray]) -> np.ndarray:
-        code = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            code = (code ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        return code
-
-    def _table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        grams = [(g, i) for g, i in self.grams.items() if len(g) == width]
-        codes = self._code([np.array([g[k] for g, _ in grams], np.int64) for k in range(width)])
-        order = np.argsort(codes, kind="stable")
-        return codes[order], np.array([i for _, i in grams], np.int64)[order]
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, n-grams) of the items' n-grams in a document of word ids (0: a word that no item has)."""
-        at, grams = [], []
-        for width in self.widths:
-            m = len(words) - width + 1
-            if m <= 0:
-                continue
-            full = np.flatnonzero(np.logical_and.reduce([words[k : k + m] > 0 for k in range(width)]))
-            if not len(full):
-                continue
-            codes, ids = self.tables[width]
-            code = self._code([words[full + k] for k in range(width)])
-            left, right = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
-            for step in range(int((right - left).max(initial=0))):  # more than one only if hashes collide
-                sel = left + step < right
-                at.append(full[sel])
-                grams.append(ids[left[sel] + step])
-        if not at:
-            none = np.empty(0, np.int64)
-            return none, none
-        return np.concatenate(at), np.concatenate(grams)
+                by_words.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), []).append(item)
+        # items of the same words are aligned once
+        self.words = [np.array(w, np.int64) for w in by_words]
+        self.ids = list(by_words.values())
+
+    def choose(self, frequency: np.ndarray) -> Items:
+        """Take each item's rarest words as seeds, by the number of documents that have them."""
+        n = len(self.words)
+        self.together, self.span = np.ones(n, np.int64), np.ones(n, np.int64)
+        pairs: list[np.ndarray] = []
+        for k, own in enumerate(self.words):
+            m = len(own)
+            need = max(1, math.ceil(m * self.least - 1e-9))
+            self.together[k] = j = min(need, max(1, m // SEEDS_EACH))
+            self.span[k] = int(m * (3 - 2 * self.least) + 1e-9) + 1
+            rare = np.unique(own[np.lexsort((own, frequency[own]))[: m - need + j]])
+            pairs.append(np.stack([rare, np.full(len(rare), k)]))
+        word, item = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+        order = np.lexsort((item, word))
+        self.seeded = item[order]
+        self.degree = np.bincount(word, minlength=len(self.vocabulary) + 1)
+        self.start = np.cumsum(self.degree) - self.degree
+        return self
 
     def of_text(self, text: str | None) -> np.ndarray:
+        """Word ids, 0 for a word that no item has."""
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in WORD(text.lower())], np.int64) if text else np.empty(0, np.int64)
 
-    def matches(self, text: str | None, least: float) -> list[tuple[object, float, int, int]]:
-        """(item, score, first word, end word) of the best alignment of each item that reaches ``least``."""
-        words = self.of_text(text)
-        at, grams = self.hits(words)
-        if not len(at):
-            return []
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-            for item, k in self.places[g]:
-                m, slack = len(self.words[item]), 2 + len(self.words[item]) // 4
-                by_item.setdefault(item, []).append((max(0, p - k - slack), min(len(words), p - k + m + slack)))
-        known = np.concatenate(([0], np.cumsum(words > 0)))
+    def passages(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, list[list[int]]]]:
+        """(text, item, spans of words) that have enough of the item's seeds close together, texts in order."""
+        i = 0
+        while i < len(texts):
+            end, hits = i + 1, int(self.degree[texts[i]].sum())
+            while end < len(texts) and hits + (more := int(self.degree[texts[end]].sum())) <= HITS:
+                hits, end = hits + more, end + 1
+            # one text with very many hits is looked through for a part of the items at a time
+            parts = max(1, -(-hits // HITS))
+            for part in range(parts):
+                yield from self._passages(texts[i:end], i, part, parts)
+            i = end
+
+    def _passages(self, texts: list[np.ndarray], first: int, part: int, parts: int) -> Iterator[tuple[int, int, list[list[int]]]]:
+        words = np.concatenate(texts)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        place = np.arange(len(words)) - np.repeat(np.cumsum([0, *map(len, texts)])[:-1], [len(t) for t in texts])
+        found = []
+        for s in range(0, len(words), HITS):
+            own = words[s : s + HITS]
+            n = self.degree[own]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, row = self.seeded[np.repeat(self.start[own], n) + nth], np.repeat(np.arange(s, s + len(own)), n)
+            found.append((item, row) if parts == 1 else (item[item % parts == part], row[item % parts == part]))
+        item, row = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        key, at = text[row] * len(self.words) + item, place[row]
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        item = key % max(1, len(self.words))
+        last = np.arange(len(key)) + self.together[item] - 1
+        inside = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        close = np.flatnonzero(inside & (key[last] == key) & (at[last] - at < self.span[item])) if len(key) else np.empty(0, np.int64)
+        begin, end = at[last[close]] + 1 - self.span[item[close]], at[close] + self.span[item[close]]
+        current, spans = None, []
+        for k, a, b in zip(key[close].tolist(), begin.tolist(), end.tolist(), strict=True):
+            if k != current:
+                if spans:
+                    yield first + current // len(self.words), current % len(self.words), spans
+                current, spans = k, []
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([max(0, a), b])
+        if spans:
+            yield first + current // len(self.words), current % len(self.words), spans
+
+    def matches(self, texts: list[str | None]) -> list[tuple[int, object, float, int, int]]:
+        """(text, item, score, first word, end word) of the best alignment of each text and item that reaches ``least``."""
+        of = [self.of_text(t) for t in texts]
         out = []
-        for item, spans in sorted(by_item.items()):
-            spans.sort()
-            own = self.words[item]
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
+        for text, item, spans in self.passages(of):
+            own, words = self.words[item], of[text]
+            need = len(own) * self.least - 1e-9
+            spans = [(a, min(b, len(words))) for a, b in spans]
             # an alignment has no more matches than words of the item that the passage has
-            merged = [(a, b) for a, b in merged if (known[b] - known[a]) / len(own) >= least and np.isin(own, words[a:b]).sum() / len(own) >= least]
-            if not merged:
+            spans = [(a, b) for a, b in spans if (words[a:b] > 0).sum() >= need and np.isin(own, words[a:b]).sum() >= need]
+            if not spans:
                 continue
-            best = max(((*align(own, words[a:b]), a) for a, b in merged), key=lambda x: (x[0], -x[3]))
+            best = max(((*align(own, words[a:b]), a) for a, b in spans), key=lambda x: (x[0], -x[3]))
             score = best[0] / (MATCH * len(own))
-            if score >= least:
-                out.append((self.ids[item], score, best[3] + best[1], best[3] + best[2]))
+            if score >= self.least:
+                out += [(text, i, score, best[3] + best[1], best[3] + best[2]) for i in self.ids[item]]
         return out
 
 
@@ -163,24 +179,51 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
             yield [(r["item"], r["text"]) for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def counted(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
+    """How many rows of ``docs`` have each word of the items, by word id: a number for each word of a block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        seen = np.zeros(len(own.vocabulary) + 1, np.int64)
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                seen[np.unique(own.of_text(text))] += 1
+        word = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(seen[word])], names=["word", "n"])
+
+    out = np.zeros(len(items.vocabulary) + 1, np.int64)
+    rows = lean(docs).select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    for word, n in rows.collect():  # no more than the block has words
+        out[word] = n
+    return out
+
+
+def prepared(docs: DataFrame, benchmark: DataFrame, least: float, text_col: str, item_col: str, item_text: str) -> Iterator[object]:
+    """The blocks of items with their seeds chosen, as broadcasts of bounded size."""
+    for rows in item_blocks(benchmark, item_col, item_text):
+        items = Items(rows, least)
+        if items.words:
+            yield docs.sparkSession.sparkContext.broadcast(items.choose(counted(docs, items, text_col)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): every document and test item whose alignment scores ``least`` or more.
 
     Words are ``\\w+`` in lower case. score is 1 for a whole copy; the span counts words of the document. Null and empty
-    texts match nothing; items without words are left out; an item shorter than ``n`` words is its own n-gram. Repeated
-    rows and items give a row each. Other columns are left out. Nothing is shuffled.
+    texts match nothing; items without words are left out. Repeated rows and items give a row each. Other columns are left
+    out. Only counts of words are shuffled.
     """
     out = None
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word bigint, end_word bigint"
-    for rows in item_blocks(benchmark, item_col, text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, n))
+    for shared in prepared(docs, benchmark, least, text_col, item_col, text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in slices(batches, "text"):
-                found = [(i, *m) for i, t in enumerate(batch.column("text").to_pylist()) for m in items.matches(t, least)]
+                found = items.matches(batch.column("text").to_pylist())
                 if found:
                     row, item, score, start, end = zip(*found, strict=True)
                     ids = batch.column("id").take(pa.array(row))
@@ -191,18 +234,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5, text_col: str = "text", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, text_col: str = "text", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that match no test item, with all their columns. Each row is judged by itself, so nothing is
     joined back; a null or empty text stays."""
     kept = docs
-    for rows in item_blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, n))
+    for shared in prepared(docs, benchmark, least, text_col, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in slices(batches, "text"):
-                clean = pa.array([not items.matches(t, least) for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("row").filter(clean)], names=["row"])
+                clean = np.ones(batch.num_rows, bool)
+                clean[[m[0] for m in items.matches(batch.column("text").to_pylist())]] = False
+                yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(clean))], names=["row"])
 
         base = lean(kept).select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"))
         kept = base.mapInArrow(tidy(run), f"row {base.schema['row'].dataType.simpleString()}").select("row.*")

@@ -159,11 +159,13 @@ def test_alignment(item, passage):
 
 def test_edited_copy_is_found_and_others_are_not():
     item = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree"
-    items = decontamination.Items([(7, item), (8, "")], 4)
+    items = decontamination.Items([(7, item), (8, "")], 0.5)
+    items.choose(np.ones(len(items.vocabulary) + 1, np.int64))
+    one = lambda text: [m[1] for m in items.matches([text])]
     edited = "intro words here " + item.replace("lazy", "sleepy").replace("seven wise", "many") + " and an end"
-    assert [m[0] for m in items.matches(edited, 0.5)] == [7]
-    assert items.matches("the quick brown fox went home and nothing else of it is here at all today", 0.5) == []
-    assert items.matches(None, 0.5) == items.matches("", 0.5) == []
+    assert one(edited) == [7]
+    assert one("the quick brown fox went home and nothing else of it is here at all today") == []
+    assert one(None) == one("") == items.matches([]) == []
 
 
 def test_multiset_hash_is_homomorphic():

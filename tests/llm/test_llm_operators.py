@@ -279,6 +279,36 @@ def test_contamination_by_edited_and_partial_copies(spark):
     assert set(got) == {(10, 0), (11, 1), (12, 2), (13, 3)} and got[13, 3] == pytest.approx(20 / 38, abs=1e-6)
 
 
+@pytest.mark.parametrize("hits", [1_000_000, 40])
+def test_contamination_without_common_runs(spark, monkeypatch, hits):
+    """Copies with every fourth, third or second word new or moved, among common words: all pairs by the whole table."""
+    monkeypatch.setattr(decontamination, "HITS", hits)
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(15)]
+    pick = lambda i, n: [str(rng.choice(common)) if rng.random() < 0.4 else f"i{i}w{int(rng.integers(0, 5000))}" for _ in range(n)]
+    items = {i: pick(i, n) for i, n in enumerate((15, 38, 60, 24, 7, 3, 1))}
+    fresh = iter(range(1 << 30))
+    texts = {}
+    for i, own in items.items():
+        for step in (2, 3, 4, 5):
+            texts[f"new {i} {step}"] = [w if (k + 1) % step else f"x{next(fresh)}" for k, w in enumerate(own)]
+            texts[f"put in {i} {step}"] = [x for k, w in enumerate(own) for x in ([w] if (k + 1) % step else [w, f"x{next(fresh)}"])]
+            texts[f"left out {i} {step}"] = [w for k, w in enumerate(own) if (k + 1) % step]
+        texts[f"half {i}"] = own[len(own) // 2 :]
+    texts = {k: [*rng.choice(common, 30), *t, *rng.choice(common, 30)] for k, t in texts.items()} | {f"noise {i}": list(rng.choice(common, 200)) for i in range(5)}
+    want = {}
+    for doc, b in texts.items():
+        for item, a in items.items():
+            number = {w: k + 1 for k, w in enumerate(dict.fromkeys(a))}
+            score = decontamination.align(np.array([number[w] for w in a]), np.array([number.get(w, 0) for w in b], np.int64))[0] / (2 * len(a))
+            if score >= 0.5:
+                want[doc, item] = round(score, 6)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id string, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs, bench).collect()} == want
+    assert {f"new {i} 4" for i in (0, 1, 2)} <= {d for d, _ in want}
+
+
 def test_toxicity_on_texts_held_out(spark):
     rng = np.random.default_rng(4)
     bad = ["vile", "awful", "nasty", "rotten"]
@@ -469,11 +499,11 @@ def test_long_and_deep_pages(spark):
 def test_queries_have_their_columns():
     from corpusloom.llm import queries
 
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 def test_contamination_of_all_pairs_by_full_alignment(spark):
-    """String ids, repeated items and rows, clashing columns: every pair that shares a 4-gram, by the whole table of Smith-Waterman."""
+    """String ids, repeated items and rows, clashing columns: every pair, by the whole table of Smith-Waterman."""
     rng = np.random.default_rng(21)
     items = [(f"item-{i}", " ".join(f"w{x}" for x in rng.integers(0, 60, int(rng.integers(6, 25))))) for i in range(12)]
     items += [items[0], ("other", items[1][1]), (None, items[2][1]), ("short", "w1 w2"), ("none", "!!")]
@@ -494,8 +524,7 @@ def test_contamination_of_all_pairs_by_full_alignment(spark):
     for doc, text, *_ in texts:
         for item, said in items:
             a, b = word(said), word(text)
-            n = min(4, len(a))
-            if not a or not {tuple(a[k : k + n]) for k in range(len(a) - n + 1)} & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}:
+            if not a:
                 continue
             number = {w: i + 1 for i, w in enumerate(dict.fromkeys(a))}
             best = decontamination.align(np.array([number[w] for w in a]), np.array([number.get(w, 0) for w in b], np.int64))[0] / (2 * len(a))
