@@ -122,16 +122,28 @@ class Items:
         if spans:
             yield first + current // len(self.words), current % len(self.words), spans
 
+    @staticmethod
+    def _can_reach(own: np.ndarray, passage: np.ndarray, known: np.ndarray, need: float) -> bool:
+        """Whether the item's words in the passage allow the score, whatever their order.
+
+        In an alignment every word of the passage is a match or costs one, so the best sum over a run of the passage bounds the
+        score; and there are no more matches than words of the item that the passage has.
+        """
+        upto = np.concatenate([[0], np.cumsum(np.where(known[passage], MATCH, MISMATCH))])
+        if (upto - np.minimum.accumulate(upto)).max() < MATCH * need:
+            return False
+        return np.isin(own, passage).sum() >= need
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, object, float, int, int]]:
         """(text, item, score, first word, end word) of the best alignment of each text and item that reaches ``least``."""
         of = [self.of_text(t) for t in texts]
-        out = []
+        out, known = [], np.zeros(len(self.vocabulary) + 1, bool)
         for text, item, spans in self.passages(of):
             own, words = self.words[item], of[text]
             need = len(own) * self.least - 1e-9
-            spans = [(a, min(b, len(words))) for a, b in spans]
-            # an alignment has no more matches than words of the item that the passage has
-            spans = [(a, b) for a, b in spans if (words[a:b] > 0).sum() >= need and np.isin(own, words[a:b]).sum() >= need]
+            known[own] = True
+            spans = [(a, b) for a, b in ((a, min(b, len(words))) for a, b in spans) if self._can_reach(own, words[a:b], known, need)]
+            known[own] = False
             if not spans:
                 continue
             best = max(((*align(own, words[a:b]), a) for a, b in spans), key=lambda x: (x[0], -x[3]))
