@@ -47,6 +47,9 @@ NOISE_NAMES = frozenset(
     "copyright legal disclaimer pagination pager toolbar skip complementary contentinfo".split()
 )
 PLAIN_NAMES = frozenset("site page top bottom left right main global primary secondary mobile js list box block bar wrap wrapper container inner outer area section item items slot link links panel post posts".split())
+#: Of these, the words that say nothing inside an article, where a header, a section or a legal notice belongs to the text.
+OUTSIDE_NAMES = frozenset("header masthead banner menu menubar legal disclaimer copyright form search notice notices alert side toolbar nav navigation".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends an open element of the same group, as far as the nearest of the others named.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SECTIONS = frozenset("article section div main body td li blockquote nav footer aside header form".split())
@@ -69,11 +72,15 @@ def key_of(text: str, above: int = 0) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=above.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
-def names_noise(names: str) -> bool:
-    """Whether one of the names says that this is not the article: all of its words do or are plain, and one does."""
+def names_noise(names: str, article: bool = False) -> bool:
+    """Whether one of the names says that this is not the article: all of its words do or are plain, and one does.
+
+    Inside an article only names of what is put into articles count, such as adverts, links to share and readers' comments.
+    """
+    said = NOISE_NAMES - OUTSIDE_NAMES if article else NOISE_NAMES
     for name in names.split():
         words = NAME(name)
-        if not NOISE_NAMES.isdisjoint(words) and all(w in NOISE_NAMES or w in PLAIN_NAMES for w in words):
+        if not said.isdisjoint(words) and all(w in said or w in PLAIN_NAMES for w in words):
             return True
     return False
 
@@ -172,8 +179,8 @@ class Reader:
         above = self.open[-1] if self.open else ("", 0, False, False, False)
         article = above[3] or tag in ("article", "main") or found.get("role") == "main"
         noise = above[2] or tag in NOISE_TAGS or (tag == "header" and not above[3]) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        if not noise and tag not in ("html", "body", "main"):
-            noise = names_noise(names)
+        if not noise and tag not in ("html", "body", "main") and not (article and tag in HEADINGS):
+            noise = names_noise(names, above[3])
         node = above[1]
         if block:
             label = ".".join([tag, *sorted(names.split())])

@@ -233,3 +233,9 @@ def test_blocks_are_smaller_than_deflate_makes_them():
     codes = lane_coder.encode_blocks(blocks, 40_000)
     assert all(np.array_equal(a, b) for a, b in zip(lane_coder.decode_blocks(codes, [len(b) for b in blocks], 40_000), blocks, strict=True))
     assert sum(map(len, codes)) < 0.95 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
+def test_names_inside_an_article_drop_neither_headings_nor_sections():
+    html = """<body><div class="header">Site</div><nav>menu</nav><article><h1 class="header">Title</h1><div class="section-header">Part one</div><p>Text.</p>
+      <section class="legal"><p>The law says so.</p></section><h2 class="comments">On comments</h2><div class="ad">Buy</div><div id="comments"><p>first!</p></div><ul class="share"><li>post</li></ul><footer>by me</footer></article></body>"""
+    assert site_style_tree.main_text(site_style_tree.read(html).blocks, set()) == "Title\n\nPart one\n\nText.\n\nThe law says so.\n\nOn comments"
