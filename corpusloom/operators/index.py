@@ -1,14 +1,19 @@
 """A stored inverted index: postings, term statistics and weights, written once for a corpus and read by term.
 
 Tables are partitioned by a hash of the term, so a search reads the partitions of its own terms alone (dynamic partition
-pruning) and never the texts. A corpus is known by its fingerprint (I5): an index is used again as long as the documents
-say the same, and is built anew when they don't, however many there are.
+pruning) and never the texts. A corpus of files is known by its manifest (I5): the plan over them and each file's path, size and
+time, which a search looks up without reading a row. An index is used again as long as these are the same.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +21,8 @@ from corpusloom.functions import text as T
 from corpusloom.operators.retrieval import B, K1
 from corpusloom.session import shared_dir
 
-#: Partitions of terms, and features of the vector space.
-BUCKETS, FEATURES = 16, 8000
+#: Features of the vector space, and bytes of the corpus that one partition of terms stands for; partitions at least and at most.
+FEATURES, PART_BYTES, LEAST_PARTS, MOST_PARTS = 8000, 64 << 20, 16, 4096
 
 
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:
@@ -25,8 +30,21 @@ def corpus_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"))
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def manifest(docs: DataFrame) -> str | None:
+    """A digest of the plan and of the files that it reads; null if it reads anything that isn't a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    leaves, files = plan.collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        files.append(leaf.relation().location().allFiles().toString())  # path, size and time, as the listing that Spark keeps tells them
+    said = [plan.canonicalized().toString(), str(plan.semanticHash()), *files]
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:32] if files else None
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def grams(c: Column) -> Column:
@@ -42,20 +60,26 @@ class SparseIndex:
 
     spark: SparkSession
     path: str
+    _totals: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def _asked(self, queries: DataFrame, parts: Column) -> DataFrame:
+    def totals(self) -> dict:
+        """n, avgdl and the number of buckets; one row, read once."""
+        if not self._totals:
+            self._totals.update(self.table("totals").first().asDict())
+        return self._totals
+
+    def asked(self, queries: DataFrame, parts: Column) -> DataFrame:
         """(query_id, term, bucket, qtf)."""
         terms = queries.select("query_id", F.explode(parts).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        return terms.withColumn("bucket", bucket(F.col("term")))
+        return terms.withColumn("bucket", bucket(F.col("term"), self.totals()["buckets"]))
 
     def bm25(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """R2: (query_id, doc_id, score). Documents without any term of a query have no row."""
-        wanted = self._asked(queries, T.tokens(F.col("query")))
-        total = self.table("totals").first()
-        n, avgdl = F.lit(total["n"]), F.lit(total["avgdl"])
+        wanted = self.asked(queries, T.tokens(F.col("query")))
+        n, avgdl = F.lit(self.totals()["n"]), F.lit(self.totals()["avgdl"])
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
         terms = wanted.join(self.table("terms"), ["bucket", "term"])
@@ -64,51 +88,101 @@ class SparseIndex:
     def tfidf(self, queries: DataFrame) -> DataFrame:
         """(query_id, doc_id, score): cosine of raw tf times ln((1 + N) / (1 + df)) + 1 over words and pairs of words, of
         which the FEATURES most frequent count. Documents without a feature of the query have no row."""
-        asked = self._asked(queries, grams(F.col("query"))).join(self.table("features"), ["bucket", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
+        asked = self.asked(queries, grams(F.col("query"))).join(self.table("features"), ["bucket", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
         asked = asked.join(asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")), "query_id").select("query_id", "bucket", "term", (F.col("qw") / F.col("qn")).alias("qw"))
         return self.table("weights").join(asked, ["bucket", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
-def _write(df: DataFrame, path: str, salt: Column | None = None) -> None:
+def write_buckets(df: DataFrame, path: str, buckets: int, salt: Column | None = None) -> None:
     """Rows of one bucket go to several tasks, as one term may hold a large share of all."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.repartition(parts, "bucket", F.pmod(F.xxhash64("term") if salt is None else salt, F.lit(max(1, parts // BUCKETS))))
+    salted = df.repartition(parts, "bucket", F.pmod(F.xxhash64("term") if salt is None else salt, F.lit(max(1, parts // buckets))))
     salted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def build(docs: DataFrame, path: str, features: int = FEATURES) -> SparseIndex:
-    """Write the index of ``docs`` (doc_id, text) to ``path``. Texts are read twice, once for words and once for pairs."""
+def counted(tokens: DataFrame, chosen: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, len, term, tf) of documents (doc_id, t), each counted where it is; or (doc_id, term, w) of the chosen words
+    and pairs of words, times their weight, divided by the length of the document's vector."""
+    key = tokens.schema["doc_id"].dataType.simpleString()
+    shared = None if chosen is None else tokens.sparkSession.sparkContext.broadcast(chosen)  # at most FEATURES terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value if shared else None
+        for batch in batches:
+            rows, terms, numbers, lengths = [], [], [], []
+            for i, words in enumerate(batch.column("t").to_pylist()):
+                if weights is None:
+                    found = Counter(words)
+                    numbers += found.values()
+                    lengths += [len(words)] * len(found)
+                else:
+                    tf = Counter(w for w in (*words, *map(" ".join, zip(words, words[1:], strict=False))) if w in weights)
+                    found = {w: n * weights[w] for w, n in tf.items()}
+                    size = math.sqrt(sum(x * x for x in found.values()))
+                    numbers += [x / size for x in found.values()]
+                rows += [i] * len(found)
+                terms += found
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int32()))
+            if weights is None:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(numbers, pa.int64())], names=["doc_id", "len", "term", "tf"])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(numbers, pa.float64())], names=["doc_id", "term", "w"])
+
+    return tokens.mapInArrow(run, f"doc_id {key}, " + ("len bigint, term string, tf bigint" if chosen is None else "term string, w double"))
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Partitions of terms for a corpus of this size: a power of two."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, size // PART_BYTES).bit_length()))
+
+
+def build(docs: DataFrame, path: str, features: int = FEATURES, buckets: int | None = None) -> SparseIndex:
+    """Write the index of ``docs`` (doc_id, text) to ``path``. Texts are split once; documents are counted where they are, so what
+    is shuffled is one row for each word of a document, counts of pairs, and the weights of features."""
     spark, out = docs.sparkSession, SparseIndex(docs.sparkSession, path)
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("len"), F.explode("t").alias("term"))
-    words = words.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term")))
-    _write(words, f"{path}/words", F.col("doc_id"))
-    stored = out.table("words")
-    _write(stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"{path}/terms")
-    lengths = stored.select("doc_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-
-    pairs = docs.select("doc_id", F.explode(F.filter(grams(F.col("text")), lambda g: F.contains(g, F.lit(" ")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    _write(pairs.withColumn("bucket", bucket(F.col("term"))), f"{path}/pairs", F.col("doc_id"))
-    by_term = out.table("terms").select("bucket", "term", "df", "cf").unionByName(out.table("pairs").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
-    total = lengths.first()
+    buckets = buckets or parts_for(docs)
+    docs.select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0).write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = out.table("tokens")
+    write_buckets(counted(tokens).withColumn("bucket", bucket(F.col("term"), buckets)), f"{path}/words", buckets, F.col("doc_id"))
+    write_buckets(out.table("words").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"{path}/terms", buckets)
+    total = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
+
+    # a pair is no more frequent than its words, so only words as frequent as the last word that could be a feature make pairs
+    last = out.table("terms").orderBy(F.desc("cf"), "term").limit(features).agg(F.min("cf"), F.count("*")).first()
+    least = last[0] if last[1] == features else 1
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    counts = tokens.select("doc_id", F.explode(pairs).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).where(F.col("cf") >= least)
+    chosen = out.table("terms").select("term", "cf").where(F.col("cf") >= least).unionByName(counts).orderBy(F.desc("cf"), "term").limit(features).select("term").collect()  # at most ``features`` rows
+    named = spark.createDataFrame([(r["term"],) for r in chosen], "term string")
+    # documents that have a feature: of words it is known, of pairs it is counted for the chosen ones alone
+    wanted = {r["term"]: 1.0 for r in chosen}
+    df = counted(tokens, wanted).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1 + F.lit(total["n"])) / (1 + F.col("df"))) + 1
-    chosen = by_term.orderBy(F.desc("cf"), "term").limit(features).select("bucket", "term", idf.alias("idf"))
-    chosen.coalesce(1).write.mode("overwrite").parquet(f"{path}/features")  # at most FEATURES rows
-    few = F.broadcast(out.table("features"))
-    raw = out.table("words").select("bucket", "term", "doc_id", "tf").unionByName(out.table("pairs").select("bucket", "term", "doc_id", "tf"))
-    weighted = raw.join(few, ["bucket", "term"]).select("bucket", "term", "doc_id", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    _write(weighted.join(norm, "doc_id").select("bucket", "term", "doc_id", (F.col("w") / F.col("dn")).alias("w")), f"{path}/weights", F.col("doc_id"))
-    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # the last: an index with it is whole
+    named.join(df, "term").select(bucket(F.col("term"), buckets).alias("bucket"), "term", idf.alias("idf")).coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+    weights = {r["term"]: r["idf"] for r in out.table("features").collect()}
+    write_buckets(counted(tokens, weights).withColumn("bucket", bucket(F.col("term"), buckets)), f"{path}/weights", buckets, F.col("doc_id"))
+    spark.createDataFrame([(total["n"], total["avgdl"], buckets)], "n bigint, avgdl double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # the last: an index with it is whole
     return out
 
 
+#: Indexes of this process by path, so that their totals are read once.
+OPEN: dict[str, SparseIndex] = {}
+
+
 def indexed(docs: DataFrame, features: int = FEATURES) -> SparseIndex:
-    """The stored index of ``docs``, built if there is none for what they say now."""
+    """The stored index of ``docs``, built if there is none for what they say now. Documents that don't come from files are
+    known by their contents, which takes a pass over them."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    own = corpus_fingerprint(docs).first()
-    path = f"{shared_dir(spark)}/corpusloom/index-{own['n']}-{own['sum'].replace('-', 'm')}-{features}"
+    name = manifest(docs)
+    if name is None:
+        own = corpus_fingerprint(docs).first()
+        name = f"{own['n']}-{own['sum'].replace('-', 'm')}"
+    path = f"{shared_dir(spark)}/corpusloom/index-{name}-{features}"
+    if path in OPEN and OPEN[path].spark is spark:
+        return OPEN[path]
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
-    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        return SparseIndex(spark, path)
-    return build(docs, path, features)
+    found = SparseIndex(spark, path) if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done) else build(docs, path, features)
+    OPEN[path] = found
+    return found

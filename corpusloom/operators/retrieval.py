@@ -71,8 +71,8 @@ def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id",
 
 def normalised(scored: DataFrame, score: str = "score") -> DataFrame:
     """Scores over the query's largest, 0 where that isn't positive."""
-    most = F.max(score).over(Window.partitionBy("query_id"))
-    return scored.withColumn(score, F.when(most > 0, F.col(score) / most).otherwise(0.0))
+    most = scored.groupBy("query_id").agg(F.max(score).alias("most"))
+    return scored.join(most, "query_id").withColumn(score, F.when(F.col("most") > 0, F.col(score) / F.col("most")).otherwise(0.0)).drop("most")
 
 
 #: Words of a query that ask for a kind of chunk, the column that tells it, its value and the bonus.
@@ -220,12 +220,17 @@ def rule_score(similarity: Column, query: Column, text: Column) -> Column:
 
 
 def rerank_head(fused: DataFrame, texts: DataFrame, queries: DataFrame, head: int = RERANK_HEAD) -> DataFrame:
-    """The first ``head`` by fused score in the order of the rules, then the rest with its fused score."""
-    first = top_k(fused, 1 << 30, "fused").withColumnRenamed("rank", "pre_rank")
-    joined = first.join(texts.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    score = F.when(F.col("pre_rank") <= head, rule_score(F.col("similarity"), F.col("query"), F.col("text"))).otherwise(F.col("fused"))
+    """The first ``head`` by fused score in the order of the rules, then the rest with its fused score.
+
+    Only the head has texts joined. ``fused`` holds a fan-out of candidates a query, so its order is over bounded rows.
+    """
+    placed = fused.withColumn("pre_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("fused", 9).desc(), "doc_id")))
+    first = placed.where(F.col("pre_rank") <= head).select("query_id", "doc_id", "similarity")
+    said = first.join(texts.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    rules = said.select("query_id", "doc_id", F.round(rule_score(F.col("similarity"), F.col("query"), F.col("text")), 6).alias("rule"))
+    j = placed.join(rules, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("rule", F.round("fused", 6))).drop("rule")
     w = Window.partitionBy("query_id").orderBy((F.col("pre_rank") > head).cast("int"), F.desc("score"), "doc_id")
-    return joined.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).drop("text", "query")
+    return j.withColumn("rank", F.row_number().over(w))
 
 
 def diversify(ranked: DataFrame, texts: DataFrame, k: int, section: str = "section", cap: int = 2) -> DataFrame:
@@ -248,9 +253,8 @@ def hyde_merge(primary: DataFrame, hyde: DataFrame) -> DataFrame:
 
 
 def min_max(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("query_id")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return scored.withColumn("score", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0))
+    ends = scored.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    return scored.join(ends, "query_id").withColumn("score", F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)).drop("low", "high")
 
 
 def weighted_merge(vector: DataFrame, keyword: DataFrame, vector_weight: float) -> DataFrame:
@@ -333,9 +337,9 @@ def retrieve_and_rerank(scored: DataFrame, texts: DataFrame, queries: DataFrame,
 
 def token_overlap(index, queries: DataFrame) -> DataFrame:
     """Share of a query's distinct tokens that a document has, by the index."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    terms = index.asked(queries, F.array_distinct(T.tokens(F.col("query"))))
     size = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-    found = index.table("words").select("term", "doc_id").join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    found = index.table("words").select("bucket", "term", "doc_id").join(terms, ["bucket", "term"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
     return found.join(size, "query_id").select("query_id", "doc_id", (F.col("n") / F.col("asked")).alias("score"))
 
 

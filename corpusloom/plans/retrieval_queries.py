@@ -219,8 +219,8 @@ def r06(spark, sf):
   g as (select query_id, section, count(distinct term) as keywords, count(distinct doc_id) as docs, round(avg(score), 6) as mean, round(max(score), 6) as best from h group by all),
   r as (select *, case when keywords >= 2 then 'several keywords' when mean > 0.7 then 'high mean' when best > 0.85 then 'high best' end as reason from g) select * from r where reason is not null""")
 def r22(spark, sf):
-    words = I.indexed(load(spark, sf, "documents")).table("words")
-    hits = words.join(R.query_terms(asked(spark)), "term").join(load(spark, sf, "documents").select("doc_id", F.col("source").alias("section")), "doc_id")
+    index = I.indexed(load(spark, sf, "documents"))
+    hits = index.table("words").join(index.asked(asked(spark), T.tokens(F.col("query"))), ["bucket", "term"]).join(load(spark, sf, "documents").select("doc_id", F.col("source").alias("section")), "doc_id")
     return R.compare_sections(hits.select("query_id", "section", F.col("term").alias("keyword"), "doc_id", (F.col("tf") / (F.col("tf") + 1)).alias("score")))
 
 
