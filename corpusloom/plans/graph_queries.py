@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, similar
+from corpusloom.operators import agent, communities, segments, similar
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
+from corpusloom.plans.retrieval_queries import BM25, asked
 from corpusloom.registry import REGISTRY
-from corpusloom.session import load
+from corpusloom.session import load, shared_dir
 
 add = REGISTRY.add
 
@@ -79,3 +82,17 @@ def q13c(spark, sf):
   select client_id, any_value(n) as n, round(avg(value), 6) as mean, round(min(value), 6) as low, round(max(value), 6) as high, round(max(value) filter (rn = least(floor(n * 0.5::double), n - 1) + 1), 6) as p50, round(max(value) filter (rn = least(floor(n * 0.95::double), n - 1) + 1), 6) as p95, round(max(value) filter (rn = least(floor(n * 0.99::double), n - 1) + 1), 6) as p99 from r group by client_id""")
 def a08b(spark, sf):
     return M.percentile_stats(load(spark, sf, "clicks"), ["client_id"], "value")
+
+
+LIVE = """live as (select doc_id, case when quality = 0 then text || ' et erth of' else text end as text from documents left join (select doc_id as l, any_value(quality) as quality, max(toxic) as toxic from labels group by doc_id) on l = doc_id where coalesce(toxic, 0) = 0)"""
+
+
+@add("st5_segments", f"with {BM25.replace('from documents', 'from live').replace('as (values', 'as (values', 1)}".replace("with queries", f"with {LIVE}, queries", 1) + " select query_id, doc_id, round(score, 6) as score from bm")
+def st5(spark, sf):
+    """All documents, then a change of those labelled bad and a deletion of those labelled toxic; searched after that."""
+    index = segments.SegmentedIndex(spark, f"{shared_dir(spark)}/corpusloom/segments-{uuid.uuid4().hex}")
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    labels = load(spark, sf, "labels").groupBy("doc_id").agg(F.any_value("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    index.apply(docs)
+    index.apply(docs.join(labels.where("quality = 0 or toxic = 1"), "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.concat("text", F.lit(" et erth of"))).otherwise(F.col("text")).alias("text"), (F.col("toxic") == 1).alias("deleted")))
+    return index.bm25(asked(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
