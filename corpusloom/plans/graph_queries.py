@@ -14,6 +14,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.plans.retrieval_queries import BM25, asked
 from corpusloom.registry import REGISTRY
 from corpusloom.session import load, shared_dir
+from corpusloom.streaming import state
 
 add = REGISTRY.add
 
@@ -96,3 +97,9 @@ def st5(spark, sf):
     index.apply(docs)
     index.apply(docs.join(labels.where("quality = 0 or toxic = 1"), "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.concat("text", F.lit(" et erth of"))).otherwise(F.col("text")).alias("text"), (F.col("toxic") == 1).alias("deleted")))
     return index.bm25(asked(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@add("st3_last_values", """with r as (select client_id as key, ts, value from clicks where ts is not null and value is not null), n as (select key, max(ts) as newest from r group by key), a as (select * from n where newest > (select max(newest) from n) - interval 7 day),
+  l as (select r.*, row_number() over (partition by r.key order by ts desc, value desc) as back from r join a on r.key is not distinct from a.key where ts > newest - interval 7 day) select key, count(*) as n, round(sum(value), 6) as total from l where back <= 10 group by key""")
+def st3(spark, sf):
+    return state.last_values_of(load(spark, sf, "clicks"), "client_id", 10, 7 * 86_400)
