@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, segments, similar
+from corpusloom.operators import agent, communities, dispatch, segments, similar
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
@@ -103,3 +103,29 @@ def st5(spark, sf):
   l as (select r.*, row_number() over (partition by r.key order by ts desc, value desc) as back from r join a on r.key is not distinct from a.key where ts > newest - interval 7 day) select key, count(*) as n, round(sum(value), 6) as total from l where back <= 10 group by key""")
 def st3(spark, sf):
     return state.last_values_of(load(spark, sf, "clicks"), "client_id", 10, 7 * 86_400)
+
+
+def school(spark, sf):
+    """A graph of vendors as courses, items as concepts and nations as requirements: (nodes, edges, communities)."""
+    vendors, items, nation = load(spark, sf, "vendors"), load(spark, sf, "items"), load(spark, sf, "nation")
+    big = lambda c: F.col(c).cast("bigint")
+    nodes = vendors.groupBy("vendor_id").agg(F.min("name").alias("name")).where("vendor_id is not null").select(big("vendor_id").alias("id"), F.lit("course").alias("type"), "name", F.concat(F.lit("V"), F.col("vendor_id").cast("string")).alias("code"), (F.col("vendor_id") % 8 + 1).cast("int").alias("semester"))
+    nodes = nodes.unionByName(items.groupBy("item_id").agg(F.min("name").alias("name")).select((big("item_id") + 10_000_000).alias("id"), F.lit("concept").alias("type"), "name", F.lit("").alias("code"), F.lit(None).cast("int").alias("semester")))
+    nodes = nodes.unionByName(nation.select((big("n_nationkey") + 20_000_000).alias("id"), F.lit("requirement").alias("type"), F.col("n_name").alias("name"), F.lit("").alias("code"), F.lit(None).cast("int").alias("semester")))
+    lines = load(spark, sf, "sale_lines").where("vendor_id is not null and item_id is not null and quantity > 40").select(big("vendor_id").alias("src"), (big("item_id") + 10_000_000).alias("dst"), F.lit("teaches").alias("type")).distinct()
+    supports = vendors.where("nation_id is not null and vendor_id is not null").select(big("vendor_id").alias("src"), (big("nation_id") + 20_000_000).alias("dst"), F.lit("supports").alias("type")).distinct()
+    ids = vendors.where("vendor_id is not null").select(big("vendor_id").alias("src")).distinct()
+    chain = ids.where("src % 4 < 3").select("src", (F.col("src") + 1).alias("dst"))
+    edges = lines.unionByName(supports).unionByName(chain.withColumn("type", F.lit("prerequisite"))).unionByName(chain.withColumn("type", F.lit("leads_to")))
+    return nodes, edges, nodes.select("id", (F.col("id") % 7).alias("community"))
+
+
+@add("g13_dispatched")
+def g13_all(spark, sf):
+    """Questions about the names of all nations, each with a vendor's, one for each strategy."""
+    nodes, edges, groups = school(spark, sf)
+    vendor = nodes.where("type = 'course'").select(F.col("id").alias("v"), F.col("name").alias("vendor"))
+    names = load(spark, sf, "nation").join(vendor, F.col("v") == F.col("n_nationkey"), "left").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"), F.coalesce("vendor", "n_name").alias("vendor"))
+    ways = F.array(F.lit("先修 "), F.lit("覆盖度 "), F.lit("概述 "), F.lit("what of "))
+    queries = names.select(F.posexplode(ways).alias("w", "way"), "n", "name", "vendor").select((F.col("n") * 4 + F.col("w")).alias("query_id"), F.concat("way", "name").alias("query"), F.array("name", "vendor").alias("keywords"))
+    return dispatch.dispatched(queries, nodes, edges, groups)
