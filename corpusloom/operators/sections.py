@@ -132,24 +132,11 @@ def fixed_windows(docs: DataFrame, size: int = 680, overlap: int = 120) -> DataF
 
 
 def pack_sentences(sentences: list[str], size: int, least: int, overlap: int) -> list[str]:
-    """K7, K8: sentences packed to ``size`` characters, at least ``least``, the next chunk starting ``overlap`` back."""
-    out, at = [], 0
-    while at < len(sentences):
-        start, length = at, 0
-        while at < len(sentences) and (at == start or length + len(sentences[at]) <= size or length < least):
-            length += len(sentences[at])
-            at += 1
-        tail = sum(map(len, sentences[at:])) if len(sentences) - at < least else least
-        if 0 < tail < least:
-            at = len(sentences)
-        out.append("".join(sentences[start:at]).strip())
-        if at >= len(sentences):
-            break
-        back = at
-        while back > start + 1 and sum(map(len, sentences[back - 1 : at])) <= overlap:
-            back -= 1
-        at = back
-    return [x for x in out if x]
+    """K7: sentences packed to ``size`` characters, at least ``least``. The next chunk starts as many sentences back as make up
+    ``overlap`` characters, but after the first sentence of this one."""
+    from corpusloom.operators.paging import pack
+
+    return pack(sentences, size, least, overlap)
 
 
 def chunk_documents(docs: DataFrame, size: int = 680, least: int = 180, overlap: int = 120) -> DataFrame:

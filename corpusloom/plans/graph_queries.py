@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, dispatch, segments, similar
+from corpusloom.operators import agent, communities, dispatch, paging, segments, similar
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
 from corpusloom.plans.retrieval_queries import BM25, asked
 from corpusloom.registry import REGISTRY
 from corpusloom.session import load, shared_dir
+from corpusloom.sources import readers
 from corpusloom.streaming import state
 
 add = REGISTRY.add
@@ -129,3 +130,13 @@ def g13_all(spark, sf):
     ways = F.array(F.lit("先修 "), F.lit("覆盖度 "), F.lit("概述 "), F.lit("what of "))
     queries = names.select(F.posexplode(ways).alias("w", "way"), "n", "name", "vendor").select((F.col("n") * 4 + F.col("w")).alias("query_id"), F.concat("way", "name").alias("query"), F.array("name", "vendor").alias("keywords"))
     return dispatch.dispatched(queries, nodes, edges, groups)
+
+
+@add("k09_page_chunks")
+def k09_pages(spark, sf):
+    """Whole documents as lines on pages of 45; short lines with a capital are headings."""
+    docs = load(spark, sf, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    paged = readers.synthetic_pages(lines, "doc_id", "pos")
+    level = F.when(F.col("line").rlike(r"^[A-ZÄÖÜÉÈ][^.!?;]{0,39}$"), 1 + F.length("line") % 3)
+    return paging.chunk_pages(paged, docs.select("doc_id", F.col("source").alias("title")), script="latin", heading=level, hints=[])
