@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, dispatch, paging, segments, similar
+from corpusloom.operators import agent, communities, dispatch, paging, presentation, segments, similar
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
@@ -140,3 +140,45 @@ def k09_pages(spark, sf):
     paged = readers.synthetic_pages(lines, "doc_id", "pos")
     level = F.when(F.col("line").rlike(r"^[A-ZÄÖÜÉÈ][^.!?;]{0,39}$"), 1 + F.length("line") % 3)
     return paging.chunk_pages(paged, docs.select("doc_id", F.col("source").alias("title")), script="latin", heading=level, hints=[])
+
+
+@add("x12_split_durations", """with t as (select conv_id as run_id, max(turn) + 1.5 as seconds from conversations group by conv_id), s as (select conv_id as run_id, turn as ord, role as name from conversations), n as (select run_id, count(*) as n from s group by run_id)
+  select s.run_id, ord, name, round(seconds * 1000 / n, 6) as milliseconds from s join t using (run_id) join n using (run_id) where n >= 4 union all select run_id, 1, '默认推理', round(seconds * 1000, 6) from t join n using (run_id) where n < 4""")
+def x12_durations(spark, sf):
+    turns = load(spark, sf, "conversations")
+    steps = turns.select(F.col("conv_id").alias("run_id"), F.col("turn").cast("int").alias("ord"), F.col("role").alias("name"))
+    totals = turns.groupBy(F.col("conv_id").alias("run_id")).agg((F.max("turn") + 1.5).alias("seconds"))
+    return presentation.split_durations(steps, totals).withColumn("milliseconds", F.round("milliseconds", 6))
+
+
+@add("t11_display_blocks")
+def t11_blocks(spark, sf):
+    """Whole documents as display blocks, for the first words of each, and as a source's excerpt."""
+    docs = load(spark, sf, "documents")
+    text, words = F.col("text"), T.first_keywords(F.col("text"), 3)
+    return docs.select("doc_id", presentation.display(text, script="latin", hints=[]).alias("shown"), presentation.query_display(text, words, script="latin", hints=[]).alias("for_query"), presentation.source_excerpt(text, script="latin", hints=[]).alias("excerpt"), presentation.answer_markdown(T.key_sentences(text, 3), "latin", []).alias("bullets"))
+
+
+@add("a15_decision_trees")
+def a15_trees(spark, sf):
+    return presentation.decision_trees(r28_loop(spark, sf))
+
+
+@add("r23_cross_pipeline")
+def r23_cross(spark, sf):
+    """The whole items of the benchmark, searched by their keywords."""
+    index = I.indexed(load(spark, sf, "documents"))
+    queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    texts = load(spark, sf, "documents").select("doc_id", F.col("source").alias("section"))
+    docs, summary = presentation.cross_pipeline(queries, lambda asked_: R.top_k(index.bm25(asked_), 5), texts)
+    listed = docs.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc_id", "keyword"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["keyword"].alias("keyword"))).alias("documents"))
+    return summary.join(listed, "query_id", "left").withColumn("documents", F.to_json("documents"))
+
+
+@add("x13_answers")
+def x13(spark, sf):
+    """The whole items of the benchmark as questions of the first pipeline."""
+    index = I.indexed(load(spark, sf, "documents"))
+    queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    texts = load(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section"))
+    return presentation.answers(queries, lambda asked_: R.top_k(index.tfidf(asked_), 30), texts, "agent")
