@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, dispatch, paging, presentation, segments, similar
+from corpusloom.operators import agent, communities, dispatch, paging, presentation, segments, similar, understanding
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
-from corpusloom.plans.retrieval_queries import BM25, asked
+from corpusloom.plans.retrieval_queries import BM25, FUSED, TFIDF, Q, asked
 from corpusloom.registry import REGISTRY
 from corpusloom.session import load, shared_dir
 from corpusloom.sources import readers
@@ -182,3 +182,35 @@ def x13(spark, sf):
     queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     texts = load(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("section"))
     return presentation.answers(queries, lambda asked_: R.top_k(index.tfidf(asked_), 30), texts, "agent")
+
+
+#: Whole items of the benchmark as queries, hundreds at once.
+ITEMS = "queries as (select item_id as query_id, text as query from benchmark)"
+
+
+def items(spark, sf):
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@add("r02_items_bm25", f"with {BM25.replace(Q, ITEMS)} select query_id, rank, doc_id, round(score, 6) as score from bmr where rank <= 10")
+def r02_items(spark, sf):
+    return R.top_k(I.indexed(load(spark, sf, "documents")).bm25(items(spark, sf)), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@add("r01_items_tfidf", f"with {(BM25 + TFIDF).replace(Q, ITEMS)} select query_id, rank, doc_id, round(score, 6) as score from tir where rank <= 10")
+def r01_items(spark, sf):
+    return R.top_k(I.indexed(load(spark, sf, "documents")).tfidf(items(spark, sf)), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@add("r10_items_rrf", f"with {FUSED.replace(Q, ITEMS)}, r as (select *, row_number() over (partition by query_id order by round(fused, 9) desc, doc_id) as rank from f2) select query_id, rank, doc_id, round(fused, 6) as fused, channels from r where rank <= 10")
+def r10_items(spark, sf):
+    index = I.indexed(load(spark, sf, "documents"))
+    both = R.channel(R.top_k(index.bm25(items(spark, sf)), 30), "keyword").unionByName(R.channel(R.top_k(index.tfidf(items(spark, sf)), 30), "vector", 1))
+    return R.top_k(R.fuse(both, {"vector": 0.6, "keyword": 0.4}), 10, "fused").select("query_id", "rank", "doc_id", F.round("fused", 6).alias("fused"), "channels")
+
+
+@add("q11_perspectives", """with r(perspective, kw) as (values ('ends', ['ing', 'tion']), ('articles', ['the', 'der', 'les']), ('none', ['qqqq'])), h as (select item_id as query_id, perspective, len(list_filter(kw, lambda k: contains(text, k))) as hits from benchmark cross join r), m as (select query_id, max(hits) as most from h group by query_id)
+  select query_id, perspective, hits from h join m using (query_id) where hits > 0 or most = 0""")
+def q11(spark, sf):
+    rules = spark.createDataFrame([("ends", ["ing", "tion"]), ("articles", ["the", "der", "les"]), ("none", ["qqqq"])], "perspective string, keywords array<string>")
+    return understanding.perspectives(items(spark, sf), rules)

@@ -108,3 +108,16 @@ def test_queries_over_whole_tables(spark):
     assert all(re.fullmatch(r"(- [^\n]+[。！？]\n?)*", r["bullets"]) for r in blocks)
     items = spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert REGISTRY.queries["x13_answers"](spark, SF).count() == REGISTRY.queries["r23_cross_pipeline"](spark, SF).count() == items
+
+
+def test_cross_encoder_scores_in_batches(spark):
+    """Any scorer of pairs, in batches of the size asked for, its order of rows kept."""
+
+    def score(pairs):
+        assert len(pairs) <= 3
+        return [float(len(q) * 100 + len(t)) for q, t in pairs]
+
+    rows = [(i, i * 10, "q" * (i % 4), "t" * i) for i in range(10)]
+    df = spark.createDataFrame(rows, "query_id int, doc_id bigint, query string, text string")
+    assert sorted(map(tuple, R.cross_encode(df, score, batch=3).collect())) == [(i, d, float(len(q) * 100 + len(t))) for i, d, q, t in rows]
+    assert R.cross_encode(df.where("false"), score).collect() == []
