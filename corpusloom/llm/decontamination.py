@@ -28,7 +28,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of test items that go to the executors at once.
 BLOCK_BYTES = 8 << 20
 #: One seed of so many words of an item must be matched, close together. Hits of seeds that are held at once, about.
-SEEDS_EACH, HITS = 6, 1_000_000
+SEEDS_EACH, HITS = 6, 300_000
 
 
 class Items:

@@ -27,7 +27,7 @@ from corpusloom.llm.common import lean, slices, stored, tidy
 from corpusloom.llm.token_ids import byte_ids
 
 #: Bytes of text in a block, or one longer document; links of a group that are listed by themselves rather than by distinct ids.
-BLOCK, FEW = 4 << 20, 256
+BLOCK, FEW = 2 << 20, 256
 #: Labels: bit 1 where a token of A ends, bit 2 where one of B does.
 SPANS = re.compile(rb"[^\x03]*\x03").findall
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
