@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, dispatch, paging, presentation, segments, similar, understanding
+from corpusloom.operators import agent, communities, dispatch, impact, paging, presentation, segments, similar, understanding
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
@@ -214,3 +214,9 @@ def r10_items(spark, sf):
 def q11(spark, sf):
     rules = spark.createDataFrame([("ends", ["ing", "tion"]), ("articles", ["the", "der", "les"]), ("none", ["qqqq"])], "perspective string, keywords array<string>")
     return understanding.perspectives(items(spark, sf), rules)
+
+
+@add("r02_impact_blocks", f"with {BM25.replace(Q, ITEMS)} select query_id, rank, doc_id, round(score, 6) as score from bmr where rank <= 10")
+def r02_impact(spark, sf):
+    """As r02_items_bm25, by blocks of impact."""
+    return impact.bm25_top(I.indexed(load(spark, sf, "documents")), items(spark, sf), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
