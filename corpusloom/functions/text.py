@@ -210,6 +210,13 @@ def labelled(c: Column, labels: list[str]) -> Column:
     return (F.length(line) >= 28) & (hits >= 2)
 
 
+def fragments(c: Column, labels: list[str], least: int = 12) -> Column:
+    """Sentences with their terminators, those that are labelled rows split before their labels; what is shorter than ``least``
+    is dropped. White space is collapsed."""
+    parts = F.flatten(F.transform(sentences(c, 1), lambda s: split_labelled(s, labels)))
+    return F.filter(parts, lambda x: F.length(x) >= least)
+
+
 def truncate_at_boundary(c: Column, limit: int, marks: list[str] | None = None, least: float = 0.55) -> Column:
     """Cut to ``limit`` characters after the last of the first mark that lies beyond ``least`` of it."""
     head = F.substring(c, 1, limit)

@@ -141,6 +141,16 @@ def query_class(query: Column, history: Column | None = None) -> Column:
     return F.struct(first_class(F.lower(query), QUERY_TYPES, "complex").alias("type"), first_class(query, QUESTION_FORMS, "general").alias("form"), complexity.alias("complexity"), context.alias("requires_context"))
 
 
+#: What a question can name, in the order in which it is listed.
+ENTITIES = ["国家奖学金", "励志奖学金", "优秀学生奖学金", "助学金", "补考", "重修", "期末考试", "期中考试", "警告", "严重警告", "记过", "留校察看", "开除学籍"]
+
+
+def entities(query: Column, names: list[str] | None = None) -> Column:
+    """Q8: the names that a question holds, in their own order; an empty array for a null question."""
+    own = F.array(*map(F.lit, ENTITIES if names is None else names))
+    return F.filter(own, lambda x: F.coalesce(F.contains(query, x), F.lit(False)))
+
+
 #: Greetings, and the length up to which a question is too short for a hypothetical answer.
 GREETINGS = ["你好", "您好", "在吗", "谢谢", "hello", "hi", "帮助", "是谁"]
 SHORT_QUERY, HYDE_CHARS = 6, 500

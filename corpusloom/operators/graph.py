@@ -172,7 +172,7 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def find_nodes(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id): nodes whose name holds the query's term or is held by it, the first ``limit`` in node order.
     Terms and names shorter than two characters match nothing. The terms asked are a bounded set."""
-    q = F.broadcast(queries.where(F.length("term") >= 2))
+    q = queries.where(F.length("term") >= 2)
     hit = nodes.where(F.length("name") >= 2).crossJoin(q).where(F.contains(F.lower("name"), F.lower("term")) | F.contains(F.lower("term"), F.lower("name")))
     w = Window.partitionBy("query_id").orderBy("id")
     return hit.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("query_id", "id", "rn")
@@ -230,17 +230,19 @@ def routed(queries: DataFrame, scores: Column | None = None) -> DataFrame:
 
 def community_summaries(nodes: DataFrame, communities: DataFrame, most: int = 10) -> DataFrame:
     """(community, size, summary): the names of the first ``most`` members of each community by id. ``communities`` has (id,
-    community), as ``components`` gives them or any other partition."""
+    community), as ``components`` and ``louvain`` give them or any other partition. Sizes are counted apart, so only the first rows of a
+    community are ordered."""
     w = Window.partitionBy("community").orderBy("id")
-    head = communities.join(nodes.select("id", "name"), "id").withColumn("rn", F.row_number().over(w))
-    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= most, F.struct("id", "name")))), lambda x: x["name"])
-    return head.groupBy("community").agg(F.count("*").alias("size"), F.array_join(first, "、").alias("summary"))
+    named = communities.join(nodes.select("id", "name"), "id")
+    head = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    first = head.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]), "、").alias("summary"))
+    return named.groupBy("community").agg(F.count("*").alias("size")).join(first, "community")
 
 
 def search_communities(queries: DataFrame, summaries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, community, score, rank): communities whose summary holds keywords of a query (query_id, keywords): .70 and
     .1 for each, at most .95; the best ``k``. The queries asked are a bounded set."""
-    j = summaries.crossJoin(F.broadcast(queries)).withColumn("hits", F.size(F.filter("keywords", lambda w: F.contains(F.lower("summary"), F.lower(w))))).where("hits > 0")
+    j = summaries.crossJoin(queries).withColumn("hits", F.size(F.filter("keywords", lambda w: F.contains(F.lower("summary"), F.lower(w))))).where("hits > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), F.desc("size"), "community")
     scored = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return scored.select("query_id", "community", F.round(F.least(F.lit(0.95), 0.70 + 0.1 * F.col("hits")), 6).alias("score"), "rank")

@@ -38,7 +38,7 @@ def evict(entries: DataFrame, capacity: int) -> DataFrame:
     counts = entries.groupBy("hit_count").agg(F.count("*").alias("n"))
     over = Window.orderBy(F.desc("hit_count")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each hit count
     room = counts.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).select("hit_count", "before")
-    placed = entries.join(F.broadcast(room), "hit_count").where(F.col("before") < capacity).withColumn("place", F.col("before") + F.row_number().over(w))
+    placed = entries.join(room, "hit_count").where(F.col("before") < capacity).withColumn("place", F.col("before") + F.row_number().over(w))
     return placed.where(F.col("place") <= capacity)
 
 
@@ -209,8 +209,8 @@ def candidate_key(query: Column, k: int, vector: bool | None, keyword: bool | No
 
 
 def enriched(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Rows with what a small dimension says of their key; the dimension is bounded, as it is written by hand."""
-    return rows.join(F.broadcast(facts), key, "left")
+    """Rows with what a small dimension says of their key; Spark broadcasts the dimension if it is small."""
+    return rows.join(facts, key, "left")
 
 
 def statistics(events: DataFrame, until: Column, ranges: dict[str, int | None]) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, dispatch, impact, paging, presentation, segments, similar, understanding
+from corpusloom.operators import agent, assembly, communities, dispatch, impact, paging, presentation, segments, similar, understanding
 from corpusloom.operators import index as I
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
@@ -220,3 +220,18 @@ def q11(spark, sf):
 def r02_impact(spark, sf):
     """As r02_items_bm25, by blocks of impact."""
     return impact.bm25_top(I.indexed(load(spark, sf, "documents")), items(spark, sf), 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@add("q08_entities", "select item_id, array_to_string(list_filter(['erth', 'onhe', 'tion', 'zzzz'], lambda w: contains(text, w)), ',') as entities from benchmark")
+def q08_entities(spark, sf):
+    return load(spark, sf, "benchmark").select("item_id", F.array_join(assembly.entities(F.col("text"), ["erth", "onhe", "tion", "zzzz"]), ",").alias("entities"))
+
+
+@add("t07_t08_fragments", r"""with s as (select doc_id, pos, trim(regexp_replace(s, '\s+', ' ', 'g'), ' ') as line from (select doc_id, unnest(l) as s, unnest(range(len(l))) as pos from (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;\n]+[。！？；.!?;]?'), lambda x: trim(x, ' ')), lambda x: length(x) >= 1) as l from documents))),
+  x as (select doc_id, pos, line, length(line) >= 28 and contains(line, 'the') and contains(line, 'of') as rows, list_filter(list_transform(string_split(regexp_replace(line, '(the|of)(\s*[：:]|\s+)', chr(1) || '\1\2', 'g'), chr(1)), lambda y: regexp_replace(y, '^[ ，、；：,.]+|[ ，、；：,.]+$', '', 'g')), lambda y: y <> '') as x from s),
+  j as (select *, array_to_string(list_transform(x, lambda y: case when length(replace(y, ' ', '')) < 8 then ' ' || y else chr(1) || y end), '') as j from x),
+  f as (select *, list_filter(string_split(regexp_replace(j, '^[^' || chr(1) || ']*', ''), chr(1)), lambda y: y <> '') as f from j), p as (select doc_id, pos, unnest(case when not rows or len(f) = 0 then [line] else f end) as p from f)
+  select doc_id, count(*) as n, sum(length(p)) as chars from p where length(p) >= 12 group by doc_id""")
+def t07_t08(spark, sf):
+    f = load(spark, sf, "documents").select("doc_id", F.explode(T.fragments(F.col("text"), ["the", "of"])).alias("p"))
+    return f.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("chars"))

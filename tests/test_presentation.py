@@ -121,3 +121,14 @@ def test_cross_encoder_scores_in_batches(spark):
     df = spark.createDataFrame(rows, "query_id int, doc_id bigint, query string, text string")
     assert sorted(map(tuple, R.cross_encode(df, score, batch=3).collect())) == [(i, d, float(len(q) * 100 + len(t))) for i, d, q, t in rows]
     assert R.cross_encode(df.where("false"), score).collect() == []
+
+
+def test_entities_and_fragments(spark):
+    from corpusloom.functions import text as T
+    from corpusloom.operators import assembly
+
+    df = spark.createDataFrame([(1, "严重警告后还能评国家奖学金吗，补考呢"), (2, "hello"), (3, None)], "id int, q string")
+    assert {r["id"]: list(r["e"]) for r in df.select("id", assembly.entities(F.col("q")).alias("e")).collect()} == {1: ["国家奖学金", "补考", "警告", "严重警告"], 2: [], 3: []}
+    rows = spark.createDataFrame([("课程代码：C1001 课程名称：算法设计与分析 学分 3 授课对象：计算机专业二年级。后面是一个普通的句子没有标签。短。",), (None,)], "t string")
+    got = [r["f"] for r in rows.select(T.fragments(F.col("t"), ["课程代码", "课程名称", "学分", "授课对象"], 6).alias("f")).collect()]
+    assert got[0] == ["课程代码：C1001", "课程名称：算法设计与分析 学分 3", "授课对象：计算机专业二年级。", "后面是一个普通的句子没有标签。"] and not got[1]
