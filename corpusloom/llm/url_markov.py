@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, stored
 
-ORDER = 4
+#: Characters of a context, and of a piece of a line.
+ORDER, PIECE = 4, 256
 #: A character that no model has seen is one of so many.
 ALPHABET = 256.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,9 +57,16 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def grams(lines: DataFrame, *keep: str) -> DataFrame:
-    """A row for each character of ``line`` and its end: the context of at most ORDER characters, and the character."""
+    """A row for each character of ``line`` and its end: the context of at most ORDER characters, and the character.
+
+    A line is cut to pieces first, each with the last characters of the one before, so a row never carries a whole long line.
+    """
     whole = F.concat(F.lit(START), "line", F.lit(END))
-    at = lines.select(*keep, whole.alias("w"), F.explode(F.sequence(F.lit(2), F.length("line") + 2)).alias("i"))
+    cut = lines.select(*keep, F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("parts"))
+    before = F.transform("parts", lambda x, j: F.when(j > 0, F.right(F.get("parts", j - 1), F.lit(ORDER))).otherwise(""))
+    piece = cut.select(*keep, F.posexplode(F.arrays_zip(before.alias("before"), F.col("parts").alias("part"))).alias("j", "p"))
+    piece = piece.select(*keep, F.concat("p.before", "p.part").alias("w"), F.when(F.col("j") > 0, F.length("p.before") + 1).otherwise(2).alias("first"))
+    at = piece.where(F.length("w") >= F.col("first")).select(*keep, "w", F.explode(F.sequence("first", F.length("w"))).alias("i"))
     start = F.greatest(F.lit(1), F.col("i") - ORDER)
     return at.select(*keep, F.substring("w", start, F.col("i") - start).alias("ctx"), F.substring("w", F.col("i"), F.lit(1)).alias("c"))
 
@@ -101,14 +109,16 @@ def log_ratios(train: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def scores(lines: DataFrame, train: DataFrame) -> DataFrame:
-    """``lines`` (host, path, ruled, n, line) with the score that models of the URLs in ``train`` give them."""
+    """``lines`` (id, host, path, ruled, n, line) with the score that models of the URLs in ``train`` give them. Only ids go along with
+    the n-grams."""
     weight = [F.when(F.col("ruled") == v, F.col("n")).otherwise(0.0).alias(x) for v, x in (("allow", "a"), ("block", "b"))]
     counts = grams(train.select("line", *weight), "a", "b").groupBy("ctx", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    places = grams(lines, "host", "path", "ruled", "n")
+    places = grams(lines, "id")
     table = log_ratios(counts, places.select("ctx", "c").distinct())
     few = table.count() <= FEW
     each = places.join(F.broadcast(table) if few else table.hint("merge"), ["ctx", "c"])
-    out = stored(each.groupBy("host", "path", "ruled", "n").agg(F.round(F.sum("llr") / F.count("*"), 6).alias("score")), "scores")
+    sums = each.groupBy("id").agg(F.round(F.sum("llr") / F.count("*"), 6).alias("score"))
+    out = stored(lines.select("id", "host", "path", "ruled", "n").join(sums, "id").drop("id"), "scores")
     discard(table)
     return out
 
@@ -144,7 +154,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("ruled", verdict)
     lines = base.groupBy("host", "path", "ruled").agg(F.count("*").cast("double").alias("n")).withColumn("line", F.concat("host", "path"))
-    lines = stored(lines.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0), "urls")
+    lines = stored(lines.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0).withColumn("id", F.monotonically_increasing_id()), "urls")
     ruled = lines.where("ruled is not null")
     cut = calibrate(scores(ruled.where("held"), ruled.where("not held")).select("score", "n", F.col("ruled").alias("verdict")))
     scored = scores(lines.where("ruled is null"), ruled)
