@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
+from corpusloom.session import forget
 from corpusloom.session import written as cut
 
 #: Gains below this are rounding.
@@ -70,21 +71,24 @@ def _climb(links: DataFrame, start: DataFrame, two_m: float, resolution: float,
     found, labels = None, start.join(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "id").select("id", "community", "k")
     for _ in range(levels):
         still, any_ = 0, False
-        labels = cut(labels)
+        labels = last = cut(labels)
         for _ in range(rounds):
             moved = cut(_moved(links, labels, two_m, resolution, turn, parts))
-            turn, labels = turn + 1, moved.drop("moved")
+            forget(last)
+            turn, labels, last = turn + 1, moved.drop("moved"), moved
             changed = moved.where("moved").limit(1).count()
             still, any_ = 0 if changed else still + 1, any_ or bool(changed)
             if still == parts:
                 break
         to = labels.select(F.col("id").alias("community"), F.col("community").alias("up"))
-        first = found is None
+        first, older = found is None, found
         found = cut(labels.select("id", "community") if first else found.join(to, "community").select("id", F.col("up").alias("community")))
+        forget(older)
         if not any_ and not first:
             break
         a, b = (to.select(F.col("community").alias(end), F.col("up").alias(f"{end}_up")) for end in ("src", "dst"))
         links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).agg(F.sum("w").alias("w")))
+        forget(last)
         labels = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("community"), "k")
     return found
 

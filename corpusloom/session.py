@@ -52,4 +52,15 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
