@@ -154,16 +154,16 @@ def grade_responses(turns: DataFrame, refusals: list[str] | None = None, failure
     return s.select("conv_id", "turn", "score", grade.alias("grade"))
 
 
-def expand(queries: DataFrame, words: DataFrame, least: float = 0.85) -> DataFrame:
+def expand(queries: DataFrame, words: DataFrame, least: float = 0.85, in_bytes: bool = False) -> DataFrame:
     """Q13: (query_id, term): each query's tokens and the words of the vocabulary that are like one of them, each once."""
     tokens = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
-    like = similar_words(tokens, words, least)
+    like = similar_words(tokens, words, least, in_bytes)
     return tokens.union(tokens.join(like.select(F.col("token").alias("term"), "variant"), "term").select("query_id", F.col("variant").alias("term"))).distinct()
 
 
-def fuzzy_pairs(words: DataFrame, least: float) -> DataFrame:
+def fuzzy_pairs(words: DataFrame, least: float, in_bytes: bool = False) -> DataFrame:
     """Q13: (token, variant): distinct words whose similarity reaches ``least``, in both orders."""
-    return similar_words(words, words, least).where("token <> variant")
+    return similar_words(words, words, least, in_bytes).where("token <> variant")
 
 
 def best_so_far(steps: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Edit-distance and cosine joins and exact percentiles against all pairs and whole sorts."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import evaluation as E
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import similar
 
@@ -40,6 +42,13 @@ def test_similar_words_are_those_of_all_pairs(spark, least):
     assert similar.similar_words(frame(left).where("false"), frame(right), least).collect() == []
 
 
+def test_words_that_begin_alike_do_not_all_meet(spark):
+    names = spark.range(10_000).select(F.format_string("supplier#%09d", "id").alias("term"))
+    began = time.time()
+    assert E.fuzzy_pairs(names, 0.9).count() == 10_000 * 4 * 9  # one of four digits is another
+    assert time.time() - began < 60  # half of each name is the same, so all pairs of them met
+
+
 def test_no_nested_loop_in_the_plans(spark):
     words = spark.createDataFrame([("abc",)], "term string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, vector array<double>")
@@ -96,8 +105,7 @@ def test_cache_by_threshold(spark):
 def test_corpus_variants(spark):
     import re
 
-    from corpusloom.plans import REGISTRY
-
+    
     words = lambda t: {w for r in spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select("text").collect() for w in re.findall(r"[^\W_]+", (r[0] or "").lower())}
     near = lambda a, b: abs(len(a) - len(b)) <= 0.15 * max(len(a), len(b)) + 1e-6 and len(set(a) ^ set(b)) <= 4
     vocabulary = words("documents")
