@@ -159,15 +159,14 @@ def cached(asked: DataFrame, entries: DataFrame, now: Column, least: float = 0.8
     """(query_id, key, kind, similarity): the entry that answers each query (query_id, key, vector): the one with its
     key, else the live one with the most similar vector, from ``least`` > 0 on; of equally similar ones the least key.
 
-    Entries are (key, vector, ts, ttl); a ttl of 0 or less never ends. Vectors meet by the range join over pivots, however many
-    entries there are.
+    Entries are (key, vector, ts, ttl); a ttl of 0 or less never ends. Vectors meet in blocks of cells around pivots, each
+    of which passes on the best of each query.
     """
     live = entries.where((F.col("ttl") <= 0) | (F.col("ts") + F.make_interval(secs=F.col("ttl")) > now))
     exact = asked.join(live.select("key"), "key", "left_semi").select("query_id", "key", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
     rest = asked.join(exact.select("query_id"), "query_id", "left_anti")
-    close = cosine_join(rest.select(F.col("query_id").alias("id"), "vector"), live.select(F.col("key").alias("id"), "vector"), least)
-    best = close.groupBy(F.col("left_id").alias("query_id")).agg(F.min(F.struct((-F.col("similarity")).alias("n"), F.col("right_id").alias("k"))).alias("b"))
-    return exact.unionByName(best.select("query_id", F.col("b.k").alias("key"), F.lit("similar").alias("kind"), (-F.col("b.n")).alias("similarity")))
+    best = cosine_join(rest.select(F.col("query_id").alias("id"), "vector"), live.select(F.col("key").alias("id"), "vector"), least, nearest=True)
+    return exact.unionByName(best.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("key"), F.lit("similar").alias("kind"), "similarity"))
 
 
 def insert(entries: DataFrame, rows: DataFrame, capacity: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import maintenance as M
+from corpusloom.operators import retrieval as R
 from corpusloom.operators import similar
 from corpusloom.plans import REGISTRY
 
@@ -128,3 +129,23 @@ def test_corpus_variants(spark):
     vocabulary = words("documents")
     want = {(a, b) for a in words("benchmark") for b in vocabulary if near(a, b) and 1 - lev(a, b) / max(len(a), len(b)) >= 0.85}
     assert {tuple(r) for r in REGISTRY.queries["q13_corpus_variants"](spark, "/root/testdata/sf0.001").collect()} == want and len(want) > 100
+
+
+def test_the_nearest_of_a_cosine_join_comes_once(spark, monkeypatch):
+    for name, n in (("LEFT_BLOCK", 7), ("RIGHT_BLOCK", 9), ("SLICE", 20)):
+        monkeypatch.setattr(similar, name, n)
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(12, 8))
+    right = [(f"k{i}", points[i % 12].tolist()) for i in range(200)]  # each vector many times
+    left = [(i, (points[i % 12] + draw.normal(size=8) * 0.1).tolist()) for i in range(30)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, f"id {kind}, vector array<double>")
+    every = similar.cosine_join(frame(left, "int"), frame(right, "string"), 0.4).collect()
+    want = {i: min((-r["similarity"], r["right_id"]) for r in every if r["left_id"] == i) for i in {r["left_id"] for r in every}}
+    got = similar.cosine_join(frame(left, "int"), frame(right, "string"), 0.4, nearest=True).collect()
+    assert len(want) == len(got) == 30 and {r["left_id"]: (-r["similarity"], r["right_id"]) for r in got} == want
+    v = frame(right, "string").selectExpr("cast(substr(id, 2) as int) as vec_id", "vector as embedding")
+    ids = R.dense_knn(frame(left, "int").withColumnRenamed("id", "query_id"), v, 3).where("query_id = 0").orderBy("rank").collect()
+    assert [r["doc_id"] for r in ids] == [0, 12, 24]
+    # a group passes on no more than it must, however many rows are as near
+    side = lambda rows: spark.createDataFrame([(i, x, 0, 0, 0) for i, (_, x) in enumerate(rows)], "id int, vector array<double>, cell int, block int, part int")
+    assert similar.blockwise(side(left), side(right), k=3).count() == 90
