@@ -25,14 +25,16 @@ def is_relevant(chunk: dict[str, Column], case: dict[str, Column]) -> Column:
     return F.array_contains(case["ids"], chunk["id"]) | (present & fits)
 
 
-def evaluate(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def evaluate(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5), pool: DataFrame | None = None) -> DataFrame:
     """A row for each query and each k: precision (over what was returned, if less than k), recall over the whole
     pool, MRR, nDCG whose ideal is cut to what was returned, and the share of what is not relevant.
 
-    Queries that return nothing have rows too, of zeros. Relevant ids count once.
+    Queries that return nothing have rows too, of zeros. Relevant ids count once. Where ``pool`` (query_id, pool) tells how many are
+    relevant, ``relevant`` needs to hold those among the ranked alone.
     """
     relevant = relevant.select("query_id", "doc_id").distinct()
-    pool = relevant.groupBy("query_id").agg(F.count("*").alias("pool"))
+    if pool is None:
+        pool = relevant.groupBy("query_id").agg(F.count("*").alias("pool"))
     marked = ranked.where(F.col("rank") <= max(ks)).join(relevant.withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     at = marked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
     m = at.groupBy("query_id", "k").agg(

@@ -6,15 +6,13 @@ documents that share a term are touched. Every order has the id as tie-break.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import similar
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -105,44 +103,20 @@ def hybrid(tf: DataFrame, bm: DataFrame, meta: DataFrame, keep: Column, k: int,
     return top_k(head.drop("rank").where(keep), k)
 
 
-#: Queries and vectors in a block; a pair of blocks is one row, multiplied as matrices.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-
-
 def dense_knn(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest by cosine, exactly, among the vectors that ``where`` leaves.
 
-    Queries (query_id, vector) and vectors (vec_id, embedding) meet in blocks of bounded size, every pair of blocks in a
-    task of its own, which passes on the best of each query there. A zero vector is like none. All vectors have one length.
+    Queries (query_id, vector) and vectors (vec_id, embedding) meet in blocks of bounded size, every pair of blocks as a group of
+    its own, which passes on the k best of each query there. A zero vector is like none. All vectors have one length.
     """
-    v = vectors if where is None else vectors.where(where)
-
-    def blocks(rows: DataFrame, id_: str, vector: str, name: str, size: int) -> DataFrame:
-        n = rows.count()
-        number = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-n // size))))
-        return rows.groupBy(number.alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))).alias(name))
-
-    pairs = blocks(v, "vec_id", "embedding", "docs", VECTOR_BLOCK).crossJoin(blocks(queries, "query_id", "vector", "asked", QUERY_BLOCK)).select("asked", "docs")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (qi, q), (di, d) = (_matrix(batch.column(c)[i].values) for c in ("asked", "docs"))
-                score = q @ d.T
-                least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
-                row, at = np.nonzero(score >= least[:, None] - 2e-6)  # ties are told apart after rounding
-                yield pa.RecordBatch.from_arrays([qi.take(pa.array(row)), di.take(pa.array(at)), pa.array(score[row, at])], names=["query_id", "doc_id", "score"])
-
-    kinds = [queries.schema["query_id"].dataType.simpleString(), v.schema["vec_id"].dataType.simpleString()]
-    found = pairs.mapInArrow(nearest, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-    return top_k(found.withColumn("score", F.round("score", 6)), k)
-
-
-def _matrix(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
-    """Ids and vectors of a block, each vector divided by its length."""
-    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    size = np.sqrt((flat * flat).sum(1, keepdims=True))
-    return rows.field("id"), np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
+    v = similar.vectors(vectors if where is None else vectors.where(where), "vec_id", "embedding")
+    q = similar.vectors(queries, "query_id", "vector")
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((v, similar.RIGHT_BLOCK), (q, similar.LEFT_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    there = v.withColumn("cell", F.lit(0)).withColumn("block", similar.dealt(v, blocks)).withColumn("part", every(parts))
+    asked = q.withColumn("cell", F.lit(0)).withColumn("part", similar.dealt(q, parts)).withColumn("block", every(blocks))
+    found = similar.blockwise(asked, there, k=k).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return top_k(found, k)
 
 
 def channel(ranked: DataFrame, name: str, variant: int = 0) -> DataFrame:
