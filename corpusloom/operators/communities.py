@@ -38,10 +38,15 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
     return by.agg(F.coalesce(F.sum("inside") / all_ - resolution * F.sum(F.col("total") * F.col("total")) / (all_ * all_), F.lit(0.0)).alias("modularity"))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A table of nodes for a join by shuffles: its files are small for its rows, so it would be collected in the driver in every round."""
+    return df.hint("shuffle_merge")
+
+
 def _quality(links: DataFrame, labels: DataFrame, two_m: float, resolution: float) -> float:
     """The modularity of labels (id, community, k) over symmetric links."""
     names = labels.select("id", "community")
-    inside = links.join(names.withColumnsRenamed({"id": "src", "community": "a"}), "src").join(names.withColumnsRenamed({"id": "dst", "community": "b"}), "dst").where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    inside = links.join(_shuffled(names.withColumnsRenamed({"id": "src", "community": "a"})), "src").join(_shuffled(names.withColumnsRenamed({"id": "dst", "community": "b"})), "dst").where("a = b").agg(F.sum("w")).first()[0] or 0.0
     squares = labels.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
     return inside / two_m - resolution * squares / (two_m * two_m)
 
@@ -49,11 +54,11 @@ def _quality(links: DataFrame, labels: DataFrame, two_m: float, resolution: floa
 def _moved(links: DataFrame, labels: DataFrame, two_m: float, resolution: float, turn: int, parts: int) -> DataFrame:
     """Labels (id, community, k, moved) after a round in which one of ``parts`` parts of the nodes takes its best communities."""
     totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
-    to = links.where("src <> dst").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("target")), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.sum("w").alias("w"))
+    to = links.where("src <> dst").join(_shuffled(labels.select(F.col("id").alias("dst"), F.col("community").alias("target"))), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.sum("w").alias("w"))
     active = labels.where(F.pmod(F.xxhash64("id", F.lit(turn // parts)), F.lit(parts)) == turn % parts)
-    own = active.join(totals.withColumnRenamed("size", "own_size"), "community").select("id", "community", "k", "own_size", F.col("total").alias("own_total"))
+    own = active.join(_shuffled(totals.withColumnRenamed("size", "own_size")), "community").select("id", "community", "k", "own_size", F.col("total").alias("own_total"))
     # links to a node's own community come by the same join; without any they count 0
-    options = own.join(to, "id").join(totals.select(F.col("community").alias("target"), F.col("total"), "size"), "target")
+    options = own.join(_shuffled(to), "id").join(_shuffled(totals.select(F.col("community").alias("target"), F.col("total"), "size")), "target")
     stay = F.col("target") == F.col("community")
     worth = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stay, F.col("k")).otherwise(0.0)) / two_m
     alone = ~stay & (F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("target") > F.col("community"))
@@ -63,12 +68,12 @@ def _moved(links: DataFrame, labels: DataFrame, two_m: float, resolution: float,
         F.max(F.when(stay, F.col("worth"))).alias("now"), F.first("k").alias("k"), F.first("own_total").alias("own_total"))
     now = F.coalesce("now", -resolution * F.col("k") * (F.col("own_total") - F.col("k")) / two_m)
     better = best.where((F.col("b.stay") == 0) & (F.col("b.worth") > now + LEAST_GAIN)).select("id", F.col("b.target").alias("target"))
-    return labels.join(better, "id", "left").select("id", F.coalesce("target", "community").alias("community"), "k", F.col("target").isNotNull().alias("moved"))
+    return labels.join(_shuffled(better), "id", "left").select("id", F.coalesce("target", "community").alias("community"), "k", F.col("target").isNotNull().alias("moved"))
 
 
 def _climb(links: DataFrame, start: DataFrame, two_m: float, resolution: float, rounds: int, levels: int, parts: int, turn: int) -> DataFrame:
     """(id, community) of the nodes of ``links``, from the partition ``start``, through all levels."""
-    found, labels = None, start.join(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "id").select("id", "community", "k")
+    found, labels = None, start.join(_shuffled(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))), "id").select("id", "community", "k")
     for _ in range(levels):
         still, any_ = 0, False
         labels = last = cut(labels)
@@ -82,12 +87,12 @@ def _climb(links: DataFrame, start: DataFrame, two_m: float, resolution: float,
                 break
         to = labels.select(F.col("id").alias("community"), F.col("community").alias("up"))
         first, older = found is None, found
-        found = cut(labels.select("id", "community") if first else found.join(to, "community").select("id", F.col("up").alias("community")))
+        found = cut(labels.select("id", "community") if first else found.join(_shuffled(to), "community").select("id", F.col("up").alias("community")))
         forget(older)
         if not any_ and not first:
             break
         a, b = (to.select(F.col("community").alias(end), F.col("up").alias(f"{end}_up")) for end in ("src", "dst"))
-        links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).agg(F.sum("w").alias("w")))
+        links = cut(links.join(_shuffled(a), "src").join(_shuffled(b), "dst").groupBy(F.col("src_up").alias("src"), F.col("dst_up").alias("dst")).agg(F.sum("w").alias("w")))
         forget(last)
         labels = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("community"), "k")
     return found
@@ -111,11 +116,11 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels:
     found, best = nodes, None
     for p in range(passes):
         new = _climb(links, found, two_m, resolution, rounds, levels, 2 << p, p * 1000 * rounds)
-        quality = _quality(links, new.join(degrees, "id"), two_m, resolution)
+        quality = _quality(links, new.join(_shuffled(degrees), "id"), two_m, resolution)
         if best is not None and quality <= best + LEAST_GAIN:
             break
         found, best = new, quality
     names = found.withColumnsRenamed({"id": "src", "community": "a"}), found.withColumnsRenamed({"id": "dst", "community": "b"})
-    inside = links.where("src <> dst").join(names[0], "src").join(names[1], "dst").where("a = b").select("src", "dst")
+    inside = links.where("src <> dst").join(_shuffled(names[0]), "src").join(_shuffled(names[1]), "dst").where("a = b").select("src", "dst")
     parts = components(inside)
-    return found.join(parts.withColumnRenamed("community", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("community"))
+    return found.join(_shuffled(parts.withColumnRenamed("community", "part")), "id", "left").select("id", F.coalesce("part", "id").alias("community"))
