@@ -29,6 +29,8 @@ from corpusloom.session import written
 LEVELS, BLOCK, FIRST = 16, 256, 4
 #: Terms of a batch of queries whose levels are told to the scan as literals.
 LITERALS = 400
+#: Terms of a batch whose levels are read; one of more is multiplied with the documents, as nearly every document could be in some answer.
+MOST_TERMS = 1000
 
 
 def part(tf: Column, length: Column, avgdl: float, k1: float = K1, b: float = B) -> Column:
@@ -70,6 +72,8 @@ def built(index: SparseIndex) -> bool:
 
 def bm25_top(index: SparseIndex, queries: DataFrame, k: int, counts: Read | None = None) -> DataFrame:
     """R2: (query_id, doc_id, score, rank): the k best of each query, as of the whole sum. The blocks are built if they aren't there."""
+    if index.asked(queries, T.tokens(F.col("query"))).select("term").distinct().limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        return index.best_bm25(queries, k).select("query_id", "doc_id", "score", "rank")
     if not built(index):
         build(index)
     totals = index.totals()
