@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import similar
+from corpusloom.session import written
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -119,6 +120,17 @@ def dense_knn(queries: DataFrame, vectors: DataFrame, k: int, where: Column | No
     return top_k(found, k)
 
 
+def of_hits(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id is among the hits, which are a bounded number for each query and were stored, so that the join
+    knows how few they are and no text is shuffled."""
+    return written(texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A few rows with much work each, over all tasks; joined small tables would leave them in one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "doc_id")
+
+
 def channel(ranked: DataFrame, name: str, variant: int = 0) -> DataFrame:
     """Candidates (query_id, channel, variant, doc_id, similarity, rrf) of a ranked result."""
     return ranked.select("query_id", F.lit(name).alias("channel"), F.lit(variant).alias("variant"), "doc_id", F.col("score").alias("similarity"), (1.0 / (RRF + F.col("rank"))).alias("rrf"))
@@ -153,7 +165,8 @@ def quality_flags(text: Column, section: Column, path: Column, keywords: Column)
 def with_bonuses(fused: DataFrame, texts: DataFrame, queries: DataFrame) -> DataFrame:
     """.08 more for a text that holds the query, .05 for a section that holds one of its keywords. ``texts`` has
     (doc_id, text, section), ``queries`` (query_id, query, keywords)."""
-    j = fused.join(texts.select("doc_id", "text", "section"), "doc_id").join(queries.select("query_id", "query", "keywords"), "query_id")
+    fused = written(fused, "fused")
+    j = fused.join(of_hits(fused, texts.select("doc_id", "text", "section")), "doc_id").join(queries.select("query_id", "query", "keywords"), "query_id")
     more = F.when(F.contains("text", F.col("query")), 0.08).otherwise(0.0) + F.when(section_match(F.col("keywords"), F.col("section")), 0.05).otherwise(0.0)
     return j.withColumn("fused", F.col("fused") + more).drop("text", "section", "query", "keywords")
 
@@ -198,10 +211,10 @@ def rerank_head(fused: DataFrame, texts: DataFrame, queries: DataFrame, head: in
 
     Only the head has texts joined. ``fused`` holds a fan-out of candidates a query, so its order is over bounded rows.
     """
-    placed = fused.withColumn("pre_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("fused", 9).desc(), "doc_id")))
+    placed = written(fused.withColumn("pre_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("fused", 9).desc(), "doc_id"))), "placed")
     first = placed.where(F.col("pre_rank") <= head).select("query_id", "doc_id", "similarity")
-    said = first.join(texts.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    rules = said.select("query_id", "doc_id", F.round(rule_score(F.col("similarity"), F.col("query"), F.col("text")), 6).alias("rule"))
+    said = first.join(of_hits(first, texts.select("doc_id", "text")), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    rules = spread(said).select("query_id", "doc_id", F.round(rule_score(F.col("similarity"), F.col("query"), F.col("text")), 6).alias("rule"))
     j = placed.join(rules, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("rule", F.round("fused", 6))).drop("rule")
     w = Window.partitionBy("query_id").orderBy((F.col("pre_rank") > head).cast("int"), F.desc("score"), "doc_id")
     return j.withColumn("rank", F.row_number().over(w))
@@ -247,7 +260,9 @@ def compare_sections(hits: DataFrame) -> DataFrame:
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """(query_id, id, score): children become their parent with the best score; others pass."""
-    j = hits.join(parents, F.col("id") == F.col("child_id"), "left")
+    hits = written(hits, "hits")
+    own = parents.join(hits.select(F.col("id").alias("child_id")).distinct(), "child_id", "left_semi")
+    j = hits.join(own, F.col("id") == F.col("child_id"), "left")
     return j.groupBy("query_id", F.coalesce("parent_id", "id").alias("id")).agg(F.max("score").alias("score"))
 
 
@@ -297,16 +312,18 @@ def cap_sections(ranked: DataFrame, k: int, cap: int = 2) -> DataFrame:
 def prepare_sources(hits: DataFrame, parents: DataFrame, texts: DataFrame, queries: DataFrame, k: int = 4, cap: int = 2) -> DataFrame:
     """What an answer is made from: children as their parents, cleaned, the first ten reranked by the rules, each id
     once, ``cap`` of a section, ``k`` in all. ``hits`` has (query_id, id, score), ``texts`` (doc_id, text, section)."""
-    merged = expand_to_parents(hits, parents).select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("similarity"), F.col("score").alias("fused"))
-    clean = texts.withColumn("text", T.collapse(F.col("text"))).where("text <> ''")
+    merged = written(expand_to_parents(hits, parents).select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("similarity"), F.col("score").alias("fused")), "merged")
+    # cleaned once and stored: the rules look at a text many times
+    clean = written(of_hits(merged, texts).withColumn("text", T.collapse(F.col("text"))), "clean").where("text <> ''")
     ranked = rerank_head(merged.join(clean.select("doc_id"), "doc_id", "left_semi"), clean, queries)
     return cap_sections(ranked.join(clean.select("doc_id", "section"), "doc_id"), k, cap).select("query_id", "place", "doc_id", "section", "score")
 
 
 def retrieve_and_rerank(scored: DataFrame, texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """3k candidates of every query at once, scored by the rules, the best ``k``."""
-    head = top_k(scored, 3 * k).join(texts.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
-    return top_k(head.drop("rank").withColumn("score", F.round(rule_score(F.col("score"), F.col("query"), F.col("text")), 6)), k).select("query_id", "rank", "doc_id", "score")
+    best = written(top_k(scored, 3 * k), "best")
+    head = best.join(of_hits(best, texts.select("doc_id", "text")), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    return top_k(spread(head.drop("rank")).withColumn("score", F.round(rule_score(F.col("score"), F.col("query"), F.col("text")), 6)), k).select("query_id", "rank", "doc_id", "score")
 
 
 def token_overlap(index, queries: DataFrame) -> DataFrame:
@@ -325,10 +342,10 @@ def with_emergency(chosen: DataFrame, queries: DataFrame, level: int) -> DataFra
 
 #: Retrieval tools by name: each takes (index, queries, k) and returns (query_id, doc_id, score, rank).
 TOOLS = {
-    "vector_search": lambda index, queries, k: top_k(index.tfidf(queries), k),
-    "keyword_search": lambda index, queries, k: top_k(index.bm25(queries), k),
+    "vector_search": lambda index, queries, k: index.best_tfidf(queries, k),
+    "keyword_search": lambda index, queries, k: index.best_bm25(queries, k),
     "overlap_search": lambda index, queries, k: top_k(token_overlap(index, queries), k),
-    "hybrid_search": lambda index, queries, k: top_k(weighted_merge(top_k(index.tfidf(queries), 2 * k), top_k(index.bm25(queries), 2 * k), 0.6), k),
+    "hybrid_search": lambda index, queries, k: top_k(weighted_merge(index.best_tfidf(queries, 2 * k), index.best_bm25(queries, 2 * k), 0.6), k),
 }
 
 

@@ -72,3 +72,11 @@ def test_postings_are_stored_as_arrays(spark, corpus):
     found, _ = corpus
     assert spark.read.parquet(f"{found.path}/words").count() < found.table("words").count() / 2
     assert found.table("words").groupBy("term").count().exceptAll(found.table("terms").selectExpr("term", "df")).isEmpty()
+
+
+def test_texts_of_hits_come_once_and_no_text_is_shuffled(spark):
+    hits = R.written(spark.createDataFrame([(1, 5), (2, 5), (1, 7), (1, 99)], "query_id int, doc_id bigint"), "hits")
+    texts = R.written(spark.range(20).selectExpr("id as doc_id", "repeat('x', 100) || id as text"), "many")
+    assert sorted(r["doc_id"] for r in R.of_hits(hits, texts).collect()) == [5, 7]
+    plan = texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
