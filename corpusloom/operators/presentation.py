@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import assembly
 from corpusloom.operators import retrieval as R
+from corpusloom.session import written
 
 #: Marks that end a shown sentence, what is cut from its end, and numbered aims that are cut out of it.
 ENDS, TAIL, AIMS = ("。", "！", "？"), "，、；：,. ", ["毕业要求", "培养目标"]
@@ -57,26 +58,26 @@ def display_blocks(fragments: Column, most_chars: int, blocks: int, block_chars:
     return let(let(F.aggregate(parts, start, step), whole), cut)
 
 
-def key_lines(c: Column, n: int) -> Column:
-    """The key sentences; without any, the lines that aren't blank."""
-    return let(T.key_sentences(c, n), lambda own: F.when(F.size(own) > 0, own).otherwise(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")))
+def key_lines(c: Column, n: int, keys: Column | None = None) -> Column:
+    """The key sentences; without any, the lines that aren't blank. ``keys`` are at least ``n`` key sentences that are known already."""
+    return let(T.key_sentences(c, n) if keys is None else F.slice(keys, 1, n), lambda own: F.when(F.size(own) > 0, own).otherwise(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")))
 
 
-def display(c: Column, most_chars: int = 320, script: str = "cjk", hints: list[str] | None = None) -> Column:
+def display(c: Column, most_chars: int = 320, script: str = "cjk", hints: list[str] | None = None, keys: Column | None = None) -> Column:
     """A cleaned text as two blocks of up to 88 characters."""
-    return display_blocks(key_lines(c, 4), most_chars, 2, 88, 2, script, hints)
+    return display_blocks(key_lines(c, 4, keys), most_chars, 2, 88, 2, script, hints)
 
 
-def query_display(c: Column, keywords: Column, most_chars: int = 320, script: str = "cjk", hints: list[str] | None = None) -> Column:
+def query_display(c: Column, keywords: Column, most_chars: int = 320, script: str = "cjk", hints: list[str] | None = None, keys: Column | None = None) -> Column:
     """The first four of eight key sentences that hold a keyword of two characters or more; without any, as ``display``."""
     words = F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: F.length(k) >= 2)
-    hit = F.slice(F.filter(T.key_sentences(c, 8), lambda s: F.exists(words, lambda k: F.contains(s, k))), 1, 4)
-    return let(hit, lambda own: F.when(F.size(own) > 0, display_blocks(own, most_chars, 2, 96, 2, script, hints)).otherwise(display(c, most_chars, script, hints)))
+    hit = F.slice(F.filter(T.key_sentences(c, 8) if keys is None else F.slice(keys, 1, 8), lambda s: F.exists(words, lambda k: F.contains(s, k))), 1, 4)
+    return let(hit, lambda own: F.when(F.size(own) > 0, display_blocks(own, most_chars, 2, 96, 2, script, hints)).otherwise(display(c, most_chars, script, hints, keys)))
 
 
-def source_excerpt(c: Column, most_chars: int = 220, sentences: int = 3, script: str = "cjk", hints: list[str] | None = None) -> Column:
+def source_excerpt(c: Column, most_chars: int = 220, sentences: int = 3, script: str = "cjk", hints: list[str] | None = None, keys: Column | None = None) -> Column:
     """The excerpt of a source's card: blocks of up to 72 characters."""
-    return display_blocks(key_lines(c, sentences), most_chars, 2, 72, 2, script, hints)
+    return display_blocks(key_lines(c, sentences, keys), most_chars, 2, 72, 2, script, hints)
 
 
 def answer_markdown(sentences: Column, script: str = "cjk", hints: list[str] | None = None) -> Column:
@@ -123,8 +124,8 @@ def cross_pipeline(queries: DataFrame, search, texts: DataFrame, k: int = 5, kee
     """
     words = queries.select("query_id", F.posexplode(T.first_keywords(F.col("query"))).alias("at", "keyword"))
     asked = words.select(F.to_json(F.struct("query_id", "at")).alias("search"), "query_id", "at", "keyword")
-    hits = search(asked.select(F.col("search").alias("query_id"), F.col("keyword").alias("query"))).where(F.col("rank") <= k).withColumnRenamed("query_id", "search")
-    j = hits.join(asked, "search").join(texts.select("doc_id", "section"), "doc_id")
+    hits = written(search(asked.select(F.col("search").alias("query_id"), F.col("keyword").alias("query"))).where(F.col("rank") <= k).withColumnRenamed("query_id", "search"), "hits")
+    j = written(hits.join(asked, "search").join(R.of_hits(hits, texts.select("doc_id", "section")), "doc_id"), "found")
     first = j.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("at", "rank"))).where("n = 1")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "rank"))  # k rows a keyword
     docs = first.withColumn("place", place).where(F.col("place") <= keep).select("query_id", "place", "doc_id", "keyword", "score")
@@ -143,8 +144,9 @@ def answers(queries: DataFrame, search, texts: DataFrame, agent: str, k: int = 1
     ``written_by`` (query_id, response) that isn't blank takes its place, as a language model's answer would. ``texts`` has (doc_id, text, section).
     Queries that find nothing get the fallback and no source.
     """
-    clean = texts.withColumn("text", T.collapse(F.col("text")))
-    head = R.retrieve_and_rerank(search(queries.select("query_id", "query")).select("query_id", "doc_id", "score"), clean, queries, k)
+    found = written(search(queries.select("query_id", "query")).select("query_id", "doc_id", "score"), "found")
+    clean = written(R.of_hits(found, texts).withColumn("text", T.collapse(F.col("text"))), "clean")  # once: the rules look at a text many times
+    head = written(R.retrieve_and_rerank(found, clean, queries, k), "head")
     merged = R.join_sections(head.join(clean.select("doc_id", "text", "section"), "doc_id").select("query_id", "doc_id", "score", "text", "section"))
     points = assembly.evidence(merged.select("query_id", F.col("place").alias("rank"), "text"))
     own = assembly.themed_responses(queries.select("query_id", "query"), points, agent, kind)

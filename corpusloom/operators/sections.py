@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as T
 
@@ -168,15 +171,28 @@ def split_children(text: str, size: int, overlap: int, least: int, marks: str =
     return out
 
 
+#: Parents that a task cuts at once.
+PARENTS = 64
+
+
 def children(chunks: DataFrame, size: int = 250, overlap: int = 50, least: int = 80) -> DataFrame:
     """(parent_id, ord, text) from (parent_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, c) for p, t in zip(pdf["parent_id"], pdf["text"], strict=True) for i, c in enumerate(split_children(t or "", size, overlap, least))]
-            yield pd.DataFrame(rows, columns=["parent_id", "ord", "text"])
-
-    return chunks.select("parent_id", "text").mapInPandas(run, f"parent_id {chunks.schema['parent_id'].dataType.simpleString()}, ord int, text string")
+    kind = chunks.schema["parent_id"].dataType
+    own = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARENTS):
+                part = batch.slice(at, PARENTS)
+                pieces = [split_children(t or "", size, overlap, least) for t in part.column("text").to_pylist()]
+                each = np.array([len(p) for p in pieces], dtype=np.int64)
+                parents = part.column("parent_id").take(pa.array(np.repeat(np.arange(len(each)), each)))
+                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield pa.RecordBatch.from_arrays([parents.cast(own), pa.array(nth, pa.int32()), pa.array([c for p in pieces for c in p], pa.string())], names=["parent_id", "ord", "text"])
+            pa.default_memory_pool().release_unused()
+
+    return chunks.select("parent_id", "text").mapInArrow(run, f"parent_id {kind.simpleString()}, ord int, text string")
 
 
 def contextual_prefix(title: Column, summary: Column, path: Column, page_from: Column, page_to: Column) -> Column:
