@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import evaluation, understanding
+from corpusloom.operators.retrieval import of_hits
 from corpusloom.session import written as cut
 
 #: (query_id, query) -> (query_id, doc_id, score, rank) of at most k rows a query.
@@ -84,7 +85,8 @@ def run(queries: DataFrame, tools: dict[str, Tool], texts: DataFrame, rounds: in
             parts.append(tools[name](thought.where(F.col("strategy") == name).select("query_id", "query")).select("query_id", "doc_id", "score", "rank"))
         if not parts:
             break
-        hits = cut(reduce(DataFrame.unionByName, parts).join(texts.select("doc_id", "text"), "doc_id"))
+        hits = cut(reduce(DataFrame.unionByName, parts))
+        hits = cut(hits.join(of_hits(hits, texts.select("doc_id", "text")), "doc_id"))
         seen = judged(thought, hits).withColumn("iteration", F.lit(iteration))
         last = iteration == rounds
         seen = seen.withColumn("decision", F.when(F.col("confidence") >= enough, "enough").otherwise("last" if last else "refine"))
