@@ -15,6 +15,7 @@ from pyspark.sql.functions import udtf
 
 from corpusloom.functions import text as T
 from corpusloom.operators import assembly, sections
+from corpusloom.session import written
 
 #: Fixed value: the section of what stands before the first heading.
 OPENING = "文档概览"
@@ -103,6 +104,7 @@ def chunk_pages(lines: DataFrame, titles: DataFrame | None = None, size: int = 6
     docs = docs.select("doc_id", F.transform("rows", lambda x: F.struct(x["page"].cast("int").alias("page"), x["level"].cast("int").alias("level"), x["line"].alias("line"), x["parts"].alias("parts"))).alias("rows"))
     spark.udtf.register("page_chunks", udtf(Chunks, returnType=CHUNK))
     chunks = spark.sql(f"select d.doc_id, c.* from {{docs}} d, lateral page_chunks(d.rows, {int(size)}, {int(least)}, {int(overlap)}) c", docs=docs)
+    chunks = written(chunks, "chunks")  # read for the summaries and for what is returned; cut once
     summary = assembly.document_summary(chunks.select("doc_id", F.col("chunk_no").alias("ord"), "title", "text"))
     named = chunks.join(summary, "doc_id", "left")
     title = F.lit(None).cast("string")
