@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import shared_dir
 
+#: Members of a category in one block, about; a cell has as many pairs as its square.
+BLOCK = 512
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the folder that the cluster names for checkpoints."""
@@ -65,12 +68,30 @@ def co_occurrence(items: DataFrame, band: int = 7) -> DataFrame:
 def same_category(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """The pairs (by id) of a category that no edge links yet, with weight .3.
 
-    All pairs of a category are its answer, so it grows with the square of the category: for categories that hand-made
-    dimensions have. ``category_members`` says the same in a row for each member.
+    All pairs of a category are its answer, so it grows with the square of the category. A category is cut into blocks of about BLOCK
+    members and two blocks make a cell: cells are dealt over all tasks and a pair arises in its task, so no pair is shuffled. Edges go
+    to the cells of their ends and are left out there. ``category_members`` says the same in a row for each member.
     """
-    a = nodes.select(F.col(key).alias("k"), F.col("id").alias("src"))
-    pairs = a.join(nodes.select(F.col(key).alias("k"), F.col("id").alias("dst")), "k").where("src < dst").select("src", "dst")
-    return pairs.join(undirected(edges), ["src", "dst"], "left_anti").withColumn("weight", F.lit(0.3))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = nodes.select(F.col(key).alias("k"), "id").where("k is not null and id is not null")
+    n = n.join(n.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "k").withColumn("b", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = n.groupBy("k", "blocks", "b").agg(F.collect_list("id").alias("ids"))
+    left = blocks.select("k", F.col("b").alias("i"), F.col("ids").alias("xs"), F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("j"))
+    cells = left.join(blocks.select("k", F.col("b").alias("j"), F.col("ids").alias("ys")), ["k", "j"])
+    # an edge within a category: its end in the cell's first block, or its smaller end, and the other
+    links, ends = undirected(edges).where("src < dst"), n.select("k", "id", "b").distinct()
+    links = links.join(ends.select("k", F.col("id").alias("src"), F.col("b").alias("sb")), "src").join(ends.select("k", F.col("id").alias("dst"), F.col("b").alias("db")), ["k", "dst"])
+    first = F.col("sb") <= F.col("db")
+    links = links.select("k", F.least("sb", "db").alias("i"), F.greatest("sb", "db").alias("j"), F.struct(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("y")).alias("link"))
+    linked = links.groupBy("k", "i", "j").agg(F.collect_list("link").alias("linked"))
+    # by a hash, as Spark leaves out a shuffle by the columns of the join before it
+    cells = cells.join(linked, ["k", "i", "j"], "left").repartition(tasks, F.xxhash64("k", "i", "j"))
+    own = F.coalesce(F.transform(F.filter("linked", lambda e: e["x"] == F.col("x")), lambda e: e["y"]), F.array())
+    met = cells.withColumn("x", F.explode("xs")).select("i", "j", "x", "ys", own.alias("own"))
+    # within a block each pair once; "own" is nearly always empty
+    met = met.select("x", F.when(F.col("i") == F.col("j"), F.filter("ys", lambda y: y > F.col("x"))).otherwise(F.col("ys")).alias("ys"), "own")
+    met = met.select("x", F.when(F.size("own") == 0, F.col("ys")).otherwise(F.filter("ys", lambda y: ~F.array_contains("own", y))).alias("ys"))
+    return met.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.lit(0.3).alias("weight"))
 
 
 def category_members(nodes: DataFrame, key: str) -> DataFrame:

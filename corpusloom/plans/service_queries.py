@@ -473,7 +473,7 @@ def v02(spark, sf):
 def g03(spark, sf):
     part = load(spark, sf, "part")
     edges = part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
-    return G.same_category(part.select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("category")), edges, "category")
+    return G.same_category(part.select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("/"), "p_size").alias("category")), edges, "category")  # null if either is: such parts have no pair
 
 
 @add("g03_members", "with m as (select p_brand as category, p_partkey as id, count(*) over (partition by p_brand) as n from part) select category, id, n - 1 as links from m where n > 1")

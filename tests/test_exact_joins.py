@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation as E
+from corpusloom.operators import graph
 from corpusloom.operators import maintenance as M
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import similar
@@ -149,3 +150,23 @@ def test_the_nearest_of_a_cosine_join_comes_once(spark, monkeypatch):
     # a group passes on no more than it must, however many rows are as near
     side = lambda rows: spark.createDataFrame([(i, x, 0, 0, 0) for i, (_, x) in enumerate(rows)], "id int, vector array<double>, cell int, block int, part int")
     assert similar.blockwise(side(left), side(right), k=3).count() == 90
+
+
+def test_pairs_of_a_category_are_all_but_the_linked(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    draw = random.Random(8)
+    nodes = [(i, draw.choice("aab")) for i in range(40)] + [(7, "a"), (7, "b"), (41, None), (42, None), (None, "a"), (43, "c")]
+    nodes += [(50 + i, "d") for i in range(12)]
+    edges = [(draw.randrange(45), draw.randrange(45)) for _ in range(300)] + [(3, 3), (None, 4)] + [(50 + i, 50 + j) for i in range(12) for j in range(12) if i != j and (i, j) != (2, 9) and (j, i) != (2, 9)]
+    linked = {frozenset(e) for e in edges}
+    want = sorted((a, b, 0.3) for a, k in nodes for b, m in nodes if k is not None and k == m and a is not None and b is not None and a < b and frozenset((a, b)) not in linked)
+    got = graph.same_category(spark.createDataFrame(nodes, "id bigint, category string"), spark.createDataFrame(edges, "src bigint, dst bigint"), "category")
+    assert sorted(map(tuple, got.collect())) == want and (52, 59, 0.3) in want and len(want) > 100
+    # no pair is shuffled to meet the edges
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_part_without_a_brand_or_size_has_no_pair(spark, tmp_path):
+    rows = [(1, None, 5), (2, None, 5), (3, "x", None), (6, "x", None), (9, "x", 5), (11, "x", 5)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in REGISTRY.queries["g03_same_category"](spark, str(tmp_path)).collect()] == [(9, 11, 0.3)]
