@@ -9,7 +9,9 @@ version before it or after it, and a batch that runs again writes the same versi
 
 from __future__ import annotations
 
+import contextlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,24 @@ from corpusloom.operators.retrieval import B, K1
 MERGE, TIER = 4, 4
 DOCS, DEAD = "doc_id bigint, len bigint, hash bigint", "doc_id bigint, segment string, len bigint"
 STATE = "segment string, docs bigint, length bigint, dead bigint"
+#: Documents, and bytes of them, that go to a Python worker at once.
+BATCH, BATCH_BYTES = 1000, 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, what runs hands Python workers at most BATCH rows and about BATCH_BYTES at once, so their memory doesn't follow the texts."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in most}
+    try:
+        for k, v in most.items():
+            now = before[k].removesuffix("b")
+            if not now.isdigit() or not 0 < int(now) <= v:
+                spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @dataclass
@@ -123,7 +143,8 @@ class SegmentedIndex:
         docs = come.select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("len"), "hash")
         dead = done.where("kind in ('modified', 'deleted')").select("doc_id", "segment", F.col("old_len").alias("len"))
         if any(counts.get(k) for k in ("added", "modified", "deleted")):
-            new = self._segment(name, words, docs, dead)
+            with small_batches(self.spark):
+                new = self._segment(name, words, docs, dead)
             killed = {r["segment"]: r for r in self._of([new], "dead", DEAD).groupBy("segment").agg(F.count("*").alias("n")).collect()}
             segments = [s | {"dead": s["dead"] + (killed[s["segment"]]["n"] if s["segment"] in killed else 0)} for s in segments] + [new]
             if compact:

@@ -97,3 +97,25 @@ def test_counts_by_slices_are_those_of_each_document(spark, monkeypatch):
     w = {(r["doc_id"], r["term"]): r["w"] for r in index.counted(tokens, weights).collect()}
     size = (6.0**2 + 3.0**2 + 3.0**2) ** 0.5
     assert {t: round(x * size, 9) for (i, t), x in w.items() if i == 4} == {"a b": 6.0, "b": 3.0, "x": 3.0} and w[3, "b"] == 1.0 and {i for i, _ in w} == {1, 3, 4, 5}
+
+
+def test_workers_get_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BATCH", 7)
+    monkeypatch.setattr(S, "BATCH_BYTES", 40_000)
+    monkeypatch.setattr(index, "SMALL", 5)
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    before, seen, segment = [spark.conf.get(k) for k in keys], [], S.SegmentedIndex._segment
+
+    def watched(self, name, postings, docs, dead):
+        seen.append([spark.conf.get(k) for k in keys])
+        sizes = postings.sparkSession.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t")).mapInArrow(lambda batches: (b.select(["t"]).set_column(0, "t", [str(b.num_rows)] * b.num_rows) for b in batches), "t string")
+        seen.append({int(r["t"]) for r in sizes.collect()})
+        return segment(self, name, postings, docs, dead)
+
+    monkeypatch.setattr(S.SegmentedIndex, "_segment", watched)
+    docs = spark.createDataFrame([(i, f"a b w{i} w{i} a") for i in range(60)], "doc_id bigint, text string")
+    found = S.SegmentedIndex(spark, str(tmp_path / "index"), 2)
+    found.apply(docs)
+    assert seen[0] == ["7", "40000"] and max(seen[1]) <= 7 and [spark.conf.get(k) for k in keys] == before
+    queries = spark.createDataFrame([(1, "a w5"), (2, "b")], "query_id int, query string")
+    assert scores(found.bm25(queries)) == pytest.approx(scores(R.bm25(queries, docs)))
