@@ -36,54 +36,74 @@ def uniform(n: int) -> np.ndarray:
     return (np.arange(n + 1) * (1 << BITS) // n).astype(np.int16)
 
 
+#: By confidences (order 2 times 8, order 1): where weights are; by a confidence: what a hit and a miss add to an entry.
+STATE = np.array([min(i >> 3, 3) * 4 + min(i & 7, 3) for i in range(64)])
+HIT, MISS = np.array([1] * 7 + [0], np.int32), np.array([(k >> 1) - k for k in range(8)], np.int32)
+#: Targets of the two borders between three kinds.
+FIRST, SECOND = np.ascontiguousarray(targets(3)[:, 1]), np.ascontiguousarray(targets(3)[:, 2])
+
+
 class Model:
+    """Tables of all lanes one after the other, each of one dimension or of rows; a lane's begins at its base."""
+
     def __init__(self, lanes: int, ids: int):
         self.radix = max(2, math.ceil(round(ids ** (1 / 3), 9)))
         r = self.radix
-        self.lane = np.arange(lanes)
-        self.order2 = np.zeros((lanes, SLOTS2), np.int32)
-        self.order1 = np.zeros((lanes, SLOTS1), np.int32)
-        self.mix = np.tile(uniform(3), (lanes, 32, 1))
-        self.digits = np.tile(uniform(r), (lanes, 1 + r + r * r, 1))
-        self.moved, self.mixed = np.zeros((lanes, 1 + r + r * r), np.uint8), np.zeros((lanes, 32), np.uint8)
-        self.to_kind, self.to_digit = targets(3), targets(r)
+        lane = np.arange(lanes)
+        nodes = 1 + r + r * r
+        self.base2, self.base1, self.base_mix, self.base_node = lane * SLOTS2, lane * SLOTS1, lane * 32, lane * nodes
+        self.order2 = np.zeros(lanes * SLOTS2, np.int32)
+        self.order1 = np.zeros(lanes * SLOTS1, np.int32)
+        self.mix1, self.mix2 = np.full(lanes * 32, uniform(3)[1]), np.full(lanes * 32, uniform(3)[2])
+        self.digits = np.tile(uniform(r), (lanes * nodes, 1))
+        self.moved, self.mixed = np.zeros(lanes * nodes, np.uint8), np.zeros(lanes * 32, np.uint8)
+        self.to_digit = targets(r)
         self.t1 = np.zeros(lanes, np.int64)
         self.t2 = np.zeros(lanes, np.int64)
 
     def predict(self) -> None:
-        self.at2 = ((self.t1 * 40503 + self.t2 * 60493) >> 3) & (SLOTS2 - 1)
-        self.at1 = (self.t1 * 40503 >> 4) & (SLOTS1 - 1)
-        e2, e1 = self.order2[self.lane, self.at2], self.order1[self.lane, self.at1]
-        self.c2, self.k2, self.c1, self.k1 = e2 >> 3, e2 & 7, e1 >> 3, e1 & 7
-        self.state = np.minimum(self.k2, 3) * 4 + np.minimum(self.k1, 3) + 16 * (self.c1 == self.c2)
-        self.weights = self.mix[self.lane, self.state]
+        last = self.t1 * 40503
+        self.at2 = ((last + self.t2 * 60493 >> 3) & (SLOTS2 - 1)) + self.base2
+        self.at1 = (last >> 4 & (SLOTS1 - 1)) + self.base1
+        self.e2, self.e1 = self.order2.take(self.at2), self.order1.take(self.at1)
+        self.c2, self.k2, self.c1, self.k1 = self.e2 >> 3, self.e2 & 7, self.e1 >> 3, self.e1 & 7
+        self.state = STATE.take(self.k2 << 3 | self.k1) + ((self.c1 == self.c2) << 4) + self.base_mix
+        self.w1, self.w2 = self.mix1.take(self.state), self.mix2.take(self.state)
+
+    def borders(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each lane's kind."""
+        return np.where(kind == 0, 0, np.where(kind == 1, self.w1, self.w2)), np.where(kind == 0, self.w1, np.where(kind == 1, self.w2, 1 << BITS))
 
     def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
-        w = self.weights
-        n = self.mixed[self.lane, self.state]
-        w += (self.to_kind[kind] - w) >> RATES[n][:, None]
-        self.mix[self.lane, self.state] = w
-        self.mixed[self.lane, self.state] = n + (n < 255)
-        for table, at, c, k in ((self.order2, self.at2, self.c2, self.k2), (self.order1, self.at1, self.c1, self.k1)):
-            hit = c == x
-            stay = hit | (k > 1)
-            k_new = np.where(hit, np.minimum(k + 1, 7), np.where(stay, k >> 1, 1))
-            table[self.lane, at] = (np.where(stay, c, x) << 3) | k_new
+        n = self.mixed.take(self.state)
+        rate = RATES.take(n)
+        self.mix1[self.state] = self.w1 + (FIRST.take(kind) - self.w1 >> rate)
+        self.mix2[self.state] = self.w2 + (SECOND.take(kind) - self.w2 >> rate)
+        self.mixed[self.state] = n + (n < 255)
+        fresh = x << 3 | 1
+        for table, at, e, c, k in ((self.order2, self.at2, self.e2, self.c2, self.k2), (self.order1, self.at1, self.e1, self.c1, self.k1)):
+            table[at] = np.where(c == x, e + HIT.take(k), np.where(k > 1, e + MISS.take(k), fresh))
         self.t2, self.t1 = self.t1, x.astype(np.int64)
 
-    def learn_digit(self, rest: np.ndarray, node: np.ndarray, row: np.ndarray, digit: np.ndarray) -> None:
-        n = self.moved[rest, node]
-        row += (self.to_digit[digit] - row) >> RATES[n][:, None]
-        self.digits[rest, node] = row
-        self.moved[rest, node] = n + (n < 255)
+    def learn_digit(self, at: np.ndarray, row: np.ndarray, digit: np.ndarray) -> None:
+        n = self.moved.take(at)
+        row += (self.to_digit.take(digit, 0) - row) >> RATES.take(n)[:, None]
+        self.digits[at] = row
+        self.moved[at] = n + (n < 255)
 
     def shrink(self, lanes: int) -> None:
         """Go on with the first lanes; the others have ended."""
-        self.lane = self.lane[:lanes]
-        for name in ("order2", "order1", "mix", "digits", "moved", "mixed", "t1", "t2"):
+        for name in ("base2", "base1", "base_mix", "base_node", "t1", "t2"):
             setattr(self, name, getattr(self, name)[:lanes])
 
 
+def ready(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose first 16 bits are settled or whose range is short; and of these, by place, those that are cut."""
+    apart, short = (low ^ (low + span)) >= BOTTOM, span < BOTTOM
+    go = np.flatnonzero(~apart | short)
+    return go, (apart & short)[go]
+
+
 def narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unit = span >> TOTAL_SHIFT
     return low + unit * start.astype(U), unit * (end - start).astype(U)
@@ -105,19 +125,17 @@ def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
     low, span = np.zeros(n, U), np.full(n, ~U(0))
     out, pos = np.zeros((n, longest * 3 + 8), np.uint16), np.zeros(n, np.int64)
 
-    def settle(low: np.ndarray, span: np.ndarray, lanes: int) -> None:
-        while True:
-            apart = ((low ^ (low + span)) >= BOTTOM)
-            short = span < BOTTOM
-            go = np.flatnonzero(~apart | short)
-            if not len(go):
-                return
-            cut = go[(apart & short)[go]]
-            span[cut] = (~low[cut] + U(1)) & (BOTTOM - U(1))
-            out[go, pos[go]] = (low[go] >> TOP_SHIFT).astype(np.uint16)
-            pos[go] += 1
-            low[go] <<= SHIFT
-            span[go] <<= SHIFT
+    def settle(low: np.ndarray, span: np.ndarray) -> None:
+        lanes, cut = ready(low, span)
+        while len(lanes):
+            l, s = low[lanes], span[lanes]
+            s = np.where(cut, (~l + U(1)) & (BOTTOM - U(1)), s) << SHIFT
+            out[lanes, pos[lanes]] = (l >> TOP_SHIFT).astype(np.uint16)
+            pos[lanes] += 1
+            l <<= SHIFT
+            low[lanes], span[lanes] = l, s
+            again, cut = ready(l, s)
+            lanes = lanes[again]
 
     live = n
     for t in range(longest):
@@ -128,21 +146,21 @@ def encode_blocks(blocks: list[np.ndarray], ids: int) -> list[bytes]:
         x = table[:live, t]
         model.predict()
         kind = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
-        w, lane = model.weights, model.lane
         a, b = low[:live], span[:live]
-        a[:], b[:] = narrow(a, b, w[lane, kind], w[lane, kind + 1])
+        a[:], b[:] = narrow(a, b, *model.borders(kind))
         rest = np.flatnonzero(kind == 2)
         if len(rest):
             x_rest, la, lb = x[rest], a[rest], b[rest]
-            here = np.arange(len(rest))
+            here, base = np.arange(len(rest)) * (radix + 1), model.base_node[rest]
             d1, d3 = x_rest // (radix * radix), x_rest % radix
             d2 = x_rest // radix % radix
             for node, digit in ((np.zeros_like(d1), d1), (1 + d1, d2), (1 + radix + d1 * radix + d2, d3)):
-                row = model.digits[rest, node]
-                la, lb = narrow(la, lb, row[here, digit], row[here, digit + 1])
-                model.learn_digit(rest, node, row, digit)
+                at = base + node
+                row = model.digits.take(at, 0)
+                la, lb = narrow(la, lb, row.take(here + digit), row.take(here + digit + 1))
+                model.learn_digit(at, row, digit)
             a[rest], b[rest] = la, lb
-        settle(a, b, live)
+        settle(a, b)
         model.learn(x, kind)
     for k in range(4):
         out[np.arange(n), pos + k] = ((low >> U(48 - 16 * k)) & U(0xFFFF)).astype(np.uint16)
@@ -178,39 +196,37 @@ def decode_blocks(codes: list[bytes], counts: list[int], ids: int) -> list[np.nd
             model.shrink(now)
             live = now
         model.predict()
-        w, lane = model.weights, model.lane
         a, b, c = low[:live], span[:live], code[:live]
         value = np.minimum((c - a) // (b >> TOTAL_SHIFT), U((1 << BITS) - 1)).astype(np.int16)
-        kind = (value >= w[:, 1]).astype(np.int64) + (value >= w[:, 2])
-        a[:], b[:] = narrow(a, b, w[lane, kind], w[lane, kind + 1])
+        kind = (value >= model.w1).astype(np.int64) + (value >= model.w2)
+        a[:], b[:] = narrow(a, b, *model.borders(kind))
         x = np.where(kind == 0, model.c2, model.c1)
         rest = np.flatnonzero(kind == 2)
         if len(rest):
             la, lb, lc = a[rest], b[rest], c[rest]
-            here = np.arange(len(rest))
+            here, base = np.arange(len(rest)) * (radix + 1), model.base_node[rest]
             node, found = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
             for level in range(3):
-                row = model.digits[rest, node]
+                at = base + node
+                row = model.digits.take(at, 0)
                 value = np.minimum((lc - la) // (lb >> TOTAL_SHIFT), U((1 << BITS) - 1)).astype(np.int16)
-                digit = (row[:, 1:] <= value[:, None]).sum(1)
-                la, lb = narrow(la, lb, row[here, digit], row[here, digit + 1])
-                model.learn_digit(rest, node, row, digit)
+                digit = (row[:, 1:] > value[:, None]).argmax(1)  # the last is above every value
+                la, lb = narrow(la, lb, row.take(here + digit), row.take(here + digit + 1))
+                model.learn_digit(at, row, digit)
                 found = found * radix + digit
                 node = found + (1 if level == 0 else 1 + radix)
             a[rest], b[rest] = la, lb
             x[rest] = found
-        while True:
-            apart = ((a ^ (a + b)) >= BOTTOM)
-            short = b < BOTTOM
-            go = np.flatnonzero(~apart | short)
-            if not len(go):
-                break
-            cut = go[(apart & short)[go]]
-            b[cut] = (~a[cut] + U(1)) & (BOTTOM - U(1))
-            c[go] = (c[go] << SHIFT) | words[go, np.minimum(pos[go], width - 1)].astype(U)
-            pos[go] += 1
-            a[go] <<= SHIFT
-            b[go] <<= SHIFT
+        lanes, cut = ready(a, b)
+        while len(lanes):
+            l, s, at = a[lanes], b[lanes], pos[lanes]
+            s = np.where(cut, (~l + U(1)) & (BOTTOM - U(1)), s) << SHIFT
+            c[lanes] = (c[lanes] << SHIFT) | words[lanes, np.minimum(at, width - 1)]
+            pos[lanes] = at + 1
+            l <<= SHIFT
+            a[lanes], b[lanes] = l, s
+            again, cut = ready(l, s)
+            lanes = lanes[again]
         table[:live, t] = x
         model.learn(x.astype(np.int32), kind)
     out: list[np.ndarray] = [np.empty(0, np.int32)] * n
