@@ -1,4 +1,6 @@
-"""Adaptive context-mixing range coder for token ids, over many blocks at once.
+"""The coder of the first form of token files, which are still read; ``stream_coder`` writes the present form.
+
+An adaptive context-mixing range coder for token ids, over many blocks at once.
 
 Blocks are independent: each begins with a reset model. All blocks of a call advance one id a step, as lanes of numpy
 arrays. An id is predicted by the last two ids (order 2), by the last one (order 1) and by its frequency in the block so

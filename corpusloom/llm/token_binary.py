@@ -3,12 +3,12 @@
 The file format: Parquet files of frames. A frame holds whole documents in ascending order of id, about FRAME token ids or
 one longer document. Its column ``frame`` is, little-endian:
 
-    magic "CLF1", ids in the vocabulary (u32), documents n (u32), blocks m (u32), flags of null ids (n bytes),
+    magic "CLF2", ids in the vocabulary (u32), documents n (u32), blocks m (u32), flags of null ids (n bytes),
     document ids (n x i64), tokens of each document (n x u32), then for each block its tokens, bytes of code and CRC-32 of
     its ids (m x 3 x u32), then the codes.
 
-Blocks are coded by ``lane_coder`` from a reset model each, so a damaged block is found by its checksum and loses nothing
-else. Columns ``piece`` and ``nth`` order the frames, ``n_tokens`` counts their ids.
+Blocks are coded by ``stream_coder`` from a reset model each, so a damaged block is found by its checksum and loses nothing
+else. Files with magic "CLF1" are the same with blocks coded by ``lane_coder``; they are read as well. Columns ``piece`` and ``nth`` order the frames, ``n_tokens`` counts their ids.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_prefix import PLAIN_END, SPACE, Memo, plain_classes
+from corpusloom.llm import lane_coder
+from corpusloom.llm.bpe_prefix import PLAIN_END, SPACE, Memo, byte_names, plain_classes
 from corpusloom.llm.common import in_pieces, shared_dir, slices, tidy
-from corpusloom.llm.lane_coder import BLOCK, decode_blocks, encode_blocks
+from corpusloom.llm.stream_coder import BLOCK, decode_blocks, encode_blocks
 
-MAGIC = b"CLF1"
+MAGIC, FIRST_MAGIC = b"CLF2", b"CLF1"
 #: Ids in a frame, and blocks that are coded together.
 FRAME, LANES = 64 * BLOCK, 512
 
@@ -55,8 +56,13 @@ class WordTokenizer:
         self.pieces = re.compile(split.replace("\\s", SPACE)).findall
         self.odd = re.compile(rf"[^\x00-\u{PLAIN_END - 1:04x}]").search
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda raw: self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids)
+        # pieces are normal and split already, so the library's model takes them, in the characters that its vocabulary writes for bytes
+        model, shown = self.tokenizer.model, {b: c for c, b in byte_names().items()}
+        self.memo = Memo(lambda raw: [t.id for t in model.tokenize("".join([shown[b] for b in raw]))])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a one-byte character's kind: 0 white space, 1 letter, 2 number, 3 anything else
+        self.kinds = np.array([0 if re.match(f"[{SPACE}]", chr(c)) else 1 if re.match(f"[{letters}]", chr(c)) else 2 if re.match(f"[{digits}]", chr(c)) else 3 for c in range(256)], np.uint8)
+        self.short = re.compile(r"'(?:[stmd]|re|ve|ll)".encode())
 
     def encode(self, text: str) -> np.ndarray:
         lower = text.lower()
@@ -65,6 +71,53 @@ class WordTokenizer:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(lower))), np.int32)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts of one-byte characters are split together, and each of their different pieces is encoded once."""
+        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        many = []
+        for i, text in enumerate(texts):
+            if (text.isascii() or one_byte(text)) and not any(a in text for a in self.added):
+                many.append(i)
+            elif text:
+                found[i] = self.encode(text)
+        if not many:
+            return found
+        raw = "\n".join([texts[i] for i in many]).lower().encode("latin-1")
+        chars = np.frombuffer(raw, np.uint8)
+        kind = self.kinds.take(chars)
+        start = np.empty(len(chars), bool)
+        start[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == 2  # each number alone
+        for match in self.short.finditer(raw):
+            i, end = match.span()
+            if i == 0 or kind[i - 1] != 3:  # it doesn't go on with a run of signs
+                start[i + 1] = False
+                start[end : end + 1] = True
+        inside = kind != 0
+        start &= inside
+        at = np.flatnonzero(start)  # where pieces begin, with white space
+        begins = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(begins), pa.py_buffer(chars[inside])]).dictionary_encode()
+        each = [self.memo[p.decode("latin-1")] for p in pieces.dictionary.to_pylist()]
+        sizes, which = np.array([len(x) >> 2 for x in each], np.int64), pieces.indices.to_numpy()
+        first, count = (np.cumsum(sizes) - sizes).take(which), sizes.take(which)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = np.frombuffer(b"".join(each), np.int32).take(np.repeat(first - upto[:-1], count) + np.arange(upto[-1]))
+        ends = np.cumsum([len(texts[i]) + 1 for i in many])
+        for i, own in zip(many, np.split(ids, upto[np.searchsorted(at, ends[:-1])]), strict=True):
+            found[i] = own
+        return found
+
+
+def one_byte(text: str) -> bool:
+    """Whether all characters are below 256; their lower cases are then as well."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordTokenizer:
@@ -93,12 +146,13 @@ def pack(frames: list[tuple[list, list[np.ndarray]]], ids: int) -> list[tuple[in
 
 def unpack(frames: list[bytes]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """The (document id, ids) of each frame. Raises ValueError for what isn't a frame or doesn't match its checksum."""
-    heads, codes, counts, sums, sizes = [], [], [], [], set()
+    heads, codes, counts, sums, sizes, forms = [], [], [], [], set(), []
     for raw in frames:
-        if raw[:4] != MAGIC:
+        if raw[:4] not in (MAGIC, FIRST_MAGIC):
             raise ValueError("not a frame of token ids")
         ids, n, m = struct.unpack_from("<III", raw, 4)
         sizes.add(ids)
+        forms += [raw[:4]] * m
         at = 16
         nulls = raw[at : at + n]
         names = np.frombuffer(raw, "<i8", n, at := at + n)
@@ -113,7 +167,12 @@ def unpack(frames: list[bytes]) -> Iterator[list[tuple[int | None, np.ndarray]]]
         heads.append(([None if null else int(x) for null, x in zip(nulls, names, strict=True)], lengths, m))
     if len(sizes) > 1:
         raise ValueError("frames of different vocabularies")
-    blocks = [b for i in range(0, len(codes), LANES) for b in decode_blocks(codes[i : i + LANES], counts[i : i + LANES], next(iter(sizes)))]
+    blocks: list[np.ndarray] = [np.empty(0, np.int32)] * len(codes)
+    for magic, decode in ((MAGIC, decode_blocks), (FIRST_MAGIC, lane_coder.decode_blocks)):
+        own = [i for i, form in enumerate(forms) if form == magic]
+        for some in (own[i : i + LANES] for i in range(0, len(own), LANES)):
+            for i, block in zip(some, decode([codes[i] for i in some], [counts[i] for i in some], ids), strict=True):
+                blocks[i] = block
     for block, crc in zip(blocks, sums, strict=True):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError("a block doesn't match its checksum")
@@ -155,11 +214,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["piece", "nth", "n_docs", "n_tokens", "frame"])
 
         for batch in slices(batches, "text"):
-            for id_, text, of in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "piece")), strict=True):
+            encoded = tokenizer.encode_all([text or "" for text in batch.column("text").to_pylist()])
+            for id_, of, own in zip(batch.column("id").to_pylist(), batch.column("piece").to_pylist(), encoded, strict=True):
                 if of != piece:
                     close()
                     piece, nth = of, 0
-                ids = np.concatenate([tokenizer.encode(text), tail]) if text else tail
+                ids = np.concatenate([own, tail])
                 if size and size + len(ids) > FRAME:
                     close()
                 names.append(id_)

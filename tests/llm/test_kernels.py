@@ -2,6 +2,8 @@
 
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import decontamination, lane_coder, multiset_fingerprint, recompress_core, site_style_tree, token_binary
+from corpusloom.llm import decontamination, lane_coder, multiset_fingerprint, recompress_core, site_style_tree, stream_coder, token_binary
 from corpusloom.llm.bpe_prefix import PrefixBpe
 from corpusloom.llm.fingerprints import shingle_hashes, simhash
 from corpusloom.llm.simhash_dedup import AGREE, group_masks
@@ -88,6 +90,77 @@ def test_frames_find_damage():
         list(token_binary.unpack([b"x" + frame[1:]]))
 
 
+def test_frames_of_the_first_form_are_read_beside_others():
+    """A file of before holds lane_coder's codes under another name."""
+    ids = [np.arange(5000, dtype=np.int32) % 700, np.array([9, 2], np.int32)]
+    new = token_binary.pack([([4, 5], ids)], 49408)[0][2]
+    whole = np.concatenate(ids)
+    blocks = [whole[:4096], whole[4096:]]
+    codes = lane_coder.encode_blocks(blocks, 49408)
+    table = np.array([[len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())] for b, c in zip(blocks, codes, strict=True)], "<u4")
+    old = b"CLF1" + struct.pack("<III", 49408, 2, 2) + bytes(2) + np.array([4, 5], "<i8").tobytes() + np.array([5000, 2], "<u4").tobytes() + table.tobytes() + b"".join(codes)
+    want = [(4, ids[0].tolist()), (5, ids[1].tolist())]
+    assert [[(n, i.tolist()) for n, i in rows] for rows in token_binary.unpack([new, old, new])] == [want] * 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 49407), max_size=120), max_size=6))
+def test_stream_coder_round_trip(blocks):
+    arrays = [np.array(b, np.int32) for b in blocks]
+    back = stream_coder.decode_blocks(stream_coder.encode_blocks(arrays, 49408), [len(b) for b in blocks], 49408)
+    assert [b.tolist() for b in back] == blocks
+
+
+def test_stream_coder_on_odd_blocks():
+    rng = np.random.default_rng(7)
+    random_ids = [rng.integers(0, 49408, n).astype(np.int32) for n in (4096, 4095, 1, 15, 16, 17, 33)]
+    blocks = [*random_ids, np.full(4096, 49407, np.int32), np.zeros(4000, np.int32), np.arange(4096, dtype=np.int32), np.tile(random_ids[1][:600], 6)]
+    codes = stream_coder.encode_blocks(blocks, 49408)
+    assert codes == [stream_coder.encode_blocks([b], 49408)[0] for b in blocks]  # a block's code doesn't follow its company
+    assert all(np.array_equal(a, b) for a, b in zip(stream_coder.decode_blocks(codes, [len(b) for b in blocks], 49408), blocks, strict=True))
+    assert len(codes[7]) < 1500 and len(codes[0]) < 2 * 4096 * 1.1
+    with pytest.raises(ValueError):
+        stream_coder.encode_blocks([np.array([3, 49408], np.int32)], 49408)
+
+
+def test_frames_are_smaller_than_deflate_makes_them_and_cheaper_than_the_first_form():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 400_000), 40_000).astype(np.int32)
+    ids[1::7] = ids[0:-1:7] * 3 % 40_000
+    blocks = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+    at = time.process_time()
+    frame = token_binary.pack([([1], [ids])], 40_001)[0][2]
+    ((_, back),) = next(token_binary.unpack([frame]))
+    mine = time.process_time() - at
+    assert np.array_equal(back, ids)
+    assert len(frame) < 0.95 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    at = time.process_time()
+    lane_coder.decode_blocks(lane_coder.encode_blocks(blocks, 40_001), [len(b) for b in blocks], 40_001)
+    assert mine < 0.5 * (time.process_time() - at)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.text(alphabet="abstremdvlABSTé' 12\n\x85\xa0.,-µß²", max_size=60)), max_size=8))
+def test_word_encoding_of_many_texts_is_the_librarys(libraries, texts):
+    mine = token_binary.load(public_tokenizers.path("word_bpe_49k.json")).encode_all(texts)
+    assert [i.tolist() for i in mine] == [e.ids for e in libraries["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_many_texts_need_no_call_for_each(monkeypatch):
+    """Texts of one-byte characters are split together, so no text goes through the encoder of single texts."""
+    tokenizer = token_binary.load(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"Don't say 'x{i}' to Zoë, {i * 37} times" for i in range(300)] + [""]
+    want = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokenizer, "encode", None)
+    assert [i.tolist() for i in tokenizer.encode_all(texts)] == want
+
+
+def test_all_texts_of_every_character():
+    tokenizer = token_binary.load(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t for c in map(chr, range(0x400)) for t in (c, f"a{c}b", f"Ab {c}{c} 'S 12{c}", f"{c}'re{c}'ll'd")]
+    assert [i.tolist() for i in tokenizer.encode_all(texts)] == [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def plain_simhash(text, width):
     import xxhash
 
