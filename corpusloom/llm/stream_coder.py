@@ -94,9 +94,9 @@ class Contexts:
     def predict(self, w: int) -> np.ndarray:
         """The states of the first w streams."""
         h = self.last[:w] * np.uint32(2654435761)
-        self.at1 = (h >> np.uint32(21)).view(np.int32) + self.base1[:w]
+        self.at1 = ((h >> np.uint32(21)).view(np.int32) + self.base1[:w]).astype(np.intp)
         h ^= self.before[:w] * np.uint32(2246822519)
-        self.at2 = (h >> np.uint32(20)).view(np.int32) + self.base2[:w]
+        self.at2 = ((h >> np.uint32(20)).view(np.int32) + self.base2[:w]).astype(np.intp)
         self.e2, self.e1 = self.order2.take(self.at2), self.order1.take(self.at1)
         self.c2, self.c1 = self.e2 >> np.uint32(2), self.e1 >> np.uint32(2)
         self.k2, self.k1 = self.e2 & np.uint32(3), self.e1 & np.uint32(3)

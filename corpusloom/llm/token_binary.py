@@ -14,15 +14,17 @@ else. Files with magic "CLF1" are the same with blocks coded by ``lane_coder``;
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,38 @@ from corpusloom.llm.stream_coder import BLOCK, decode_blocks, encode_blocks
 MAGIC, FIRST_MAGIC = b"CLF2", b"CLF1"
 #: Ids in a frame, and blocks that are coded together.
 FRAME, LANES = 64 * BLOCK, 512
+#: Pieces that a worker remembers, their bytes, and the most ids of one that is kept when others go.
+KNOWN, KNOWN_BYTES, LONG = 300_000, 32 << 20, 64
+
+
+class Known:
+    """Ids of pieces met before, in arrays; beyond KNOWN pieces or KNOWN_BYTES the half that was not met for longest goes, and long ones."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        self.encode, self.turn = encode, 0
+        self.pieces, self.ids = pa.array([], pa.binary()), np.empty(0, np.int32)
+        self.sizes, self.met = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin and how many they are. The pieces are different ones."""
+        self.turn += 1
+        at = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.pieces) + np.arange(len(new))
+            fresh = pieces.take(pa.array(new))
+            made = [self.encode(piece) for piece in fresh.to_pylist()]
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made))])
+            self.met = np.concatenate([self.met, np.zeros(len(made), np.int64)])
+        self.met[at] = self.turn
+        out = self.ids, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        if len(self.pieces) > KNOWN or self.pieces.nbytes > KNOWN_BYTES:
+            keep = (self.met > np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]) & (self.sizes <= LONG)
+            self.ids = self.ids[np.repeat(keep, self.sizes)]
+            self.pieces, self.sizes, self.met = self.pieces.filter(pa.array(keep)), self.sizes[keep], self.met[keep]
+        return out
 
 
 class WordTokenizer:
@@ -58,7 +92,9 @@ class WordTokenizer:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # pieces are normal and split already, so the library's model takes them, in the characters that its vocabulary writes for bytes
         model, shown = self.tokenizer.model, {b: c for c, b in byte_names().items()}
-        self.memo = Memo(lambda raw: [t.id for t in model.tokenize("".join([shown[b] for b in raw]))])
+        piece_ids = lambda raw: [t.id for t in model.tokenize(raw.decode() if raw.isalpha() else "".join([shown[b] for b in raw]))]
+        self.memo = Memo(piece_ids)
+        self.known = Known(lambda raw: piece_ids(raw if raw.isascii() else raw.decode("latin-1").encode()))
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # a one-byte character's kind: 0 white space, 1 letter, 2 number, 3 anything else
         self.kinds = np.array([0 if re.match(f"[{SPACE}]", chr(c)) else 1 if re.match(f"[{letters}]", chr(c)) else 2 if re.match(f"[{digits}]", chr(c)) else 3 for c in range(256)], np.uint8)
@@ -99,11 +135,11 @@ class WordTokenizer:
         at = np.flatnonzero(start)  # where pieces begin, with white space
         begins = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(begins), pa.py_buffer(chars[inside])]).dictionary_encode()
-        each = [self.memo[p.decode("latin-1")] for p in pieces.dictionary.to_pylist()]
-        sizes, which = np.array([len(x) >> 2 for x in each], np.int64), pieces.indices.to_numpy()
-        first, count = (np.cumsum(sizes) - sizes).take(which), sizes.take(which)
+        known, first, count = self.known.find(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        first, count = first.take(which), count.take(which)
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = np.frombuffer(b"".join(each), np.int32).take(np.repeat(first - upto[:-1], count) + np.arange(upto[-1]))
+        ids = known.take(np.repeat(first - upto[:-1], count) + np.arange(upto[-1]))
         ends = np.cumsum([len(texts[i]) + 1 for i in many])
         for i, own in zip(many, np.split(ids, upto[np.searchsorted(at, ends[:-1])]), strict=True):
             found[i] = own
@@ -213,7 +249,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["piece", "nth", "n_docs", "n_tokens", "frame"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             encoded = tokenizer.encode_all([text or "" for text in batch.column("text").to_pylist()])
             for id_, of, own in zip(batch.column("id").to_pylist(), batch.column("piece").to_pylist(), encoded, strict=True):
                 if of != piece:

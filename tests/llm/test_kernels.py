@@ -155,6 +155,20 @@ def test_many_texts_need_no_call_for_each(monkeypatch):
     assert [i.tolist() for i in tokenizer.encode_all(texts)] == want
 
 
+def test_remembered_pieces_are_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(token_binary, "KNOWN", 40)
+    tokenizer = token_binary.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+    encode = tokenizer.known.encode
+    monkeypatch.setattr(tokenizer.known, "encode", lambda piece: calls.append(piece) or encode(piece))
+    for i in range(30):
+        texts = [f"often said w\xf6rd{chr(97 + i % 26)}{chr(97 + i // 2)} {i}", "x" * 300 if i == 20 else "", "  "]
+        assert [x.tolist() for x in tokenizer.encode_all(texts)] == [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(tokenizer.known.pieces) <= 40 and tokenizer.known.sizes.sum() == len(tokenizer.known.ids)
+    assert calls.count(b"often") == calls.count(b"said") == 1  # what is met again and again stays
+    assert b"x" * 300 in calls
+
+
 def test_all_texts_of_every_character():
     tokenizer = token_binary.load(public_tokenizers.path("word_bpe_49k.json"))
     texts = [t for c in map(chr, range(0x400)) for t in (c, f"a{c}b", f"Ab {c}{c} 'S 12{c}", f"{c}'re{c}'ll'd")]
