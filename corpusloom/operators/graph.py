@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import shared_dir
+from corpusloom.session import counted, forget, shared_dir, shuffled, written
 
 #: Members of a category in one block, about; a cell has as many pairs as its square.
 BLOCK = 512
@@ -146,18 +146,25 @@ def summarise(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, community): connected components by the smallest id, with shortcuts every round."""
-    both = cut(undirected(edges))
-    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least("src", F.min("dst")).alias("community")))
+    """(id, community): connected components by the smallest id.
+
+    Each node takes the first of itself and its neighbours in an order drawn by a hash, and those that have taken the same become one node
+    of the next round, so a good part of the nodes goes in every round, however long the paths are.
+    """
+    left, found, turn = written(undirected(edges)), None, 0
     while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("other").alias("other"))
-        moved = labels.join(near, "id").select("id", F.least("community", "other").alias("community"), F.col("community").alias("was"))
-        jump = moved.select(F.col("id").alias("community"), F.col("community").alias("further"))
-        new = cut(moved.join(jump, "community", "left").select("id", F.least("community", F.coalesce("further", "community")).alias("community"), "was"))
-        changed = new.where("community <> was").limit(1).count()
-        labels = new.select("id", "community")
-        if not changed:
-            return labels
+        place = lambda end: F.struct(F.xxhash64(end, F.lit(turn)).alias("place"), F.col(end).alias("id"))  # noqa: B023, E731
+        to = written(left.groupBy("src").agg(F.least(place("src"), F.min(place("dst"))).alias("to")).select(F.col("src").alias("id"), F.col("to.id").alias("to")))
+        older, found = found, to if found is None else written(found.join(shuffled(to.select(F.col("id").alias("to"), F.col("to").alias("next"))), "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+        a, b = (shuffled(to.withColumnsRenamed({"id": end, "to": f"{end}_to"})) for end in ("src", "dst"))
+        rest, n = counted(left.join(a, "src").join(b, "dst").where("src_to <> dst_to").select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct(), F.count("*"))
+        forget(left, older, None if found is to else to)
+        left, turn = rest, turn + 1
+        if not n:
+            names = found.groupBy("to").agg(F.min("id").alias("community"))
+            named = written(found.join(shuffled(names), "to").select("id", "community"))
+            forget(left, found)
+            return named
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import agent, communities, evaluation, understanding
+from corpusloom.operators import agent, communities, evaluation, graph, understanding
 from corpusloom.plans import graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -122,6 +122,40 @@ def test_louvain_of_a_table(spark):
     assert plain_modularity(edges, got) >= 0.95 * plain_modularity(edges, plain_louvain(edges)) and connected(edges, got)
 
 
+@pytest.mark.parametrize("name", ["cliques", "planted"])
+def test_louvain_in_many_blocks(spark, name, monkeypatch):
+    monkeypatch.setattr(communities, "BLOCK", 40)
+    edges = GRAPHS[name]
+    got = {r["id"]: r["community"] for r in communities.louvain(spark.createDataFrame(edges, "src bigint, dst bigint, weight double")).collect()}
+    want = max(plain_modularity(edges, plain_louvain(edges, s)) for s in range(5))
+    assert connected(edges, got) and plain_modularity(edges, got) >= 0.95 * want
+
+
+def jobs(spark, what):
+    """Jobs that a call starts; the driver holds what it knows of each."""
+    context = spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", group := f"jobs of {what}")
+    try:
+        return what(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_louvain_needs_few_jobs(spark):
+    edges = spark.createDataFrame(GRAPHS["planted"], "src bigint, dst bigint, weight double")
+    _, n = jobs(spark, lambda: communities.louvain(edges).count())
+    assert n < 250
+
+
+def test_components_of_a_long_path(spark):
+    nodes = random.Random(3).sample(range(10_000), 600)
+    edges = spark.createDataFrame([*zip(nodes, nodes[1:], strict=False), (20_001, 20_000), (20_002, 20_002)], "src bigint, dst bigint")
+    got, n = jobs(spark, lambda: dict(map(tuple, graph.components(edges).collect())))
+    assert got == dict.fromkeys(nodes, min(nodes)) | {20_000: 20_000, 20_001: 20_000}
+    assert n < 250
+    assert graph.components(edges.where("false")).collect() == []
+
+
 DOCS = [
     (1, "alpha beta gamma " * 12 + "delta"), (2, "alpha beta epsilon " * 15), (3, "zeta eta theta"), (4, "the credit rules of the alpha course and what it asks for " * 4), (5, "beta"), (6, "iota kappa lambda mu nu xi " * 10), (7, "alpha and beta and gamma. " * 9),
 ]
