@@ -58,13 +58,14 @@ def chunk_lines(lines: DataFrame, script: str = "cjk", hints: list[str] | None =
     letter = T.SCRIPT[script]
     raw = F.trim(F.translate("line", "　", " "))
     number = F.regexp_extract(raw, rf"^(\d{{1,3}}){letter}", 1)
-    text = T.collapse(F.when(number != "", F.substring(raw, F.length(number) + 1, F.length(raw))).otherwise(raw))
+    text = T.collapse(F.regexp_replace(raw, rf"^\d{{1,3}}(?={letter})", ""))
     marks = T.occurrences(F.col("line"), "√"), T.occurrences(F.col("line"), "✓")
     noise = (
         (F.col("line") == "") | F.col("line").rlike(r"^\d{1,3}$") | (T.occurrences(F.col("line"), "…") >= 3) | (T.occurrences(F.col("line"), ".") >= 10) | T.contains_any(F.col("line"), T.TABLE_HINTS if hints is None else hints)
         | (marks[0] >= 2) | (marks[1] >= 2) | (F.col("line").contains("|") & (T.count(F.col("line"), letter) < 8))
     )
-    out = lines.select("doc_id", "pos", F.when(number != "", number.cast("int")).otherwise(F.col("page")).alias("page"), text.alias("line"))
+    # exploded, as a plain column would be put in place of each "line" of the filter and found anew there
+    out = lines.select("doc_id", "pos", F.when(number != "", number.cast("int")).otherwise(F.col("page")).alias("page"), F.explode(F.array(text)).alias("line"))
     return out.where(~noise)
 
 

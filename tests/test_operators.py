@@ -196,3 +196,11 @@ def test_section_lines(spark):
     frame = spark.createDataFrame([(lines,)], "l array<string>")
     assert frame.select(assembly.clean_section_lines(F.col("l"), outline=True)).first()[0] == want
     assert "import" in " ".join(frame.select(assembly.clean_section_lines(F.col("l"))).first()[0])
+
+
+def test_a_line_is_cleaned_once(spark):
+    rows = [(1, 0, 1, " 12Intro\u3000 text "), (1, 1, 1, "345"), (1, 2, 1, None), (1, 3, 2, "1234four digits"), (1, 4, 2, "7 apart"), (1, 5, 3, "  "), (1, 6, 3, "a | b")]
+    kept = sections.chunk_lines(spark.createDataFrame(rows, "doc_id int, pos int, page int, line string"), "latin", [])
+    assert sorted(map(tuple, kept.collect())) == [(1, 0, 12, "Intro text"), (1, 3, 2, "1234four digits"), (1, 4, 2, "7 apart")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2  # and not again for each test of a line
